@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .quality_mcd import op1_quality_mcd
 from .substring_levels import OP10_SQL, op10_substring_levels
 
 
 def queries() -> dict:
-    return {"op10_substring_levels": op10_substring_levels}
+    return {
+        "op1_quality_mcd": op1_quality_mcd,
+        "op10_substring_levels": op10_substring_levels,
+    }
 
 
 def oracles() -> dict:
