@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .license_index import op2_license_index
 from .quality_mcd import op1_quality_mcd
 from .substring_levels import OP10_SQL, op10_substring_levels
 
@@ -9,6 +10,7 @@ from .substring_levels import OP10_SQL, op10_substring_levels
 def queries() -> dict:
     return {
         "op1_quality_mcd": op1_quality_mcd,
+        "op2_license_index": op2_license_index,
         "op10_substring_levels": op10_substring_levels,
     }
 
