@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .license_index import op2_license_index
 from .quality_mcd import op1_quality_mcd
+from .simhash_trees import op3_simhash_trees
 from .substring_levels import OP10_SQL, op10_substring_levels
 
 
@@ -11,6 +12,7 @@ def queries() -> dict:
     return {
         "op1_quality_mcd": op1_quality_mcd,
         "op2_license_index": op2_license_index,
+        "op3_simhash_trees": op3_simhash_trees,
         "op10_substring_levels": op10_substring_levels,
     }
 
