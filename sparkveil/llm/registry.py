@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .license_index import op2_license_index
+from .packing import op4_order_packing
 from .quality_mcd import op1_quality_mcd
 from .simhash_trees import op3_simhash_trees
 from .substring_levels import OP10_SQL, op10_substring_levels
@@ -13,6 +14,7 @@ def queries() -> dict:
         "op1_quality_mcd": op1_quality_mcd,
         "op2_license_index": op2_license_index,
         "op3_simhash_trees": op3_simhash_trees,
+        "op4_order_packing": op4_order_packing,
         "op10_substring_levels": op10_substring_levels,
     }
 
