@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .collision_search import op9_collision_search
 from .license_index import op2_license_index
 from .packing import op4_order_packing
 from .quality_mcd import op1_quality_mcd
@@ -15,6 +16,7 @@ def queries() -> dict:
         "op2_license_index": op2_license_index,
         "op3_simhash_trees": op3_simhash_trees,
         "op4_order_packing": op4_order_packing,
+        "op9_collision_search": op9_collision_search,
         "op10_substring_levels": op10_substring_levels,
     }
 
