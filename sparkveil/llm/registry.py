@@ -5,6 +5,7 @@ from __future__ import annotations
 from .collision_search import op9_collision_search
 from .license_index import op2_license_index
 from .packing import op4_order_packing
+from .poisson_mixing import OP5_SQL, op5_poisson_mixing
 from .quality_mcd import op1_quality_mcd
 from .simhash_trees import op3_simhash_trees
 from .substring_levels import OP10_SQL, op10_substring_levels
@@ -16,10 +17,11 @@ def queries() -> dict:
         "op2_license_index": op2_license_index,
         "op3_simhash_trees": op3_simhash_trees,
         "op4_order_packing": op4_order_packing,
+        "op5_poisson_mixing": op5_poisson_mixing,
         "op9_collision_search": op9_collision_search,
         "op10_substring_levels": op10_substring_levels,
     }
 
 
 def oracles() -> dict:
-    return {"op10_substring_levels": OP10_SQL}
+    return {"op5_poisson_mixing": OP5_SQL, "op10_substring_levels": OP10_SQL}
