@@ -8,6 +8,7 @@ from .packing import op4_order_packing
 from .poisson_mixing import OP5_SQL, op5_poisson_mixing
 from .quality_mcd import op1_quality_mcd
 from .simhash_trees import op3_simhash_trees
+from .suffix_parsing import op8_suffix_parsing
 from .substring_levels import OP10_SQL, op10_substring_levels
 
 
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op3_simhash_trees": op3_simhash_trees,
         "op4_order_packing": op4_order_packing,
         "op5_poisson_mixing": op5_poisson_mixing,
+        "op8_suffix_parsing": op8_suffix_parsing,
         "op9_collision_search": op9_collision_search,
         "op10_substring_levels": op10_substring_levels,
     }
