@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .collision_search import op9_collision_search
 from .license_index import op2_license_index
+from .line_edit_join import op6_line_edit_join
 from .packing import op4_order_packing
 from .poisson_mixing import OP5_SQL, op5_poisson_mixing
 from .quality_mcd import op1_quality_mcd
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op3_simhash_trees": op3_simhash_trees,
         "op4_order_packing": op4_order_packing,
         "op5_poisson_mixing": op5_poisson_mixing,
+        "op6_line_edit_join": op6_line_edit_join,
         "op8_suffix_parsing": op8_suffix_parsing,
         "op9_collision_search": op9_collision_search,
         "op10_substring_levels": op10_substring_levels,
