@@ -17,6 +17,7 @@ are judged each for itself, by id and text alike; a text whose lines all go is e
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame, Window
@@ -134,7 +135,9 @@ def _second_index(lines: DataFrame, tau: int, parts: int = 8) -> DataFrame:
                 path = (0, *shifts, less)
                 if sum(abs(b - a) for a, b in zip(path, path[1:], strict=False)) <= tau:
                     keys.append(F.struct(key(dirty, length - less, (*shifts, less)).alias("key"), F.lit(1).alias("kind")))
-    return lines.select("h1", F.length("line").alias("length"), "line").select("h1", F.inline(F.array(*keys)))
+    rows = lines.select("h1", F.length("line").alias("length"), "line")
+    step = 27  # more keys in one projection are beyond what a generated method may hold
+    return reduce(DataFrame.union, (rows.select("h1", F.inline(F.array(*keys[i : i + step]))) for i in range(0, len(keys), step)))
 
 
 def _met(keys: DataFrame) -> DataFrame:
@@ -151,9 +154,9 @@ def near_links(distinct: DataFrame, tau: int, near_chars: int, crowded: int) ->
     keys = _first_index(long, tau).select("*", F.sum(1 - F.col("kind")).over(w).alias("indexed"), F.min("h1").over(w).alias("lo"), F.max("h1").over(w).alias("hi"))
     keys = stored(keys.where("indexed > 0 AND lo <> hi").select("h1", "key", "kind", "indexed"), "segments")
     pairs = _met(keys.where(F.col("indexed") <= crowded))
-    hot = stored(keys.where(F.col("indexed") > crowded).select("h1").distinct(), "crowded")
+    hot = keys.where(F.col("indexed") > crowded).select("h1").distinct()
     if hot.take(1):
-        pairs = pairs.union(_met(_second_index(long.join(hot, "h1"), tau))).distinct()
+        pairs = pairs.union(_met(_second_index(stored(long.join(hot, "h1"), "crowded"), tau))).distinct()
     pairs = stored(pairs, "pairs")
     needed = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()
     texts = stored(long.join(needed, "h1", "left_semi").select("h1", "line"), "candidates")
