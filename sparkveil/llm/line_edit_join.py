@@ -136,7 +136,7 @@ def _second_index(lines: DataFrame, tau: int, parts: int = 8) -> DataFrame:
                 if sum(abs(b - a) for a, b in zip(path, path[1:], strict=False)) <= tau:
                     keys.append(F.struct(key(dirty, length - less, (*shifts, less)).alias("key"), F.lit(1).alias("kind")))
     rows = lines.select("h1", F.length("line").alias("length"), "line")
-    step = 27  # more keys in one projection are beyond what a generated method may hold
+    step = 9  # more keys in one projection are beyond what a generated method may hold
     return reduce(DataFrame.union, (rows.select("h1", F.inline(F.array(*keys[i : i + step]))) for i in range(0, len(keys), step)))
 
 

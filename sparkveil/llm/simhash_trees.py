@@ -20,7 +20,6 @@ empty table gives none.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ from .textops import chunks, text_column
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BITS = np.arange(8)
+_NO_ID = -(2**63)
 
 
 def _fingerprints(text_rows: pa.Array, shingle: int, seed: int) -> np.ndarray:
@@ -118,27 +117,32 @@ def near_links(prints: DataFrame, radius: int = 2, crowded: int = 4096) -> DataF
     return links if deep is None else links.union(_compared(stored(deep, "deep"), 16, radius, None)[0])
 
 
-def near_duplicate_classes(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
-    """doc_id, _print, component_id (the smallest id that links reach) for each row of ``docs``."""
-    rows = stored(with_fingerprint(docs, ["doc_id"], shingle, seed), "prints")
+def _classes(rows: DataFrame, radius: int) -> DataFrame:
+    """_print, component (its class's smallest fingerprint) and component_id for the distinct fingerprints of ``rows``."""
     least = stored(rows.groupBy("_print").agg(F.min("doc_id").alias("least")), "distinct")
     classes = components(near_links(least.select("_print"), radius))
     linked = least.join(classes.withColumnRenamed("node", "_print"), "_print", "left").withColumn("component", F.coalesce("component", "_print"))
     roots = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    own = linked.join(roots, "component").select("_print", "component_id")
-    return rows.join(own, "_print").select("doc_id", "_print", "component_id")
+    return linked.join(roots, "component").select("_print", "component", "component_id")
+
+
+def near_duplicate_classes(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
+    """doc_id, _print, component_id (the smallest id that links reach) for each row of ``docs``."""
+    rows = stored(with_fingerprint(docs, ["doc_id"], shingle, seed), "prints")
+    return rows.join(_classes(rows, radius), "_print").select("doc_id", "_print", "component_id")
 
 
-def keep_one_each(docs: DataFrame, shingle: int = 5, radius: int = 3, seed: int = 42) -> DataFrame:
-    """One row of ``docs`` for each class of near-duplicates: the one with the smallest id (of equal ones, any is the same row).
+def keep_one_each(docs: DataFrame, shingle: int = 5, radius: int = 2, seed: int = 42) -> DataFrame:
+    """One row of ``docs`` for each class of near-duplicates: the one with the smallest id, then the smallest hash of its text.
 
-    Rows with a null id stay only if no other row is in their class.
+    A row with a null id stays only if its class has no row with an id. Rows that are equal in id and text count as one.
     """
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_k"), F.xxhash64("text").alias("_h")]
+    rows = stored(with_fingerprint(docs.select("doc_id", "text", *key), ["doc_id", "_k", "_h"], shingle, seed), "prints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "_k", "_h")
+    firsts = rows.join(_classes(rows, radius), "_print").groupBy("component").agg(F.min(order).alias("first")).select("first._k", "first._h")
     names = docs.columns
-    classes = near_duplicate_classes(docs, shingle, radius, seed)
-    firsts = classes.groupBy("component_id").agg(F.min("doc_id").alias("_first")).select("_first").distinct()
-    kept = docs.join(firsts, docs["doc_id"].eqNullSafe(firsts["_first"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*names)
+    return docs.select("*", *key).join(firsts, ["_k", "_h"], "left_semi").dropDuplicates(["_k", "_h"]).select(*names)
 
 
 def op3_simhash_trees(spark, sf_dir: str) -> DataFrame:
