@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .collision_search import op9_collision_search
+from .context_mixing import op7_context_mixing
 from .license_index import op2_license_index
 from .line_edit_join import op6_line_edit_join
 from .packing import op4_order_packing
@@ -21,6 +22,7 @@ def queries() -> dict:
         "op4_order_packing": op4_order_packing,
         "op5_poisson_mixing": op5_poisson_mixing,
         "op6_line_edit_join": op6_line_edit_join,
+        "op7_context_mixing": op7_context_mixing,
         "op8_suffix_parsing": op8_suffix_parsing,
         "op9_collision_search": op9_collision_search,
         "op10_substring_levels": op10_substring_levels,
