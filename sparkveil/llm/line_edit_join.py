@@ -17,14 +17,13 @@ are judged each for itself, by id and text alike; a text whose lines all go is e
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import stored
+from .storage import shuffle_width, stored
 
 _NO_ID = -(2**63)
 
@@ -44,52 +43,64 @@ def _tag() -> Column:
     return F.crc32(F.col("text").cast("binary")).bitwiseAND(F.lit(0xFFFFFF))
 
 
-def within(a: Column, b: Column, tau: int) -> Column:
-    """Are the strings at most ``tau`` edits apart. Common ends are taken off first."""
-    la, lb = F.length(a), F.length(b)
+#: Characters after the common start on which most pairs already fail.
+_LOOK = 24
+
+
+def within(pairs: DataFrame, tau: int) -> DataFrame:
+    """The rows of pairs (a, b, x, y) whose texts x and y are at most ``tau`` edits apart.
+
+    The common start comes off first, and a pair whose next characters are too far apart goes; then the common end comes off,
+    and the automaton reads what is left. Each length is exploded from an array of one, which keeps the optimiser from
+    putting its expression in the place of every use.
+    """
+    x, y, head, tail = F.col("x"), F.col("y"), F.col("head"), F.col("tail")
+    n, m = F.length("x"), F.length("y")
     steps = F.array(*(F.lit(1 << i) for i in range(17, -1, -1)))
-    room = F.least(la, lb)
 
     def same_start(acc: Column, p: Column) -> Column:
-        return F.when((acc + p <= room) & (F.substring(a, acc + 1, p) == F.substring(b, acc + 1, p)), acc + p).otherwise(acc)
-
-    head = F.aggregate(steps, F.lit(0), same_start)
+        return F.when((acc + p <= F.least(n, m)) & (F.substring(x, acc + 1, p) == F.substring(y, acc + 1, p)), acc + p).otherwise(acc)
 
     def same_end(acc: Column, p: Column) -> Column:
-        fits = acc + p <= room - head
-        return F.when(fits & (F.substring(a, la - acc - p + 1, p) == F.substring(b, lb - acc - p + 1, p)), acc + p).otherwise(acc)
+        fits = acc + p <= F.least(n, m) - head
+        return F.when(fits & (F.substring(x, n - acc - p + 1, p) == F.substring(y, m - acc - p + 1, p)), acc + p).otherwise(acc)
 
-    tail = F.aggregate(steps, F.lit(0), same_end)
-    return _banded(F.substring(a, head + 1, la - head - tail), F.substring(b, head + 1, lb - head - tail), tau)
+    rows = pairs.where(F.abs(n - m) <= tau).select("*", F.explode(F.array(F.aggregate(steps, F.lit(0), same_start))).alias("head"))
+    look = _last_row(F.substring(x, head + 1, F.lit(_LOOK)), F.substring(y, head + 1, F.lit(_LOOK + tau)), tau)
+    rows = rows.where((n - head == 0) | (look != 0))
+    rows = rows.select("*", F.explode(F.array(F.aggregate(steps, F.lit(0), same_end))).alias("tail"))
+    a, b = F.substring(x, head + 1, n - head - tail), F.substring(y, head + 1, m - head - tail)
+    short = F.least(n, m) - head - tail == 0
+    return rows.where(short | (F.getbit(_last_row(a, b, tau), m - n + tau) == 1)).drop("head", "tail")
 
 
-def _banded(a: Column, b: Column, tau: int) -> Column:
-    n, m = F.length(a), F.length(b)
+def _last_row(a: Column, b: Column, tau: int) -> Column:
+    """The automaton's last row after all of ``a``, which is not empty."""
     # the arrays are bound once by a one-element transform, since a lambda's body is evaluated for every element
-    inner = F.transform(F.array(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y"))), lambda s: _automaton(s["x"], s["y"], n, m, tau))
-    return F.when(F.abs(n - m) > tau, F.lit(False)).when(F.least(n, m) == 0, F.lit(True)).otherwise(F.get(inner, F.lit(0)))
+    ends = F.array(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y"), F.greatest(F.lit(1), F.length(a)).alias("n")))
+    return F.get(F.transform(ends, lambda s: _automaton(s["x"], s["y"], s["n"], tau)), F.lit(0))
 
 
-def _automaton(x: Column, y: Column, n: Column, m: Column, tau: int) -> Column:
+def _automaton(x: Column, y: Column, n: Column, tau: int) -> Column:
     band = (1 << (2 * tau + 1)) - 1
     start = F.struct(*(F.lit(sum(1 << t for t in range(tau, tau + d + 1))).cast("long").alias(f"r{d}") for d in range(tau + 1)))
+    none = F.lit(0).cast("long")
+
+    def equal(i: Column) -> Column:
+        """Bit t: is x's character i also y's on diagonal t."""
+        return sum((F.when(F.get(y, i + (t - tau - 1)) == F.get(x, i - 1), F.lit(1 << t).cast("long")).otherwise(none) for t in range(2 * tau + 1)), none)
 
-    def step(acc: Column, i: Column) -> Column:
-        sign = F.get(x, i - 1)
-        equal = F.lit(0).cast("long")
-        for t in range(2 * tau + 1):
-            equal = equal + F.when(F.get(y, i + (t - tau - 1)) == sign, F.lit(1 << t).cast("long")).otherwise(F.lit(0).cast("long"))
+    def step(acc: Column, same: Column) -> Column:
         rows: list[Column] = []
         for d in range(tau + 1):
-            row = acc[f"r{d}"].bitwiseAND(equal)
+            row = acc[f"r{d}"].bitwiseAND(same)
             if d:
                 less = acc[f"r{d - 1}"]
                 row = row.bitwiseOR(less).bitwiseOR(F.shiftright(less, 1)).bitwiseOR(F.shiftleft(rows[d - 1], 1)).bitwiseAND(F.lit(band))
             rows.append(row)
         return F.when(acc[f"r{tau}"] == 0, acc).otherwise(F.struct(*(r.cast("long").alias(f"r{d}") for d, r in enumerate(rows))))
 
-    last = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda acc: acc[f"r{tau}"])
-    return F.getbit(last, m - n + tau) == 1
+    return F.aggregate(F.transform(F.sequence(F.lit(1), n), equal), start, step, lambda acc: acc[f"r{tau}"])
 
 
 def _segment(i: int, length: Column, parts: int) -> tuple[Column, Column]:
@@ -116,28 +127,29 @@ def _first_index(lines: DataFrame, tau: int) -> DataFrame:
 
 def _second_index(lines: DataFrame, tau: int, parts: int = 8) -> DataFrame:
     """Like _first_index; a key is the text outside ``tau`` segments that may hold edits."""
-    line, length = F.col("line"), F.col("length")
-    keys = []
+    line, keys = F.col("line"), []
+    length = F.length("line")
+    # where each segment starts, for the line's own length and the shorter ones, as columns: the keys below share them
+    starts = [_segment(g, length - less, parts)[0].alias(f"s{less}_{g}") for less in range(tau + 1) for g in range(parts)]
+    ends = [(length - less).alias(f"s{less}_{parts}") for less in range(tau + 1)]
 
-    def key(dirty: tuple[int, ...], other: Column, shifts: tuple[int, ...]) -> Column:
+    def key(dirty: tuple[int, ...], less: int, shifts: tuple[int, ...]) -> Column:
         pieces, at, shift = [], F.lit(0), 0
-        for g, s in zip(dirty, shifts, strict=True):
-            begin, size = _segment(g, other, parts)
+        for g, s in zip((*dirty, parts), (*shifts, 0), strict=True):
+            begin = F.col(f"s{less}_{g}")
             pieces.append(F.substring(line, at + (shift + 1), begin - at))
-            at, shift = begin + size, s
-        pieces.append(F.substring(line, at + (shift + 1), other - at))
-        return F.xxhash64(*pieces, F.lit(",".join(map(str, dirty))), other)
+            if g < parts:
+                at, shift = F.col(f"s{less}_{g + 1}"), s
+        return F.xxhash64(*pieces, F.lit(",".join(map(str, dirty))), F.col(f"s{less}_{parts}"))
 
     for dirty in combinations(range(parts), tau):
-        keys.append(F.struct(key(dirty, length, (0,) * tau).alias("key"), F.lit(0).alias("kind")))
+        keys.append(F.struct(key(dirty, 0, (0,) * tau).alias("key"), F.lit(0).alias("kind")))
         for less in range(tau + 1):
             for shifts in product(range(-tau, tau + 1), repeat=tau - 1):
                 path = (0, *shifts, less)
                 if sum(abs(b - a) for a, b in zip(path, path[1:], strict=False)) <= tau:
-                    keys.append(F.struct(key(dirty, length - less, (*shifts, less)).alias("key"), F.lit(1).alias("kind")))
-    rows = lines.select("h1", F.length("line").alias("length"), "line")
-    step = 9  # more keys in one projection are beyond what a generated method may hold
-    return reduce(DataFrame.union, (rows.select("h1", F.inline(F.array(*keys[i : i + step]))) for i in range(0, len(keys), step)))
+                    keys.append(F.struct(key(dirty, less, (*shifts, less)).alias("key"), F.lit(1).alias("kind")))
+    return lines.select("h1", "line", *starts, *ends).select("h1", F.inline(F.array(*keys)))
 
 
 def _met(keys: DataFrame) -> DataFrame:
@@ -161,7 +173,7 @@ def near_links(distinct: DataFrame, tau: int, near_chars: int, crowded: int) ->
     needed = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()
     texts = stored(long.join(needed, "h1", "left_semi").select("h1", "line"), "candidates")
     both = pairs.join(texts.select(F.col("h1").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h1").alias("b"), F.col("line").alias("y")), "b")
-    return both.where(within(F.col("x"), F.col("y"), tau)).select("a", "b")
+    return within(both.repartition(shuffle_width(pairs.sparkSession), "a", "b"), tau).select("a", "b")
 
 
 def line_classes(docs: DataFrame, tau: int = 2, exact_chars: int = 16, near_chars: int = 32, crowded: int = 64) -> DataFrame:
