@@ -1,4 +1,6 @@
 """Named queries and, where SQL can state them, their equivalents."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from sparkveil.plans.oracles import ORACLES
+from sparkveil.plans.queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
