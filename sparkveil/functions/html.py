@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Elements that go with their content; elements, attributes and schemes that may stay; elements without content.
 REMOVED = frozenset("script style link iframe object embed video audio source track meta base img picture svg canvas form input button select textarea".split())
@@ -91,11 +92,11 @@ def text_of(text: str | None) -> str:
     return " ".join(parser.parts)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # a type as text would need a session, which workers lack
 def sanitize_html(x: pd.Series) -> pd.Series:
     return x.map(sanitized, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # a type as text would need a session, which workers lack
 def html_to_text(x: pd.Series) -> pd.Series:
     return x.map(text_of, na_action="ignore")

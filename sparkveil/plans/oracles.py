@@ -75,8 +75,8 @@ MARKERS = ", ".join(f"'{x}'" for x in SIGN_OFFS)
 SIGNED = f"""SELECT doc_id, list_distinct_in_order AS found FROM (
   SELECT doc_id, list_filter(es, lambda x, i: list_position(es, x) = i) AS list_distinct_in_order FROM (
     SELECT doc_id, list_transform(regexp_extract_all(region, {_quoted(EMAIL)}), lambda x: lower(x)) AS es FROM (
-      SELECT doc_id, array_to_string(CASE WHEN at > 0 THEN ls[at + 1:len(ls)] ELSE tail[greatest(1, len(tail) - 5):len(tail)] END, chr(10)) AS region FROM (
-        SELECT doc_id, ls, coalesce(list_max(list_transform(ls, lambda x, i: CASE WHEN lower(trim(x)) IN ({MARKERS}) THEN i ELSE 0 END)), 0) AS at,
+      SELECT doc_id, array_to_string(CASE WHEN mark > 0 THEN ls[mark + 1:len(ls)] ELSE tail[greatest(1, len(tail) - 5):len(tail)] END, chr(10)) AS region FROM (
+        SELECT doc_id, ls, coalesce(list_max(list_transform(ls, lambda x, i: CASE WHEN lower(trim(x)) IN ({MARKERS}) THEN i ELSE 0 END)), 0) AS mark,
                list_filter(ls[greatest(1, len(ls) - 19):len(ls)], lambda x: trim(x) <> '') AS tail
         FROM (SELECT doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS ls FROM documents)))))"""
 SEEN = f"""SELECT id AS email_id, 'from' AS role, lower(trim(from_addr)) AS email, {NAME} AS name, coalesce(date_sent, ingested_at) AS observed_at FROM emails

@@ -18,7 +18,7 @@ def tail(spark: SparkSession, folder: str, schema: str = EVENT) -> DataFrame:
 
 
 def until_terminal(events: DataFrame, sink, checkpoint: str, kinds: tuple[str, ...] = ("completed", "failed")) -> StreamingQuery:
-    """Hands each batch, ordered by id, to ``sink``; ``stopped`` of the query's own state ends it after a terminal event."""
+    """Hands each batch, ordered by id, to ``sink``; a terminal event of the job ends the query with an exception of its own."""
 
     def each(batch: DataFrame, epoch: int) -> None:
         sink(batch.orderBy("id"), epoch)
