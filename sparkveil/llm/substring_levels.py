@@ -27,6 +27,7 @@ from .textops import Chunk, Hasher, chunks, mixed, sliding_argmin, spans_to_mask
 
 _U = np.uint64
 _NO_ID = -(2**63)
+_TOGETHER = 12 << 20  # bytes of text whose runs are compared before the shuffle
 
 
 def _pack(lo: np.ndarray, more: np.ndarray, tag: np.ndarray) -> np.ndarray:
@@ -68,26 +69,34 @@ def _reaches(c: Chunk, width: int) -> tuple[np.ndarray, ...]:
     return of, lo - c.word_offsets[of], hi - lo, grams[at[new]], h.ranges(lo, hi + width)
 
 
+def _settled_here(parts: list[tuple]) -> pa.RecordBatch:
+    """Runs of some texts; those that a smaller document among them settles are marked, and spread, as nothing compares them any more."""
+    doc, run, core, reach = (np.concatenate(x) for x in zip(*parts, strict=True))
+    key = mixed(core.view(_U) ^ (reach.view(_U) * _U(0x9E3779B97F4A7C15)))
+    order = np.lexsort((doc, key))
+    first = np.ones(len(order), bool)
+    first[1:] = key[order][1:] != key[order][:-1]
+    least = doc[order][first][np.cumsum(first) - 1]
+    sure = np.zeros(len(doc), bool)
+    sure[order] = doc[order] > least
+    core = np.where(sure, mixed(doc.view(_U) * _U(31) + run.view(_U)), core.view(_U))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, run, core.view(np.int64), reach.view(np.int64), sure)], ["k", "run", "core", "reach", "sure"])
+
+
 def _first_level(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        parts = []
+        ids, parts, size = batch.column(0).to_numpy(zero_copy_only=False), [], 0
         for c in chunks(text_column(batch, "text")):
             of, lo, more, core, reach = _reaches(c, width)
             tags = np.array([_tag(c.bytes_of(i)) for i in range(c.n)], np.int64)
-            parts.append((ids[c.first + of], _pack(lo, more, tags[of]), core, reach))
-        doc, run, core, reach = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 4
-        if not len(doc):
-            continue
-        key = mixed(core.view(_U) ^ (reach.view(_U) * _U(0x9E3779B97F4A7C15)))
-        order = np.lexsort((doc, key))
-        first = np.ones(len(order), bool)
-        first[1:] = key[order][1:] != key[order][:-1]
-        least = doc[order][first][np.cumsum(first) - 1]
-        sure = np.zeros(len(doc), bool)
-        sure[order] = doc[order] > least
-        core = np.where(sure, mixed(doc.view(_U) * _U(31) + run.view(_U)), core.view(_U))  # spread: these are not compared any more
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, run, core.view(np.int64), reach.view(np.int64), sure)], ["k", "run", "core", "reach", "sure"])
+            if len(of):
+                parts.append((ids[c.first + of], _pack(lo, more, tags[of]), core, reach))
+            size += len(c.data)
+            if size > _TOGETHER and parts:
+                yield _settled_here(parts)
+                parts, size = [], 0
+        if parts:
+            yield _settled_here(parts)
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
