@@ -152,11 +152,22 @@ def _second_index(lines: DataFrame, tau: int, parts: int = 8) -> DataFrame:
     return lines.select("h1", "line", *starts, *ends).select("h1", F.inline(F.array(*keys)))
 
 
-def _met(keys: DataFrame) -> DataFrame:
-    """Pairs a < b of lines of which one probes the other."""
-    index, probe = keys.where("kind = 0").select("key", F.col("h1").alias("a")), keys.where("kind = 1").select("key", F.col("h1").alias("b"))
-    pairs = probe.join(index, "key").where("a <> b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+#: An edit changes at most two of these letters' counts by one each.
+_COUNTED = "etaoinsrhldu"
+
+
+def _counts(line: Column) -> list[Column]:
+    return [(F.length(line) - F.length(F.replace(line, F.lit(x), F.lit("")))).alias(f"c{i}") for i, x in enumerate(_COUNTED)]
+
+
+def _met(keys: DataFrame, tau: int) -> DataFrame:
+    """Pairs a < b of lines of which one probes the other, and whose lengths and letters are not too far apart."""
+    counts = [f"c{i}" for i in range(len(_COUNTED))]
+    index = keys.where("kind = 0").select("key", F.col("h1").alias("a"), F.col("length").alias("la"), *(F.col(c).alias(f"a{c}") for c in counts))
+    probe = keys.where("kind = 1").select("key", F.col("h1").alias("b"), F.col("length").alias("lb"), *(F.col(c).alias(f"b{c}") for c in counts))
+    apart = sum((F.abs(F.col(f"a{c}") - F.col(f"b{c}")) for c in counts), F.lit(0))
+    on = (index["key"] == probe["key"]) & (F.col("a") != F.col("b")) & (F.abs(F.col("la") - F.col("lb")) <= tau) & (apart <= 2 * tau)
+    return probe.join(index, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_links(distinct: DataFrame, tau: int, near_chars: int, crowded: int) -> DataFrame:
@@ -165,15 +176,17 @@ def near_links(distinct: DataFrame, tau: int, near_chars: int, crowded: int) ->
     w = Window.partitionBy("key")
     keys = _first_index(long, tau).select("*", F.sum(1 - F.col("kind")).over(w).alias("indexed"), F.min("h1").over(w).alias("lo"), F.max("h1").over(w).alias("hi"))
     keys = stored(keys.where("indexed > 0 AND lo <> hi").select("h1", "key", "kind", "indexed"), "segments")
-    pairs = _met(keys.where(F.col("indexed") <= crowded))
+    # lines that share no segment with another are done; the others' texts are fetched once
+    texts = stored(long.join(keys.select("h1").distinct(), "h1", "left_semi").select("h1", "line", F.length("line").alias("length"), *_counts(F.col("line"))), "candidates")
+    facts = texts.drop("line")
+    pairs = _met(keys.where(F.col("indexed") <= crowded).join(facts, "h1"), tau)
     hot = keys.where(F.col("indexed") > crowded).select("h1").distinct()
     if hot.take(1):
-        pairs = pairs.union(_met(_second_index(stored(long.join(hot, "h1"), "crowded"), tau))).distinct()
-    pairs = stored(pairs, "pairs")
-    needed = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()
-    texts = stored(long.join(needed, "h1", "left_semi").select("h1", "line"), "candidates")
-    both = pairs.join(texts.select(F.col("h1").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h1").alias("b"), F.col("line").alias("y")), "b")
-    return within(both.repartition(shuffle_width(pairs.sparkSession), "a", "b"), tau).select("a", "b")
+        second = _second_index(stored(texts.select("h1", "line").join(hot, "h1"), "crowded"), tau)
+        pairs = pairs.union(_met(second.join(facts, "h1"), tau)).distinct()
+    lines = texts.select("h1", "line")
+    both = pairs.join(lines.select(F.col("h1").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("h1").alias("b"), F.col("line").alias("y")), "b")
+    return within(both.repartition(shuffle_width(distinct.sparkSession), "a", "b"), tau).select("a", "b")
 
 
 def line_classes(docs: DataFrame, tau: int = 2, exact_chars: int = 16, near_chars: int = 32, crowded: int = 64) -> DataFrame:
@@ -199,14 +212,16 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     gone = line_classes(docs, **options).where("exact OR near").select("k", F.shiftright("pos", 32).alias("tag"), F.col("pos").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("no"))
     gone = gone.groupBy("k", "tag").agg(F.collect_list("no").alias("_gone"))
     names = docs.columns
-    rows = docs.select(*names, _key().alias("_k"), _tag().alias("_tag"), F.split("text", "\n").alias("_lines"))
-    rows = rows.join(gone, (rows["_k"] == gone["k"]) & (rows["_tag"] == gone["tag"]), "left")
+    whole = F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")  # out of the way of the names below
+    rows = docs.select(whole, "text", _key().alias("k"), _tag().alias("tag"), F.split("text", "\n").alias("_lines"))
+    rows = rows.join(gone, ["k", "tag"], "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n"))
     rows = rows.withColumn("text", text)
+    after = {c: F.col("row")[c] for c in names} | {"text": F.col("text")}
     if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return rows.select(*names)
+        after["n_chars"] = F.when(F.col("_gone").isNull(), F.col("row")["n_chars"]).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*(x.alias(c) for c, x in after.items()))
 
 
 def op6_line_edit_join(spark, sf_dir: str) -> DataFrame:
