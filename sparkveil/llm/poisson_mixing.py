@@ -52,7 +52,10 @@ def rates(docs: DataFrame, tempering: float = 0.5, targets: DataFrame | None = N
 
 
 def replicate(docs: DataFrame, tempering: float = 0.5, seed: int = 17, targets: DataFrame | None = None) -> DataFrame:
-    """Columns of ``docs``, then _rate, _copies, _copy (from 1) and _place (the order's key): a row per copy, in no order yet."""
+    """Columns of ``docs``, then _rate, _copies, _copy (from 1) and _place (the order's key): a row per copy, in no order yet.
+
+    ``docs`` has no columns of these names.
+    """
     # the rates are a written table, so that its size is known before the plan is made: small, and the documents stay where they are
     table = stored(rates(docs, tempering, targets), "rates").select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("_rate") / 500)).cast("int")
@@ -66,7 +69,9 @@ def replicate(docs: DataFrame, tempering: float = 0.5, seed: int = 17, targets:
 
 def mix(docs: DataFrame, tempering: float = 0.5, seed: int = 17, targets: DataFrame | None = None) -> DataFrame:
     """Copies in a global random order, with the columns of ``docs``."""
-    return replicate(docs, tempering, seed, targets).orderBy("_place", "doc_id", "_copy").select(*docs.columns)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # out of the way of the columns that are added
+    rows = replicate(docs.select(whole, "doc_id", "text", "source"), tempering, seed, targets)
+    return rows.orderBy("_place", "doc_id", "_copy").select("row.*")
 
 
 def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,8 +141,8 @@ def keep_one_each(docs: DataFrame, shingle: int = 5, radius: int = 2, seed: int
     rows = stored(with_fingerprint(docs.select("doc_id", "text", *key), ["doc_id", "_k", "_h"], shingle, seed), "prints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "_k", "_h")
     firsts = rows.join(_classes(rows, radius), "_print").groupBy("component").agg(F.min(order).alias("first")).select("first._k", "first._h")
-    names = docs.columns
-    return docs.select("*", *key).join(firsts, ["_k", "_h"], "left_semi").dropDuplicates(["_k", "_h"]).select(*names)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # out of the way of the names below
+    return docs.select(whole, *key).join(firsts, ["_k", "_h"], "left_semi").dropDuplicates(["_k", "_h"]).select("row.*")
 
 
 def op3_simhash_trees(spark, sf_dir: str) -> DataFrame:
