@@ -182,8 +182,9 @@ def near_links(distinct: DataFrame, tau: int, near_chars: int, crowded: int) ->
     pairs = _met(keys.where(F.col("indexed") <= crowded).join(facts, "h1"), tau)
     hot = keys.where(F.col("indexed") > crowded).select("h1").distinct()
     if hot.take(1):
-        second = _second_index(stored(texts.select("h1", "line").join(hot, "h1"), "crowded"), tau)
+        second = stored(_second_index(texts.select("h1", "line").join(hot, "h1"), tau), "second")  # its two sides share one pass
         pairs = pairs.union(_met(second.join(facts, "h1"), tau)).distinct()
+    pairs = stored(pairs, "pairs")
     lines = texts.select("h1", "line")
     both = pairs.join(lines.select(F.col("h1").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("h1").alias("b"), F.col("line").alias("y")), "b")
     return within(both.repartition(shuffle_width(distinct.sparkSession), "a", "b"), tau).select("a", "b")
