@@ -53,9 +53,10 @@ def scan(sources: DataFrame, patterns: Iterable[Pattern], min_score: float = 0.0
     """One row per hit: key, entity_type, start, end, score, recognizer, matched_text. The text is read once for all patterns."""
     patterns = [p for p in patterns if p.score >= min_score]
     hits = F.flatten(F.array(*(matches(F.col("text"), p, i) for i, p in enumerate(patterns)))) if patterns else F.from_json(F.lit("[]"), _SPAN)
-    rows = sources.where(F.col("text") != "").select(*KEY, "text", hits.alias("hits")).where(F.size("hits") > 0)
+    # exploded from arrays of one: the optimiser would put the expression in the place of every use of it, and scan again for each
+    rows = sources.where(F.col("text") != "").select(*KEY, "text", F.explode(F.array(hits)).alias("hits")).where(F.size("hits") > 0)
     if resolve:
-        rows = rows.withColumn("hits", resolve_overlaps(F.col("hits"), sorted({p.entity for p in patterns})))
+        rows = rows.select(*KEY, "text", F.explode(F.array(resolve_overlaps(F.col("hits"), sorted({p.entity for p in patterns})))).alias("hits"))
     rows = rows.select(*KEY, "text", F.inline("hits"))
     return rows.select(*KEY, "entity_type", "start", "end", "score", "recognizer", F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")).alias("matched_text"))
 
