@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from . import shingle_sets
 from .graph import components
 from .storage import stored
 from .textops import chunks, text_column
@@ -132,15 +133,20 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 3, radius: int = 2, s
     return rows.join(_classes(rows, radius), "_print").select("doc_id", "_print", "component_id")
 
 
-def keep_one_each(docs: DataFrame, shingle: int = 5, radius: int = 2, seed: int = 42) -> DataFrame:
+def keep_one_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """One row of ``docs`` for each class of near-duplicates: the one with the smallest id, then the smallest hash of its text.
 
+    Classes are the components of pairs whose shingle sets have at least that Jaccard similarity (``shingle_sets``); fingerprints,
+    which tell such pairs from others only if they are nearly equal, have no part in it.
     A row with a null id stays only if its class has no row with an id. Rows that are equal in id and text count as one.
     """
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_k"), F.xxhash64("text").alias("_h")]
-    rows = stored(with_fingerprint(docs.select("doc_id", "text", *key), ["doc_id", "_k", "_h"], shingle, seed), "prints")
+    named = docs.select("doc_id", "text", *key)
+    rows = stored(shingle_sets.with_bands(named, ["doc_id", "_k", "_h"], shingle, seed), "prints")
+    classes = shingle_sets.near_copy_classes(named, rows, ["_k", "_h"], shingle, similarity)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "_k", "_h")
-    firsts = rows.join(_classes(rows, radius), "_print").groupBy("component").agg(F.min(order).alias("first")).select("first._k", "first._h")
+    firsts = rows.groupBy("_print").agg(F.min(order).alias("first")).join(classes, "_print", "left")
+    firsts = firsts.groupBy(F.coalesce("component", "_print").alias("component")).agg(F.min("first").alias("first")).select("first._k", "first._h")
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # out of the way of the names below
     return docs.select(whole, *key).join(firsts, ["_k", "_h"], "left_semi").dropDuplicates(["_k", "_h"]).select("row.*")
 

@@ -123,6 +123,33 @@ def test_one_of_each_class_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5] and kept.columns == df.columns
 
 
+def test_near_copies_at_all_similarities(spark):
+    rng = random.Random(8)
+    rows, groups = [], 60
+    for g in range(groups):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(150, 260))]
+        rows.append((2 * g, " ".join(base)))
+        for p in rng.sample(range(len(base)), rng.randint(1, 5)):
+            base[p] = "changed"
+        rows.append((2 * g + 1, " \n".join(base).title()))
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.lower().split() for _, t in rows)]
+    alike = [len(sets[2 * g] & sets[2 * g + 1]) / len(sets[2 * g] | sets[2 * g + 1]) for g in range(groups)]
+    want = {2 * g for g in range(groups)} | {2 * g + 1 for g in range(groups) if alike[g] < 0.8}
+    assert sum(0.8 <= x < 0.97 for x in alike) > 30 and len(want) > groups
+    kept = {r.doc_id for r in simhash_trees.keep_one_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert want <= kept and len(kept - want) <= 1
+
+
+def test_chain_of_near_copies_is_one_class(spark):
+    words = [f"w{i}" for i in range(200)]
+    chain = []
+    for i in range(24):  # neighbours are similar, the ends have next to nothing in common
+        words[i * 8 : i * 8 + 4] = [f"new{i}x{j}" for j in range(4)]
+        chain.append((i, " ".join(words), "x"))
+    kept = simhash_trees.keep_one_each(spark.createDataFrame(chain, TEXT))
+    assert [r.doc_id for r in kept.collect()] == [0]
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(0, 40)] + [(100, 101), (102, 101)], "a long, b long")
     got = {r.node: r.component for r in graph.components(links).collect()}
