@@ -11,8 +11,8 @@ Queries are handled in blocks of about ``block`` (bounded, sent to all tasks); e
 the k best of each query only.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, as query or candidate;
-vectors of another dimension than the query's are no candidates; rows with the query's own id are not candidates; equal
-scores go to the smaller id; fewer candidates than k give all; no query gives no row.
+vectors of another dimension than the query's are no candidates; rows with the query's own id are not candidates; rows repeated
+with id and vector count as one; equal scores go to the smaller id; fewer candidates than k give all; no query gives no row.
 """
 
 from __future__ import annotations
@@ -57,8 +57,11 @@ class _Best:
 
     def offer(self, ids: np.ndarray, scores: np.ndarray) -> None:
         ids, scores = np.concatenate([self.ids, ids]), np.concatenate([self.scores, scores])
-        order = np.lexsort((ids, -scores))[: self.k]
-        self.ids, self.scores = ids[order], scores[order]
+        order = np.lexsort((ids, -scores))
+        ids, scores = ids[order], scores[order]
+        new = np.ones(len(ids), bool)  # repeated rows count as one
+        new[1:] = (ids[1:] != ids[:-1]) | (scores[1:] != scores[:-1])
+        self.ids, self.scores = ids[new][: self.k], scores[new][: self.k]
 
     def distance(self) -> float:
         return float(np.sqrt(max(0.0, 2 - 2 * self.scores[-1]))) if len(self.ids) == self.k else np.inf

@@ -210,6 +210,14 @@ def test_neighbours(spark):
     assert hits >= 0.9 * 5 * len(got)
 
 
+def test_repeated_rows_leave_all_neighbours(spark):
+    x = np.random.default_rng(6).normal(size=(40, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    find = lambda r: [tuple(y) for y in collision_search.nearest(spark.createDataFrame(r, "vec_id long, embedding array<double>").coalesce(1), F.col("vec_id") == 0).orderBy("rank").collect()]
+    once = find(rows)
+    assert len(once) == 5 and find(rows + rows) == once
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
