@@ -110,3 +110,36 @@ def test_spelling_probabilities_sum_to_one():
             p *= q if bit[0] else 1 - q
         total += p
     assert total == pytest.approx(1, abs=1e-3)
+
+
+def test_scores_depend_on_word_order(spark):
+    """Shuffled words cost more than the sentences that training holds, though the bag of words is the same."""
+    rng = np.random.default_rng(3)
+    vocabulary = [f"{a}{b}" for a in ("ka", "lo", "mi", "ter", "sun") for b in ("ra", "ven", "dos", "pil")]
+    after = {w: [str(x) for x in rng.choice(vocabulary, 2)] for w in vocabulary}
+
+    def fluent():
+        out = [str(rng.choice(vocabulary))]
+        for _ in range(59):
+            out.append(after[out[-1]][int(rng.integers(2))])
+        return out
+
+    held = [i for i in range(2000, 2400) if context_mixing.held_out(i)][:20]
+    texts = [(i, fluent()) for i in range(400)]
+    pairs = [(i, fluent()) for i in held[:10]]
+    mixed = [(j, [str(x) for x in rng.permutation(t)]) for j, (_, t) in zip(held[10:], pairs, strict=True)]
+    rows = [(i, " ".join(t)) for i, t in texts + pairs + mixed]
+    got = {r.doc_id: r for r in context_mixing.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for (i, _), (j, _) in zip(pairs, mixed, strict=True):
+        assert got[i].base_score == pytest.approx(got[j].base_score) and got[i].score > got[j].score + 10
+
+
+def test_long_texts_in_parts_give_the_same_bits(monkeypatch):
+    text = b" ".join(b"w%d" % (i * i % 97) for i in range(400))
+    rng = np.random.default_rng(0)
+    table = tuple(rng.gamma(0.3, 5, context_mixing._BASE[-1]).astype(np.float32) for _ in range(2))
+    mixer = context_mixing.Mixer(table, np.full((context_mixing.GATES, context_mixing.ORDERS), 0.3, np.float32))
+    whole = mixer.costs([text], [0])[0]
+    monkeypatch.setattr(context_mixing, "_PIECE", 300)
+    parts = list(context_mixing._parts(text))
+    assert len(parts) > 3 and sum(mixer.costs(*map(list, zip(*parts, strict=True)))) == pytest.approx(whole)
