@@ -1,46 +1,57 @@
 """Line dedup with a segment-partition edit join, in DataFrame operations alone.
 
-Distinct lines are found first, by hash. A line of l characters is cut into ``tau`` + 1 even segments, which are the index: at most
-``tau`` edits leave one segment whole. A line probes with the substrings that such a segment can be, for each length l from its
-own down to ``tau`` less, at the places that the edits before and after it allow. Candidates are verified by a
-banded bit-parallel automaton: its row d holds, for the 2 * ``tau`` + 1 diagonals, which prefixes are d edits apart.
-
-A segment that more than ``crowded`` lines share is not joined. Its lines meet in a second index: of 8 segments, ``tau`` may hold
-edits, so one key is made for each choice of those from all the text between them.
-
-Near lines form classes (connected components). Of each class of near-equal or equal lines, the first occurrence (by document,
-then line) stays, all others go. Lines under ``exact_chars`` always stay; those under ``near_chars`` go only if equal.
-
-Defined cases: null text has no line and is returned as it is; null ids sort first and are told apart by their texts; repeated rows
-are judged each for itself, by id and text alike; a text whose lines all go is empty; an empty table gives none; other columns pass.
+Two lines are near if at most ``tau`` edits (1 or 2) part them, and no more than one for each ``per_edit`` characters of the shorter.
+
+Distinct lines are found first. The index cuts a line of l characters into ``tau`` + 1 segments, whose size follows from l without
+all but its three highest bits, so that lines of like lengths share it (a line just above such a step is indexed at both sides). ``tau``
+edits touch ``tau`` segments at most. For each choice of those, a key is made of all text between them: from the line's start, from
+its end, and, between two chosen segments, at its place or one character to either side (if both edits fall into one segment, the
+choice of that one and its neighbour finds the pair without a shift). Candidates are verified by a banded bit-parallel
+automaton: its row d holds, for the 2 * ``tau`` + 1 diagonals, which prefixes are d edits apart.
+
+A key that at most ``crowded`` lines share has its lines compared, index against probes. In a crowded one all lines are compared with
+one of them, the pivot, and links make components. If such a key still holds several components, its lines meet in a finer index,
+of ``FINE`` segments, again by pairs or pivots; only lines of different components are then left to compare. Keys are counted with
+partial aggregation and joined, never gathered, so a segment that very many lines share costs no single task its lines.
+
+Near lines form classes (connected components). Of each class of near or equal lines, the first occurrence (by document, then
+text and line number; null ids last) stays, all others go. Lines without a word always stay.
+
+Defined cases: null text has no line and is returned as it is; rows equal in id and text are one document and get one verdict; a text
+whose lines all go is empty; very long lines are like any other; equal lines are told by 128 bits of hash; ids are integers; an
+empty table gives none; other columns pass, whatever their names.
 """
 
 from __future__ import annotations
 
-from itertools import combinations, product
+from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import shuffle_width, stored
+from .storage import release, shuffle_width, stored
+
+FINE = 6
+_BLANK = " \t\r\x0b\x0c"
+
 
-_NO_ID = -(2**63)
+def _key() -> list[Column]:
+    """Order and identity of a row: null ids last, id, hash of the text."""
+    return [F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("k"), F.xxhash64("text").alias("h")]
 
 
-def _lines(docs: DataFrame, exact_chars: int) -> DataFrame:
-    """k, pos (24 bits of the text's CRC, then the line's number), line, h1, h2 of the lines that take part."""
-    d = docs.where(F.col("text").isNotNull()).select(_key().alias("k"), _tag().alias("tag"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    d = d.where(F.length("line") >= exact_chars)
-    return d.select("k", (F.shiftleft("tag", 32) + F.col("no")).alias("pos"), "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+KEY = ["none", "k", "h"]
 
 
-def _key() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
+def _lines(docs: DataFrame) -> DataFrame:
+    """The key, no (from 0) and line, for each line with a word."""
+    d = docs.where(F.col("text").isNotNull()).select(*_key(), F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    return d.where(F.btrim("line", F.lit(_BLANK)) != "")
 
 
-def _tag() -> Column:
-    return F.crc32(F.col("text").cast("binary")).bitwiseAND(F.lit(0xFFFFFF))
+def _hashes() -> list[Column]:
+    return [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
 
 
 #: Characters after the common start on which most pairs already fail.
@@ -103,132 +114,153 @@ def _automaton(x: Column, y: Column, n: Column, tau: int) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(1), n), equal), start, step, lambda acc: acc[f"r{tau}"])
 
 
-def _segment(i: int, length: Column, parts: int) -> tuple[Column, Column]:
-    """Start (from 0) and size of segment i of an even partition; the last segments are the longer ones."""
-    size, longer = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    extra = F.greatest(F.lit(0), longer - (parts - i))
-    return (size * i + extra).cast("int"), (size + (F.lit(i) >= parts - longer).cast("int")).cast("int")
+def _step(length: Column) -> Column:
+    """``length`` without all but its three highest bits."""
+    low = F.greatest(F.length(F.bin(length)) - 3, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", length, low), low)
 
 
-def _first_index(lines: DataFrame, tau: int) -> DataFrame:
-    """h1, key and kind (0: index, 1: probe)."""
-    line, length, parts = F.col("line"), F.col("length"), tau + 1
+def _indexed(lines: DataFrame, tau: int, parts: int) -> DataFrame:
+    """id, key and probe (0: index, 1: shifted) for lines (id, line)."""
+    line, size = F.col("line"), F.col("size")
+    length = F.length(line).cast("int")
+    steps = F.array_distinct(F.array(_step(length), _step(length - tau)))
+    sized = lines.select("id", "line", F.explode(steps).alias("step")).select("*", F.floor(F.col("step") / parts).cast("int").alias("size"))
     keys = []
-    for i in range(parts):
-        at, size = _segment(i, length, parts)
-        keys.append(F.struct(F.xxhash64(F.substring(line, at + 1, size), F.lit(i), length).alias("key"), F.lit(0).alias("kind")))
-        for less in range(tau + 1):
-            other = length - less
-            at, size = _segment(i, other, parts)
-            for shift in range(max(-i, less - (tau - i)), min(i, less + tau - i) + 1):
-                keys.append(F.struct(F.xxhash64(F.substring(line, at + (shift + 1), size), F.lit(i), other).alias("key"), F.lit(1).alias("kind")))
-    return lines.select("h1", F.length("line").alias("length"), "line").select("h1", F.inline(F.array(*keys)))
-
-
-def _second_index(lines: DataFrame, tau: int, parts: int = 8) -> DataFrame:
-    """Like _first_index; a key is the text outside ``tau`` segments that may hold edits."""
-    line, keys = F.col("line"), []
-    length = F.length("line")
-    # where each segment starts, for the line's own length and the shorter ones, as columns: the keys below share them
-    starts = [_segment(g, length - less, parts)[0].alias(f"s{less}_{g}") for less in range(tau + 1) for g in range(parts)]
-    ends = [(length - less).alias(f"s{less}_{parts}") for less in range(tau + 1)]
-
-    def key(dirty: tuple[int, ...], less: int, shifts: tuple[int, ...]) -> Column:
-        pieces, at, shift = [], F.lit(0), 0
-        for g, s in zip((*dirty, parts), (*shifts, 0), strict=True):
-            begin = F.col(f"s{less}_{g}")
-            pieces.append(F.substring(line, at + (shift + 1), begin - at))
-            if g < parts:
-                at, shift = F.col(f"s{less}_{g + 1}"), s
-        return F.xxhash64(*pieces, F.lit(",".join(map(str, dirty))), F.col(f"s{less}_{parts}"))
-
-    for dirty in combinations(range(parts), tau):
-        keys.append(F.struct(key(dirty, 0, (0,) * tau).alias("key"), F.lit(0).alias("kind")))
-        for less in range(tau + 1):
-            for shifts in product(range(-tau, tau + 1), repeat=tau - 1):
-                path = (0, *shifts, less)
-                if sum(abs(b - a) for a, b in zip(path, path[1:], strict=False)) <= tau:
-                    keys.append(F.struct(key(dirty, less, (*shifts, less)).alias("key"), F.lit(1).alias("kind")))
-    return lines.select("h1", "line", *starts, *ends).select("h1", F.inline(F.array(*keys)))
-
-
-#: An edit changes at most two of these letters' counts by one each.
-_COUNTED = "etaoinsrhldu"
-
-
-def _counts(line: Column) -> list[Column]:
-    return [(F.length(line) - F.length(F.replace(line, F.lit(x), F.lit("")))).alias(f"c{i}") for i, x in enumerate(_COUNTED)]
-
-
-def _met(keys: DataFrame, tau: int) -> DataFrame:
-    """Pairs a < b of lines of which one probes the other, and whose lengths and letters are not too far apart."""
-    counts = [f"c{i}" for i in range(len(_COUNTED))]
-    index = keys.where("kind = 0").select("key", F.col("h1").alias("a"), F.col("length").alias("la"), *(F.col(c).alias(f"a{c}") for c in counts))
-    probe = keys.where("kind = 1").select("key", F.col("h1").alias("b"), F.col("length").alias("lb"), *(F.col(c).alias(f"b{c}") for c in counts))
-    apart = sum((F.abs(F.col(f"a{c}") - F.col(f"b{c}")) for c in counts), F.lit(0))
-    on = (index["key"] == probe["key"]) & (F.col("a") != F.col("b")) & (F.abs(F.col("la") - F.col("lb")) <= tau) & (apart <= 2 * tau)
-    return probe.join(index, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def near_links(distinct: DataFrame, tau: int, near_chars: int, crowded: int) -> DataFrame:
-    """(a, b): hashes of distinct lines at most ``tau`` edits apart. ``distinct`` has h1 and line."""
-    long = distinct.where(F.length("line") >= near_chars)
-    w = Window.partitionBy("key")
-    keys = _first_index(long, tau).select("*", F.sum(1 - F.col("kind")).over(w).alias("indexed"), F.min("h1").over(w).alias("lo"), F.max("h1").over(w).alias("hi"))
-    keys = stored(keys.where("indexed > 0 AND lo <> hi").select("h1", "key", "kind", "indexed"), "segments")
-    # lines that share no segment with another are done; the others' texts are fetched once
-    texts = stored(long.join(keys.select("h1").distinct(), "h1", "left_semi").select("h1", "line", F.length("line").alias("length"), *_counts(F.col("line"))), "candidates")
-    facts = texts.drop("line")
-    pairs = _met(keys.where(F.col("indexed") <= crowded).join(facts, "h1"), tau)
-    hot = keys.where(F.col("indexed") > crowded).select("h1").distinct()
-    if hot.take(1):
-        second = stored(_second_index(texts.select("h1", "line").join(hot, "h1"), tau), "second")  # its two sides share one pass
-        pairs = pairs.union(_met(second.join(facts, "h1"), tau)).distinct()
-    pairs = stored(pairs, "pairs")
-    lines = texts.select("h1", "line")
-    both = pairs.join(lines.select(F.col("h1").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("h1").alias("b"), F.col("line").alias("y")), "b")
-    return within(both.repartition(shuffle_width(distinct.sparkSession), "a", "b"), tau).select("a", "b")
-
-
-def line_classes(docs: DataFrame, tau: int = 2, exact_chars: int = 16, near_chars: int = 32, crowded: int = 64) -> DataFrame:
-    """k, pos, links, exact, near: the occurrences of lines that have an equal or near line; which of them go, and why."""
-    lines = _lines(docs, exact_chars)
-    distinct = lines.groupBy("h1").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "pos")).alias("first"), F.min("h2").alias("lo"), F.max("h2").alias("hi"), F.min("line").alias("line"))
-    distinct = distinct.where("lo = hi")  # two lines with one first hash take no part
-    links = stored(near_links(distinct.select("h1", "line"), tau, near_chars, crowded), "near")
-    degree = links.select(F.col("a").alias("h1")).union(links.select("b")).groupBy("h1").agg(F.count(F.lit(1)).alias("links"))
-    classes = components(links).withColumnRenamed("node", "h1").join(degree, "h1")
-    some = distinct.select("h1", "n", "first").join(classes, "h1", "left").where("n > 1 OR links > 0")
-    some = stored(some.select("h1", "first", F.coalesce("component", "h1").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), "classes")
-    root = some.groupBy("component").agg(F.min("first").alias("root"))
-    known = stored(some.join(root, "component").select("h1", "first", "root", "links"), "roots")
-    own = F.struct("k", "pos")
-    rows = _lines(docs, exact_chars).select("k", "pos", "h1").join(known, "h1")
-    gone = own != F.col("root")
-    return rows.select("k", "pos", "links", (gone & ((own != F.col("first")) | (F.col("first") == F.col("root")))).alias("exact"), (gone & (own == F.col("first"))).alias("near"))
+    for chosen in combinations(range(parts), tau):
+        first, last = chosen[0], chosen[-1]
+        before, after = F.substring(line, F.lit(1), size * first), F.right(line, size * (parts - 1 - last))
+        between = last - first - 1 if tau > 1 else 0
+        for shift in (0, 1, -1) if between > 0 else (0,):
+            middle = F.substring(line, size * (first + 1) + (1 + shift), size * between) if between > 0 else F.lit("")
+            keys.append(F.struct(F.xxhash64(before, middle, after, F.lit(first * parts + last), "step").alias("key"), F.lit(abs(shift)).alias("probe")))
+    return sized.select("id", F.inline(F.array(*keys)))
+
+
+def _shared(keys: DataFrame, name: str) -> DataFrame:
+    """The rows of ``keys`` under keys that different lines share, with the number of rows, ``n``."""
+    tally = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("probe").alias("probe"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    tally = tally.where("probe = 0 AND lo <> hi").select("key", "n")
+    return stored(keys.join(tally, "key"), name)
+
+
+def _pairs(index: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs a < b of different lines and components under a key. Both have key, id and component."""
+    a = index.select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
+    b = others.select("key", F.col("id").alias("y"), F.col("component").alias("cy"))
+    met = a.join(b, (a["key"] == b["key"]) & (F.col("cx") != F.col("cy")))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _pivots(rows: DataFrame, turn: int) -> DataFrame:
+    """One index row of each key."""
+    some = rows.where("probe = 0").groupBy("key").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn))).alias("p"))
+    return some.select("key", "p.*")
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, tau: int, per_edit: int) -> DataFrame:
+    x = pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
+    both = x.join(lines.select(F.col("id").alias("b"), F.col("line").alias("y")), "b").where(F.abs(F.length("x") - F.length("y")) <= tau)
+    both = both.repartition(shuffle_width(lines.sparkSession), "a", "b")
+    least, found = F.least(F.length("x"), F.length("y")), None
+    for edits in range(1, tau + 1):
+        fits = least >= per_edit * edits if edits == tau else (least >= per_edit * edits) & (least < per_edit * (edits + 1))
+        near = within(both.where(fits), edits).select("a", "b")
+        found = near if found is None else found.union(near)
+    return stored(found, "near")
+
+
+def _with_component(rows: DataFrame, classes: DataFrame | None) -> DataFrame:
+    rows = rows.select("key", "id", "probe", "n")
+    if classes is None:
+        return rows.withColumn("component", F.col("id"))
+    known = rows.join(classes.withColumnRenamed("node", "id"), "id", "left")
+    return known.withColumn("component", F.coalesce("component", "id"))
+
+
+def _undecided(rows: DataFrame) -> DataFrame:
+    """Those under keys that hold several components."""
+    several = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    return stored(rows.join(several, "key", "left_semi"), "undecided")
+
+
+def near_classes(lines: DataFrame, tau: int, per_edit: int, crowded: int) -> DataFrame:
+    """node, component of the lines (id, line) that links reach; component is a class's smallest id."""
+    able = lines.where(F.length("line") >= max(8, per_edit)).select("id", "line")
+    links: DataFrame | None = None
+    classes: DataFrame | None = None
+
+    def link(pairs: DataFrame) -> None:
+        nonlocal links, classes
+        found = _verified(pairs, able, tau, per_edit)
+        links = found if links is None else links.union(found)
+        classes = stored(components(links), "classes")
+
+    rows = _shared(_indexed(able, tau, tau + 1), "segments")
+    release(lines.sparkSession)
+    open_ = _with_component(rows, None)
+    few, many = open_.where(F.col("n") <= crowded), open_.where(F.col("n") > crowded)
+    link(_pairs(few.where("probe = 0"), few).union(_pairs(_pivots(many, 0), many)).distinct())
+    many = _undecided(_with_component(rows.where(F.col("n") > crowded), classes))
+    if not many.take(1):
+        return classes
+    hot = stored(able.join(many.select("id").distinct(), "id", "left_semi"), "hot")
+    rows = _shared(_indexed(hot, tau, FINE), "segments")
+    for turn in range(1, 3):
+        open_ = _undecided(_with_component(rows, classes))
+        few, many = open_.where(F.col("n") <= crowded), open_.where(F.col("n") > crowded)
+        if turn == 1:
+            link(_pairs(few.where("probe = 0"), few).union(_pairs(_pivots(many, turn), many)).distinct())
+        elif many.take(1):
+            link(_pairs(_pivots(many, turn), many))
+    rest = _undecided(_with_component(rows.where(F.col("n") > crowded), classes))
+    if rest.take(1):
+        link(_pairs(rest.where("probe = 0"), rest))
+    return classes
+
+
+def line_classes(docs: DataFrame, tau: int = 2, per_edit: int = 10, crowded: int = 32) -> DataFrame:
+    """The occurrences of lines that have an equal or near one: the row's key, no, root (the key and no of the one that stays), and whether it goes as ``equal`` or ``near``."""
+    distinct = _lines(docs).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+    distinct = stored(distinct.select(F.monotonically_increasing_id().alias("id"), *_hashes(), "n", "line"), "lines")
+    release(docs.sparkSession)
+    classes = near_classes(distinct, tau, per_edit, crowded)
+    known = distinct.select("id", "h1", "h2", "n").join(classes.withColumnRenamed("node", "id"), "id", "left").where("n > 1 OR component IS NOT NULL")
+    known = known.select("id", "h1", "h2", F.coalesce("component", "id").alias("component"))
+    rows = _lines(docs).select(F.struct(*KEY, "no").alias("own"), *_hashes())
+    rows = stored(rows.join(known, ["h1", "h2"]).select("own", "id", "component"), "occurrences")
+    first = rows.groupBy("id", "component").agg(F.min("own").alias("first"))
+    root = first.groupBy("component").agg(F.min("first").alias("root"))
+    judged = rows.join(stored(first.join(root, "component").select("id", "first", "root"), "firsts"), "id")
+    own, gone = F.col("own"), F.col("own") != F.col("root")
+    near = gone & (own == F.col("first"))
+    return judged.select("own.*", "root", near.alias("near"), (gone & ~near).alias("equal"))
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the lines that go taken out of ``text``; ``n_chars``, where there is one, follows."""
-    gone = line_classes(docs, **options).where("exact OR near").select("k", F.shiftright("pos", 32).alias("tag"), F.col("pos").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("no"))
-    gone = gone.groupBy("k", "tag").agg(F.collect_list("no").alias("_gone"))
+    gone = line_classes(docs, **options).where("equal OR near").groupBy(*KEY).agg(F.collect_set("no").alias("gone"))
+    gone = gone.withColumnRenamed("none", "_none")
+    release(docs.sparkSession)
     names = docs.columns
     whole = F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")  # out of the way of the names below
-    rows = docs.select(whole, "text", _key().alias("k"), _tag().alias("tag"), F.split("text", "\n").alias("_lines"))
-    rows = rows.join(gone, ["k", "tag"], "left")
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    rows = rows.withColumn("text", text)
+    rows = docs.select(whole, "text", *_key()).withColumnRenamed("none", "_none").join(gone, ["_none", "k", "h"], "left")
+    rows = rows.select("row", "text", "gone", F.split("text", "\n").alias("lines"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n"))
+    rows = rows.select("row", "gone", text.alias("text"))
     after = {c: F.col("row")[c] for c in names} | {"text": F.col("text")}
     if "n_chars" in names:
-        after["n_chars"] = F.when(F.col("_gone").isNull(), F.col("row")["n_chars"]).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+        after["n_chars"] = F.when(F.col("gone").isNull(), F.col("row")["n_chars"]).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*(x.alias(c) for c, x in after.items()))
 
 
 def op6_line_edit_join(spark, sf_dir: str) -> DataFrame:
+    """A row per document: its lines, those that go as equal and as near, and the documents that hold the occurrences that stay in their place."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = line_classes(docs).groupBy("k", F.shiftright("pos", 32).alias("tag"))
-    found = found.agg(F.count_if("exact").alias("n_equal"), F.count_if("near").alias("n_near"), F.sum("links").alias("n_links"))
-    rows = docs.select("doc_id", _key().alias("k"), _tag().alias("tag"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    out = rows.join(found, ["k", "tag"], "left")
-    return out.select("doc_id", "n_lines", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_equal", "n_near", "n_links")))
+    found = line_classes(docs).where("equal OR near").groupBy(*KEY)
+    found = found.agg(F.count_if("equal").alias("n_equal"), F.count_if("near").alias("n_near"), F.sort_array(F.collect_set(F.when(~F.col("root")["none"], F.col("root")["k"]))).alias("firsts"))
+    rows = docs.select("doc_id", *_key(), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    out = rows.join(found, KEY, "left")
+    none = F.array().cast("array<bigint>")
+    return out.select("doc_id", "n_lines", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_equal", "n_near")), F.coalesce("firsts", none).alias("firsts"))

@@ -1,11 +1,12 @@
 """Intermediate tables in the folder that the whole cluster shares.
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir``, so a lost executor costs a re-read, never a recomputation
-of everything before. Only where the session names no such folder (local tests) is one made, on this machine.
+of everything before. Only where the session names no such folder and runs on one machine (local tests) is one made there.
 """
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -16,9 +17,11 @@ _local: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; in a session without one, a folder of this machine."""
+    """The cluster's shared folder; in a local session without one, a folder of this machine."""
     found = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY, None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError(f"{_KEY} must name a folder that all executors share")
         found = _local.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="sparkveil-"))
     return found.rstrip("/")
 
@@ -27,7 +30,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once and read back."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/sparkveil-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -42,5 +45,11 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver collect what finished steps left, so that their shuffle files go from the executors' disks."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
