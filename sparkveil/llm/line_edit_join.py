@@ -10,8 +10,9 @@ choice of that one and its neighbour finds the pair without a shift). Candidates
 automaton: its row d holds, for the 2 * ``tau`` + 1 diagonals, which prefixes are d edits apart.
 
 A key that at most ``crowded`` lines share has its lines compared, index against probes. In a crowded one all lines are compared with
-one of them, the pivot, and links make components. If such a key still holds several components, its lines meet in a finer index,
-of ``FINE`` segments, again by pairs or pivots; only lines of different components are then left to compare. Keys are counted with
+one of them, the pivot, and links make components. If such a key still holds several components, its lines meet in a finer index
+(``LEVELS``), again by pairs or pivots. Lines of different components that share a crowded key of the finest index, which is nearly all
+of their text, are compared each with each by length, letter counts and what the key leaves out, before their texts are. Keys are counted with
 partial aggregation and joined, never gathered, so a segment that very many lines share costs no single task its lines.
 
 Near lines form classes (connected components). Of each class of near or equal lines, the first occurrence (by document, then
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 from .graph import components
 from .storage import release, shuffle_width, stored
 
-FINE = 6
+#: Segments of the finer indexes.
+LEVELS = (6, 14)
 _BLANK = " \t\r\x0b\x0c"
 
 
@@ -121,20 +123,29 @@ def _step(length: Column) -> Column:
 
 
 def _indexed(lines: DataFrame, tau: int, parts: int) -> DataFrame:
-    """id, key and probe (0: index, 1: shifted) for lines (id, line)."""
-    line, size = F.col("line"), F.col("size")
-    length = F.length(line).cast("int")
-    steps = F.array_distinct(F.array(_step(length), _step(length - tau)))
-    sized = lines.select("id", "line", F.explode(steps).alias("step")).select("*", F.floor(F.col("step") / parts).cast("int").alias("size"))
-    keys = []
+    """id, key, probe (0: index, 1: shifted), and d1, d2: what the key leaves out (null: one stretch). A line of fewer than ``parts`` characters is cut into single ones.
+
+    A pair whose edits all lie in one segment also meets under the choice of that one and its neighbour; so under two segments
+    that lie apart, only lines that differ in both need to be compared.
+    """
+    choices = []
     for chosen in combinations(range(parts), tau):
         first, last = chosen[0], chosen[-1]
-        before, after = F.substring(line, F.lit(1), size * first), F.right(line, size * (parts - 1 - last))
-        between = last - first - 1 if tau > 1 else 0
-        for shift in (0, 1, -1) if between > 0 else (0,):
-            middle = F.substring(line, size * (first + 1) + (1 + shift), size * between) if between > 0 else F.lit("")
-            keys.append(F.struct(F.xxhash64(before, middle, after, F.lit(first * parts + last), "step").alias("key"), F.lit(abs(shift)).alias("probe")))
-    return sized.select("id", F.inline(F.array(*keys)))
+        for shift in (0, 1, -1) if last - first > 1 else (0,):
+            choices.append(F.struct(F.lit(first).alias("first"), F.lit(last).alias("last"), F.lit(shift).alias("shift")))
+    line, size, first, last = F.col("line"), F.col("size"), F.col("c")["first"], F.col("c")["last"]
+    length = F.length(line).cast("int")
+    steps = F.array_distinct(F.array(_step(length), _step(length - tau)))
+    sized = lines.select("id", "line", F.explode(steps).alias("step")).select("*", F.least(F.lit(parts), "step").alias("parts"))
+    sized = sized.select("*", F.floor(F.col("step") / F.col("parts")).cast("int").alias("size"), F.explode(F.array(*choices)).alias("c")).where(last < F.col("parts"))
+    middle = F.substring(line, size * (first + 1) + 1 + F.col("c")["shift"], size * F.greatest(last - first - 1, F.lit(0)))
+    key = F.xxhash64(F.substring(line, F.lit(1), size * first), middle, F.right(line, size * (F.col("parts") - 1 - last)), first * parts + last, "step")
+    from_, to = size * first, size * (first + 1) + F.col("c")["shift"]
+    from_2 = size * last + F.col("c")["shift"]
+    to_2 = F.length(line) - size * (F.col("parts") - 1 - last)
+    apart = last - first > 1
+    dirt = [F.when(apart, F.xxhash64(F.substring(line, a + 1, b - a))).alias(d) for d, a, b in (("d1", from_, to), ("d2", from_2, to_2))]
+    return sized.select("id", key.alias("key"), F.abs(F.col("c")["shift"]).alias("probe"), *dirt)
 
 
 def _shared(keys: DataFrame, name: str) -> DataFrame:
@@ -144,6 +155,27 @@ def _shared(keys: DataFrame, name: str) -> DataFrame:
     return stored(keys.join(tally, "key"), name)
 
 
+def _unlike(rows: DataFrame, lines: DataFrame, tau: int) -> DataFrame:
+    """Pairs a < b as of ``_pairs``, all of a key's, but for those that what a key leaves out, or their letters, tell apart."""
+    facts = lines.select("id", F.length("line").cast("int").alias("l"), *_counts(F.col("line")))
+    rows = rows.join(facts, "id")
+    counts = [c for c in facts.columns if c != "id"]
+    a = rows.where("probe = 0").select("key", *(F.col(c).alias(f"a_{c}") for c in ("id", "component", "d1", "d2", *counts)))
+    b = rows.select("key", *(F.col(c).alias(f"b_{c}") for c in ("id", "component", "d1", "d2", *counts)))
+    apart = sum((F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in counts[1:]), F.lit(0))
+    differ = F.col("a_d1").isNull() | ((F.col("a_d1") != F.col("b_d1")) & (F.col("a_d2") != F.col("b_d2")))
+    on = (a["key"] == b["key"]) & (F.col("a_component") != F.col("b_component")) & (F.abs(F.col("a_l") - F.col("b_l")) <= tau) & differ & (apart <= 2 * tau)
+    return a.join(b, on).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
+
+
+#: An edit changes at most two of these letters' counts by one each.
+_COUNTED = "etaoinsrhldu"
+
+
+def _counts(line: Column) -> list[Column]:
+    return [(F.length(line) - F.length(F.replace(line, F.lit(x), F.lit("")))).cast("int").alias(f"c{i}") for i, x in enumerate(_COUNTED)]
+
+
 def _pairs(index: DataFrame, others: DataFrame) -> DataFrame:
     """Pairs a < b of different lines and components under a key. Both have key, id and component."""
     a = index.select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
@@ -171,7 +203,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, tau: int, per_edit: int) -> Da
 
 
 def _with_component(rows: DataFrame, classes: DataFrame | None) -> DataFrame:
-    rows = rows.select("key", "id", "probe", "n")
+    rows = rows.drop("component")
     if classes is None:
         return rows.withColumn("component", F.col("id"))
     known = rows.join(classes.withColumnRenamed("node", "id"), "id", "left")
@@ -184,7 +216,7 @@ def _undecided(rows: DataFrame) -> DataFrame:
     return stored(rows.join(several, "key", "left_semi"), "undecided")
 
 
-def near_classes(lines: DataFrame, tau: int, per_edit: int, crowded: int) -> DataFrame:
+def near_classes(lines: DataFrame, tau: int, per_edit: int, crowded: int, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """node, component of the lines (id, line) that links reach; component is a class's smallest id."""
     able = lines.where(F.length("line") >= max(8, per_edit)).select("id", "line")
     links: DataFrame | None = None
@@ -192,30 +224,31 @@ def near_classes(lines: DataFrame, tau: int, per_edit: int, crowded: int) -> Dat
 
     def link(pairs: DataFrame) -> None:
         nonlocal links, classes
-        found = _verified(pairs, able, tau, per_edit)
+        found = _verified(pairs, texts, tau, per_edit)
         links = found if links is None else links.union(found)
         classes = stored(components(links), "classes")
 
-    rows = _shared(_indexed(able, tau, tau + 1), "segments")
-    release(lines.sparkSession)
-    open_ = _with_component(rows, None)
-    few, many = open_.where(F.col("n") <= crowded), open_.where(F.col("n") > crowded)
-    link(_pairs(few.where("probe = 0"), few).union(_pairs(_pivots(many, 0), many)).distinct())
-    many = _undecided(_with_component(rows.where(F.col("n") > crowded), classes))
-    if not many.take(1):
-        return classes
-    hot = stored(able.join(many.select("id").distinct(), "id", "left_semi"), "hot")
-    rows = _shared(_indexed(hot, tau, FINE), "segments")
-    for turn in range(1, 3):
-        open_ = _undecided(_with_component(rows, classes))
-        few, many = open_.where(F.col("n") <= crowded), open_.where(F.col("n") > crowded)
-        if turn == 1:
-            link(_pairs(few.where("probe = 0"), few).union(_pairs(_pivots(many, turn), many)).distinct())
-        elif many.take(1):
-            link(_pairs(_pivots(many, turn), many))
-    rest = _undecided(_with_component(rows.where(F.col("n") > crowded), classes))
+    texts = able
+    for level, parts in enumerate((tau + 1, *levels)):
+        keys = _indexed(texts, tau, parts)
+        rows = _shared(keys if level == len(levels) else keys.drop("d1", "d2"), "segments")
+        release(lines.sparkSession)
+        if not level:  # lines that share no segment with another are done; the others' texts are fetched once
+            texts = stored(able.join(rows.select("id").distinct(), "id", "left_semi"), "candidates")
+            release(lines.sparkSession)
+        now = _with_component(rows, classes)
+        now = now if classes is None else _undecided(now)
+        few, many = now.where(F.col("n") <= crowded), now.where(F.col("n") > crowded)
+        link(_pairs(few.where("probe = 0"), few).union(_pairs(_pivots(many, level), many)).distinct())
+        rest = _undecided(_with_component(rows.where(F.col("n") > crowded), classes))
+        if not rest.take(1):
+            return classes
+        if level < len(levels):
+            texts = stored(texts.join(rest.select("id").distinct(), "id", "left_semi"), "hot")
+    link(_pairs(_pivots(rest, level + 1), rest))
+    rest = _undecided(_with_component(rest, classes))
     if rest.take(1):
-        link(_pairs(rest.where("probe = 0"), rest))
+        link(_unlike(rest, texts, tau))
     return classes
 
 

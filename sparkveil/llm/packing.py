@@ -9,11 +9,13 @@ whose lengths are powers of two, which need no padding.
 Nothing is shuffled, and a lost task gives the same windows again, as the same rows come in the same order.
 
 Defined cases: null text is empty; an empty document is its end token alone; repeated rows are packed each for itself; ids
-may be null; no row in, no window out.
+may be null; a very long text is cut like any other; other columns are not read; no row in, no window out. A stretch that spells an
+added token of the vocabulary is that token.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -107,7 +109,7 @@ def _packed(block: _Block, base: int, encoder: Encoder, width: int, penalties: t
     return rows, len(cuts)
 
 
-def _stream(batches: Iterator[pa.RecordBatch], tokenizer: tuple[str, str], width: int, block_size: int, penalties: tuple[float, float], with_ids: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _stream(batches: Iterator[pa.RecordBatch], tokenizer: tuple, width: int, block_size: int, penalties: tuple[float, float], with_ids: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     encoder, base = Encoder.shared(*tokenizer), TaskContext.get().partitionId() << 40
     block = _Block()
 
@@ -130,11 +132,14 @@ def _stream(batches: Iterator[pa.RecordBatch], tokenizer: tuple[str, str], width
         yield flush()
 
 
-def default_tokenizer() -> tuple[str, str]:
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+def default_tokenizer() -> tuple:
+    """The ranks' file, the pattern, and the added tokens of the same vocabulary's file for the tokenizers library."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, tuple((x["content"], x["id"]) for x in added)
 
 
-def pack(docs: DataFrame, width: int = 2048, block: int = 1 << 20, sentence_penalty: float = 2.0, forced_penalty: float = 16.0, tokenizer: tuple[str, str] | None = None, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, width: int = 2048, block: int = 1 << 20, sentence_penalty: float = 2.0, forced_penalty: float = 16.0, tokenizer: tuple | None = None, with_ids: bool = True) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and (``with_ids``) ids.
 
     Sequences are numbered by partition, then in order; a partition's pieces keep the order of ``docs``.

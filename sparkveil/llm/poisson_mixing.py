@@ -7,9 +7,9 @@ number of its copies. Copies get a hash each, and the rows are ordered by it ove
 By default the targets are proportional to documents ** ``tempering``. Rates are capped by nothing; the inverse is searched up
 to a count whose tail probability is below 2**-52, the resolution of the uniform number.
 
-Defined cases: a null source is a source of its own; null ids share one draw per source and text length; repeated rows draw the
+Defined cases: a null source is a source of its own; a row with a null id draws by its text; repeated rows draw the
 same count, each gets its copies; sources without a target get none if targets are given; an empty table gives none;
-all other columns pass through.
+very long texts are carried along; all other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import shuffle_width, stored
 
 
 def uniform(*key: Column) -> Column:
@@ -52,31 +52,40 @@ def rates(docs: DataFrame, tempering: float = 0.5, targets: DataFrame | None = N
 
 
 def replicate(docs: DataFrame, tempering: float = 0.5, seed: int = 17, targets: DataFrame | None = None) -> DataFrame:
-    """Columns of ``docs``, then _rate, _copies, _copy (from 1) and _place (the order's key): a row per copy, in no order yet.
+    """row (a struct of the columns of ``docs``), rate, copies, copy (from 1) and place (the order's key): a row per copy, in no order yet."""
+    # the rates are a written table, so that its size is known before the plan is made: small, and the documents stay where they are
+    table = stored(rates(docs, tempering, targets), "rates").select(F.col("source").alias("of"), "rate")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # out of the way of the columns that are added
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.md5(F.coalesce("text", F.lit("")))))
+    rows = docs.select(whole, F.col("source").alias("own"), key.alias("key"))
+    rows = rows.join(table, F.col("own").eqNullSafe(F.col("of"))).drop("own", "of")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / 500)).cast("int")
+    draws = F.transform(F.sequence(F.lit(1), parts), lambda i: poisson_inverse(uniform(F.col("key"), F.lit(seed), i), F.col("rate") / parts))
+    rows = rows.withColumn("copies", F.aggregate(draws, F.lit(0), lambda a, x: a + x)).where("copies > 0")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return rows.select("row", "rate", "copies", "copy", F.xxhash64("key", F.lit(seed), "copy").alias("place"))
+
 
-    ``docs`` has no columns of these names.
+def shuffled(copies: DataFrame) -> DataFrame:
+    """``copies`` in the order of their hashes over the whole cluster.
+
+    Hashes are spread evenly, so the bounds of the parts are known beforehand, and no pass over the rows is needed to find them.
     """
-    # the rates are a written table, so that its size is known before the plan is made: small, and the documents stay where they are
-    table = stored(rates(docs, tempering, targets), "rates").select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("_rate") / 500)).cast("int")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.coalesce(F.length("text"), F.lit(0)).cast("string")))
-    rows = docs.join(table, docs["source"].eqNullSafe(table["_source"])).drop("_source")
-    draws = F.transform(F.sequence(F.lit(1), parts), lambda i: poisson_inverse(uniform(key, F.lit(seed), i), F.col("_rate") / parts))
-    rows = rows.withColumn("_copies", F.aggregate(draws, F.lit(0), lambda a, x: a + x)).where("_copies > 0")
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return rows.withColumn("_place", F.xxhash64(key, F.lit(seed), "_copy"))
+    n = shuffle_width(copies.sparkSession)
+    part = F.shiftrightunsigned(F.col("place").bitwiseXOR(F.lit(-(2**63))), 33) * n  # the high 31 bits, from 0
+    dealt = copies.withColumn("part", F.shiftrightunsigned(part, 31).cast("int"))
+    return dealt.repartitionById(n, "part").sortWithinPartitions("place", "row.doc_id", "copy").drop("part")
 
 
 def mix(docs: DataFrame, tempering: float = 0.5, seed: int = 17, targets: DataFrame | None = None) -> DataFrame:
     """Copies in a global random order, with the columns of ``docs``."""
-    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # out of the way of the columns that are added
-    rows = replicate(docs.select(whole, "doc_id", "text", "source"), tempering, seed, targets)
-    return rows.orderBy("_place", "doc_id", "_copy").select("row.*")
+    return shuffled(replicate(docs, tempering, seed, targets)).select("row.*")
 
 
 def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return replicate(docs).orderBy("_place", "doc_id", "_copy").select("doc_id", "source", F.round("_rate", 9).alias("rate"), F.col("_copies").cast("long").alias("copies"), F.col("_copy").cast("long").alias("copy"))
+    rows = replicate(docs).select(F.struct("row.doc_id", "row.source").alias("row"), "rate", "copies", "copy", "place")
+    return shuffled(rows).select("row.doc_id", "row.source", F.round("rate", 9).alias("rate"), F.col("copies").cast("long").alias("copies"), F.col("copy").cast("long").alias("copy"))
 
 
 OP5_SQL = """
