@@ -5,43 +5,38 @@ of half the width, and only at one in each full window: the one whose hash is sm
 windows that occur in one document alone end there. The rest are extended to the full width: first all windows around one
 half window together (its *reach*), and only where a reach is new in the smallest document that has it, window by window.
 Rows that a smaller document of the same Arrow batch already settles skip the search, so a large group of copies is thinned
-out before the shuffle.
+out before the shuffle. Half windows, reaches and windows are counted with partial aggregation and joined, so that no task
+holds all places of a very common one.
 
 Defined cases: a null text is empty; a document with a null id takes no part in matching (no id is smaller or larger) and
-is returned whole; rows that share an id are not repeats of each other, and each is judged by its own text; an empty
-table gives an empty result; columns other than the id and the text are not read.
+is returned whole; rows that share an id are not repeats of each other, and each is judged by its own text (a row's key is its id and
+its text's hash); ids are integers; a very long text is read whole, in memory in proportion to it; an empty table gives an empty
+result; columns other than the id and the text are not read, whatever their names. Windows are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import release, stored
 from .textops import Chunk, Hasher, chunks, mixed, sliding_argmin, spans_to_mask, text_column
 
 _U = np.uint64
-_NO_ID = -(2**63)
 _TOGETHER = 12 << 20  # bytes of text whose runs are compared before the shuffle
 
 
-def _pack(lo: np.ndarray, more: np.ndarray, tag: np.ndarray) -> np.ndarray:
-    """A run of windows in one long: first start (32 bits), further starts (8), low bits of the text's CRC (24)."""
-    return ((lo.astype(_U) << _U(32)) | (more.astype(_U) << _U(24)) | tag.astype(_U)).view(np.int64)
+def _pack(lo: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """A run of windows in one long: first start, further starts (8 bits)."""
+    return (lo << 8) | more
 
 
-def _unpack(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = x.view(_U)
-    return (x >> _U(32)).astype(np.int64), ((x >> _U(24)) & _U(0xFF)).astype(np.int64), (x & _U(0xFFFFFF)).astype(np.int64)
-
-
-def _tag(text: bytes) -> int:
-    return zlib.crc32(text) & 0xFFFFFF
+def _unpack(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return x >> 8, x & 0xFF
 
 
 def _word_hashes(c: Chunk) -> Hasher:
@@ -71,7 +66,7 @@ def _reaches(c: Chunk, width: int) -> tuple[np.ndarray, ...]:
 
 def _settled_here(parts: list[tuple]) -> pa.RecordBatch:
     """Runs of some texts; those that a smaller document among them settles are marked, and spread, as nothing compares them any more."""
-    doc, run, core, reach = (np.concatenate(x) for x in zip(*parts, strict=True))
+    doc, text, run, core, reach = (np.concatenate(x) for x in zip(*parts, strict=True))
     key = mixed(core.view(_U) ^ (reach.view(_U) * _U(0x9E3779B97F4A7C15)))
     order = np.lexsort((doc, key))
     first = np.ones(len(order), bool)
@@ -79,18 +74,17 @@ def _settled_here(parts: list[tuple]) -> pa.RecordBatch:
     least = doc[order][first][np.cumsum(first) - 1]
     sure = np.zeros(len(doc), bool)
     sure[order] = doc[order] > least
-    core = np.where(sure, mixed(doc.view(_U) * _U(31) + run.view(_U)), core.view(_U))
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, run, core.view(np.int64), reach.view(np.int64), sure)], ["k", "run", "core", "reach", "sure"])
+    core = np.where(sure, mixed(text.view(_U) * _U(31) + run.view(_U)), core.view(_U))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, text, run, core.view(np.int64), reach.view(np.int64), sure)], ["k", "h", "run", "core", "reach", "sure"])
 
 
 def _first_level(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, parts, size = batch.column(0).to_numpy(zero_copy_only=False), [], 0
-        for c in chunks(text_column(batch, "text")):
+        keys, parts, size = [batch.column(i).to_numpy() for i in range(2)], [], 0
+        for c in chunks(text_column(batch)):
             of, lo, more, core, reach = _reaches(c, width)
-            tags = np.array([_tag(c.bytes_of(i)) for i in range(c.n)], np.int64)
             if len(of):
-                parts.append((ids[c.first + of], _pack(lo, more, tags[of]), core, reach))
+                parts.append((*(x[c.first + of] for x in keys), _pack(lo, more), core, reach))
             size += len(c.data)
             if size > _TOGETHER and parts:
                 yield _settled_here(parts)
@@ -102,19 +96,15 @@ def _first_level(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
 def _window_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """One row for each window of the runs in ``open``."""
     for batch in batches:
-        ids, opened = batch.column(0).to_numpy(), batch.column(2)
-        for c in chunks(text_column(batch, "text")):
+        keys, opened = [batch.column(i).to_numpy() for i in range(2)], batch.column(3)
+        for c in chunks(text_column(batch)):
             h, out = _word_hashes(c), []
             for i in range(c.n):
-                lo, more, tag = _unpack(np.array(opened[c.first + i].as_py(), np.int64))
-                mine = tag == _tag(c.bytes_of(i))
-                lo, more = lo[mine], more[mine]
-                if len(lo):
-                    starts = np.repeat(lo, more + 1) + np.arange((more + 1).sum()) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
-                    at = starts + c.word_offsets[i]
-                    out.append((np.full(len(starts), ids[c.first + i]), _pack(starts, np.zeros_like(starts), np.full(len(starts), _tag(c.bytes_of(i)))), h.ranges(at, at + width).view(np.int64)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["k", "run", "window"])
+                lo, more = _unpack(np.array(opened[c.first + i].as_py(), np.int64))
+                starts = np.repeat(lo, more + 1) + np.arange((more + 1).sum()) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
+                at = starts + c.word_offsets[i]
+                out.append((*(np.full(len(starts), x[c.first + i]) for x in keys), _pack(starts, 0 * starts), h.ranges(at, at + width).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["k", "h", "run", "window"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -127,9 +117,8 @@ def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBat
             cuts = np.array([x for c in cuts for x in c.as_py() or ()], np.int64)
             mask = None
             if len(cuts):
-                lo, more, tag = _unpack(cuts)
-                mine = tag == _tag(text)
-                mask = spans_to_mask(len(words), lo[mine], more[mine] + width)
+                lo, more = _unpack(cuts)
+                mask = spans_to_mask(len(words), lo, more + width)
             counts.append(len(words))
             if mask is None or not mask.any():
                 removed.append(0)
@@ -143,7 +132,7 @@ def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBat
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()).cast(pa.string())],
-            ["k", "n_words", "n_removed", "spans", "kept_text"],
+            ["doc_id", "n_words", "n_removed", "spans", "kept_text"],
         )
 
 
@@ -152,28 +141,30 @@ def remove_repeated_windows(docs: DataFrame, width: int = 13) -> DataFrame:
 
     ``width`` is at least 2 and at most 255 words.
     """
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("k"), "text")
-    runs = base.where(F.col("k") != _NO_ID).mapInArrow(lambda b: _first_level(b, width), "k long, run long, core long, reach long, sure boolean")
-    core, reach = Window.partitionBy("core"), Window.partitionBy("core", "reach")
-    runs = runs.select(
-        "*",
-        F.min("k").over(core).alias("core_first"),
-        F.max("k").over(core).alias("core_last"),
-        (F.min("reach").over(core) != F.max("reach").over(core)).alias("varied"),
-        F.min("k").over(reach).alias("reach_first"),
-    )
-    runs = runs.where("sure OR (core_first < core_last AND (k > reach_first OR varied))")
-    settled = F.col("sure") | (F.col("k") > F.col("reach_first"))
-    found = stored(
-        runs.groupBy("k").agg(F.collect_list(F.when(settled, F.col("run"))).alias("gone"), F.collect_list(F.when(~settled, F.col("run"))).alias("open")),
-        "windows",
-    )
-    windows = base.join(found.where(F.size("open") > 0).select("k", "open"), "k").mapInArrow(lambda b: _window_rows(b, width), "k long, run long, window long")
-    late = windows.select("*", F.min("k").over(Window.partitionBy("window")).alias("first")).where("k > first")
-    late = late.groupBy("k").agg(F.collect_list("run").alias("late"))
-    out = base.join(found.select("k", "gone"), "k", "left").join(late, "k", "left")
-    out = out.mapInArrow(lambda b: _cut(b, width), "k long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string")
-    return out.select(F.when(F.col("k") != _NO_ID, F.col("k")).alias("doc_id"), "n_words", "n_removed", "spans", "kept_text")
+    key = ["k", "h"]
+    base = docs.select("doc_id", F.col("doc_id").cast("long").alias("k"), F.xxhash64("text").alias("h"), "text")
+    able = base.where("k IS NOT NULL").select(*key, "text")
+    runs = able.mapInArrow(lambda b: _first_level(b, width), "k long, h long, run long, core long, reach long, sure boolean")
+    # level one: half windows of one document alone end here
+    tally = runs.where("NOT sure").groupBy("core").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.min("reach").alias("a"), F.max("reach").alias("b"))
+    cores = stored(tally.where("lo < hi").select("core", (F.col("a") != F.col("b")).alias("varied")), "cores")
+    release(docs.sparkSession)
+    some = stored(runs.join(cores, "core", "left").where("sure OR varied IS NOT NULL"), "repeats")
+    release(docs.sparkSession)
+    reaches = some.where("NOT sure").groupBy("core", "reach").agg(F.min("k").alias("first"))
+    judged = some.where("NOT sure").join(reaches, ["core", "reach"]).select(*key, "run", (F.col("k") > F.col("first")).alias("settled"), "varied")
+    sure = some.where("sure").select(*key, "run", F.lit(True).alias("settled"), F.lit(False).alias("varied"))
+    found = judged.where("settled OR varied").union(sure).groupBy(*key)
+    found = stored(found.agg(F.collect_set(F.when(F.col("settled"), F.col("run"))).alias("gone"), F.collect_set(F.when(~F.col("settled"), F.col("run"))).alias("open")), "windows")
+    # level two: window by window, where a reach is new in the smallest document that has it
+    windows = able.join(found.where(F.size("open") > 0).select(*key, "open"), key).mapInArrow(lambda b: _window_rows(b, width), "k long, h long, run long, window long")
+    windows = stored(windows, "level")
+    first = windows.groupBy("window").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").select("window", "first")
+    late = windows.join(first, "window").where("k > first").groupBy(*key).agg(F.collect_set("run").alias("late"))
+    cuts = found.select(*key, "gone").join(late, key, "left")
+    out = base.join(cuts, key, "left").select("doc_id", "text", "gone", "late")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return out.mapInArrow(lambda b: _cut(b, width), f"doc_id {kind}, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string")
 
 
 def op10_substring_levels(spark, sf_dir: str) -> DataFrame:

@@ -11,46 +11,42 @@ are sorted (suffix array and LCP of the parse), and the bytes before the phrases
 (suffixes of the dictionary's phrases). A window that starts b bytes before its phrase repeats if a neighbour in the joint
 order shares width - b bytes after, and b bytes before.
 
-A phrase with more than ``crowded`` reaches is dealt out by more of its surroundings: windows that start close before the
-phrase by the bytes after it, the others by the bytes before it. Identical reaches in one Arrow batch are merged before the
-shuffle.
-
-Defined cases: null text is empty; nulls among ids are fine, their texts count; two rows with one text repeat each
-other; texts shorter than ``width`` stay whole; an empty table gives none; only the id and the text are read. Phrases and
-reaches are compared by 64-bit hashes, everything in a shard byte by byte.
+A phrase with more than ``crowded`` reaches forms no shard: the windows of its reaches are counted by their hashes. Phrases,
+reaches and such windows are counted with partial aggregation and joined, and identical reaches in one Arrow batch are merged
+before the shuffle, so no task has to hold what a very common passage brings.
+
+Defined cases: null text is empty; nulls among ids are fine, their texts count; two rows with one text repeat each other, also if
+they share an id or have none (a row's key is its id and its text's hash); ids are integers; texts shorter than ``width`` stay whole;
+a very long text is read whole, in memory in proportion to it; an empty table gives none; only the id and the text are read,
+whatever other columns there are. Phrases, reaches and crowded windows are compared by 64-bit hashes, everything in a shard byte
+by byte.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import release, stored
 from .textops import Chunk, Hasher, chunks, mixed, sliding_argmin, spans_to_mask, text_column
 
 _U = np.uint64
-_NO_ID = -(2**63)
 _TRIGGER = 16
 _SHARD_ROWS = 20_000
 
 
-def _pack(lo, more, lead, tag) -> np.ndarray:
-    """First window (32 bits), further windows (8), phrase after the first window's start (8), low bits of the text's CRC (16)."""
-    return ((lo.astype(_U) << _U(32)) | (more.astype(_U) << _U(24)) | (lead.astype(_U) << _U(16)) | tag.astype(_U)).view(np.int64)
+def _pack(lo, more, lead) -> np.ndarray:
+    """First window (40 bits), further windows (8), phrase after the first window's start (8)."""
+    return ((lo.astype(_U) << _U(16)) | (more.astype(_U) << _U(8)) | lead.astype(_U)).view(np.int64)
 
 
 def _unpack(x: np.ndarray) -> tuple[np.ndarray, ...]:
     x = x.view(_U)
-    return tuple(((x >> _U(s)) & _U(m)).astype(np.int64) for s, m in ((32, 0xFFFFFFFF), (24, 0xFF), (16, 0xFF), (0, 0xFFFF)))
-
-
-def _tag(text: bytes) -> int:
-    return zlib.crc32(text) & 0xFFFF
+    return tuple(((x >> _U(s)) & _U(m)).astype(np.int64) for s, m in ((16, 0xFFFFFFFFFF), (8, 0xFF), (0, 0xFF)))
 
 
 def _reaches(c: Chunk, width: int) -> tuple[np.ndarray, ...]:
@@ -73,27 +69,25 @@ def _reaches(c: Chunk, width: int) -> tuple[np.ndarray, ...]:
 
 def _parse(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, parts = batch.column(0).to_numpy(), []
+        keys, parts = [batch.column(i).to_numpy() for i in range(2)], []
 
         def merged(parts: list) -> pa.RecordBatch:
-            doc, run, phrase, reach = (np.concatenate(x) for x in zip(*parts, strict=True))
+            doc, text, run, phrase, reach = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(mixed(phrase ^ (reach * _U(0x9E3779B97F4A7C15))), kind="stable")
             p, r = phrase[order], reach[order]
             first = np.ones(len(order), bool)
             first[1:] = (p[1:] != p[:-1]) | (r[1:] != r[:-1])
             times = np.diff(np.append(np.flatnonzero(first), len(order)))
             n = np.zeros(len(order), np.int64)
-            n[order[first]] = times  # the others' is 0: they are merged into the first
-            again = n == 0
-            phrase = np.where(again, mixed(doc.view(_U) * _U(31) + run.view(_U)), phrase)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, run, phrase.view(np.int64), reach.view(np.int64), n)], ["k", "run", "phrase", "reach", "n"])
+            n[order[first]] = times  # the others' is 0: they are merged into the first, and spread
+            phrase = np.where(n == 0, mixed(text.view(_U) * _U(31) + run.view(_U)), phrase)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, text, run, phrase.view(np.int64), reach.view(np.int64), n)], ["k", "h", "run", "phrase", "reach", "n"])
 
         size = 0
         for c in chunks(text_column(batch)):
             of, lo, more, lead, phrase, reach = _reaches(c, width)
-            tags = np.array([_tag(c.bytes_of(i)) for i in range(c.n)], np.int64)
             if len(of):
-                parts.append((ids[c.first + of], _pack(lo, more, lead, tags[of]), phrase, reach))
+                parts.append((*(x[c.first + of] for x in keys), _pack(lo, more, lead), phrase, reach))
             size += len(c.data)
             if size > 16 << 20 and parts:
                 yield merged(parts)
@@ -103,27 +97,19 @@ def _parse(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """The bytes of the reaches in ``open``: key, which windows the row is for, before and after the phrase's start."""
-    half, quarter = width // 2, width // 4
+    """Of the reaches in ``open``: the bytes before (from the last one back) and after the phrase's start, or, of a crowded phrase, each window's hash."""
     for batch in batches:
         rows: list[tuple] = []
-        for k, text, opened in zip(batch.column(0).to_pylist(), text_column(batch), batch.column(2).to_pylist(), strict=True):
-            text = text.as_py()
-            own = _tag(text)
-            for o, (lo, more, lead, tag) in zip(opened, zip(*(x.tolist() for x in _unpack(np.array([o["run"] for o in opened], np.int64))), strict=True), strict=True):
-                if tag != own:
-                    continue
-                at = lo + lead
-                before, after = text[lo:at][::-1], text[at : lo + more + width]
-                near, far = lead - more, lead  # windows start from ``far`` down to ``near`` bytes before the phrase
-                row = (k, o["run"], o["settled"], before, after)
-                if not o["crowded"]:
-                    rows.append((o["phrase"], 0, 255, *row))
-                    continue
-                if near <= quarter:  # such windows hold width - quarter bytes after the phrase's start
-                    rows.append((_spread(o["phrase"], after[: width - quarter], 1), 0, quarter, *row))
-                if far > quarter:
-                    rows.append((_spread(o["phrase"], before[: quarter + 1], 2), quarter + 1, 255, *row))
+        for k, h, text, opened in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_column(batch), batch.column(3).to_pylist(), strict=True):
+            text, hasher = text.as_py(), None
+            for o, (lo, more, lead) in zip(opened, zip(*(x.tolist() for x in _unpack(np.array([o["run"] for o in opened], np.int64))), strict=True), strict=True):
+                if o["crowded"]:
+                    hasher = hasher or Hasher(np.frombuffer(text, np.uint8))
+                    start = np.arange(lo, lo + more + 1)
+                    rows += [(None, w, k, h, r, o["settled"], None, None) for w, r in zip(hasher.ranges(start, start + width).view(np.int64).tolist(), _pack(start, 0 * start, 0 * start).tolist(), strict=True)]
+                else:
+                    at = lo + lead
+                    rows.append((o["phrase"], None, k, h, o["run"], o["settled"], text[lo:at][::-1], text[at : lo + more + width]))
             if len(rows) > 4000:
                 yield _batch(rows)
                 rows = []
@@ -131,18 +117,13 @@ def _surroundings(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
             yield _batch(rows)
 
 
-_SURROUNDINGS = pa.schema([("shard", pa.int64()), ("least", pa.int32()), ("most", pa.int32()), ("k", pa.int64()), ("run", pa.int64()), ("settled", pa.bool_()), ("before", pa.binary()), ("after", pa.binary())])
+_SURROUNDINGS = pa.schema([("shard", pa.int64()), ("window", pa.int64()), ("k", pa.int64()), ("h", pa.int64()), ("run", pa.int64()), ("settled", pa.bool_()), ("before", pa.binary()), ("after", pa.binary())])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _SURROUNDINGS.types, strict=True)], schema=_SURROUNDINGS)
 
 
-def _spread(phrase: int, more: bytes, kind: int) -> int:
-    h = Hasher(np.frombuffer(more, np.uint8)).ranges(np.array([0]), np.array([len(more)]))
-    return int(mixed(h ^ np.array([phrase], np.int64).view(_U) * _U(2 * kind + 1)).view(np.int64)[0])
-
-
 def _matrix(column: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Strings as rows, padded with zeros, and their lengths."""
     sizes = np.fromiter(map(len, column), np.int64, len(column))
@@ -187,17 +168,15 @@ def _in_shards(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
     held: list[pa.RecordBatch] = []
 
     def solve(table: pa.Table) -> pa.RecordBatch | None:
-        k, run = table["k"].to_numpy(), table["run"].to_numpy()
-        lo, more, lead, tag = _unpack(run)
-        near = np.maximum(lead - more, table["least"].to_numpy())
-        far = np.minimum(lead, table["most"].to_numpy())
-        hit = repeated_windows(table["shard"].to_numpy(), table["before"].to_pylist(), table["after"].to_pylist(), near, far, width)
+        k, h = table["k"].to_numpy(), table["h"].to_numpy()
+        lo, more, lead = _unpack(table["run"].to_numpy())
+        hit = repeated_windows(table["shard"].to_numpy(), table["before"].to_pylist(), table["after"].to_pylist(), lead - more, lead, width)
         hit[table["settled"].to_numpy()] = False
         row, b = np.nonzero(hit)
         if not len(row):
             return None
         zero = np.zeros_like(row)
-        return pa.RecordBatch.from_arrays([pa.array(k[row]), pa.array(_pack(lo[row] + lead[row] - b, zero, zero, tag[row]))], ["k", "run"])
+        return pa.RecordBatch.from_arrays([pa.array(k[row]), pa.array(h[row]), pa.array(_pack(lo[row] + lead[row] - b, zero, zero))], ["k", "h", "run"])
 
     for batch in batches:
         held.append(batch)
@@ -222,9 +201,8 @@ def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBat
             cuts = np.array([x for c in cuts for x in c.as_py() or ()], np.int64)
             sizes.append(len(text))
             if len(cuts):
-                lo, more, _, tag = _unpack(cuts)
-                mine = tag == _tag(text)
-                mask = spans_to_mask(len(text), lo[mine], more[mine] + width)
+                lo, more, _ = _unpack(cuts)
+                mask = spans_to_mask(len(text), lo, more + width)
                 edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8))).reshape(-1, 2)
                 removed.append(int(mask.sum()))
                 spans.append([{"start": int(a), "end": int(b)} for a, b in edges])
@@ -233,40 +211,42 @@ def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBat
                 removed.append(0)
                 spans.append([])
                 kept.append(text)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["k", "n_bytes", "n_removed", "spans", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
 
-def remove_repeated_bytes(docs: DataFrame, width: int = 400, crowded: int = 4096) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, width: int = 400, crowded: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (maximal removed runs of bytes) and kept (the other bytes), a row per row of ``docs``.
 
     ``width`` is at least 32 and at most 510 bytes.
     """
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("k"), "text")
-    runs = base.mapInArrow(lambda b: _parse(b, width), "k long, run long, phrase long, reach long, n long")
-    phrase, reach = Window.partitionBy("phrase"), Window.partitionBy("phrase", "reach")
-    runs = runs.select(
-        "*",
-        (F.min("reach").over(phrase) != F.max("reach").over(phrase)).alias("varied"),
-        (F.count(F.lit(1)).over(phrase) > crowded).alias("crowded"),
-        F.sum("n").over(reach).alias("times"),
-        F.row_number().over(reach.orderBy("k", "run")).alias("nth"),
-    )
-    settled = (F.col("n") == 0) | (F.col("times") > 1)
-    opened = (F.col("n") > 0) & F.col("varied") & (F.col("nth") == 1)
-    runs = runs.where(settled | opened)
-    found = stored(
-        runs.groupBy("k").agg(
-            F.collect_list(F.when(settled, F.col("run"))).alias("gone"),
-            F.collect_list(F.when(opened, F.struct("run", "phrase", settled.alias("settled"), "crowded"))).alias("open"),
-        ),
-        "reaches",
-    )
-    around = base.join(found.where(F.size("open") > 0).select("k", "open"), "k").mapInArrow(lambda b: _surroundings(b, width), "shard long, least int, most int, k long, run long, settled boolean, before binary, after binary")
-    late = around.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda b: _in_shards(b, width), "k long, run long")
-    late = late.groupBy("k").agg(F.collect_list("run").alias("late"))
-    out = base.join(found.select("k", "gone"), "k", "left").join(late, "k", "left")
-    out = out.mapInArrow(lambda b: _cut(b, width), "k long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
-    return out.select(F.when(F.col("k") != _NO_ID, F.col("k")).alias("doc_id"), "n_bytes", "n_removed", "spans", "kept")
+    key = ["k", "h"]
+    base = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("k"), F.xxhash64("text", F.col("doc_id").isNull()).alias("h"), "text")
+    runs = base.select(*key, "text").mapInArrow(lambda b: _parse(b, width), "k long, h long, run long, phrase long, reach long, n long")
+    tally = runs.where("n > 0").groupBy("phrase").agg(F.sum("n").alias("times"), F.count(F.lit(1)).alias("rows"), F.min("reach").alias("lo"), F.max("reach").alias("hi"))
+    phrases = stored(tally.where("times > 1").select("phrase", (F.col("lo") != F.col("hi")).alias("varied"), (F.col("rows") > crowded).alias("crowded")), "phrases")
+    release(docs.sparkSession)
+    some = stored(runs.join(phrases, "phrase", "left").where("n = 0 OR varied IS NOT NULL"), "repeats")
+    release(docs.sparkSession)
+    own = F.struct(*key, "run")
+    reaches = some.where("n > 0").groupBy("phrase", "reach").agg(F.sum("n").alias("times"), F.min(own).alias("first"))
+    judged = some.where("n > 0").join(reaches, ["phrase", "reach"]).select(*key, "run", "phrase", "crowded", (F.col("times") > 1).alias("settled"), (F.col("varied") & (own == F.col("first"))).alias("opened"))
+    merged = some.where("n = 0").select(*key, "run", "phrase", "crowded", F.lit(True).alias("settled"), F.lit(False).alias("opened"))
+    found = judged.where("settled OR opened").union(merged).groupBy(*key)
+    found = found.agg(F.collect_set(F.when(F.col("settled"), F.col("run"))).alias("gone"), F.collect_set(F.when(F.col("opened"), F.struct("run", "phrase", "settled", "crowded"))).alias("open"))
+    found = stored(found, "reaches")
+    kind = "shard long, window long, k long, h long, run long, settled boolean, before binary, after binary"
+    around = base.select(*key, "text")
+    around = stored(around.join(found.where(F.size("open") > 0).select(*key, "open"), key).mapInArrow(lambda b: _surroundings(b, width), kind), "surroundings")
+    release(docs.sparkSession)
+    late = around.where("window IS NULL").repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda b: _in_shards(b, width), "k long, h long, run long")
+    windows = around.where("window IS NOT NULL").select("window", *key, "run", "settled")
+    often = windows.groupBy("window").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("window")
+    late = late.union(windows.where("NOT settled").join(often, "window").select(*key, "run"))
+    late = late.groupBy(*key).agg(F.collect_set("run").alias("late"))
+    cuts = found.select(*key, "gone").join(late, key, "left")
+    out = base.join(cuts, key, "left").select("doc_id", "text", "gone", "late")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return out.mapInArrow(lambda b: _cut(b, width), f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def op8_suffix_parsing(spark, sf_dir: str) -> DataFrame:
