@@ -14,35 +14,36 @@ class ConfigError(ValueError):
 
 @dataclass(frozen=True)
 class Pattern:
-    """One regular expression of a recogniser. Classes are ASCII and there is no look-around, so that engines agree.
+    """One regular expression of a recogniser. Classes are ASCII and there is no look-around, so that engines agree; edges of words are
+    part of the expression, so that what a match would need is not taken by one that has none.
 
-    ``edges``: the neighbours of a match must not be ASCII letters or digits. ``check``: "luhn" or "ssn", a test of the match.
+    ``check``: "luhn" or "ssn", a test of the match.
     """
 
     entity: str
     recognizer: str
     regex: str
     score: float = 0.5
-    edges: bool = False
     check: str | None = None
 
 
 #: Built-in recognisers, written from the formats' public definitions.
 BUILTIN = {
-    "US_SSN": Pattern("US_SSN", "ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.85, True, "ssn"),
-    "PHONE_NUMBER": Pattern("PHONE_NUMBER", "phone", r"(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}", 0.75, True),
+    "US_SSN": Pattern("US_SSN", "ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.85, "ssn"),
+    "PHONE_NUMBER": Pattern("PHONE_NUMBER", "phone", r"(?:\+1[ .-]?[0-9]{3}[.-]|\b[0-9]{3}[.-]|(?:\+1[ .-]?)?\([0-9]{3}\) ?)[0-9]{3}[.-][0-9]{4}\b", 0.75),
     "EMAIL_ADDRESS": Pattern("EMAIL_ADDRESS", "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 1.0),
-    "DATE_TIME": Pattern("DATE_TIME", "date", r"(?:[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|[0-9]{4}-[0-9]{2}-[0-9]{2}|(?:January|February|March|April|May|June|July|August|September|October|November|December) [0-9]{1,2}, [0-9]{4})", 0.6, True),
-    "CREDIT_CARD": Pattern("CREDIT_CARD", "card", r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}", 0.9, True, "luhn"),
-    "US_DRIVER_LICENSE": Pattern("US_DRIVER_LICENSE", "driver_license", r"[A-Z][0-9]{7,12}", 0.3, True),
-    "US_BANK_NUMBER": Pattern("US_BANK_NUMBER", "bank", r"[0-9]{10,17}", 0.05, True),
-    "US_ITIN": Pattern("US_ITIN", "itin", r"9[0-9]{2}-[5-9][0-9]-[0-9]{4}", 0.5, True),
-    "US_PASSPORT": Pattern("US_PASSPORT", "passport", r"[A-Z][0-9]{8}", 0.1, True),
-    "IBAN_CODE": Pattern("IBAN_CODE", "iban", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", 0.5, True),
-    "IP_ADDRESS": Pattern("IP_ADDRESS", "ip", r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}", 0.6, True),
-    "MEDICAL_LICENSE": Pattern("MEDICAL_LICENSE", "medical_license", r"[ABCDEFGHJKLMPRSTUX][A-Z][0-9]{7}", 0.4, True),
+    "DATE_TIME": Pattern("DATE_TIME", "date", r"\b(?:[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|[0-9]{4}-[0-9]{2}-[0-9]{2}|(?:January|February|March|April|May|June|July|August|September|October|November|December) [0-9]{1,2}, [0-9]{4})\b", 0.6),
+    "CREDIT_CARD": Pattern("CREDIT_CARD", "card", r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b", 0.9, "luhn"),
+    "US_DRIVER_LICENSE": Pattern("US_DRIVER_LICENSE", "driver_license", r"\b[A-Z][0-9]{7,12}\b", 0.3),
+    "US_BANK_NUMBER": Pattern("US_BANK_NUMBER", "bank", r"\b[0-9]{10,17}\b", 0.05),
+    "US_ITIN": Pattern("US_ITIN", "itin", r"\b9[0-9]{2}-[5-9][0-9]-[0-9]{4}\b", 0.5),
+    "US_PASSPORT": Pattern("US_PASSPORT", "passport", r"\b[A-Z][0-9]{8}\b", 0.1),
+    "IBAN_CODE": Pattern("IBAN_CODE", "iban", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", 0.5),
+    "IP_ADDRESS": Pattern("IP_ADDRESS", "ip", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", 0.6),
+    "MEDICAL_LICENSE": Pattern("MEDICAL_LICENSE", "medical_license", r"\b[ABCDEFGHJKLMPRSTUX][A-Z][0-9]{7}\b", 0.4),
     "URL": Pattern("URL", "url", r"https?://[A-Za-z0-9./?&=_%#-]+", 0.6),
 }
+#: Entities that are looked for unless a configuration names others (fixed values).
 DEFAULT_BUILTIN = ("US_SSN", "PHONE_NUMBER", "EMAIL_ADDRESS", "DATE_TIME", "CREDIT_CARD", "US_DRIVER_LICENSE", "US_BANK_NUMBER")
 
 
@@ -82,10 +83,7 @@ def _patterns(raw: dict) -> tuple[Pattern, ...]:
                 re.compile(p["regex"])
             except re.error as e:
                 raise ConfigError(f"{r['name']}: {e}") from e
-            regex, edges = p["regex"], False
-            if regex.startswith(r"\b") and regex.endswith(r"\b"):
-                regex, edges = regex[2:-2], True
-            found.append(Pattern(r["entity_type"], r["name"], regex.replace(r"\d", "[0-9]"), float(p.get("score", 0.5)), edges))
+            found.append(Pattern(r["entity_type"], r["name"], p["regex"], float(p.get("score", 0.5))))
     return tuple(found)
 
 
@@ -128,7 +126,7 @@ SAMPLE = Config(
     patterns=(
         *(BUILTIN[k] for k in ("EMAIL_ADDRESS", "PHONE_NUMBER", "CREDIT_CARD", "IP_ADDRESS")),
         Pattern("SECRET", "token", r'token = "[0-9a-f]{40}"', 0.8),
-        Pattern("CREDIT_CARD", "digits", r"[0-9]{13,16}", 0.4, True),
+        Pattern("CREDIT_CARD", "digits", r"\b[0-9]{13,16}\b", 0.4),
     ),
     exemption_codes=("PII", "SECURITY", "FIN"),
     entity_exemptions={"EMAIL_ADDRESS": "PII", "PHONE_NUMBER": "PII", "CREDIT_CARD": "FIN", "SECRET": "SECURITY", "IP_ADDRESS": "NETWORK"},

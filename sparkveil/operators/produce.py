@@ -34,29 +34,151 @@ def pages(used: Column, lines: Column) -> Column:
     return (last + 1 + F.when(on_last + RULE_NEEDS > PAGE, 1).otherwise(0)).cast("long")
 
 
-def running_total(rows: DataFrame, bucket: list[Column], order: list[Column], value: str, out: str) -> DataFrame:
-    """``out``: the sum of ``value`` over all rows before this one, by (bucket, order).
+def running_total(rows: DataFrame, levels: list[list[Column]], order: list[Column], value: str, out: str) -> DataFrame:
+    """``out``: the sum of ``value`` over all rows before this one.
 
-    Buckets sort like the rows. Only their totals, one row each, meet in one task; within a bucket a window does the rest.
+    ``levels``: keys from coarse to fine; together with ``order`` (within the finest) they sort like the rows. At each level only the totals
+    of its buckets are summed up, inside their coarser bucket, so that one task sees all totals of the coarsest level at most.
     """
-    named = rows.select("*", *(b.alias(f"_b{i}") for i, b in enumerate(bucket)))
-    keys = [f"_b{i}" for i in range(len(bucket))]
-    totals = named.groupBy(*keys).agg(F.sum(value).alias("_t"))
-    w = Window.orderBy(*(F.col(k).asc_nulls_last() for k in keys)).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*(F.col(k).alias(f"{k}_") for k in keys), F.coalesce(F.sum("_t").over(w), F.lit(0)).alias("_before"))
-    own = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    on = [named[k].eqNullSafe(totals[f"{k}_"]) for k in keys]
-    return named.select("*", F.coalesce(F.sum(value).over(own), F.lit(0)).alias("_in")).join(totals, on).select(*rows.columns, (F.col("_before") + F.col("_in")).alias(out))
+    names = [[f"_k{i}_{j}" for j in range(len(x))] for i, x in enumerate(levels)]
+    rows_ = rows.select("*", *(c.alias(n) for ns, cs in zip(names, levels, strict=True) for n, c in zip(ns, cs, strict=True)))
+    flat = [n for ns in names for n in ns]
+    sums = rows_.groupBy(*flat).agg(F.sum(value).alias("_t"))
+    before = F.lit(0).cast("long")
+    for i, own in enumerate(names):
+        above = [n for ns in names[:i] for n in ns]
+        here = sums.groupBy(*above, *own).agg(F.sum("_t").alias("_t"))
+        w = (Window.partitionBy(*above) if above else Window.partitionBy()).orderBy(*(F.col(n).asc_nulls_last() for n in own)).rowsBetween(Window.unboundedPreceding, -1)
+        here = here.select(*(F.col(n).alias(f"{n}_") for n in above + own), F.coalesce(F.sum("_t").over(w), F.lit(0)).alias(f"_before{i}"))
+        sums = sums.join(here, [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in above + own]).drop(*(f"{n}_" for n in above + own))
+        before = before + F.col(f"_before{i}")
+    totals = sums.select(*(F.col(n).alias(f"{n}_") for n in flat), before.alias("_before"))
+    own = Window.partitionBy(*flat).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows_.select("*", F.coalesce(F.sum(value).over(own), F.lit(0)).alias("_in"))
+    return placed.join(totals, [placed[n].eqNullSafe(totals[f"{n}_"]) for n in flat]).select(*rows.columns, (F.col("_before") + F.col("_in")).alias(out))
+
+
+def by_date(dates: Column, ids: Column, least: int, most: int) -> list[list[Column]]:
+    """Levels for rows in order of an ISO time, nulls last, then of an id between ``least`` and ``most``: hours, then times and stretches of ids."""
+    stretch = F.floor((ids - least) * 1024 / (most - least + 1))
+    return [[F.substring(dates, 1, 13)], [dates, stretch]]
 
 
 def laid_out(docs: DataFrame, config: Bates) -> DataFrame:
     """docs(id, date_sent, lines, headers) to their pages: first and last label, in order of date (none last), then id."""
     rows = docs.withColumn("pages", pages(units_before(F.col("headers")), F.col("lines")))
-    rows = running_total(rows, [F.col("date_sent"), F.floor(F.col("id") / 10000)], [F.col("id")], "pages", "before")
+    ends = docs.agg(F.min("id").alias("a"), F.max("id").alias("b")).first()
+    rows = running_total(rows, by_date(F.col("date_sent"), F.col("id"), ends["a"] or 0, ends["b"] or 0), [F.col("id")], "pages", "before")
     first = F.col("before") + config.start
     return rows.select("id", "pages", bates(first, config.prefix, config.width).alias("first_page"), bates(first + F.col("pages") - 1, config.prefix, config.width).alias("last_page"), "before")
 
 
+def _room(rows: DataFrame, needs: int) -> DataFrame:
+    """A new page if less than ``needs`` is free. Where a document's drawing stands: page (from 0) and used units."""
+    full = F.col("used") + needs > PAGE
+    return rows.withColumns({"page": F.col("page") + F.when(full, 1).otherwise(0), "used": F.when(full, 0).otherwise(F.col("used"))})
+
+
+def _heading(rows: DataFrame) -> DataFrame:
+    return _room(rows, 2 * LINE).withColumn("used", F.col("used") + HEADING)
+
+
+def _lines(rows: DataFrame, n: Column) -> DataFrame:
+    """``n`` lines, one after the other."""
+    first = F.greatest(F.lit(0), F.floor((PAGE - F.col("used")) / LINE))
+    over, on_page = n - first - 1, PAGE // LINE
+    turned = n > first
+    return rows.withColumns({
+        "page": (F.col("page") + F.when(turned, 1 + F.floor(over / on_page)).otherwise(0)).cast("long"),
+        "used": F.when(turned, (over % on_page + 1) * LINE).otherwise(F.col("used") + n * LINE).cast("long"),
+    })
+
+
+def _gap(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("used", F.col("used") + GAP)
+
+
+def _rule(rows: DataFrame) -> DataFrame:
+    return _room(rows, RULE_NEEDS).withColumn("used", F.col("used") + RULE)
+
+
+def _body(rows: DataFrame, lines: str, name: str) -> DataFrame:
+    """The lines of a text (an empty one takes one), from where they begin: kept as ``name``_page and ``name``_used."""
+    rows = rows.withColumns({f"{name}_page": F.col("page"), f"{name}_used": F.col("used")})
+    return _rule(_lines(rows, F.greatest(F.lit(1), F.coalesce(lines, F.lit(0)))))
+
+
+def email_pages(docs: DataFrame) -> DataFrame:
+    """docs(id, headers: how many header lines, subject_lines, body_lines) with where each text begins, and ``pages``.
+
+    A heading and the headers, the subject under its label, a rule, a heading, the body, a rule; then a new page.
+    """
+    rows = _heading(docs.withColumns({"page": F.lit(0).cast("long"), "used": F.lit(0).cast("long")}))
+    rows = _lines(_gap(_lines(rows, F.col("headers"))), F.lit(1))
+    rows = _body(rows, "subject_lines", "subject")
+    rows = _body(_heading(rows), "body_lines", "body")
+    return rows.withColumn("pages", F.col("page") + 1).drop("page", "used")
+
+
+def attachment_pages(docs: DataFrame) -> DataFrame:
+    """docs(id, headers, lines) likewise: a heading and the headers, the text, a rule."""
+    rows = _heading(docs.withColumns({"page": F.lit(0).cast("long"), "used": F.lit(0).cast("long")}))
+    rows = _body(_gap(_lines(rows, F.col("headers"))), "lines", "text")
+    return rows.withColumn("pages", F.col("page") + 1).drop("page", "used")
+
+
+def produced(emails: DataFrame, attachments: DataFrame, lines: DataFrame) -> DataFrame:
+    """Where every text of a production begins: source_type, source_id, source_label, page (of the whole production, from 0), used, pages (of its document).
+
+    ``emails``: id, date_sent, cc_addrs and excluded_at; excluded ones are left out. ``attachments``: id, email_id, with their text extracted.
+    ``lines``: source_type, source_id of every wrapped line. E-mails come by date (none last) and id, then attachments by e-mail and id.
+    """
+    n = lines.groupBy("source_type", "source_id").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda kind, name: n.where(F.col("source_type") == kind).select(F.col("source_id").alias("id"), F.col("n").alias(name))
+    kept = emails.where("excluded_at IS NULL")
+    headers = (F.lit(3) + (F.size("cc_addrs") > 0).cast("int") + F.col("date_sent").isNotNull().cast("int")).alias("headers")  # From, To, Source; Cc; Date
+    mails = kept.select("id", "date_sent", headers).join(of("email_subject", "subject_lines"), "id", "left").join(of("email_body_text", "body_lines"), "id", "left")
+    mails = email_pages(mails)
+    ends = kept.agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("n")).first()
+    mails = running_total(mails, by_date(F.col("date_sent"), F.col("id"), ends["a"] or 0, ends["b"] or 0), [F.col("id")], "pages", "before")
+    files = attachments.join(kept.select(F.col("id").alias("email_id")), "email_id", "left_semi").select("id", "email_id", F.lit(3).alias("headers"))
+    files = attachment_pages(files.join(of("attachment_text", "lines"), "id", "left"))
+    span = files.agg(F.min("email_id").alias("a"), F.max("email_id").alias("b")).first()
+    coarse = F.floor((F.col("email_id") - (span["a"] or 0)) * 1024 / ((span["b"] or 0) - (span["a"] or 0) + 1))
+    files = running_total(files, [[coarse], [F.col("email_id")]], [F.col("id")], "pages", "before")
+    all_mail = mails.agg(F.coalesce(F.sum("pages"), F.lit(0)).alias("n")).first()["n"]
+    part = lambda rows, kind, name, label, more=0: rows.select(F.lit(kind).alias("source_type"), F.col("id").alias("source_id"), F.concat(F.lit(label), F.col("id").cast("string")).alias("source_label"), (F.col("before") + F.col(f"{name}_page") + more).alias("page"), F.col(f"{name}_used").alias("used"), "pages")
+    return part(mails, "email_subject", "subject", "email ").unionByName(part(mails, "email_body_text", "body", "email ")).unionByName(part(files, "attachment_text", "text", "attach ", all_mail))
+
+
+def full_log(clips: DataFrame, accepted: DataFrame, places: DataFrame, config: Bates) -> DataFrame:
+    """The redaction log with its eleven columns, in the order of burning: page by page.
+
+    ``clips``: accepted spans cut to lines; ``accepted``: the redactions with id, exemption_code, reviewer_id, accepted_at.
+    """
+    key = ["source_type", "source_id", "start", "end"]
+    seen = clips.where("to_col > from_col").groupBy("source_type", "source_id", F.col("span_start").alias("start"), F.col("span_end").alias("end")).agg(F.min("line_no").alias("line_no"))
+    rows = seen.join(accepted, key).join(places, ["source_type", "source_id"])
+    page = F.col("page") + config.start + line_page(F.col("used"), F.col("line_no"))
+    rows = rows.select(
+        bates(page, config.prefix, config.width).alias("bates_label"), F.col("id").alias("redaction_id"), "source_type", "source_id", "source_label", F.col("start").alias("start_offset"), F.col("end").alias("end_offset"),
+        (F.col("end") - F.col("start")).alias("length"), "exemption_code", F.coalesce("reviewer_id", F.lit("")).alias("reviewer_id"), "accepted_at",
+    )
+    return rows
+
+
+def manifest(places: DataFrame, log: DataFrame, config: Bates) -> DataFrame:
+    """One row about a production: documents, pages, redactions, first and last label. After the last document a page is begun, which alone is left if there is none."""
+    docs = places.where("source_type <> 'email_subject'").groupBy().agg(
+        F.count_if(F.col("source_type") == "email_body_text").alias("emails_exported"), F.count_if(F.col("source_type") == "attachment_text").alias("attachments_exported"),
+        at_least_one_page(F.sum("pages") + 1).cast("long").alias("pages_written"),
+    )
+    burned = log.agg(F.countDistinct("redaction_id").alias("redactions_burned"))
+    one = lambda df: df.withColumn("_", F.lit(0))
+    rows = one(docs).join(one(burned), "_").drop("_")
+    return rows.select("*", bates(F.lit(config.start), config.prefix, config.width).alias("bates_first"), bates(F.col("pages_written") - 1 + config.start, config.prefix, config.width).alias("bates_last"))
+
+
 def redaction_log(clips: DataFrame, layout: DataFrame, config: Bates, headers: int = 3) -> DataFrame:
     """Each burned span with the label of the page where it is first seen; spans that cover no character of a line are not burned."""
     seen = clips.where("to_col > from_col").groupBy("source_id", "span_start", "span_end").agg(F.min("line_no").alias("line_no"))
@@ -72,7 +194,7 @@ def production_lines(sources: DataFrame, accepted: DataFrame, width: int = WIDTH
 
 def write_log(log: DataFrame, path: str) -> None:
     """One CSV file with a header; the log is as long as the redactions of a production."""
-    log.orderBy("page", "source_id", "span_start").coalesce(1).write.mode("errorifexists").option("header", True).csv(path)
+    log.orderBy(*log.columns[:1], "source_id").coalesce(1).write.mode("errorifexists").option("header", True).csv(path)
 
 
 def at_least_one_page(n: Column) -> Column:

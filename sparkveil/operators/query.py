@@ -21,17 +21,32 @@ def page(rows: DataFrame, order: list, limit: int = 50, offset: int = 0) -> Data
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+def with_total(rows: DataFrame, order: list, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page whose rows carry ``total``, the number of all rows before paging (one count; it is a number by then, not a join)."""
+    total = rows.count()
+    return page(rows, order, limit, offset).withColumn("total", F.lit(total).cast("long"))
+
+
+def one(rows: DataFrame, key: str, value) -> DataFrame:
+    """The row of a key; LookupError if there is none."""
+    found = rows.where(F.col(key) == value).limit(1)
+    if not found.take(1):
+        raise LookupError(f"{key} {value}")
+    return found
+
+
 def having(rows: DataFrame, others: DataFrame, on: list, wanted: bool | None) -> DataFrame:
     """Rows with (True) or without (False) a partner."""
     return rows if wanted is None else rows.join(others, on, "left_semi" if wanted else "left_anti")
 
 
-def list_emails(emails: DataFrame, attachments: DataFrame, detections: DataFrame, *, subject=None, sender=None, case_id=None, after=None, before=None, excluded=None, has_attachments=None, has_pii=None) -> DataFrame:
-    """The conjunction of up to eight filters; dates are half-open ISO texts."""
+def list_emails(emails: DataFrame, attachments: DataFrame, detections: DataFrame, *, subject=None, sender=None, case_id=None, after=None, before=None, excluded=None, has_attachments=None, has_pii=None, mbox_source=None) -> DataFrame:
+    """The conjunction of the filters that are given; dates are half-open ISO texts."""
     rows = emails.where(all_of(
         None if subject is None else contains_fold(F.col("subject"), subject),
         None if sender is None else contains_fold(F.col("from_addr"), sender),
         None if case_id is None else F.col("case_id") == case_id,
+        None if mbox_source is None else F.col("mbox_source") == mbox_source,
         None if after is None else F.col("date_sent") >= after,
         None if before is None else F.col("date_sent") < before,
         None if excluded is None else F.col("excluded_at").isNotNull() == F.lit(excluded),
@@ -69,6 +84,38 @@ def list_detections(detections: DataFrame, *, entity=None, source_type=None, min
     ))
 
 
+def list_redactions(redactions: DataFrame, *, source_type=None, source_id=None, status=None, origin=None, exemption_code=None) -> DataFrame:
+    """In order: ``by_place``."""
+    wanted = {"source_type": source_type, "source_id": source_id, "status": status, "origin": origin, "exemption_code": exemption_code}
+    return redactions.where(all_of(*(None if v is None else F.col(c) == v for c, v in wanted.items())))
+
+
+def by_place() -> list:
+    return ["source_type", "source_id", "start", "exemption_code"]
+
+
+def email_redactions(redactions: DataFrame, email_id: int) -> DataFrame:
+    """The redactions of one e-mail's own texts."""
+    return redactions.where(F.col("source_type").startswith("email_") & (F.col("source_id") == email_id)).orderBy(*by_place())
+
+
+def list_flags(flags: DataFrame, *, review_status=None, source_type=None, source_id=None, entity_type=None, provider=None, qa_run_id=None) -> DataFrame:
+    """In order: the newest (largest id) first."""
+    wanted = {"review_status": review_status, "source_type": source_type, "source_id": source_id, "entity_type": entity_type, "provider": provider, "qa_run_id": qa_run_id}
+    return flags.where(all_of(*(None if v is None else F.col(c) == v for c, v in wanted.items())))
+
+
+def attachments_with_text(attachments: DataFrame, texts: DataFrame) -> DataFrame:
+    """Attachments and what was extracted of them; null where nothing was tried yet."""
+    t = texts.select("id", "extraction_status", "extraction_method", "character_count", "extracted_text")
+    return attachments.drop("extraction_status", "extraction_method", "character_count", "extracted_text").join(t, "id", "left")
+
+
+def content_of(rows: DataFrame, value, name: str = "filename", content: str = "content") -> DataFrame:
+    """What a download of one row holds: file name, type and bytes."""
+    return one(rows, "id", value).select(F.coalesce(F.col(name), F.lit("download")).alias("filename"), "content_type", F.col(content).alias("content"))
+
+
 def entity_counts(detections: DataFrame, min_score: float | None = None) -> DataFrame:
     rows = list_detections(detections, min_score=min_score).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
     return rows.orderBy(F.desc("n"), "entity_type")

@@ -26,7 +26,7 @@ def known(code: Column, config: Config) -> Column:
 
 
 def problem(config: Config) -> Column:
-    """The first rule that a row (with the source's ``text``, null if it is missing) breaks; null if none."""
+    """The first rule that a row (with the source's ``size``, null if it is missing) breaks; null if none."""
     rules = [
         (~F.coalesce(F.col("source_type").isin(*SOURCE_TYPES), F.lit(False)), "source_type"),
         (~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)), "status"),
@@ -37,8 +37,8 @@ def problem(config: Config) -> Column:
         (F.coalesce("exemption_code", F.lit("")) == "", "code_missing"),
         (~F.coalesce(known(F.col("exemption_code"), config), F.lit(False)), "code_unknown"),
         (F.col("status").isin("accepted", "rejected") & (F.coalesce("reviewer_id", F.lit("")) == ""), "reviewer"),
-        (F.col("text").isNull(), "source_missing"),
-        (F.col("end") > F.length("text"), "beyond_text"),
+        (F.col("size").isNull(), "source_missing"),
+        (F.col("end") > F.col("size"), "beyond_text"),
     ]
     out = F.when(rules[0][0], rules[0][1])
     for test, name in rules[1:]:
@@ -48,7 +48,8 @@ def problem(config: Config) -> Column:
 
 def validated(rows: DataFrame, sources: DataFrame, config: Config) -> DataFrame:
     """``rows`` with ``reason``: null for a valid redaction."""
-    return rows.join(sources, ["source_type", "source_id"], "left").withColumn("reason", problem(config)).drop("text")
+    sizes = sources.select("source_type", "source_id", F.length("text").alias("size"))  # no text is shuffled
+    return rows.join(sizes, ["source_type", "source_id"], "left").withColumn("reason", problem(config)).drop("size")
 
 
 def proposals(detections: DataFrame, sources: DataFrame, existing: DataFrame | None, config: Config, min_score: float | None = None, scope: DataFrame | None = None) -> DataFrame:
@@ -76,6 +77,17 @@ def reviewed(redactions: DataFrame, decisions: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.coalesce("new_status", "status")).withColumn("reviewer_id", F.coalesce("reviewer", "reviewer_id")).drop("new_status", "reviewer")
 
 
+def deleted(redactions: DataFrame, keys: DataFrame) -> DataFrame:
+    return redactions.join(keys.select(*KEY).distinct(), KEY, "left_anti")
+
+
+def refused(decisions: DataFrame) -> DataFrame:
+    """Those of ``decisions`` that ``reviewed`` leaves out, with the reason: an unknown status, or a verdict without reviewer."""
+    unknown = ~F.coalesce(F.col("new_status").isin(*STATUSES), F.lit(False))
+    unsigned = F.col("new_status").isin("accepted", "rejected") & (F.coalesce("reviewer", F.lit("")) == "")
+    return decisions.withColumn("reason", F.when(unknown, "status").when(unsigned, "reviewer")).where("reason IS NOT NULL")
+
+
 def inserted(target: DataFrame, rows: DataFrame, key: list[str], order: list) -> DataFrame:
     """``target`` and those rows whose key it does not hold; of equal keys the first in ``order``. Keys compare null-safely."""
     first = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
@@ -115,6 +127,13 @@ def without_orphans(rows: DataFrame, parents: DataFrame, key: str, parent_key: s
     return rows.join(parents.select(F.col(parent_key).alias(key)).distinct(), key, "left_semi")
 
 
+def without_parent(rows: DataFrame, parents: DataFrame, key: str, parent_key: str = "id") -> DataFrame:
+    """Set null: a reference to a parent that is gone becomes null."""
+    there = parents.select(F.col(parent_key).alias(key), F.lit(True).alias("_there")).distinct()
+    found = rows.join(there, key, "left")
+    return found.select(*(F.when(F.col("_there"), F.col(key)).alias(key) if c == key else F.col(c) for c in rows.columns))
+
+
 def dismissed(flags: DataFrame, ids: DataFrame, actor: str, at: str) -> DataFrame:
     """Open flags among ``ids`` become dismissed."""
     return _moved(flags, ids, "dismissed", actor, at)

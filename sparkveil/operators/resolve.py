@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkveil.functions.text import canonical_email, canonical_name, domain, is_internal
 
+#: What counts as an address in running text (fixed value).
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 #: Lines that open a signature (fixed values).
 SIGN_OFFS = (
@@ -32,7 +33,8 @@ def signature_emails(body: Column) -> Column:
     tail = F.filter(F.slice(lines, F.greatest(F.lit(1), F.size(lines) - 19), F.lit(20)), lambda x: F.regexp_replace(x, r"\s+", "") != "")
     tail = F.slice(tail, F.greatest(F.lit(1), F.size(tail) - 5), F.lit(6))
     region = F.when(at > 0, F.slice(lines, at + 1, F.size(lines))).otherwise(tail)
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.array_join(region, "\n"), F.lit(EMAIL), F.lit(0)), lambda x: F.lower(x)))
+    found = F.array_distinct(F.transform(F.regexp_extract_all(F.array_join(region, "\n"), F.lit(EMAIL), F.lit(0)), lambda x: F.lower(x)))
+    return F.when(body.contains("@"), found).otherwise(F.array().cast("array<string>"))  # most bodies are not cut into lines
 
 
 def sightings(emails: DataFrame) -> DataFrame:
@@ -70,6 +72,34 @@ def affiliations(seen: DataFrame) -> DataFrame:
     return seen.select("email", F.lit("email_domain").alias("affiliation_type"), domain(F.col("email")).alias("affiliation_value"), "observed_at", F.col("email_id").alias("source_email_id")).where("affiliation_value IS NOT NULL").distinct()
 
 
+class MergeError(ValueError):
+    pass
+
+
+def checked_merges(merges: DataFrame, people: DataFrame, key: str = "person", most: int = 64) -> DataFrame:
+    """``merges`` (loser, winner) with every loser's last winner. A merge with oneself, or of unknown persons, is refused, as are circles.
+
+    Chains are followed by doubling: each pass joins the mapping with itself, so ``most`` passes follow any chain.
+    """
+    m = merges.select("loser", "winner").distinct()
+    if m.where("loser = winner").take(1):
+        raise MergeError("a person cannot be merged with itself")
+    ids = people.select(F.col(key).alias("_id")).distinct()
+    if m.select(F.explode(F.array("loser", "winner")).alias("_id")).join(ids, "_id", "left_anti").take(1):
+        raise MergeError("unknown person")
+    if m.groupBy("loser").agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1):
+        raise MergeError("a person can be merged into one other only")
+    for _ in range(most):
+        on = m.select(F.col("loser").alias("_l"), F.col("winner").alias("_w"))
+        m = m.join(on, F.col("winner") == F.col("_l"), "left").select("loser", F.coalesce("_w", "winner").alias("winner"), F.col("_l").isNotNull().alias("_moved")).persist()
+        if m.where("loser = winner").take(1):
+            raise MergeError("merges in a circle")
+        if not m.where("_moved").take(1):
+            break
+        m = m.drop("_moved")
+    return m.select("loser", "winner")
+
+
 def merged(rows: DataFrame, merges: DataFrame, key: str) -> DataFrame:
     """``key`` of each loser becomes its winner's. ``merges`` (loser, winner) holds no chains and no self-merge."""
     m = merges.where("loser <> winner")
@@ -77,10 +107,76 @@ def merged(rows: DataFrame, merges: DataFrame, key: str) -> DataFrame:
 
 
 def merged_names(people: DataFrame, merges: DataFrame, key: str = "person") -> DataFrame:
-    """Persons after merging: sorted union of names; the display name is the winner's."""
-    rows = people.withColumn("_own", F.col(key))
-    rows = merged(rows, merges, key)
-    return rows.groupBy(key).agg(F.max_by("display_name", F.struct(F.col("_own") == F.col(key), F.col("_own"))).alias("display_name"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"))
+    """Persons after merging: sorted union of names; the display name is the longest of them, then the smallest."""
+    rows = merged(people, merges, key)
+    rows = rows.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"), F.min("display_name").alias("_any"))
+    best = F.get(F.array_sort(F.transform("names", lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), F.lit(0))["x"]
+    return rows.select(key, F.coalesce(best, "_any").alias("display_name"), "names")
+
+
+def merged_rows(rows: DataFrame, merges: DataFrame, key: str, unique: list[str]) -> DataFrame:
+    """Occurrences or affiliations after merging: of rows that become equal in ``unique`` (null-safely) the winner's own stays."""
+    own = rows.withColumn("_own", F.col(key))
+    moved = merged(own, merges, key)
+    nth = F.row_number().over(Window.partitionBy(key, *unique).orderBy((F.col("_own") != F.col(key)).cast("int"), "_own"))
+    return moved.withColumn("_nth", nth).where("_nth = 1").drop("_nth", "_own")
+
+
+def merged_addresses(addresses: DataFrame, merges: DataFrame, key: str) -> DataFrame:
+    """Addresses (key, email, is_primary) after merging: those of losers are no longer primary."""
+    rows = merged(addresses.withColumn("_own", F.col(key)), merges, key)
+    return rows.withColumn("is_primary", F.col("is_primary") & (F.col("_own") == F.col(key))).drop("_own")
+
+
+def internal_at(people: DataFrame, facts: DataFrame, when: str, domains: tuple[str, ...] | None, key: str = "person") -> DataFrame:
+    """``people`` with internal_then: was the last domain observed up to ``when`` one of ``domains``.
+
+    Of equal times the fact with the larger id counts; null without any. Without rules, the flag ``is_internal`` of those that were seen.
+    """
+    seen = facts.where((F.col("affiliation_type") == "email_domain") & (F.col("observed_at") <= F.lit(when)))
+    last = seen.groupBy(key).agg(F.max_by("affiliation_value", F.struct("observed_at", "id")).alias("_domain"))
+    rows = people.join(last, key, "left")
+    rule = F.col("is_internal") if domains is None else is_internal(F.concat(F.lit("x@"), F.col("_domain")), domains)
+    return rows.withColumn("internal_then", F.when(F.col("_domain").isNotNull(), rule)).drop("_domain")
+
+
+def history(facts: DataFrame, who=None, kind: str | None = None, key: str = "person") -> DataFrame:
+    """Affiliations in the order of their times, numbered for each person (``nth``, from 1); of one person, if ``who`` is given."""
+    rows = facts if who is None else facts.where(F.col(key) == who)
+    rows = rows if kind is None else rows.where(F.col("affiliation_type") == kind)
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy("observed_at", "id")))
+
+
+def listed(people: DataFrame, addresses: DataFrame, occurred: DataFrame, *, is_internal=None, email_domain: str | None = None, name_contains: str | None = None, key: str = "person") -> DataFrame:
+    """Persons with primary_email and occurrences, filtered; in order: ``most_seen_first``."""
+    rows = people
+    if is_internal is not None:
+        rows = rows.where(F.col("is_internal") == F.lit(is_internal))
+    if name_contains is not None:
+        rows = rows.where(F.lower("display_name").contains(name_contains.lower()))
+    if email_domain is not None:
+        rows = rows.join(addresses.where(F.lower("email").endswith("@" + email_domain.lower())), key, "left_semi")
+    first = addresses.where("is_primary").groupBy(key).agg(F.min("email").alias("primary_email"))
+    n = occurred.groupBy(key).agg(F.count(F.lit(1)).alias("occurrences"))
+    rows = rows.join(first, key, "left").join(n, key, "left")
+    return rows.select(key, "display_name", "is_internal", "primary_email", F.coalesce("occurrences", F.lit(0)).alias("occurrences"))
+
+
+def most_seen_first(key: str = "person") -> list:
+    return [F.desc("occurrences"), "display_name", key]
+
+
+def details(people: DataFrame, addresses: DataFrame, occurred: DataFrame, key: str = "person") -> DataFrame:
+    """Persons with their addresses (primary first) and a map of occurrences by role."""
+    mails = F.array_sort(F.collect_list(F.struct((~F.col("is_primary")).alias("later"), "email", "is_primary", "first_seen")))
+    a = addresses.groupBy(key).agg(F.transform(mails, lambda x: F.struct(x["email"], x["is_primary"], x["first_seen"])).alias("emails"))
+    o = occurred.groupBy(key, "role").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", "n")))).alias("occurrences_by_type"))
+    return people.join(a, key, "left").join(o, key, "left")
+
+
+def addresses(seen: DataFrame) -> DataFrame:
+    """person, email, is_primary, first_seen. Before any merge a person is one address, which is its key."""
+    return seen.groupBy("email").agg(F.min("observed_at").alias("first_seen")).select(F.col("email").alias("person"), "email", F.lit(True).alias("is_primary"), "first_seen")
 
 
 def renamed(people: DataFrame, key: str, who: str, display: str, note: str | None = None) -> DataFrame:

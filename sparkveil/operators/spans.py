@@ -37,9 +37,6 @@ def matches(text: Column, pattern: Pattern, ord_: int) -> Column:
 
 def _sound(text: Column, s: Column, pattern: Pattern) -> Column:
     ok = F.lit(True)
-    if pattern.edges:
-        before, after = F.substring(text, s["start"], F.when(s["start"] > 0, 1).otherwise(0)), F.substring(text, s["end"] + 1, F.lit(1))
-        ok = ok & ~before.rlike("[0-9A-Za-z]") & ~after.rlike("[0-9A-Za-z]")
     hit = F.substring(text, s["start"] + 1, s["end"] - s["start"])
     if pattern.check == "luhn":
         ok = ok & F.call_function("luhn_check", F.regexp_replace(hit, "[^0-9]", ""))
@@ -88,6 +85,16 @@ def detect(sources: DataFrame, config: Config) -> DataFrame:
     return scan(sources, config.patterns, config.min_score)
 
 
+def run_counts(sources: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: sources_scanned, sources_skipped (blank texts), detections_written, by_entity (a map)."""
+    blank = F.coalesce(F.trim("text"), F.lit("")) == ""
+    seen = sources.agg(F.count_if(~blank).alias("sources_scanned"), F.count_if(blank).alias("sources_skipped"))
+    tally = found.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
+    tally = tally.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("detections_written"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity_type", "n")))).alias("by_entity"))
+    one = lambda df: df.withColumn("_", F.lit(0))
+    return one(seen).join(one(tally), "_").drop("_")
+
+
 def replaced(old: DataFrame, new: DataFrame, scanned: DataFrame) -> DataFrame:
     """``old`` without the rows of any scanned source, and ``new``."""
     return old.join(scanned.select(*KEY).distinct(), KEY, "left_anti").unionByName(new)
@@ -95,21 +102,17 @@ def replaced(old: DataFrame, new: DataFrame, scanned: DataFrame) -> DataFrame:
 
 def wrapped(sources: DataFrame, width: int) -> DataFrame:
     """Lines of at most ``width`` code points: key, line_no, start, line. Control characters become blanks, one for one."""
-    lines = F.transform(F.split("text", "\n", -1), lambda x: x)
-    rows = sources.select(*KEY, F.posexplode(_with_offsets(lines)).alias("para", "p"))
-    cut = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("p.line") - 1), F.lit(width)))
-    rows = rows.select(*KEY, "para", (F.col("p.start")).alias("base"), F.col("p.line").alias("whole"), cut.alias("at"))
+    rows = sources.select(*KEY, F.posexplode(F.split("text", "\n", -1)).alias("para", "whole"))
+    so_far = Window.partitionBy(*KEY).orderBy("para").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select(*KEY, "whole", F.coalesce(F.sum(F.length("whole") + 1).over(so_far), F.lit(0)).cast("int").alias("base"))
+    cut = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("whole") - 1), F.lit(width)))
+    rows = rows.select(*KEY, "base", "whole", cut.alias("at"))
     line = F.regexp_replace(F.substring(F.col("whole"), F.col("at") + 1, F.lit(width)), r"[\x00-\x09\x0B-\x1F\x7F]", " ")
     rows = rows.select(*KEY, (F.col("base") + F.col("at")).alias("start"), line.alias("line"))
     order = Window.partitionBy(*KEY).orderBy("start")
     return rows.select(*KEY, (F.row_number().over(order) - 1).alias("line_no"), "start", "line")
 
 
-def _with_offsets(lines: Column) -> Column:
-    start = F.struct(F.lit(0).alias("pos"), F.from_json(F.lit("[]"), "array<struct<start:int,line:string>>").alias("out"))
-    return F.aggregate(lines, start, lambda acc, x: F.struct((acc["pos"] + F.length(x) + 1).alias("pos"), F.concat(acc["out"], F.array(F.struct(acc["pos"].alias("start"), x.alias("line")))).alias("out")), lambda acc: acc["out"])
-
-
 def clipped(lines: DataFrame, spans: DataFrame) -> DataFrame:
     """Spans cut to lines, in line coordinates: an equi-join on the source with a range residual."""
     end = F.col("l.start") + F.length("l.line")

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from sparkveil.config import SAMPLE, Pattern
+from sparkveil.config import BUILTIN, SAMPLE, Pattern
 from sparkveil.operators.resolve import EMAIL, SIGN_OFFS
-from sparkveil.operators.search import MARKED, PLAIN
 from sparkveil.sources.fixtures import ATTACHMENTS, EMAILS
 
 ORACLES: dict[str, str] = {}
@@ -22,8 +21,6 @@ def _hits(p: Pattern, order: int, sources: str = "bodies") -> str:
     """SQL for the matches of one pattern: the texts between matches, and the matches, give offsets."""
     re = _quoted(p.regex)
     tests = ["true"]
-    if p.edges:
-        tests += ["NOT regexp_matches(CASE WHEN s > 0 THEN substr(text, s, 1) ELSE '' END, '[0-9A-Za-z]')", "NOT regexp_matches(substr(text, e + 1, 1), '[0-9A-Za-z]')"]
     if p.check == "luhn":
         digits = "regexp_replace(hit, '[^0-9]', '', 'g')"
         at = f"CAST(substr({digits}, length({digits}) - j, 1) AS INTEGER)"
@@ -93,7 +90,7 @@ GOLD = """SELECT k, text, e, s, s + n AS t FROM (
 PRF = """SELECT e AS entity_type, CAST(count(*) FILTER (found AND gold) AS BIGINT) AS tp, CAST(count(*) FILTER (found AND NOT gold) AS BIGINT) AS fp, CAST(count(*) FILTER (gold AND NOT found) AS BIGINT) AS fn
 FROM (SELECT e, NOT (e = 'US_SSN' AND substr(text, 5, 3) IN ('000', '666')) AS found, NOT (e = 'PHONE_NUMBER' AND k % 10 = 0) AS gold FROM gold) GROUP BY e"""
 RATES = "round(p, 4) AS precision, round(r, 4) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 4) AS f1"
-WORDS = f"regexp_extract_all(translate(lower(TEXT), '{MARKED}', '{PLAIN}'), '[\\p{{L}}\\p{{N}}]+')"
+WORDS = "regexp_extract_all(strip_accents(lower(TEXT)), '[\\p{L}\\p{N}]+')"
 SEARCHED = f"""SELECT 'email' AS scope, id, subject AS title, body_text AS text FROM emails UNION ALL SELECT 'attachment', id, filename, {_TEXT} FROM attachments"""
 TOKENS = f"SELECT scope, id, title, text, {WORDS.replace('TEXT', 'title')} AS a, {WORDS.replace('TEXT', 'text')} AS b FROM searched"
 
@@ -193,15 +190,58 @@ _add("persons_list", "seen", f"SELECT email, min(observed_at) AS first_seen, cou
 _add("person_roles", "seen", "SELECT email, role, count(DISTINCT email_id) AS n FROM seen GROUP BY 1, 2")
 _add("person_display_name", "seen", """SELECT email, coalesce(min_by(name, (-length(name), name)) FILTER (name IS NOT NULL), email) AS display_name, coalesce(string_agg(name, '|' ORDER BY first) FILTER (name IS NOT NULL), '') AS names
 FROM (SELECT email, name, min(email_id) AS first FROM seen GROUP BY 1, 2) GROUP BY email""")
-_add("person_merge", "", """SELECT w AS person, max_by(c_name, (c_custkey = w, c_custkey)) AS display_name, array_to_string(list_sort(list_distinct(list_concat(list(c_name), list(c_mktsegment)))), '|') AS names
+_add("person_merge", "", """SELECT w AS person, list_sort(list_transform(list_distinct(list_concat(list(c_name), list(c_mktsegment))), lambda x: (-length(x), x)))[1][2] AS display_name, array_to_string(list_sort(list_distinct(list_concat(list(c_name), list(c_mktsegment)))), '|') AS names
 FROM (SELECT *, CASE WHEN c_custkey % 3 = 1 AND c_custkey > 1 THEN c_custkey - 1 ELSE c_custkey END AS w FROM customer) GROUP BY w""")
 _add("internal_flag", "emails", f"SELECT id, {_INTERNAL.replace('X', 'lower(trim(from_addr))')} AS is_internal FROM emails")
 _add("signature_emails", "signed", "SELECT doc_id, array_to_string(found, '|') AS emails FROM signed WHERE len(found) > 0")
 _add("affiliation_asof", "facts", """SELECT p.event_id AS probe, p.user_id, f.event_type FROM (SELECT * FROM events WHERE event_type = 'error') p
 ASOF LEFT JOIN facts f ON p.user_id = f.user_id AND p.ts >= f.ts""")
-_add("internal_asof", "facts", "SELECT user_id, max_by(event_type, (ts, event_id)) IN ('view', 'click') AS is_internal FROM facts WHERE ts <= TIMESTAMP '2024-01-15 00:00:00' GROUP BY 1")
+CTES["evidence"] = "SELECT DISTINCT email AS person, split_part(email, '@', -1) AS affiliation_value, observed_at, email_id AS id FROM seen WHERE contains(email, '@')"
+CTES["people"] = f"SELECT email AS person, coalesce(min_by(name, (-length(name), name)) FILTER (name IS NOT NULL), email) AS display_name, min(observed_at) AS first_seen, {_INTERNAL.replace('X', 'email')} AS is_internal FROM seen GROUP BY email"
+CTES["roles"] = "SELECT DISTINCT email AS person, role, email_id FROM seen"
+CTES["merges"] = "SELECT 'user' || i || '@example.org' AS loser, 'user' || (CASE WHEN i < 40 THEN i + 20 ELSE i + 10 END) || '@example.org' AS winner FROM range(30, 50) t(i)"
+_USES |= {"evidence": ["seen"], "people": ["seen"], "roles": ["seen"]}
+_THEN = _INTERNAL.replace("X", "'x@' || d")
+_add("internal_asof", "people evidence", f"""SELECT person, CAST(CASE WHEN d IS NOT NULL THEN {_THEN} END AS VARCHAR) AS internal_then FROM people LEFT JOIN
+(SELECT person, max_by(affiliation_value, (observed_at, id)) AS d FROM evidence WHERE observed_at <= '2024-06-01' GROUP BY 1) USING (person)""")
+_add("affiliations_list", "evidence", "SELECT person, 'email_domain' AS affiliation_type, affiliation_value, observed_at, id FROM evidence")
+_add("persons_page", "people roles", """SELECT person, display_name, is_internal, person AS primary_email, n AS occurrences, count(*) OVER () AS total FROM people JOIN (SELECT person, count(*) AS n FROM roles GROUP BY 1) USING (person)
+WHERE is_internal AND ends_with(person, '@sub.example.org') AND contains(lower(display_name), 'user') ORDER BY n DESC, display_name, person LIMIT 20 OFFSET 5""")
+_add("person_details", "people roles", """SELECT person, person || ' ' || first_seen AS emails, r AS roles FROM people JOIN
+(SELECT person, string_agg(role || '=' || n, ',' ORDER BY role) AS r FROM (SELECT person, role, count(*) AS n FROM roles GROUP BY 1, 2) GROUP BY 1) USING (person)""")
+_add("merged_occurrences", "roles merges", "SELECT person, count(*) AS n FROM (SELECT DISTINCT coalesce(winner, person) AS person, role, email_id FROM roles LEFT JOIN merges ON loser = person) GROUP BY 1")
+_add("merged_affiliations", "evidence merges", "SELECT person, count(*) AS n FROM (SELECT DISTINCT coalesce(winner, person) AS person, affiliation_value, id FROM evidence LEFT JOIN merges ON loser = person) GROUP BY 1")
+_add("merged_addresses", "people merges", "SELECT coalesce(winner, person) AS person, person AS email, winner IS NULL AS is_primary FROM people LEFT JOIN merges ON loser = person")
+_add("person_renamed", "seen", """SELECT email AS person, CASE WHEN email = 'user7@example.org' THEN 'The Clerk' ELSE coalesce(min_by(name, (-length(name), name)) FILTER (name IS NOT NULL), email) END AS display_name,
+  concat_ws('|', string_agg(name, '|' ORDER BY first) FILTER (name IS NOT NULL), CASE WHEN email = 'user7@example.org' THEN 'The Clerk' END) AS names
+FROM (SELECT email, name, min(email_id) AS first FROM seen GROUP BY 1, 2) GROUP BY email""")
 _add("affiliation_latest", "facts", "SELECT user_id, event_type, event_id FROM (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY ts DESC) AS r FROM facts WHERE ts <= TIMESTAMP '2024-01-20 00:00:00') WHERE r = 1")
-_add("affiliation_history", "facts", "SELECT event_id, event_type FROM facts WHERE user_id = 7")
+_add("affiliation_history", "evidence", "SELECT person, affiliation_value, id, row_number() OVER (PARTITION BY person ORDER BY observed_at, id) AS nth FROM evidence")
+_add("emails_total", "emails", "SELECT id, date_sent, count(*) OVER () AS total FROM emails WHERE mbox_source = 'src0' AND excluded_at IS NULL ORDER BY date_sent DESC NULLS LAST, id DESC LIMIT 25 OFFSET 2")
+_add("email_details", "emails attachments detections", """SELECT e.id, CAST(coalesce(a.n, 0) AS INTEGER) AS n_attachments, a.f AS first_file, CAST(coalesce(d.n, 0) AS INTEGER) AS n_detections, coalesce(d.s, -1) AS first_start FROM emails e
+LEFT JOIN (SELECT email_id, count(*) AS n, min_by(filename, id) AS f FROM attachments GROUP BY 1) a ON a.email_id = e.id
+LEFT JOIN (SELECT source_id, count(*) AS n, min(start_offset) AS s FROM detections GROUP BY 1) d ON d.source_id = e.id""")
+_add("attachments_with_text", "attachments", f"SELECT id, filename, CASE WHEN extraction_status = 'ok' THEN 'ok' END AS extraction_status, CASE WHEN extraction_status = 'ok' THEN CAST(length({_TEXT}) AS INTEGER) ELSE -1 END AS character_count FROM attachments")
+_add("run_counts", "bodies detections", """SELECT count(*) FILTER (trim(text) <> '') AS sources_scanned, count(*) FILTER (trim(text) = '') AS sources_skipped, (SELECT count(*) FROM detections) AS detections_written,
+  (SELECT string_agg(entity_type || '=' || n, ',' ORDER BY entity_type) FROM (SELECT entity_type, count(*) AS n FROM detections GROUP BY 1)) AS by_entity FROM bodies""")
+_add("redactions_page", "redactions", "SELECT source_id, start_offset, end_offset, exemption_code, count(*) OVER () AS total FROM redactions WHERE status = 'rejected' ORDER BY source_type, source_id, start_offset, exemption_code LIMIT 50 OFFSET 3")
+_CASES = "SELECT n_nationkey AS id, n_name AS name, CASE n_nationkey % 3 WHEN 0 THEN 'ready' WHEN 1 THEN 'failed' ELSE 'processing' END AS status, concat('2024-01-', lpad(CAST(n_nationkey % 9 + 10 AS VARCHAR), 2, '0')) AS created_at FROM nation"
+_add("cases_list", "", f"SELECT id, name, created_at, count(*) OVER () AS total FROM ({_CASES}) WHERE status = 'ready' ORDER BY created_at DESC, id DESC LIMIT 5 OFFSET 1")
+_add("cases_detail", "", """SELECT n_nationkey AS id, coalesce(n, 0) AS emails, CAST(j AS BIGINT) AS job_id, CASE j % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'running' WHEN 2 THEN 'succeeded' WHEN 3 THEN 'succeeded' END AS job_status
+FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS n, max(c_custkey) AS j FROM customer GROUP BY 1) ON c_nationkey = n_nationkey""")
+_add("case_status_change", "", f"SELECT id, CASE WHEN id = 4 THEN 'failed' ELSE status END AS status, CASE WHEN id = 4 THEN 'no space' END AS error_message, CASE WHEN id = 4 THEN 'extract' END AS failed_stage, CASE WHEN id = 4 THEN '2024-02-02' END AS updated_at FROM ({_CASES})")
+_add("job_retry", "", """SELECT c_custkey AS id, CASE WHEN c_custkey = 8 THEN 'queued' WHEN c_custkey % 4 = 0 THEN 'failed' WHEN c_custkey % 4 = 1 THEN 'running' ELSE 'succeeded' END AS status,
+  CASE WHEN c_custkey % 4 = 0 AND c_custkey <> 8 THEN 'detect' END AS failed_stage, CASE WHEN c_custkey <> 8 THEN '2025' END AS finished_at FROM customer""")
+_add("session_states", "", """SELECT t.event_id + 5 || '' AS token, coalesce(s.event_id, -1) AS session_id, CASE WHEN s.event_id IS NULL THEN 'unknown' WHEN s.event_type = 'error' THEN 'revoked' WHEN s.user_id % 10 = 0 THEN 'disabled'
+  WHEN date_trunc('second', s.ts) + INTERVAL 8 HOURS <= TIMESTAMP '2024-01-20 12:00:00' THEN 'expired'
+  WHEN s.event_id % 5 = 0 OR TIMESTAMP '2024-01-20 12:00:00' - (date_trunc('second', s.ts) + to_hours(s.event_id % 7)) >= INTERVAL 15 MINUTES THEN 'recheck' ELSE 'active' END AS state
+FROM events t LEFT JOIN events s ON s.event_id = t.event_id + 5""")
+_add("rows_tagged_to_case", "emails", "SELECT id, coalesce(CASE WHEN id % 3 > 0 THEN case_id WHEN mbox_source = 'src1' THEN 77 END, -1) AS case_id FROM emails")
+_add("orphans_removed", "emails attachments", "SELECT id, email_id FROM attachments WHERE email_id IN (SELECT id FROM emails WHERE excluded_at IS NULL)")
+_add("parents_set_null", "emails attachments", "SELECT a.id, coalesce(e.id, -1) AS email_id FROM attachments a LEFT JOIN emails e ON e.id = a.email_id AND e.excluded_at IS NULL")
+_add("rows_inserted_once", "", "SELECT o_custkey AS k, o_orderstatus AS s, CASE WHEN o_custkey % 2 = 0 THEN count(*) ELSE 1 END AS n, min(o_orderkey) AS v FROM orders GROUP BY 1, 2")
+_add("rows_upserted", "", """SELECT coalesce(n.k, o.c_custkey) AS k, coalesce(n.name, o.c_name) AS name, o.c_mktsegment AS segment FROM customer o
+FULL JOIN (SELECT c_custkey + 100 AS k, CASE WHEN c_custkey % 2 = 0 THEN c_name || '!' END AS name FROM customer) n ON n.k = o.c_custkey""")
 _add("lockout_window", "", """SELECT event_id, user_id, n AS n_recent, n >= 3 AS locked FROM (SELECT event_id, user_id,
   count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW) AS n FROM events WHERE event_type = 'error')""")
 _add("propose_redactions", "proposed", "SELECT source_type, source_id, start_offset, end_offset, exemption_code, 'proposed' AS status, 'auto' AS origin FROM proposed WHERE nth = 1")
@@ -214,15 +254,68 @@ _add("redactions_reviewed", "proposed", """SELECT CASE WHEN source_id % 5 <> 0 A
 FROM proposed WHERE nth = 1 GROUP BY 1""")
 _add("emails_excluded", "emails", "SELECT id, CASE WHEN id % 46 = 0 THEN NULL ELSE coalesce(excluded_at, CASE WHEN id % 10 = 3 THEN '2025-03-01T00:00:00+00:00' END) END AS excluded_at FROM emails")
 _add("bates_pages", "layout", "SELECT id, CAST(pages AS BIGINT) AS pages, printf('PROD-%06d', CAST(before + 1 AS BIGINT)) AS first_page, printf('PROD-%06d', CAST(before + pages AS BIGINT)) AS last_page FROM layout")
+def _step(inner: str, kind: str, n: str = "0") -> str:
+    """Adds to (page p, used units u) what one part of a drawing takes."""
+    if kind == "lines":
+        first = "greatest(0, (275 - u) // 5)"
+        return f"SELECT * REPLACE (CASE WHEN {n} > {first} THEN p + 1 + ({n} - {first} - 1) // 55 ELSE p END AS p, CASE WHEN {n} > {first} THEN (({n} - {first} - 1) % 55 + 1) * 5 ELSE u + 5 * {n} END AS u) FROM ({inner})"
+    if kind == "gap":
+        return f"SELECT * REPLACE (u + 2 AS u) FROM ({inner})"
+    needs, takes = {"heading": (10, 8), "rule": (5, 3)}[kind]
+    return f"SELECT * REPLACE (CASE WHEN u + {needs} > 275 THEN p + 1 ELSE p END AS p, CASE WHEN u + {needs} > 275 THEN 0 ELSE u END + {takes} AS u) FROM ({inner})"
+
+
+def _mark(inner: str, name: str) -> str:
+    return f"SELECT *, p AS {name}_p, u AS {name}_u FROM ({inner})"
+
+
+_LINES = LINES.replace("source_id", "source_type, source_id", 1).replace("PARTITION BY source_id", "PARTITION BY source_type, source_id").replace("SELECT source_id, CAST(base", "SELECT source_type, source_id, CAST(base").replace("SELECT source_id, p, base", "SELECT source_type, source_id, p, base").replace("SELECT source_id, ps[i]", "SELECT source_type, source_id, ps[i]").replace("SELECT source_id, string_split", "SELECT source_type, source_id, string_split").replace("FROM bodies", "FROM sources")
+CTES["all_lines"] = _LINES
+CTES["line_counts"] = "SELECT source_type, source_id, count(*) AS n FROM all_lines GROUP BY 1, 2"
+_N = "(SELECT n FROM line_counts l WHERE l.source_type = '{}' AND l.source_id = {}.id)"
+_mail = "SELECT id, date_sent, CAST(3 + CASE WHEN cc_addr IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN date_sent IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS h, greatest(1, coalesce(s.n, 0)) AS sn, greatest(1, coalesce(b.n, 0)) AS bn, CAST(0 AS BIGINT) AS p, CAST(0 AS BIGINT) AS u FROM emails e LEFT JOIN line_counts s ON s.source_type = 'email_subject' AND s.source_id = e.id LEFT JOIN line_counts b ON b.source_type = 'email_body_text' AND b.source_id = e.id WHERE excluded_at IS NULL"
+_mail = _step(_step(_step(_step(_mail, "heading"), "lines", "h"), "gap"), "lines", "1")
+_mail = _step(_step(_mark(_mail, "s"), "lines", "sn"), "rule")
+CTES["mail_pages"] = _step(_step(_mark(_step(_mail, "heading"), "b"), "lines", "bn"), "rule")
+_file = "SELECT a.id, a.email_id, CAST(3 AS BIGINT) AS h, greatest(1, coalesce(t.n, 0)) AS tn, CAST(0 AS BIGINT) AS p, CAST(0 AS BIGINT) AS u FROM attachments a JOIN emails e ON e.id = a.email_id AND e.excluded_at IS NULL LEFT JOIN line_counts t ON t.source_type = 'attachment_text' AND t.source_id = a.id WHERE a.extraction_status = 'ok'"
+CTES["file_pages"] = _step(_step(_mark(_step(_step(_step(_file, "heading"), "lines", "h"), "gap"), "t"), "lines", "tn"), "rule")
+_before = "coalesce(sum(p + 1) OVER (ORDER BY {} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+CTES["places"] = f"""SELECT k.source_type, id AS source_id, 'email ' || id AS source_label, CAST(before + CASE WHEN k.source_type = 'email_subject' THEN s_p ELSE b_p END AS BIGINT) AS page, CASE WHEN k.source_type = 'email_subject' THEN s_u ELSE b_u END AS used, p + 1 AS pages
+FROM (SELECT *, {_before.format('date_sent NULLS LAST, id')} AS before FROM mail_pages), (VALUES ('email_subject'), ('email_body_text')) k(source_type)
+UNION ALL SELECT 'attachment_text', id, 'attach ' || id, CAST(before + t_p + (SELECT coalesce(sum(p + 1), 0) FROM mail_pages) AS BIGINT), t_u, p + 1 FROM (SELECT *, {_before.format('email_id, id')} AS before FROM file_pages)"""
+CTES["full_log"] = """SELECT printf('PROD-%06d', CAST(page + 1 + CASE WHEN n < (275 - used) // 5 THEN 0 ELSE 1 + (n - (275 - used) // 5) // 55 END AS BIGINT)) AS bates_label, r.source_id * 100000 + r.start_offset AS redaction_id, r.source_type, r.source_id, source_label,
+  r.start_offset, r.end_offset, r.end_offset - r.start_offset AS length, r.exemption_code, '' AS reviewer_id, '2025-05-05' AS accepted_at
+FROM (SELECT * FROM redactions WHERE status = 'accepted') r JOIN (SELECT l.source_id, s.start_offset, s.end_offset, min(l.line_no) AS n FROM all_lines l JOIN redactions s ON s.source_id = l.source_id AND s.source_type = l.source_type AND s.start_offset < l.start_offset + length(l.line) AND l.start_offset < s.end_offset WHERE s.status = 'accepted' GROUP BY 1, 2, 3) f
+  ON f.source_id = r.source_id AND f.start_offset = r.start_offset AND f.end_offset = r.end_offset JOIN places p ON p.source_type = r.source_type AND p.source_id = r.source_id"""
+_USES |= {"all_lines": ["sources"], "line_counts": ["all_lines"], "mail_pages": ["emails", "line_counts"], "file_pages": ["emails", "attachments", "line_counts"], "places": ["mail_pages", "file_pages"], "full_log": ["places", "redactions", "all_lines"]}
+_add("production_places", "places", "SELECT * FROM places")
+_add("redaction_log_full", "full_log", "SELECT * FROM full_log")
+_add("production_manifest", "full_log", """SELECT (SELECT count(*) FROM mail_pages) AS emails_exported, (SELECT count(*) FROM file_pages) AS attachments_exported, CAST(n AS BIGINT) AS pages_written,
+  (SELECT count(DISTINCT redaction_id) FROM full_log) AS redactions_burned, 'PROD-000001' AS bates_first, printf('PROD-%06d', CAST(n AS BIGINT)) AS bates_last
+FROM (SELECT (SELECT coalesce(sum(p + 1), 0) FROM mail_pages) + (SELECT coalesce(sum(p + 1), 0) FROM file_pages) + 1 AS n)""")
+_add("production_lines", "lines accepted", """SELECT source_id, line_no, coalesce(string_agg(CASE WHEN EXISTS (SELECT 1 FROM accepted a WHERE a.source_id = c.source_id AND a.start_offset <= i AND i < a.end_offset) THEN '█' ELSE ch END, '' ORDER BY i) FILTER (ch <> ''), '') AS line
+FROM (SELECT source_id, line_no, start_offset + j AS i, substr(line, CAST(j + 1 AS BIGINT), 1) AS ch FROM (SELECT *, unnest(range(0, greatest(1, length(line)))) AS j FROM lines)) c GROUP BY 1, 2""")
 _add("redaction_log", "clips layout", """SELECT source_id, span_start, span_end, printf('PROD-%06d', CAST(before + 1 + CASE WHEN n < 50 THEN 0 ELSE 1 + (n - 50) // 55 END AS BIGINT)) AS page
 FROM (SELECT source_id, span_start, span_end, min(line_no) AS n FROM clips GROUP BY 1, 2, 3) JOIN layout ON id = source_id""")
 _add("eval_prf", "prf", f"SELECT entity_type, tp, fp, fn, {RATES} FROM (SELECT *, CASE WHEN tp + fp = 0 THEN 1 ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 1 ELSE tp / (tp + fn) END AS r FROM prf)")
 _add("eval_micro", "prf", f"SELECT tp, fp, fn, {RATES} FROM (SELECT *, tp / (tp + fp) AS p, tp / (tp + fn) AS r FROM (SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM prf))")
 _add("search_bm25", "tokens", _bm25([_one("and"), _one("the")]))
+_add("search_by_index", "tokens", _bm25([_one("and"), _one("the")]))
+_add("search_folded", "", _bm25([_one("dvorak")]).replace("FROM tokens", """FROM (SELECT 'email' AS scope, doc_id AS id, regexp_extract_all(strip_accents(lower(CASE doc_id % 3 WHEN 0 THEN 'Dvořák' WHEN 1 THEN 'DVORAK' ELSE 'Łódź' END)), '[\\p{L}\\p{N}]+') AS a,
+regexp_extract_all(strip_accents(lower(substr(text, 1, 40 + doc_id % 50))), '[\\p{L}\\p{N}]+') AS b FROM documents)""").replace("SELECT scope, id, round", "SELECT id, round"))
 _add("search_scope", "tokens", f"SELECT id, score FROM ({_bm25([_two('of', 'the')])}) WHERE scope = 'email' ORDER BY score, id LIMIT 50")
 _add("fts_backfill_missing", "searched", "SELECT scope, count(*) AS n FROM searched WHERE id % 3 = 0 GROUP BY 1")
 _add("html_to_text", "", f"SELECT page_id, {_TEXT} AS text FROM pages")
 _add("ai_reanchor", "", """SELECT source_id, 'NAME' AS entity_type, CAST(strpos(text, m) - 1 AS INTEGER) AS start_offset, CAST(strpos(text, m) - 1 + length(m) AS INTEGER) AS end_offset, conf AS confidence
 FROM (SELECT doc_id AS source_id, text, trim(substr(text, 11, 12), ' ') AS m, CAST(CASE doc_id % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 ELSE 0.25 END AS DOUBLE) AS conf FROM documents) WHERE m <> '' AND strpos(text, m) > 0""")
+_FLAGS = "SELECT *, source_id * 100000 + start_offset AS id, source_id % 2 = 0 AS is_open FROM detections"
+_add("flags_page", "detections", f"SELECT id, source_id, count(*) OVER () AS total FROM ({_FLAGS}) WHERE is_open AND entity_type = 'EMAIL_ADDRESS' ORDER BY id DESC LIMIT 30 OFFSET 2")
+_add("flags_promoted", "detections", f"""SELECT source_id, start_offset, end_offset, exemption_code, 'proposed' AS status, 'manual' AS origin FROM (SELECT *, coalesce(CASE WHEN source_id % 4 = 0 THEN 'FIN' END, {CODE}) AS exemption_code FROM ({_FLAGS}) WHERE is_open AND source_id % 3 = 0) WHERE {KNOWN}""")
+_add("flags_dismissed", "detections", f"SELECT 'dismissed' AS review_status, CASE WHEN is_open THEN 'ann' END AS review_actor, count(*) AS n FROM ({_FLAGS}) WHERE NOT is_open OR start_offset % 2 = 0 GROUP BY 1, 2 UNION ALL SELECT 'open', NULL, count(*) FROM ({_FLAGS}) WHERE is_open AND start_offset % 2 <> 0")
+_add("prompts_truncated", "", "SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || ' [truncated]' ELSE text END AS prompt FROM documents")
+CTES["formats"] = """SELECT 'rendered' AS source_type, c_custkey AS source_id, printf('SSN %03d-%02d-%04d, itin 9%02d-7%d-%04d. ', c_custkey % 900, c_custkey % 100, c_custkey % 10000, c_custkey % 100, c_custkey % 10, c_custkey) || printf('A1234 4111 1111 1111 1111 or 4111 1111 1111 111%d; ', c_custkey % 10)
+|| printf('B%07d C%08d MD%07d acct %010d x%010d ', c_custkey, c_custkey, c_custkey, c_custkey, c_custkey) || printf('DE89%018d http://h%d.org/p?q=%d ', c_custkey, c_custkey, c_custkey) || printf('10.0.%d.%d and %d/%d/2024 May %d, 2024 ', c_custkey % 256, c_custkey % 300, c_custkey % 12 + 1, c_custkey % 28 + 1, c_custkey % 28 + 1)
+|| printf('+1 (%03d) 555-%04d, %03d.555.%04d', c_custkey % 1000, c_custkey, c_custkey % 1000, c_custkey) AS text FROM customer"""
+_add("pii_builtin_spans", "formats", "SELECT source_id, recognizer, start_offset, end_offset, matched_text FROM (" + " UNION ALL ".join(_hits(p, 0, "formats") for p in BUILTIN.values()) + ")")
 _add("ai_json_extract", "", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 _add("event_tail_stream", "", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")

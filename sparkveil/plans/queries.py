@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkveil.config import SAMPLE
-from sparkveil.functions.text import is_internal, json_block, plain_text
-from sparkveil.operators import ai, produce, query, redact, resolve, search, spans
+from sparkveil.functions.text import is_internal, json_block, plain_text, truncated
+from sparkveil.operators import ai, cases, produce, query, redact, resolve, search, spans
 from sparkveil.sources.fixtures import Corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +101,31 @@ def emails_page(c: Corpus) -> DataFrame:
     return query.page(rows, query.newest_first(), 50, 10).select("id", "subject", "date_sent")
 
 
+@registered
+def emails_total(c: Corpus) -> DataFrame:
+    rows = query.list_emails(c.emails, c.attachments, c.detections, mbox_source="src0", excluded=False)
+    return query.with_total(rows, query.newest_first(), 25, 2).select("id", "date_sent", "total")
+
+
+@registered
+def email_details(c: Corpus) -> DataFrame:
+    rows = query.email_details(c.emails, c.attachments, c.detections)
+    size = lambda x: F.coalesce(F.when(F.col(x).isNotNull(), F.size(x)), F.lit(0))
+    return rows.select("id", size("attachments").alias("n_attachments"), F.get("attachments", F.lit(0))["filename"].alias("first_file"), size("detections").alias("n_detections"), F.coalesce(F.get("detections", F.lit(0))["start"], F.lit(-1)).alias("first_start"))
+
+
+@registered
+def attachments_with_text(c: Corpus) -> DataFrame:
+    texts = c.files.where("extraction_status = 'ok'").select("id", "extraction_status", F.lit("html").alias("extraction_method"), F.length("extracted_text").alias("character_count"), "extracted_text")
+    return query.attachments_with_text(c.attachments, texts).select("id", "filename", "extraction_status", F.coalesce("character_count", F.lit(-1)).alias("character_count"))
+
+
+@registered
+def run_counts(c: Corpus) -> DataFrame:
+    rows = spans.run_counts(c.bodies, c.detections)
+    return rows.select("sources_scanned", "sources_skipped", "detections_written", F.array_join(F.transform(F.array_sort(F.map_entries("by_entity")), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",").alias("by_entity"))
+
+
 def _mail_ids(name: str, **filters):
     def run(c: Corpus) -> DataFrame:
         return query.list_emails(c.emails, c.attachments, c.detections, **filters).select("id", "date_sent", "case_id")
@@ -156,6 +182,81 @@ def redactions_filtered(c: Corpus) -> DataFrame:
     return _redactions(c).where("status = 'accepted' AND exemption_code = 'PII'").select("source_type", "source_id", "start", "end", "exemption_code").withColumnsRenamed(SPAN)
 
 
+@registered
+def redactions_page(c: Corpus) -> DataFrame:
+    rows = query.list_redactions(_redactions(c), status="rejected", origin="auto", source_type="email_body_text")
+    return query.with_total(rows, query.by_place(), 50, 3).select("source_id", "start", "end", "exemption_code", "total").withColumnsRenamed(SPAN)
+
+
+def _cases(c: Corpus) -> tuple[DataFrame, DataFrame]:
+    rows = c.table("nation").selectExpr("n_nationkey AS id", "n_name AS name", "CASE n_nationkey % 3 WHEN 0 THEN 'ready' WHEN 1 THEN 'failed' ELSE 'processing' END AS status",
+                                        "cast(null AS string) AS error_message", "cast(null AS string) AS failed_stage", "concat('2024-01-', lpad(cast(n_nationkey % 9 + 10 AS string), 2, '0')) AS created_at", "cast(null AS string) AS updated_at")
+    jobs = c.table("customer").selectExpr("c_custkey AS id", "c_nationkey AS case_id", "CASE c_custkey % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'running' ELSE 'succeeded' END AS status")
+    return rows, jobs
+
+
+@registered
+def cases_list(c: Corpus) -> DataFrame:
+    return query.with_total(cases.list_cases(_cases(c)[0], "ready"), cases.newest_first(), 5, 1).select("id", "name", "created_at", "total")
+
+
+@registered
+def cases_detail(c: Corpus) -> DataFrame:
+    rows, jobs = _cases(c)
+    stats = jobs.groupBy("case_id").agg(F.count(F.lit(1)).alias("emails"))
+    return cases.case_details(rows, jobs, stats).select("id", "emails", F.col("job_id").cast("long").alias("job_id"), "job_status")
+
+
+@registered
+def case_status_change(c: Corpus) -> DataFrame:
+    return cases.with_status(_cases(c)[0], 4, "failed", "2024-02-02", "no space", "extract").select("id", "status", "error_message", "failed_stage", "updated_at")
+
+
+@registered
+def job_retry(c: Corpus) -> DataFrame:
+    jobs = _cases(c)[1].selectExpr("*", "CASE WHEN id % 4 = 0 THEN 'detect' END AS failed_stage", "CASE WHEN id % 4 = 0 THEN 'no space' END AS error_message", "'2024' AS started_at", "'2025' AS finished_at", "'detect' AS current_stage")
+    return cases.retried(jobs, 8).select("id", "status", "failed_stage", "finished_at")
+
+
+@registered
+def session_states(c: Corpus) -> DataFrame:
+    e = c.table("events")
+    sessions = e.selectExpr("event_id AS id", "sha2(cast(event_id AS string), 256) AS token_hash", "user_id", "date_format(ts + interval 8 hours, \"yyyy-MM-dd'T'HH:mm:ss\") AS expires_at",
+                            "CASE WHEN event_type = 'error' THEN '2024-01-09' END AS revoked_at", "CASE WHEN event_id % 5 > 0 THEN date_format(ts + make_interval(0, 0, 0, 0, event_id % 7), \"yyyy-MM-dd'T'HH:mm:ss\") END AS last_group_check_at")
+    users = e.select("user_id").distinct().selectExpr("user_id AS id", "user_id % 10 <> 0 AS is_active")
+    tokens = e.selectExpr("cast(event_id + 5 AS string) AS token")
+    return cases.verified(tokens, sessions, users, "2024-01-20T12:00:00").select("token", F.coalesce("session_id", F.lit(-1)).alias("session_id"), "state")
+
+
+@registered
+def rows_tagged_to_case(c: Corpus) -> DataFrame:
+    mails = c.emails.withColumn("case_id", F.when(F.col("id") % 3 > 0, F.col("case_id")))
+    return redact.tagged(mails, "src1", 77).select("id", F.coalesce("case_id", F.lit(-1)).alias("case_id"))
+
+
+@registered
+def orphans_removed(c: Corpus) -> DataFrame:
+    return redact.without_orphans(c.attachments, c.emails.where("excluded_at IS NULL"), "email_id").select("id", "email_id")
+
+
+@registered
+def parents_set_null(c: Corpus) -> DataFrame:
+    return redact.without_parent(c.attachments.select("id", "email_id"), c.emails.where("excluded_at IS NULL"), "email_id").select("id", F.coalesce("email_id", F.lit(-1)).alias("email_id"))
+
+
+@registered
+def rows_inserted_once(c: Corpus) -> DataFrame:
+    own = c.table("orders").selectExpr("o_custkey AS k", "o_orderstatus AS s", "o_orderkey AS v")
+    return redact.inserted(own.where("k % 2 = 0"), own, ["k", "s"], ["v"]).groupBy("k", "s").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
+
+
+@registered
+def rows_upserted(c: Corpus) -> DataFrame:
+    old = c.table("customer").selectExpr("c_custkey AS k", "c_name AS name", "c_mktsegment AS segment")
+    new = c.table("customer").selectExpr("c_custkey + 100 AS k", "CASE WHEN c_custkey % 2 = 0 THEN concat(c_name, '!') END AS name")
+    return redact.upserted(old, new, ["k"])
+
+
 @registered
 def case_stats(c: Corpus) -> DataFrame:
     return query.case_stats(c.emails, c.attachments, c.detections, _redactions(c))
@@ -252,10 +353,66 @@ def affiliation_asof(c: Corpus) -> DataFrame:
     return resolve.as_of(probes, _facts(c), ["user_id"], "ts", "event_type", "event_id").select("probe", "user_id", "event_type")
 
 
+def _domains(c: Corpus) -> DataFrame:
+    return resolve.affiliations(resolve.sightings(_messages(c))).withColumnsRenamed({"email": "person", "source_email_id": "id"})
+
+
+def _people(c: Corpus) -> DataFrame:
+    return resolve.persons(resolve.sightings(_messages(c)), SAMPLE.email_domains).withColumnRenamed("email", "person")
+
+
 @registered
 def internal_asof(c: Corpus) -> DataFrame:
-    rows = _facts(c).where("ts <= timestamp '2024-01-15 00:00:00'").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("latest"))
-    return rows.select("user_id", F.col("latest").isin("view", "click").alias("is_internal"))
+    return resolve.internal_at(_people(c), _domains(c), "2024-06-01", SAMPLE.email_domains).select("person", F.col("internal_then").cast("string").alias("internal_then"))
+
+
+@registered
+def affiliations_list(c: Corpus) -> DataFrame:
+    return _domains(c).select("person", "affiliation_type", "affiliation_value", "observed_at", "id")
+
+
+@registered
+def persons_page(c: Corpus) -> DataFrame:
+    seen = resolve.sightings(_messages(c))
+    rows = resolve.listed(_people(c), resolve.addresses(seen), resolve.occurrences(seen).withColumnRenamed("email", "person"), is_internal=True, email_domain="sub.example.org", name_contains="USER")
+    return query.with_total(rows, resolve.most_seen_first(), 20, 5)
+
+
+@registered
+def person_details(c: Corpus) -> DataFrame:
+    seen = resolve.sightings(_messages(c))
+    rows = resolve.details(_people(c), resolve.addresses(seen), resolve.occurrences(seen).withColumnRenamed("email", "person"))
+    roles = F.array_join(F.transform(F.array_sort(F.map_entries("occurrences_by_type")), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",")
+    mails = F.array_join(F.transform("emails", lambda x: F.concat(x["email"], F.lit(" "), x["first_seen"])), ",")
+    return rows.select("person", mails.alias("emails"), roles.alias("roles"))
+
+
+def _merges(c: Corpus) -> DataFrame:
+    """user30 to user39 of one domain go to user40 to user49, which go to user50 to user59: chains."""
+    m = c.spark.range(30, 50).select(F.concat(F.lit("user"), F.col("id").cast("string"), F.lit("@example.org")).alias("loser"), F.concat(F.lit("user"), (F.col("id") + 10).cast("string"), F.lit("@example.org")).alias("winner"))
+    return resolve.checked_merges(m, _people(c))
+
+
+@registered
+def merged_occurrences(c: Corpus) -> DataFrame:
+    rows = resolve.occurrences(resolve.sightings(_messages(c))).withColumnRenamed("email", "person")
+    return resolve.merged_rows(rows, _merges(c), "person", ["role", "email_id"]).groupBy("person").agg(F.count(F.lit(1)).alias("n"))
+
+
+@registered
+def merged_affiliations(c: Corpus) -> DataFrame:
+    return resolve.merged_rows(_domains(c), _merges(c), "person", ["affiliation_type", "affiliation_value", "id"]).groupBy("person").agg(F.count(F.lit(1)).alias("n"))
+
+
+@registered
+def merged_addresses(c: Corpus) -> DataFrame:
+    return resolve.merged_addresses(resolve.addresses(resolve.sightings(_messages(c))), _merges(c), "person").select("person", "email", "is_primary")
+
+
+@registered
+def person_renamed(c: Corpus) -> DataFrame:
+    rows = resolve.renamed(_people(c), "person", "user7@example.org", "The Clerk")
+    return rows.select("person", "display_name", F.array_join("names", "|").alias("names"))
 
 
 @registered
@@ -265,7 +422,7 @@ def affiliation_latest(c: Corpus) -> DataFrame:
 
 @registered
 def affiliation_history(c: Corpus) -> DataFrame:
-    return _facts(c).where("user_id = 7").select("event_id", "event_type").orderBy("event_id")
+    return resolve.history(_domains(c)).select("person", "affiliation_value", "id", F.col("nth").cast("long").alias("nth"))
 
 
 @registered
@@ -328,6 +485,43 @@ def bates_pages(c: Corpus) -> DataFrame:
     return produce.laid_out(_documents(c), SAMPLE.bates).select("id", "pages", "first_page", "last_page")
 
 
+def _lines_everywhere(c: Corpus) -> DataFrame:
+    return spans.wrapped(c.sources, produce.WIDTH)
+
+
+def _places(c: Corpus, lines: DataFrame) -> DataFrame:
+    mails = c.emails.withColumn("cc_addrs", F.when(F.col("cc_addr").isNull(), F.array().cast("array<string>")).otherwise(F.array("cc_addr")))
+    return produce.produced(mails, c.attachments.where("extraction_status = 'ok'"), lines)
+
+
+@registered
+def production_places(c: Corpus) -> DataFrame:
+    """The page on which every subject, body and attachment begins."""
+    return _places(c, _lines_everywhere(c)).select("source_type", "source_id", "source_label", "page", "used", "pages")
+
+
+def _full_log(c: Corpus) -> tuple[DataFrame, DataFrame]:
+    lines = _lines_everywhere(c)
+    places = _places(c, lines)
+    accepted = _redactions(c).where("status = 'accepted'").select("source_type", "source_id", "start", "end", (F.col("source_id") * 100000 + F.col("start")).alias("id"), "exemption_code", "reviewer_id", F.lit("2025-05-05").alias("accepted_at"))
+    return places, produce.full_log(spans.clipped(lines, accepted), accepted, places, SAMPLE.bates)
+
+
+@registered
+def redaction_log_full(c: Corpus) -> DataFrame:
+    return _full_log(c)[1]
+
+
+@registered
+def production_manifest(c: Corpus) -> DataFrame:
+    return produce.manifest(*_full_log(c), SAMPLE.bates)
+
+
+@registered
+def production_lines(c: Corpus) -> DataFrame:
+    return produce.production_lines(c.bodies, _accepted(c)).select("source_id", F.col("line_no").cast("long").alias("line_no"), "line")
+
+
 @registered
 def redaction_log(c: Corpus) -> DataFrame:
     return produce.redaction_log(_clips(c), produce.laid_out(_documents(c), SAMPLE.bates), SAMPLE.bates)
@@ -354,6 +548,21 @@ def _gold(c: Corpus) -> tuple[DataFrame, DataFrame]:
     return rows.select("source_type", "source_id", "text"), gold
 
 
+@registered
+def pii_builtin_spans(c: Corpus) -> DataFrame:
+    """Every built-in recogniser over texts that hold each of their formats, with near misses."""
+    from sparkveil.config import BUILTIN
+
+    k = F.col("c_custkey")
+    text = F.concat(
+        F.format_string("SSN %03d-%02d-%04d, itin 9%02d-7%d-%04d. ", k % 900, k % 100, k % 10000, k % 100, k % 10, k), F.format_string("A1234 4111 1111 1111 1111 or 4111 1111 1111 111%d; ", k % 10),
+        F.format_string("B%07d C%08d MD%07d acct %010d x%010d ", k, k, k, k, k), F.format_string("DE89%018d http://h%d.org/p?q=%d ", k, k, k), F.format_string("10.0.%d.%d and %d/%d/2024 May %d, 2024 ", k % 256, k % 300, k % 12 + 1, k % 28 + 1, k % 28 + 1),
+        F.format_string("+1 (%03d) 555-%04d, %03d.555.%04d", k % 1000, k, k % 1000, k),
+    )
+    rows = c.table("customer").select(F.lit("rendered").alias("source_type"), k.alias("source_id"), text.alias("text"))
+    return spans.scan(rows, list(BUILTIN.values()), resolve=False).select("source_id", "recognizer", "start", "end", "matched_text").withColumnsRenamed(SPAN)
+
+
 def _matched(c: Corpus) -> DataFrame:
     from sparkveil.config import BUILTIN
 
@@ -388,6 +597,20 @@ def search_bm25(c: Corpus) -> DataFrame:
     return search.search(_searched(c), ["title", "text"], "and Thé").select("scope", "id", F.round("score", 6).alias("score"))
 
 
+@registered
+def search_by_index(c: Corpus) -> DataFrame:
+    """The query of search_bm25 again, answered from an index."""
+    docs, columns = _searched(c), ["title", "text"]
+    return search.search_index(search.index(docs, columns), search.sizes(docs, columns), "and Thé").select("scope", "id", F.round("score", 6).alias("score"))
+
+
+@registered
+def search_folded(c: Corpus) -> DataFrame:
+    """Marked letters on either side, beyond those of Western Europe."""
+    docs = c.emails.selectExpr("'email' AS scope", "id", "CASE id % 3 WHEN 0 THEN 'Dvořák' WHEN 1 THEN 'DVORAK' ELSE 'Łódź' END AS title", "substr(body_text, 1, 40 + id % 50) AS text")
+    return search.search(docs, ["title", "text"], "dvořak").select("id", F.round("score", 6).alias("score"))
+
+
 @registered
 def search_scope(c: Corpus) -> DataFrame:
     rows = search.search(_searched(c), ["title", "text"], '"of-the"', "email").select("id", F.round("score", 6).alias("score"))
@@ -429,6 +652,36 @@ def ai_reanchor(c: Corpus) -> DataFrame:
     return ai.anchored(flags).select("source_id", "entity_type", "start", "end", "confidence").withColumnsRenamed(SPAN)
 
 
+def _flags(c: Corpus) -> DataFrame:
+    return c.detections.select((F.col("source_id") * 100000 + F.col("start")).alias("id"), "source_type", "source_id", "start", "end", "entity_type", F.lit("local").alias("provider"), F.lit("q1").alias("qa_run_id"),
+                               F.when(F.col("source_id") % 2 == 0, "open").otherwise("dismissed").alias("review_status"), F.when(F.col("source_id") % 4 == 0, "FIN").alias("suggested_exemption"),
+                               F.lit(None).cast("string").alias("review_actor"), F.lit(None).cast("string").alias("reviewed_at"))
+
+
+@registered
+def flags_page(c: Corpus) -> DataFrame:
+    rows = query.list_flags(_flags(c), review_status="open", entity_type="EMAIL_ADDRESS", provider="local")
+    return query.with_total(rows, [F.desc("id")], 30, 2).select("id", "source_id", "total")
+
+
+@registered
+def flags_promoted(c: Corpus) -> DataFrame:
+    ids = c.emails.where("id % 3 = 0").select("id")
+    flags = _flags(c)
+    chosen = flags.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").select("id")
+    return redact.promoted(flags, chosen, "ann", "2025-01-01", SAMPLE)[1].select("source_id", "start", "end", "exemption_code", "status", "origin").withColumnsRenamed(SPAN)
+
+
+@registered
+def flags_dismissed(c: Corpus) -> DataFrame:
+    return redact.dismissed(_flags(c), _flags(c).where("start % 2 = 0").select("id"), "ann", "2025-01-01").groupBy("review_status", "review_actor").agg(F.count(F.lit(1)).alias("n"))
+
+
+@registered
+def prompts_truncated(c: Corpus) -> DataFrame:
+    return c.table("documents").select("doc_id", truncated(F.col("text"), 200).alias("prompt"))
+
+
 @registered
 def ai_json_extract(c: Corpus) -> DataFrame:
     said = F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```"))
@@ -443,6 +696,8 @@ def event_tail_stream(c: Corpus) -> DataFrame:
     schema = c.table("events").schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ").replace(",", ", ")
     name = "event_tail"
     flow = tail(c.spark, f"{c.folder}/events.parquet*", schema).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    run = flow.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    shared = c.spark.conf.get("spark.checkpoint.dir", None) or c.spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    writer = flow.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
+    run = (writer.option("checkpointLocation", f"{shared.rstrip('/')}/tail-{uuid.uuid4().hex}") if shared else writer).start()
     run.awaitTermination()
     return c.spark.table(name)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkveil.config import SAMPLE
 from sparkveil.functions.text import plain_text
-from sparkveil.operators import spans
+from sparkveil.operators import jobs, spans
 
 EMAILS = """
 SELECT doc_id AS id, source AS mbox_source, doc_id AS mbox_index, substr(text, 1, 60) AS subject,
@@ -58,14 +58,24 @@ class Corpus:
     def bodies(self) -> DataFrame:
         return self.table("documents").selectExpr("'email_body_text' AS source_type", "doc_id AS source_id", "text")
 
+    @property
+    def files(self) -> DataFrame:
+        """Attachments with their texts."""
+        rows = self.attachments
+        return rows.withColumn("extracted_text", plain_text(rows["html"]))
+
     @property
     def sources(self) -> DataFrame:
         """Every text that is scanned: subjects, bodies and attachments' texts."""
-        subjects = self.emails.selectExpr("'email_subject' AS source_type", "id AS source_id", "subject AS text")
-        attached = self.attachments.where("extraction_status = 'ok'")
-        attached = attached.select(attached["id"].alias("source_id"), plain_text(attached["html"]).alias("text")).selectExpr("'attachment_text' AS source_type", "source_id", "text")
-        return self.bodies.unionByName(subjects).unionByName(attached).where("text <> ''")
+        return jobs.text_sources(self.emails, self.files).where("text <> ''")
 
     @property
     def detections(self) -> DataFrame:
-        return spans.detect(self.bodies, SAMPLE)
+        """What is found in the bodies: a table of its own, made once for a session and folder, as a detection run would."""
+        key = (id(self.spark), self.folder)
+        if key not in _detected:
+            _detected[key] = spans.detect(self.bodies, SAMPLE).persist()
+        return _detected[key]
+
+
+_detected: dict = {}

@@ -13,7 +13,7 @@ from email.message import Message
 from email.utils import getaddresses, parsedate_to_datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -29,11 +29,15 @@ EXTENSIONS = {"application/pdf": ".pdf", "image/png": ".png", "image/jpeg": ".jp
 
 
 def split_mbox(data: bytes) -> Iterator[bytes]:
-    """Messages of an mbox: each begins with a "From " line, at the start or after an empty line."""
-    marks = [m.start() for m in re.finditer(rb"(?:\A|(?<=\n\n)|(?<=\r\n\r\n))From [^\n]*\n", data)]
+    """Messages of an mbox: each begins after a line that starts with "From "; an empty line before the next one, or the end, is not its own.
+
+    Quoted ">From " lines stay as they are.
+    """
+    marks = [m.start() for m in re.finditer(rb"(?m)^From ", data)]
     for a, b in zip(marks, [*marks[1:], len(data)], strict=True):
-        body = data[data.index(b"\n", a) + 1 : b]
-        yield re.sub(rb"(?m)^>(>*From )", rb"\1", body)
+        end = data.find(b"\n", a, b)
+        body = data[end + 1 : b] if end >= 0 else b""
+        yield body[:-1] if body.endswith(b"\n\n") or body == b"\n" else body
 
 
 class MboxSource(DataSource):
@@ -64,14 +68,34 @@ class _MboxReader(DataSourceReader):
 
 
 def read_mbox(spark: SparkSession, path: str, label: str | None = None) -> DataFrame:
-    """Mailboxes below ``path`` in any store that Spark reads, one task per file."""
+    """Mailboxes below ``path`` in any store that Spark reads: mbox_source, mbox_index (from 0), raw.
+
+    A mailbox is split like any text file, at its "From " lines, so a large one is read by many tasks. A message's number is
+    the number of messages in the file's earlier blocks (a few rows) plus its place in its own.
+    """
+    parts = spark.read.option("lineSep", "\nFrom ").text(path)
+    parts = parts.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").cast("binary").alias("part"))
+    per_block = parts.groupBy("file", "block").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("file").orderBy("block")
+    per_block = per_block.select("file", "block", "first", F.coalesce(F.sum("n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("file")).alias("all"))
+    rows = parts.join(per_block, ["file", "block"]).select("file", "part", (F.col("before") + F.col("row") - F.col("first")).alias("nth"), "all")
+    begins = rows.where("nth = 0").select("file", (F.substring("part", 1, 5) == F.lit(b"From ")).alias("whole"))  # else what comes first is no message
+    rows = rows.join(begins, "file").where("whole OR nth > 0")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for name, data in zip(f["path"], f["content"], strict=True):
-                yield pd.DataFrame([(label or name, i, raw) for i, raw in enumerate(split_mbox(data))], columns=["mbox_source", "mbox_index", "raw"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "mbox_source string, mbox_index int, raw binary")
+            out = []
+            for name, part, nth, n, whole in zip(f["file"], f["part"], f["nth"], f["all"], f["whole"], strict=True):
+                part = bytes(part)
+                body = part.partition(b"\n")[2]
+                if nth == n - 1:
+                    body = body[:-1] if body.endswith(b"\n\n") or body == b"\n" else body
+                elif body and not body.endswith(b"\n"):
+                    body += b"\n"
+                out.append((label or name, int(nth) - (not whole), body))
+            yield pd.DataFrame(out, columns=["mbox_source", "mbox_index", "raw"])
+
+    return rows.select("file", "part", "nth", "all", "whole").mapInPandas(run, "mbox_source string, mbox_index int, raw binary")
 
 
 def _decoded(part: Message) -> str:

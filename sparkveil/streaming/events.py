@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 EVENT = "id long, job_id long, stage string, kind string, message string, payload_json string, event_at timestamp"
 
@@ -17,19 +18,29 @@ def tail(spark: SparkSession, folder: str, schema: str = EVENT) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def until_terminal(events: DataFrame, sink, checkpoint: str, kinds: tuple[str, ...] = ("completed", "failed")) -> StreamingQuery:
-    """Hands each batch, ordered by id, to ``sink``; a terminal event of the job ends the query with an exception of its own."""
+def follow(events: DataFrame, sink, checkpoint: str, kinds: tuple[str, ...] = ("finished", "failed"), stages: tuple[str, ...] = ("done",), every: str = "500 milliseconds", deadline_s: float = 600.0) -> bool:
+    """Hands each batch, ordered by id, to ``sink`` as it comes, until a terminal event (a failure, or a last stage's end) or the deadline.
+
+    True if a terminal event came. The stream goes on over new files until then.
+    """
+    ended = threading.Event()
 
     def each(batch: DataFrame, epoch: int) -> None:
         sink(batch.orderBy("id"), epoch)
-        if batch.where(F.col("kind").isin(*kinds) & (F.col("stage") == "job")).take(1):
-            raise _Terminal
-
-    return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-class _Terminal(Exception):
-    pass
+        over = (F.col("kind") == "failed") | (F.col("kind").isin(*kinds) & F.col("stage").isin(*stages))
+        if batch.where(over).take(1):
+            ended.set()
+
+    run = events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    try:
+        until = time.monotonic() + deadline_s
+        while not ended.wait(0.2) and time.monotonic() < until and run.isActive:
+            pass
+    finally:
+        run.stop()
+    if run.exception() is not None:
+        raise run.exception()
+    return ended.is_set()
 
 
 def failures_by_window(attempts: DataFrame, minutes: int = 15, slide: int = 1) -> DataFrame:
@@ -37,19 +48,35 @@ def failures_by_window(attempts: DataFrame, minutes: int = 15, slide: int = 1) -
     return attempts.withWatermark("ts", f"{minutes} minutes").groupBy(F.window("ts", f"{minutes} minutes", f"{slide} minutes"), "user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def lockouts(attempts: DataFrame, limit: int = 5, minutes: int = 15) -> DataFrame:
-    """(user_id, ts, n): failures that reach ``limit`` within the trailing window. State: the user's failures of that window, no more."""
+def lockouts(attempts: DataFrame, limit: int = 5, minutes: int = 15, late: str = "15 minutes") -> DataFrame:
+    """(user_id, micros, n): failures that reach ``limit`` within the trailing window.
+
+    A late row is judged by the times that its window holds, and one beyond the watermark is dropped. State: the user's failures of the
+    window before the newest and of the lateness; it goes when the watermark has passed it.
+    """
+    width = minutes * 60_000_000
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=["user_id", "micros", "n"])
+            return
         recent = list(state.get[0]) if state.exists else []
+        new = sorted(int(t) for f in frames for t in f["micros"])
+        recent = sorted(recent + new)
         out = []
-        times = sorted(int(t) for f in frames for t in f["micros"])
-        for t in times:
-            recent = [x for x in recent if x >= t - minutes * 60_000_000] + [t]
-            if len(recent) >= limit:
-                out.append((key[0], t, len(recent)))
-        state.update((recent,))
+        for t in new:
+            n = sum(1 for x in recent if t - width <= x <= t)
+            if n >= limit:
+                out.append((key[0], t, n))
+        floor = max(0, state.getCurrentWatermarkMs()) * 1000 - width
+        recent = [x for x in recent if x >= floor]
+        if recent:
+            state.update((recent,))
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (recent[-1] + width) // 1000 + 1))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["user_id", "micros", "n"])
 
-    rows = attempts.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
-    return rows.groupBy("user_id").applyInPandasWithState(run, "user_id long, micros long, n long", "recent array<long>", "append", "NoTimeout")
+    rows = attempts.withWatermark("ts", late).select("user_id", "ts", F.unix_micros(F.col("ts")).alias("micros"))
+    return rows.groupBy("user_id").applyInPandasWithState(run, "user_id long, micros long, n long", "recent array<long>", "append", "EventTimeTimeout")

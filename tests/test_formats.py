@@ -58,7 +58,7 @@ def test_messages():
     assert (m["subject"], m["from_addr"], m["to_addrs"], m["date_sent"]) == ("café", "Ann Lee <ann@example.org>", ["bob@x.org", "Cy <cy@y.org>"], "2024-01-01T08:00:00+00:00")
     assert [(a["filename"], a["is_nested_eml"]) for a in m["attachments"]] == [("a_b.pdf", False), ("inner.eml", True)]
     assert m["body_text"].strip() == "hello" and "script" not in m["body_html_sanitized"]
-    assert mail.parsed_message(two)["body_text"].startswith("From here")
+    assert mail.parsed_message(two)["body_text"].startswith(">From here")
     assert mail.utc_iso("no date") is None
 
 
@@ -73,6 +73,23 @@ def test_mbox_in_spark(spark, tmp_path):
     assert spark.read.format("mbox").option("path", str(tmp_path / "m.mbox")).load().count() == 2
 
 
+def test_mailbox_boundaries_are_those_of_the_standard_library(spark, tmp_path):
+    import mailbox
+
+    data = b"From a\nSubject: 1\n\nbody\nFrom b\nSubject: 2\n\n>From x\n\nFrom c\n\nFrom d\nSubject: 4\n\nlast\n\n"
+    (tmp_path / "m").write_bytes(data)
+    box = mailbox.mbox(str(tmp_path / "m"))
+    want = [box.get_bytes(k) for k in box.keys()]  # noqa: SIM118
+    assert list(mail.split_mbox(data)) == want and len(want) == 4
+    for limit in ("128m", "8b"):  # many blocks give the same numbers
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+        rows = mail.read_mbox(spark, f"file://{tmp_path}/m").orderBy("mbox_index").collect()
+        assert [(r.mbox_index, bytes(r.raw)) for r in rows] == list(enumerate(want))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "n").write_bytes(b"no message\nFrom b\n\nx\n")
+    assert [(r.mbox_index, bytes(r.raw)) for r in mail.read_mbox(spark, f"file://{tmp_path}/n").collect()] == [(0, b"\nx\n")]
+
+
 def test_text_ladder():
     assert mail.decoded_text("é".encode("utf-16")) == "é" and mail.decoded_text(b"\xe9") == "é" and mail.needs_ocr(2, 39) and not mail.needs_ocr(2, 40)
     assert mail.extracted_text("TEXT/plain; charset=x", b" a ")[0] == "a" and mail.extracted_text("video/mp4", b"")[2] == "unsupported"
@@ -82,14 +99,14 @@ def test_config(tmp_path):
     raw = {"name": "d", "pii_detection": {"builtins": ["US_SSN", "NOPE"], "min_score": 0.4, "custom_recognizers": [{"name": "sid", "entity_type": "STUDENT_ID", "patterns": [{"regex": r"\b\d{8}\b"}]}]}, "exemptions": {"codes": ["PII"], "default": "PII"}, "bates": {"width": 4}}
     (tmp_path / "c.json").write_text(json.dumps(raw))
     c = config.load(str(tmp_path / "c.json"))
-    assert [p.entity for p in c.patterns] == ["US_SSN", "STUDENT_ID"] and c.patterns[1].edges and c.patterns[1].score == 0.5 and c.exemption_for("X") == "PII"
+    assert [p.entity for p in c.patterns] == ["US_SSN", "STUDENT_ID"] and c.patterns[1].score == 0.5 and c.exemption_for("X") == "PII"
     with pytest.raises(config.ConfigError):
         config.parse({"pii_detection": {"min_score": 2}})
     assert config.load(None) == config.Config()
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    rows = spark.sql("SELECT id, id % 3 AS user_id, timestamp_seconds(id * 100) AS ts FROM range(60)")
+    rows = spark.sql("SELECT id, id % 3 AS user_id, timestamp_seconds(1704067200 + id * 100) AS ts FROM range(60)")
     rows.write.parquet(str(tmp_path / "e"))
     flow = tail(spark, str(tmp_path / "e"), "id long, user_id long, ts timestamp")
     run = lockouts(flow, 3, 15).writeStream.format("memory").queryName("locks").outputMode("append").trigger(availableNow=True).start()
@@ -98,3 +115,28 @@ def test_stream_equals_batch(spark, tmp_path):
 
     want = recent_failures(rows, 15).where("n_recent >= 3").count()
     assert spark.table("locks").count() == want > 0
+
+
+def test_a_late_failure_is_judged_by_its_time_and_state_goes(spark, tmp_path):
+    for i, times in enumerate([[0, 60], [30, 7200], [7201, 20000]]):
+        spark.createDataFrame([(1, t) for t in times], "user_id long, s long").selectExpr("user_id", "timestamp_seconds(1704067200 + s) AS ts").coalesce(1).write.mode("append").parquet(str(tmp_path / f"e/{i}"))
+    flow = spark.readStream.schema("user_id long, ts timestamp").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "e"))
+    run = lockouts(flow, 2, 15).writeStream.format("memory").queryName("late").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = sorted((r.micros // 10**6 - 1704067200, r.n) for r in spark.table("late").collect())
+    assert got == [(30, 2), (60, 2), (7201, 2)]
+
+
+def test_follow_goes_on_until_the_last_event(spark, tmp_path):
+    import threading
+
+    from sparkveil.streaming.events import EVENT, follow
+
+    folder, seen = str(tmp_path / "events"), []
+    put = lambda *rows: spark.createDataFrame([(i, 1, s, k, "", "{}", None) for i, s, k in rows], EVENT).coalesce(1).write.mode("append").parquet(folder)
+    put((2, "ingest", "finished"), (1, "ingest", "started"))
+    later = threading.Timer(4, lambda: put((3, "done", "finished")))
+    later.start()
+    assert follow(tail(spark, folder), lambda b, _: seen.extend(r.id for r in b.collect()), str(tmp_path / "c"), deadline_s=60)
+    assert seen == [1, 2, 3]
+    assert not follow(tail(spark, folder).where("id < 3"), lambda b, _: None, str(tmp_path / "d"), deadline_s=3)
