@@ -1,7 +1,7 @@
 """SimHash near-duplicates with vantage-point trees.
 
-A fingerprint's 64 bits are cut into blocks, and the tree's level j has its vantage point in block j: the all-zero pattern.
-A node's children are the Hamming distances to its vantage point, so a root-to-leaf path is a vector of distances and each
+A fingerprint's 64 bits are cut into blocks, and the tree's level j has its vantage point in block j: that block of one fingerprint
+of the table, the one with the smallest hash. A node's children are the Hamming distances to its vantage point, so a root-to-leaf path is a vector of distances and each
 leaf a shard. By the triangle inequality, a query within ``radius`` of a point differs from the point's path by at most
 ``radius`` over all levels together: what a level's distance differs by is taken off the budget for the levels below, and a
 branch is pruned when nothing is left. A fingerprint visits its own shard and the shards across the boundaries that the budget
@@ -13,8 +13,9 @@ blocks). Distinct 64-bit patterns within two bits of one another number at most
 fingerprints whatever the groups' sizes.
 
 Defined cases: null or wordless text has fingerprint zero and is linked like any other; rows with a null id are fingerprinted,
-and their group's component is the smallest id that is there (null if none); repeated rows share a fingerprint; an
-empty table gives none.
+and their group's component is the smallest id that is there (null if none); repeated rows share a fingerprint; a very long text is
+hashed shingle by shingle, in memory in proportion to it; an empty table gives none; only the id and the text are read, whatever
+other columns there are.
 """
 
 from __future__ import annotations
@@ -72,10 +73,11 @@ def with_fingerprint(docs: DataFrame, keep: list[str], shingle: int = 3, seed: i
     return source.mapInArrow(run, ", ".join([*kinds, "_print long"]))
 
 
-def _path(fingerprint: str, blocks: int):
-    """The distances to each level's vantage point, packed in one long (two, if there are more than eight levels)."""
+def _path(fingerprint: str, blocks: int, vantage: int):
+    """The distances to each level's vantage point, packed in one long."""
     width = 64 // blocks
-    ones = [F.bit_count(F.shiftrightunsigned(F.col(fingerprint), j * width).bitwiseAND(F.lit((1 << width) - 1))).cast("long") for j in range(blocks)]
+    apart = F.col(fingerprint).bitwiseXOR(F.lit(vantage))
+    ones = [F.bit_count(F.shiftrightunsigned(apart, j * width).bitwiseAND(F.lit((1 << width) - 1))).cast("long") for j in range(blocks)]
     step = 64 // blocks  # a distance is at most the block's width, so it fits the block's own place with room for +-2
     return sum((F.shiftleft(x, j * step) for j, x in enumerate(ones)), F.lit(0).cast("long"))
 
@@ -95,7 +97,8 @@ def _visits(blocks: int, radius: int) -> list[int]:
 
 def _compared(prints: DataFrame, blocks: int, radius: int, crowded: int | None) -> tuple[DataFrame, DataFrame | None]:
     """Verified links (a, b), and the fingerprints that visit a crowded shard."""
-    points = prints.select("_print", _path("_print", blocks).alias("shard"))
+    vantage = prints.agg(F.min_by("_print", F.xxhash64("_print", F.lit(blocks))).alias("v")).first()["v"] or 0
+    points = prints.select("_print", _path("_print", blocks, vantage).alias("shard"))
     skip = None
     if crowded is not None:
         sizes = points.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded)
