@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import discard, stored
 from .textops import Chunk, Hasher, chunks, mixed, spans_to_mask, text_column
 
 _U = np.uint64
@@ -188,7 +188,9 @@ def estimates(counts: DataFrame, share: float = 0.75, least: int = 50, steps: in
     for _ in range(steps):
         last, now = now, stored(_concentrated(x, now, share), "estimate")
         changed = now.join(last.select("grp", "start", F.col("logdet").alias("was")), ["grp", "start"]).where(F.abs(F.col("logdet") - F.col("was")) > 1e-9)
-        if not changed.take(1):
+        over = not changed.take(1)
+        discard(last)
+        if over:
             break
     best = now.groupBy("grp").agg(F.min_by(F.struct("start", "mean", "white"), F.struct("logdet", "start")).alias("best")).select("grp", "best.*")
     best = stored(best, "best")
