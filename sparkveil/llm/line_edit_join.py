@@ -9,10 +9,11 @@ its end, and, between two chosen segments, at its place or one character to eith
 choice of that one and its neighbour finds the pair without a shift). Candidates are verified by a banded bit-parallel
 automaton: its row d holds, for the 2 * ``tau`` + 1 diagonals, which prefixes are d edits apart.
 
-A key that at most ``crowded`` lines share has its lines compared, index against probes. In a crowded one all lines are compared with
-one of them, the pivot, and links make components. If such a key still holds several components, its lines meet in a finer index
-(``LEVELS``), again by pairs or pivots. Lines of different components that share a crowded key of the finest index, which is nearly all
-of their text, are compared each with each by length, letter counts and what the key leaves out, before their texts are. Keys are counted with
+A key that at most ``crowded`` lines share has its lines compared, index against probes: by length, letter counts and what the key
+leaves out, within the join, and only then by their texts. In a crowded one all lines are compared with one of them, the pivot, and
+links make components. If such a key still holds several components, its lines meet in a finer index (``LEVELS``), again by pairs or
+pivots. Lines of different components that share a crowded key of the finest index, which is nearly all of their text, are then
+compared like those of the others. Keys are counted with
 partial aggregation and joined, never gathered, so a segment that very many lines share costs no single task its lines.
 
 Near lines form classes (connected components). Of each class of near or equal lines, the first occurrence (by document, then
@@ -155,39 +156,34 @@ def _shared(keys: DataFrame, name: str) -> DataFrame:
     return stored(keys.join(tally, "key"), name)
 
 
-def _unlike(rows: DataFrame, lines: DataFrame, tau: int) -> DataFrame:
-    """Pairs a < b as of ``_pairs``, all of a key's, but for those that what a key leaves out, or their letters, tell apart."""
-    facts = lines.select("id", F.length("line").cast("int").alias("l"), *_counts(F.col("line")))
-    rows = rows.join(facts, "id")
+def _pairs(rows: DataFrame, facts: DataFrame, tau: int) -> DataFrame:
+    """Pairs a < b of a key's lines (index against all) that are of different components, and that neither what the key leaves out nor their letters tell apart."""
     counts = [c for c in facts.columns if c != "id"]
-    a = rows.where("probe = 0").select("key", *(F.col(c).alias(f"a_{c}") for c in ("id", "component", "d1", "d2", *counts)))
-    b = rows.select("key", *(F.col(c).alias(f"b_{c}") for c in ("id", "component", "d1", "d2", *counts)))
-    apart = sum((F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in counts[1:]), F.lit(0))
-    differ = F.col("a_d1").isNull() | ((F.col("a_d1") != F.col("b_d1")) & (F.col("a_d2") != F.col("b_d2")))
-    on = (a["key"] == b["key"]) & (F.col("a_component") != F.col("b_component")) & (F.abs(F.col("a_l") - F.col("b_l")) <= tau) & differ & (apart <= 2 * tau)
+    rows = rows.join(facts, "id")
+    dirt = [c for c in ("d1", "d2") if c in rows.columns]
+    a = rows.where("probe = 0").select("key", *(F.col(c).alias(f"a_{c}") for c in ("id", "component", *dirt, *counts)))
+    b = rows.select("key", *(F.col(c).alias(f"b_{c}") for c in ("id", "probe", "component", *dirt, *counts)))
+    apart = sum((F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in counts if c != "l"), F.lit(0))
+    once = (F.col("b_probe") == 1) | (F.col("a_id") < F.col("b_id"))
+    on = (a["key"] == b["key"]) & once & (F.col("a_component") != F.col("b_component")) & (F.abs(F.col("a_l") - F.col("b_l")) <= tau) & (apart <= 2 * tau)
+    if dirt:
+        on &= F.col("a_d1").isNull() | ((F.col("a_d1") != F.col("b_d1")) & (F.col("a_d2") != F.col("b_d2")))
     return a.join(b, on).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
 
 
 #: An edit changes at most two of these letters' counts by one each.
-_COUNTED = "etaoinsrhldu"
+_COUNTED = "etaoinsrhldcumfpgwyb"
 
 
 def _counts(line: Column) -> list[Column]:
     return [(F.length(line) - F.length(F.replace(line, F.lit(x), F.lit("")))).cast("int").alias(f"c{i}") for i, x in enumerate(_COUNTED)]
 
 
-def _pairs(index: DataFrame, others: DataFrame) -> DataFrame:
-    """Pairs a < b of different lines and components under a key. Both have key, id and component."""
-    a = index.select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
-    b = others.select("key", F.col("id").alias("y"), F.col("component").alias("cy"))
-    met = a.join(b, (a["key"] == b["key"]) & (F.col("cx") != F.col("cy")))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def _pivots(rows: DataFrame, turn: int) -> DataFrame:
-    """One index row of each key."""
-    some = rows.where("probe = 0").groupBy("key").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn))).alias("p"))
-    return some.select("key", "p.*")
+def _with_pivot(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs a < b of each line of a key and the key's pivot, one of its index rows."""
+    pivot = rows.where("probe = 0").groupBy("key").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn))).alias("p"))
+    met = rows.join(pivot, "key").where(F.col("component") != F.col("p.component"))
+    return met.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, tau: int, per_edit: int) -> DataFrame:
@@ -231,28 +227,30 @@ def near_classes(lines: DataFrame, tau: int, per_edit: int, crowded: int, levels
     texts = able
     for level, parts in enumerate((tau + 1, *levels)):
         keys = _indexed(texts, tau, parts)
-        rows = _shared(keys if level == len(levels) else keys.drop("d1", "d2"), "segments")
+        rows = _shared(keys if level else keys.drop("d1", "d2"), "segments")
         release(lines.sparkSession)
         if not level:  # lines that share no segment with another are done; the others' texts are fetched once
-            texts = stored(able.join(rows.select("id").distinct(), "id", "left_semi"), "candidates")
+            # by merging at any size: the lines are many, and so are those that share a segment
+            texts = stored(able.hint("merge").join(rows.select("id").distinct(), "id", "left_semi"), "candidates")
+            facts = stored(texts.select("id", F.length("line").cast("int").alias("l"), *_counts(F.col("line"))), "facts")
             release(lines.sparkSession)
         now = _with_component(rows, classes)
         now = now if classes is None else _undecided(now)
         few, many = now.where(F.col("n") <= crowded), now.where(F.col("n") > crowded)
-        link(_pairs(few.where("probe = 0"), few).union(_pairs(_pivots(many, level), many)).distinct())
+        link(_pairs(few, facts, tau).union(_with_pivot(many, level)).distinct())
         rest = _undecided(_with_component(rows.where(F.col("n") > crowded), classes))
         if not rest.take(1):
             return classes
         if level < len(levels):
             texts = stored(texts.join(rest.select("id").distinct(), "id", "left_semi"), "hot")
-    link(_pairs(_pivots(rest, level + 1), rest))
+    link(_with_pivot(rest, level + 1))
     rest = _undecided(_with_component(rest, classes))
     if rest.take(1):
-        link(_unlike(rest, texts, tau))
+        link(_pairs(rest, facts, tau))
     return classes
 
 
-def line_classes(docs: DataFrame, tau: int = 2, per_edit: int = 10, crowded: int = 32) -> DataFrame:
+def line_classes(docs: DataFrame, tau: int = 2, per_edit: int = 10, crowded: int = 1024) -> DataFrame:
     """The occurrences of lines that have an equal or near one: the row's key, no, root (the key and no of the one that stays), and whether it goes as ``equal`` or ``near``."""
     distinct = _lines(docs).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
     distinct = stored(distinct.select(F.monotonically_increasing_id().alias("id"), *_hashes(), "n", "line"), "lines")
