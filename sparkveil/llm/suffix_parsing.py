@@ -211,13 +211,14 @@ def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBat
                 removed.append(0)
                 spans.append([])
                 kept.append(text)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()), batch.column(4)], ["doc_id", "n_bytes", "n_removed", "spans", "kept", "n_shared_phrases"])
 
 
 def remove_repeated_bytes(docs: DataFrame, width: int = 400, crowded: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (maximal removed runs of bytes) and kept (the other bytes), a row per row of ``docs``.
 
-    ``width`` is at least 32 and at most 510 bytes.
+    n_shared_phrases: how many reaches' phrases, of half the width, also occur elsewhere; a passage that is shorter than ``width``, and so stays,
+    shows there. ``width`` is at least 32 and at most 510 bytes.
     """
     key = ["k", "h"]
     base = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("k"), F.xxhash64("text", F.col("doc_id").isNull()).alias("h"), "text")
@@ -243,12 +244,13 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 400, crowded: int = 1024
     often = windows.groupBy("window").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("window")
     late = late.union(windows.where("NOT settled").join(often, "window").select(*key, "run"))
     late = late.groupBy(*key).agg(F.collect_set("run").alias("late"))
-    cuts = found.select(*key, "gone").join(late, key, "left")
-    out = base.join(cuts, key, "left").select("doc_id", "text", "gone", "late")
+    shared = F.size("gone") + F.size(F.filter("open", lambda o: ~o["settled"]))
+    cuts = found.select(*key, "gone", shared.cast("long").alias("shared")).join(late, key, "left")
+    out = base.join(cuts, key, "left").select("doc_id", "text", "gone", "late", F.coalesce("shared", F.lit(0)).alias("shared"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return out.mapInArrow(lambda b: _cut(b, width), f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    return out.mapInArrow(lambda b: _cut(b, width), f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, n_shared_phrases long")
 
 
 def op8_suffix_parsing(spark, sf_dir: str) -> DataFrame:
     out = remove_repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256"), "n_shared_phrases")
