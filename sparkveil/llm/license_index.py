@@ -191,7 +191,7 @@ def _scan(batches: Iterator[pa.RecordBatch], idf: dict[str, float], probes: int,
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
 
 
-def scan_licenses(docs: DataFrame, probes: int = 6, coverage: float = 0.8, band: int = 2) -> DataFrame:
+def scan_licenses(docs: DataFrame, probes: int = 6, coverage: float = 0.8, band: int = 4) -> DataFrame:
     """A row per row of ``docs``; see the module's docstring. ``score`` is the best coverage of a template found, in [0, 1]."""
     texts = docs.select("doc_id", "text")
     counts = texts.select("text").mapInArrow(_frequencies, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
