@@ -17,7 +17,7 @@ class Pattern:
     """One regular expression of a recogniser. Classes are ASCII and there is no look-around, so that engines agree; edges of words are
     part of the expression, so that what a match would need is not taken by one that has none.
 
-    ``check``: "luhn" or "ssn", a test of the match.
+    ``check``: "luhn" or "ssn", a test of the match. ``needs``: a text that every match holds; where it is missing, nothing is searched.
     """
 
     entity: str
@@ -25,13 +25,14 @@ class Pattern:
     regex: str
     score: float = 0.5
     check: str | None = None
+    needs: str | None = None
 
 
 #: Built-in recognisers, written from the formats' public definitions.
 BUILTIN = {
     "US_SSN": Pattern("US_SSN", "ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.85, "ssn"),
     "PHONE_NUMBER": Pattern("PHONE_NUMBER", "phone", r"(?:\+1[ .-]?[0-9]{3}[.-]|\b[0-9]{3}[.-]|(?:\+1[ .-]?)?\([0-9]{3}\) ?)[0-9]{3}[.-][0-9]{4}\b", 0.75),
-    "EMAIL_ADDRESS": Pattern("EMAIL_ADDRESS", "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 1.0),
+    "EMAIL_ADDRESS": Pattern("EMAIL_ADDRESS", "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 1.0, needs="@"),
     "DATE_TIME": Pattern("DATE_TIME", "date", r"\b(?:[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|[0-9]{4}-[0-9]{2}-[0-9]{2}|(?:January|February|March|April|May|June|July|August|September|October|November|December) [0-9]{1,2}, [0-9]{4})\b", 0.6),
     "CREDIT_CARD": Pattern("CREDIT_CARD", "card", r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b", 0.9, "luhn"),
     "US_DRIVER_LICENSE": Pattern("US_DRIVER_LICENSE", "driver_license", r"\b[A-Z][0-9]{7,12}\b", 0.3),
@@ -41,7 +42,7 @@ BUILTIN = {
     "IBAN_CODE": Pattern("IBAN_CODE", "iban", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", 0.5),
     "IP_ADDRESS": Pattern("IP_ADDRESS", "ip", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", 0.6),
     "MEDICAL_LICENSE": Pattern("MEDICAL_LICENSE", "medical_license", r"\b[ABCDEFGHJKLMPRSTUX][A-Z][0-9]{7}\b", 0.4),
-    "URL": Pattern("URL", "url", r"https?://[A-Za-z0-9./?&=_%#-]+", 0.6),
+    "URL": Pattern("URL", "url", r"https?://[A-Za-z0-9./?&=_%#-]+", 0.6, needs="://"),
 }
 #: Entities that are looked for unless a configuration names others (fixed values).
 DEFAULT_BUILTIN = ("US_SSN", "PHONE_NUMBER", "EMAIL_ADDRESS", "DATE_TIME", "CREDIT_CARD", "US_DRIVER_LICENSE", "US_BANK_NUMBER")
@@ -125,7 +126,7 @@ SAMPLE = Config(
     email_domains=("example.org", "mail1.example.com"),
     patterns=(
         *(BUILTIN[k] for k in ("EMAIL_ADDRESS", "PHONE_NUMBER", "CREDIT_CARD", "IP_ADDRESS")),
-        Pattern("SECRET", "token", r'token = "[0-9a-f]{40}"', 0.8),
+        Pattern("SECRET", "token", r'token = "[0-9a-f]{40}"', 0.8, needs='token = "'),
         Pattern("CREDIT_CARD", "digits", r"\b[0-9]{13,16}\b", 0.4),
     ),
     exemption_codes=("PII", "SECURITY", "FIN"),

@@ -32,7 +32,8 @@ def matches(text: Column, pattern: Pattern, ord_: int) -> Column:
     start = F.struct(F.lit(0).alias("pos"), F.from_json(F.lit("[]"), _SPAN).alias("out"))
     spans = F.aggregate(sizes, start, step, lambda acc: acc["out"])
     spans = F.filter(spans, lambda s: _sound(text, s, pattern))
-    return F.when(text.rlike(pattern.regex), spans).otherwise(F.from_json(F.lit("[]"), _SPAN))
+    there = text.rlike(pattern.regex)
+    return F.when(text.contains(pattern.needs) & there if pattern.needs else there, spans).otherwise(F.from_json(F.lit("[]"), _SPAN))
 
 
 def _sound(text: Column, s: Column, pattern: Pattern) -> Column:
