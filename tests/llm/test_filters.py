@@ -49,6 +49,66 @@ def test_quality_odd_rows(spark):
     assert quality_mcd.keep_good(df).columns == df.columns and quality_mcd.keep_good(df.limit(0)).count() == 0
 
 
+def plain_mcd(x, floors, share=0.75):
+    """Mean, inverse covariance and scale by concentration over sorted distances."""
+    best = None
+    med = np.median(x, axis=0)
+    sd = np.sqrt((1.4826 * np.median(np.abs(x - med), axis=0)) ** 2 + floors**2)
+    curved = med + sd * np.tanh((x - med) / sd)
+    for mean, cov in ((med, np.diag(sd**2)), (curved.mean(axis=0), np.cov(curved.T, bias=True) + np.diag(floors**2))):
+        for _ in range(30):
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            near = x[np.argsort(d, kind="stable")[: math.ceil(share * len(x))]]
+            mean, cov = near.mean(axis=0), np.cov(near.T, bias=True) + np.diag(floors**2)
+        if best is None or np.linalg.slogdet(cov)[1] < best[0]:
+            best = (np.linalg.slogdet(cov)[1], mean, np.linalg.inv(cov))
+    d = np.einsum("ij,jk,ik->i", x - best[1], best[2], x - best[1])
+    return d / max(1.0, np.median(d) / quality_mcd._chi_square(0.0))
+
+
+def test_verdicts_against_sorted_concentration(spark):
+    """The bins' estimates and the plain ones give nearly all documents the same verdict."""
+    rows = spark.read.parquet(f"{FOLDER.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text", "lang", "source").collect()
+    groups, verdict = {}, {}
+    for r in rows:
+        w, chars, symbols, dup, rep = counts(r.text)
+        lines = sum(1 for x in (r.text or "").encode().split(b"\n") if words(x.decode()))
+        if w >= 10 and 100 * rep <= 20 * w:
+            groups.setdefault((r.lang, r.source), []).append((r.doc_id, [math.log1p(w), math.log((chars + 1) / (w + 1)), math.sqrt(symbols / (chars + 1)), dup / (lines + 1), rep / (w + 1)]))
+    pools = {}
+    for (lang, source), own in groups.items():
+        pools.setdefault((lang, source) if len(own) >= 50 else (lang,), []).extend(own)
+    cut = quality_mcd._chi_square(4.75)
+    for own in pools.values():
+        if len(own) >= 50:
+            d = plain_mcd(np.array([x for _, x in own]), np.array(quality_mcd.FLOORS))
+            verdict |= {i: bool(v <= cut) for (i, _), v in zip(own, d, strict=True)}
+        else:
+            verdict |= {i: True for i, _ in own}
+    got = {r.doc_id: r.kept for r in quality_mcd.op1_quality_mcd(spark, FOLDER.replace("0.001", "0.01")).collect()}
+    differ = [i for i in got if got[i] != verdict.get(i, False)]
+    assert len(differ) <= 0.005 * len(got) and sum(verdict.values()) < len(verdict)
+
+
+def test_null_sources_are_no_pool(spark):
+    """60 rows without a source and three small groups of the language have estimates of their own."""
+    make = lambda i, n, s: (i, " ".join(f"w{i}x{j}" for j in range(n)), "en", s, "")
+    rows = [make(i, 30, None) for i in range(60)] + [make(100 + i, 3000, f"s{i % 3}") for i in range(30)]
+    kept = {r.doc_id for r in quality_mcd.keep_good(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert kept == {r[0] for r in rows}
+    groups, _ = quality_mcd.estimates(quality_mcd.with_counts(spark.createDataFrame(rows, SCHEMA), ["lang", "source"]))
+    assert {(r.own, r.grp) for r in groups.collect()} == {('{"lang":"en","source":null}',) * 2, *((f'{{"lang":"en","source":"s{i}"}}', '{"lang":"en"}') for i in range(3))}
+
+
+def test_wholly_repeated_lines_are_rejected(spark):
+    rng = np.random.default_rng(2)
+    good = [(i, "\n".join(" ".join(f"w{x}" for x in rng.integers(0, 10**6, 8)) for _ in range(12)), "en", "s", "") for i in range(120)]
+    lines = [f"a{i} b{i}" for i in range(3)]
+    again = "\n".join([*(" ".join(f"v{x}" for x in rng.integers(0, 10**6, 1)) + " " + str(j) for j in range(2)), *(lines[int(x)] for x in rng.integers(0, 3, 60))])
+    rows = quality_mcd.judged(*(lambda c: (c, *quality_mcd.estimates(c)))(quality_mcd.with_counts(spark.createDataFrame([*good, (999, again, "en", "s", "")], SCHEMA), ["doc_id", "lang", "source"]))).collect()
+    assert {r.doc_id: r._kept for r in rows}[999] is False and sum(r._kept for r in rows) >= 118
+
+
 def test_robust_estimate_rejects_a_planted_cluster(spark):
     rng = np.random.default_rng(1)
     good = [(i, " ".join("w" * int(x) for x in rng.integers(2, 9, 80)) + f" k{i}", "en", "s", "") for i in range(150)]
@@ -58,10 +118,10 @@ def test_robust_estimate_rejects_a_planted_cluster(spark):
 
 
 def test_licences(spark):
-    texts = ["Released under the MIT License.", "x cc-by CC BY. all rights  reserved", None, "GENERAL public license general public licence", "no rights reserved by cc", "you may not use this file except in compliance with the License. " * 2]
+    texts = ["Released under the MIT License.", "x cc-by CC BY. all rights  reserved", None, "GENERAL public license general public licence", "no rights reserved by cc", "you may not use this file except in compliance with the License. " * 2, "licensed under the terms of the MIT license", "SPDX-License-Identifier: Apache-2.0", "the mit of license under licensed", "x " * 90000 + "released under the mit license"]
     rows = license_index.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
-    assert [(r.n_base, r.first_word, r.last_word, r.base_labels) for r in rows] == [(0, None, None, ""), (3, 1, 5, "cc-by,reserved"), (0, None, None, ""), (1, 0, 0, "gpl"), (0, None, None, ""), (0, None, None, "")]
-    assert [r.labels for r in rows] == ["mit", "cc-by,reserved", "", "gpl", "", "apache-2.0"] and all(0 <= r.score <= 1 for r in rows)
+    assert [(r.n_base, r.first_word, r.last_word, r.base_labels) for r in rows] == [(0, None, None, ""), (3, 1, 5, "cc-by,reserved"), (0, None, None, ""), (1, 0, 0, "gpl"), *[(0, None, None, "")] * 6]
+    assert [r.labels for r in rows] == ["mit", "cc-by,reserved", "", "gpl", "", "apache-2.0", "mit", "apache-2.0", "", "mit"] and all(0 <= r.score <= 1 for r in rows)
     assert license_index.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
@@ -70,6 +130,8 @@ def test_mixing_reaches_targets(spark):
     targets = spark.createDataFrame([(None, 3.0), ("a", 1.0)], "source string, weight double")
     got = Counter(r.source for r in poisson_mixing.mix(df, targets=targets).collect())
     assert abs(got[None] - 2250) < 250 and abs(got["a"] - 750) < 120
+    clash = df.selectExpr("*", "1 AS _rate", "2 AS copies", "3 AS row")
+    assert poisson_mixing.mix(clash).columns == clash.columns and poisson_mixing.replicate(clash).count() > 0
     assert poisson_mixing.mix(df.limit(0)).count() == 0 and poisson_mixing.mix(df).columns == df.columns
 
 
@@ -95,21 +157,67 @@ def test_scores(spark):
         assert r.base_score == pytest.approx(sum(math.log10((c[t] + 1) / (n + v + 1)) for t in ts)) and r.score < 0
 
 
-def test_spelling_probabilities_sum_to_one():
-    """Over all first bytes of a token, whatever the tables hold."""
+def toy_codes():
     rng = np.random.default_rng(0)
-    table = tuple(rng.gamma(0.3, 5, context_mixing._BASE[-1]).astype(np.float32) for _ in range(2))
-    mixer = context_mixing.Mixer(table, rng.normal(0.3, 0.1, (context_mixing.GATES, context_mixing.ORDERS)).astype(np.float32))
-    total = 0.0
-    for byte in range(256):
-        events = context_mixing.Events([bytes([byte])])
-        p = 1.0
-        for bit, slots in events.bits():
-            x, gate = mixer.inputs(bit, slots, None)
-            q = float(1 / (1 + np.exp(-mixer.logit(x, gate)[0])))
-            p *= q if bit[0] else 1 - q
-        total += p
-    assert total == pytest.approx(1, abs=1e-3)
+    hashes = np.unique(rng.integers(1, 2**63, 40).astype(np.uint64))
+    classes = rng.integers(0, 4, len(hashes))
+    return context_mixing.Codes(hashes, classes, rng.integers(1, 50, len(hashes)), rng.integers(0, 9, context_mixing.CLASSES)), rng
+
+
+def test_probabilities_of_all_codes_sum_to_one():
+    """Whatever the tables hold: over all frequent tokens and the classes' escapes, after the same tokens."""
+    codes, rng = toy_codes()
+    tables = [context_mixing.Mixer.packed(rng.integers(0, 9, (1 << w, 2))) for w in context_mixing.TOKEN_BITS]
+    n = len(codes.sizes)
+    mixer = context_mixing.Mixer(codes.plain, tables, rng.normal(0.3, 0.1, (context_mixing.GATES, 4)).astype(np.float32), rng.uniform(0.1, 0.9, context_mixing.GATES * context_mixing.BINS))
+    e = context_mixing._coded(np.arange(n), [np.full(n, x, np.uint64) for x in (5, 6, 7)], codes)
+    assert (10.0 ** mixer.costs(e, n)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_mixer_against_one_bit_after_the_other():
+    """Counting, mixing, gates and refinement once more in plain Python numbers."""
+    m, (codes, rng) = context_mixing, toy_codes()
+    code = rng.integers(0, len(codes.sizes), 60)
+    contexts = [rng.integers(0, 3, 60).astype(np.uint64) for _ in range(3)]
+    e = m._coded(code, contexts, codes)
+    counts = [np.zeros((1 << w, 2), np.int64) for w in m.TOKEN_BITS]
+    plain = [Counter() for _ in m.TOKEN_BITS]
+    events = []
+    for t in range(60):
+        for j in range(codes.at[code[t]], codes.at[code[t]] + codes.sizes[code[t]]):
+            node, bit = int(codes.nodes[j]), int(codes.bits[j])
+            slots = [((int(contexts[o][t]) + node * 0x9E3779B97F4A7C15) * 0xD6E8FEB86659FD93 % 2**64) >> (64 - w) for o, w in enumerate(m.TOKEN_BITS)]
+            events.append((t, node, bit, slots))
+            for o, s in enumerate(slots):
+                plain[o][s, bit] += 1
+    for o, c in enumerate(counts):
+        np.add.at(c.reshape(-1), 2 * e.slots(o) + e.bits, 1)
+        assert {k: int(c[k]) for k in plain[o]} == dict(plain[o]) and c.sum() == len(events)
+    weights, refined = rng.normal(0.3, 0.1, (m.GATES, 4)).astype(np.float32), rng.uniform(0.1, 0.9, m.GATES * m.BINS)
+    got = m.Mixer(codes.plain, [m.Mixer.packed(c) for c in counts], weights, refined).costs(e, 60)
+    want = np.zeros(60)
+    logit = lambda n0, n1: math.log(n1 + 0.3) - math.log(n0 + 0.3)
+    for t, node, bit, slots in events:
+        x = [logit(*codes.plain[node])] + [logit(plain[o][s, 0], plain[o][s, 1]) for o, s in enumerate(slots)]
+        level = [sum(plain[o][s, 0] + plain[o][s, 1] > v for v in m.LEVELS) for o, s in enumerate(slots)]
+        gate = level[1] * 4 + level[2]
+        z = sum(float(w) * v for w, v in zip(weights[gate], x, strict=True))
+        p = (1 / (1 + math.exp(-z)) + refined[gate * m.BINS + round((max(-8, min(8, z)) + 8) * (m.BINS - 1) / 16)]) / 2
+        want[t] += math.log10(p if bit else 1 - p)
+    assert np.allclose(got, want, atol=0.05)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(None, "null id"), (7, None), (7, None), (9000, "word " * 40000)], "doc_id long, text string")).withColumn("row", docs["doc_id"])
+    got = []
+    for n in (4, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        rows = context_mixing.score_texts(docs.repartition(n, "text")).collect()
+        got.append(sorted((str(r.doc_id), r.n_tokens, round(r.score, 6), round(r.base_score, 6)) for r in rows))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert got[0] == got[1] and len(got[0]) == docs.count()
+    assert context_mixing.score_texts(docs.limit(0)).count() == 0
 
 
 def test_scores_depend_on_word_order(spark):
@@ -132,14 +240,3 @@ def test_scores_depend_on_word_order(spark):
     got = {r.doc_id: r for r in context_mixing.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for (i, _), (j, _) in zip(pairs, mixed, strict=True):
         assert got[i].base_score == pytest.approx(got[j].base_score) and got[i].score > got[j].score + 10
-
-
-def test_long_texts_in_parts_give_the_same_bits(monkeypatch):
-    text = b" ".join(b"w%d" % (i * i % 97) for i in range(400))
-    rng = np.random.default_rng(0)
-    table = tuple(rng.gamma(0.3, 5, context_mixing._BASE[-1]).astype(np.float32) for _ in range(2))
-    mixer = context_mixing.Mixer(table, np.full((context_mixing.GATES, context_mixing.ORDERS), 0.3, np.float32))
-    whole = mixer.costs([text], [0])[0]
-    monkeypatch.setattr(context_mixing, "_PIECE", 300)
-    parts = list(context_mixing._parts(text))
-    assert len(parts) > 3 and sum(mixer.costs(*map(list, zip(*parts, strict=True)))) == pytest.approx(whole)
