@@ -42,7 +42,7 @@ class Import:
     def __init__(self, store: Store, config: Config, job_id: int, actor: str = "system", clock: Callable[[], str] = utc_now):
         self.store, self.spark, self.config, self.job_id, self.actor, self.clock = store, store.spark, config, job_id, actor, clock
         job = store.read("jobs").where(F.col("id") == job_id).first()
-        self.case_id, self.path, self.label, self.propose = job["case_id"], job["upload_path"], job["label"] or job["upload_path"].rsplit("/", 1)[-1], job["propose_redactions"]
+        self.case_id, self.path, self.label, self.proposes = job["case_id"], job["upload_path"], job["label"] or job["upload_path"].rsplit("/", 1)[-1], job["propose_redactions"]
 
     def emit(self, stage: str, kind: str, message: str, payload: dict | None = None) -> None:
         old = self.store.read("events")
@@ -64,7 +64,7 @@ class Import:
         for name in ("ingest", "extract", "detect", "resolve", "propose"):
             try:
                 self._job(current_stage=name)
-                if name == "propose" and not self.propose:
+                if name == "propose" and not self.proposes:
                     self.emit(name, "finished", "skipped", {"skipped": True})
                     continue
                 self.emit(name, "started", name)

@@ -27,7 +27,7 @@ def test_invalid_numbers(spark):
 def test_edges_are_part_of_the_match(spark):
     """A match without an edge does not take the text of one that has it; expressions of users stay as they are."""
     assert [h[4] for h in hits(spark, [BUILTIN["CREDIT_CARD"]], "A1234 4111 1111 1111 1111")] == ["4111 1111 1111 1111"]
-    assert [h[4] for h in hits(spark, [Pattern("A", "a", r"\b\d{3}\\\\d")], r"x123\\d 456\d")] == [r"456\d"]
+    assert [h[4] for h in hits(spark, [Pattern("A", "a", "\\b\\d{3}\\\\d")], "x123\\d 456\\d")] == ["456\\d"]
 
 
 def test_stronger_hit_wins_and_types_overlap(spark):
