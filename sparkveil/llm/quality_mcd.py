@@ -144,7 +144,7 @@ def _moments(x: list[Column]) -> list[Column]:
 
 def _fitted(moments: DataFrame) -> DataFrame:
     rows = moments.select("grp", "start", "n", F.array(*(f"s{i}" for i in range(P))).alias("sums"), F.array(*(f"p{i}_{j}" for i, j in _PAIRS)).alias("products"))
-    return rows.mapInPandas(_fit, _ESTIMATE)
+    return rows.coalesce(4).mapInPandas(_fit, _ESTIMATE)  # a row for each group and start
 
 
 def _concentrated(x: DataFrame, estimate: DataFrame, share: float) -> DataFrame:
@@ -162,7 +162,7 @@ def _chi_square(z: float) -> float:
     return P * (1 - 2 / (9 * P) + z * (2 / (9 * P)) ** 0.5) ** 3
 
 
-def estimates(counts: DataFrame, share: float = 0.75, least: int = 50, steps: int = 12) -> tuple[DataFrame, DataFrame]:
+def estimates(counts: DataFrame, share: float = 0.75, least: int = 50, steps: int = 8) -> tuple[DataFrame, DataFrame]:
     """(groups, estimate). groups: own, grp; which estimate a (language, source) uses. estimate: grp, mean, white, scale.
 
     Concentration ends when no determinant changes any more, or after ``steps``.
