@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkveil.config import Config
-from sparkveil.operators import cases, redact, resolve, spans
+from sparkveil.functions.html import html_to_text
+from sparkveil.operators import cases, markup, redact, resolve, spans
 from sparkveil.sources import mail
 from sparkveil.sources.store import Store
 
@@ -27,9 +28,12 @@ def utc_now() -> str:
 
 
 def text_sources(emails: DataFrame, attachments: DataFrame | None = None) -> DataFrame:
-    """source_type, source_id, text of subjects, bodies and, where text was extracted, attachments."""
-    part = lambda kind, column: emails.select(F.lit(kind).alias("source_type"), F.col("id").alias("source_id"), F.col(column).alias("text"))
-    out = part("email_subject", "subject").unionByName(part("email_body_text", "body_text"))
+    """source_type, source_id, text of subjects, bodies, HTML bodies (their text; ``markup`` places spans of it) and, where text was extracted, attachments."""
+    part = lambda kind, text: emails.select(F.lit(kind).alias("source_type"), F.col("id").alias("source_id"), text.alias("text"))
+    out = part("email_subject", F.col("subject")).unionByName(part("email_body_text", F.col("body_text")))
+    if "body_html_sanitized" in emails.columns:
+        some = emails.where("body_html_sanitized <> ''").select("id", "body_html_sanitized")
+        out = out.unionByName(some.select(F.lit(markup.SOURCE_TYPE).alias("source_type"), F.col("id").alias("source_id"), html_to_text("body_html_sanitized").alias("text")))
     if attachments is not None:
         ok = attachments.where("extraction_status = 'ok'")
         out = out.unionByName(ok.select(F.lit("attachment_text").alias("source_type"), F.col("id").alias("source_id"), F.col("extracted_text").alias("text")))

@@ -43,16 +43,19 @@ def running_total(rows: DataFrame, levels: list[list[Column]], order: list[Colum
     names = [[f"_k{i}_{j}" for j in range(len(x))] for i, x in enumerate(levels)]
     rows_ = rows.select("*", *(c.alias(n) for ns, cs in zip(names, levels, strict=True) for n, c in zip(ns, cs, strict=True)))
     flat = [n for ns in names for n in ns]
-    sums = rows_.groupBy(*flat).agg(F.sum(value).alias("_t"))
-    before = F.lit(0).cast("long")
-    for i, own in enumerate(names):
-        above = [n for ns in names[:i] for n in ns]
-        here = sums.groupBy(*above, *own).agg(F.sum("_t").alias("_t"))
-        w = (Window.partitionBy(*above) if above else Window.partitionBy()).orderBy(*(F.col(n).asc_nulls_last() for n in own)).rowsBetween(Window.unboundedPreceding, -1)
-        here = here.select(*(F.col(n).alias(f"{n}_") for n in above + own), F.coalesce(F.sum("_t").over(w), F.lit(0)).alias(f"_before{i}"))
-        sums = sums.join(here, [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in above + own]).drop(*(f"{n}_" for n in above + own))
-        before = before + F.col(f"_before{i}")
-    totals = sums.select(*(F.col(n).alias(f"{n}_") for n in flat), before.alias("_before"))
+    earlier = lambda above, own: (Window.partitionBy(*above) if above else Window.partitionBy()).orderBy(*(F.col(n).asc_nulls_last() for n in own)).rowsBetween(Window.unboundedPreceding, -1)
+
+    def offsets(depth: int) -> DataFrame:
+        """The keys of the first ``depth`` levels, and the total before each of their buckets."""
+        above, own = [n for ns in names[: depth - 1] for n in ns], names[depth - 1]
+        sums = rows_.groupBy(*above, *own).agg(F.sum(value).alias("_t"))
+        here = sums.select(*above, *own, F.coalesce(F.sum("_t").over(earlier(above, own)), F.lit(0)).cast("long").alias("_before"))
+        if not above:
+            return here
+        up = offsets(depth - 1).select(*(F.col(n).alias(f"{n}_") for n in above), F.col("_before").alias("_up"))
+        return here.join(up, [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in above]).select(*above, *own, (F.col("_before") + F.col("_up")).alias("_before"))
+
+    totals = offsets(len(names)).withColumnsRenamed({n: f"{n}_" for n in flat})
     own = Window.partitionBy(*flat).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows_.select("*", F.coalesce(F.sum(value).over(own), F.lit(0)).alias("_in"))
     return placed.join(totals, [placed[n].eqNullSafe(totals[f"{n}_"]) for n in flat]).select(*rows.columns, (F.col("_before") + F.col("_in")).alias(out))
@@ -105,7 +108,8 @@ def _rule(rows: DataFrame) -> DataFrame:
 def _body(rows: DataFrame, lines: str, name: str) -> DataFrame:
     """The lines of a text (an empty one takes one), from where they begin: kept as ``name``_page and ``name``_used."""
     rows = rows.withColumns({f"{name}_page": F.col("page"), f"{name}_used": F.col("used")})
-    return _rule(_lines(rows, F.greatest(F.lit(1), F.coalesce(lines, F.lit(0)))))
+    rows = _rule(_lines(rows, F.greatest(F.lit(1), F.coalesce(lines, F.lit(0)))))
+    return rows.withColumns({f"{name}_rule_page": F.col("page"), f"{name}_rule": F.col("used") - RULE})
 
 
 def email_pages(docs: DataFrame) -> DataFrame:
@@ -127,28 +131,36 @@ def attachment_pages(docs: DataFrame) -> DataFrame:
     return rows.withColumn("pages", F.col("page") + 1).drop("page", "used")
 
 
-def produced(emails: DataFrame, attachments: DataFrame, lines: DataFrame) -> DataFrame:
-    """Where every text of a production begins: source_type, source_id, source_label, page (of the whole production, from 0), used, pages (of its document).
+def lines_of(text: str) -> Column:
+    """How many printed lines a text has; a blank one has none of its own."""
+    blank = F.coalesce(F.trim(text), F.lit("")) == ""
+    return F.when(blank, 0).otherwise(spans.line_count(F.col(text), WIDTH))
 
-    ``emails``: id, date_sent, cc_addrs and excluded_at; excluded ones are left out. ``attachments``: id, email_id, with their text extracted.
-    ``lines``: source_type, source_id of every wrapped line. E-mails come by date (none last) and id, then attachments by e-mail and id.
+
+def produced(emails: DataFrame, attachments: DataFrame) -> DataFrame:
+    """Where every text of a production begins: source_type, source_id, source_label, page (of the whole production, from 0), used, pages (of its
+    document), rule_page and rule (where the rule after it is).
+
+    ``emails``: id, date_sent, cc_addrs, excluded_at, subject and body_text; excluded ones are left out. ``attachments``: id, email_id, extracted_text.
+    Lines are counted where the texts are. E-mails come by date (none last) and id, then attachments by e-mail and id.
     """
-    n = lines.groupBy("source_type", "source_id").agg(F.count(F.lit(1)).alias("n"))
-    of = lambda kind, name: n.where(F.col("source_type") == kind).select(F.col("source_id").alias("id"), F.col("n").alias(name))
     kept = emails.where("excluded_at IS NULL")
     headers = (F.lit(3) + (F.size("cc_addrs") > 0).cast("int") + F.col("date_sent").isNotNull().cast("int")).alias("headers")  # From, To, Source; Cc; Date
-    mails = kept.select("id", "date_sent", headers).join(of("email_subject", "subject_lines"), "id", "left").join(of("email_body_text", "body_lines"), "id", "left")
-    mails = email_pages(mails)
+    mails = email_pages(kept.select("id", "date_sent", headers, lines_of("subject").alias("subject_lines"), lines_of("body_text").alias("body_lines")))
     ends = kept.agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("n")).first()
     mails = running_total(mails, by_date(F.col("date_sent"), F.col("id"), ends["a"] or 0, ends["b"] or 0), [F.col("id")], "pages", "before")
-    files = attachments.join(kept.select(F.col("id").alias("email_id")), "email_id", "left_semi").select("id", "email_id", F.lit(3).alias("headers"))
-    files = attachment_pages(files.join(of("attachment_text", "lines"), "id", "left"))
+    files = attachments.select("id", "email_id", F.lit(3).alias("headers"), lines_of("extracted_text").alias("lines"))
+    files = attachment_pages(files.join(kept.select(F.col("id").alias("email_id")), "email_id", "left_semi"))
     span = files.agg(F.min("email_id").alias("a"), F.max("email_id").alias("b")).first()
     coarse = F.floor((F.col("email_id") - (span["a"] or 0)) * 1024 / ((span["b"] or 0) - (span["a"] or 0) + 1))
     files = running_total(files, [[coarse], [F.col("email_id")]], [F.col("id")], "pages", "before")
     all_mail = mails.agg(F.coalesce(F.sum("pages"), F.lit(0)).alias("n")).first()["n"]
-    part = lambda rows, kind, name, label, more=0: rows.select(F.lit(kind).alias("source_type"), F.col("id").alias("source_id"), F.concat(F.lit(label), F.col("id").cast("string")).alias("source_label"), (F.col("before") + F.col(f"{name}_page") + more).alias("page"), F.col(f"{name}_used").alias("used"), "pages")
-    return part(mails, "email_subject", "subject", "email ").unionByName(part(mails, "email_body_text", "body", "email ")).unionByName(part(files, "attachment_text", "text", "attach ", all_mail))
+    def texts(rows: DataFrame, label: str, more: int, **kinds: str) -> DataFrame:
+        one = lambda kind, name: F.struct(F.lit(kind).alias("source_type"), (F.col("before") + F.col(f"{name}_page") + more).alias("page"), F.col(f"{name}_used").alias("used"), (F.col("before") + F.col(f"{name}_rule_page") + more).alias("rule_page"), F.col(f"{name}_rule").alias("rule"))
+        rows = rows.select(F.col("id").alias("source_id"), F.concat(F.lit(label), F.col("id").cast("string")).alias("source_label"), "pages", F.inline(F.array(*(one(k, n) for k, n in kinds.items()))))
+        return rows.select("source_type", "source_id", "source_label", "page", "used", "pages", "rule_page", "rule")
+
+    return texts(mails, "email ", 0, email_subject="subject", email_body_text="body").unionByName(texts(files, "attach ", all_mail, attachment_text="text"))
 
 
 def full_log(clips: DataFrame, accepted: DataFrame, places: DataFrame, config: Bates) -> DataFrame:
@@ -187,14 +199,82 @@ def redaction_log(clips: DataFrame, layout: DataFrame, config: Bates, headers: i
     return rows.select("source_id", "span_start", "span_end", bates(number, config.prefix, config.width).alias("page"))
 
 
+def overlaid(lines: DataFrame, accepted: DataFrame, sign: str = "█") -> DataFrame:
+    """``lines`` with covered characters replaced by ``sign``, and the ``boxes`` that cover them (with the code, if ``accepted`` has any).
+
+    Lines break where the uncovered text breaks, whatever is covered.
+    """
+    code = F.col("exemption_code") if "exemption_code" in accepted.columns else F.lit(None).cast("string")
+    marked = accepted.select("source_type", "source_id", "start", "end", code.alias("code")).distinct()
+    cuts = spans.clipped(lines, marked).join(marked.withColumnsRenamed({"start": "span_start", "end": "span_end"}), ["source_type", "source_id", "span_start", "span_end"]).where("to_col > from_col")
+    boxes = cuts.groupBy("source_type", "source_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("from_col", "to_col", "code"))).alias("boxes"))
+    hide = lambda line, b: F.concat(F.substring(line, 1, b["from_col"]), F.repeat(F.lit(sign), b["to_col"] - b["from_col"]), F.substring(line, b["to_col"] + 1, F.length(line)))
+    rows = lines.join(boxes, ["source_type", "source_id", "line_no"], "left")
+    return rows.withColumn("line", F.when(F.col("boxes").isNull(), F.col("line")).otherwise(F.aggregate("boxes", F.col("line"), hide)))
+
+
 def production_lines(sources: DataFrame, accepted: DataFrame, width: int = WIDTH) -> DataFrame:
     """The text of every line as it is printed: covered characters blacked out, controls blank."""
-    return spans.wrapped(spans.masked(sources, accepted).withColumnRenamed("masked", "text"), width)
+    return overlaid(spans.wrapped(sources, width), accepted).drop("boxes")
+
+
+def on_pages(rows: DataFrame) -> DataFrame:
+    """Lines (line_no) of texts that begin at (page, used) with the page and units of their own."""
+    first = F.greatest(F.lit(0), F.floor((PAGE - F.col("used")) / LINE))
+    turned = F.col("line_no") >= first
+    return rows.withColumns({
+        "page": F.col("page") + line_page(F.col("used"), F.col("line_no")),
+        "used": F.when(turned, (F.col("line_no") - first) % (PAGE // LINE) * LINE).otherwise(F.col("used") + F.col("line_no") * LINE).cast("long"),
+    })
+
+
+def printed_text(sources: DataFrame, accepted: DataFrame, places: DataFrame) -> DataFrame:
+    """page, used, kind, text, boxes of every line of every text; what a box covers is blank."""
+    lines = overlaid(spans.wrapped(sources, WIDTH), accepted, " ")
+    rows = on_pages(lines.join(places.select("source_type", "source_id", "page", "used"), ["source_type", "source_id"]))
+    return rows.select("page", "used", F.lit("line").alias("kind"), F.col("line").alias("text"), "boxes")
+
+
+def printed_frame(emails: DataFrame, attachments: DataFrame, places: DataFrame) -> DataFrame:
+    """Headings, header lines, labels and rules round the texts, as printed_text gives them.
+
+    ``emails``: also from_addr, to_addrs, mbox_source, mbox_index; ``attachments``: also filename, content_type.
+    """
+    item = lambda used, kind, text: F.struct(used.cast("long").alias("used"), F.lit(kind).alias("kind"), text.alias("text"))
+    none = F.lit(None).cast("array<struct<from_col:int,to_col:int,code:string>>").alias("boxes")
+    number = F.col("id").cast("string")
+    said = lambda name, value: F.when(value.isNotNull(), F.concat(F.rpad(F.lit(name + ":"), 9, " "), F.substring(value, 1, WIDTH - 9)))
+
+    def headers(*lines: Column) -> Column:
+        return F.transform(F.filter(F.array(*lines), lambda x: x.isNotNull()), lambda x, i: F.struct((HEADING + i * LINE).cast("long").alias("used"), F.lit("line").alias("kind"), x.alias("text")))
+
+    listed = lambda c: F.array_join(c, ", ")
+    top = lambda kind: places.where(F.col("source_type") == kind).select(F.col("source_id").alias("id"), "page", F.col("used").alias("at"))
+    mails = emails.join(top("email_subject"), "id")
+    mails = mails.select("page", F.inline(F.concat(
+        F.array(item(F.lit(0), "heading", F.concat(F.lit("E-mail "), number))),
+        headers(said("From", F.coalesce("from_addr", F.lit(""))), said("To", listed("to_addrs")), F.when(F.size("cc_addrs") > 0, said("Cc", listed("cc_addrs"))), said("Date", F.col("date_sent")), said("Source", F.concat_ws(" #", "mbox_source", F.col("mbox_index").cast("string")))),
+        F.array(item(F.col("at") - LINE, "line", F.lit("Subject:"))),
+    )))
+    bodies = places.where("source_type = 'email_body_text'").select("page", F.inline(F.array(item(F.col("used") - HEADING, "heading", F.lit("Body")))))
+    files = attachments.join(top("attachment_text"), "id").select("page", F.inline(F.concat(
+        F.array(item(F.lit(0), "heading", F.concat(F.lit("Attachment "), number))),
+        headers(said("File", F.coalesce("filename", F.lit(""))), said("Type", F.coalesce("content_type", F.lit(""))), said("E-mail", F.col("email_id").cast("string"))),
+    )))
+    rules = places.select(F.col("rule_page").alias("page"), F.inline(F.array(item(F.col("rule"), "rule", F.lit("")))))
+    return mails.unionByName(bodies).unionByName(files).unionByName(rules).select("*", none)
+
+
+def page_labels(places: DataFrame, config: Bates) -> DataFrame:
+    """page, label of every page, the one that is begun after the last document included."""
+    documents = places.where("source_type <> 'email_subject'")
+    total = documents.agg(F.sum("pages").alias("n")).first()["n"] or 0
+    return places.sparkSession.range(total + 1).select(F.col("id").alias("page"), bates(F.col("id") + config.start, config.prefix, config.width).alias("label"))
 
 
 def write_log(log: DataFrame, path: str) -> None:
-    """One CSV file with a header; the log is as long as the redactions of a production."""
-    log.orderBy(*log.columns[:1], "source_id").coalesce(1).write.mode("errorifexists").option("header", True).csv(path)
+    """One CSV file with a header, in the order of burning; the log is as long as the redactions of a production."""
+    log.orderBy(*log.columns[:1], "source_id", "start_offset", "end_offset").coalesce(1).write.mode("errorifexists").option("header", True).csv(path)
 
 
 def at_least_one_page(n: Column) -> Column:

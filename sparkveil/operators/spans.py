@@ -5,7 +5,7 @@ The central relation is sources(source_type, source_id, text).
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,21 +16,40 @@ KEY = ["source_type", "source_id"]
 _SPAN = "array<struct<entity_type:string,start:int,end:int,score:double,recognizer:string,ord:int>>"
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x made once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def running(xs: Column) -> Column:
+    """For each of an array of ints, the sum of those before it. By blocks of the root of their number, as every append copies what is there."""
+    none = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("sum"))
+    scan = lambda block: F.aggregate(block, none, lambda acc, x: F.struct(F.concat(acc["out"], F.array(acc["sum"])).alias("out"), (acc["sum"] + x).alias("sum")))
+
+    def blocks(x: Column) -> Column:
+        step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(x))).cast("int"))
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / step).cast("int")), lambda i: scan(F.slice(x, i * step + 1, step)))
+
+    whole = let(xs, lambda x: F.when(F.size(x) == 0, F.array().cast("array<int>")).otherwise(
+        let(blocks(x), lambda b: let(scan(F.transform(b, lambda s: s["sum"]))["out"], lambda bases: F.flatten(F.transform(b, lambda s, i: F.transform(s["out"], lambda o: o + F.get(bases, i))))))
+    ))
+    return whole
+
+
 def matches(text: Column, pattern: Pattern, ord_: int) -> Column:
     """All matches of one pattern, as an array of spans. Texts between matches and the matches give the offsets."""
-    found = F.regexp_extract_all(text, F.lit(pattern.regex), F.lit(0))
-    sizes = F.arrays_zip(F.transform(F.split(text, pattern.regex, -1), lambda g: F.length(g)).alias("gap"), F.transform(found, lambda m: F.length(m)).alias("size"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + x["gap"]
-        span = F.struct(
-            F.lit(pattern.entity).alias("entity_type"), start.alias("start"), (start + x["size"]).alias("end"),
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern.regex), F.lit(0)), lambda m: F.length(m))
+    gaps = F.transform(F.split(text, pattern.regex, -1), lambda g: F.length(g))
+
+    def spans_of(x: Column) -> Column:
+        both = F.transform(x["size"], lambda n, i: n + F.get(x["gap"], i))
+        start = lambda before, i: before + F.get(x["gap"], i)
+        return F.transform(running(both), lambda before, i: F.struct(
+            F.lit(pattern.entity).alias("entity_type"), start(before, i).alias("start"), (start(before, i) + F.get(x["size"], i)).alias("end"),
             F.lit(float(pattern.score)).alias("score"), F.lit(pattern.recognizer).alias("recognizer"), F.lit(ord_).alias("ord"),
-        )
-        return F.when(x["size"].isNull(), acc).otherwise(F.struct((start + x["size"]).alias("pos"), F.concat(acc["out"], F.array(span)).alias("out")))
+        ))
 
-    start = F.struct(F.lit(0).alias("pos"), F.from_json(F.lit("[]"), _SPAN).alias("out"))
-    spans = F.aggregate(sizes, start, step, lambda acc: acc["out"])
+    spans = let(F.struct(gaps.alias("gap"), found.alias("size")), spans_of)
     spans = F.filter(spans, lambda s: _sound(text, s, pattern))
     there = text.rlike(pattern.regex)
     return F.when(text.contains(pattern.needs) & there if pattern.needs else there, spans).otherwise(F.from_json(F.lit("[]"), _SPAN))
@@ -71,10 +90,14 @@ def resolve_overlaps(hits: Column, entities: Iterable[str]) -> Column:
             better = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(s))
             return F.when(clear, F.concat(acc, F.array(s))).when(s["worse"] < last["worse"], better).otherwise(acc)
 
-        empty = F.filter(own, lambda s: F.lit(False))
-        # the first span is taken before any is looked at: an empty array has no last element
+        def folded(x: Column) -> Column:
+            empty = F.filter(x, lambda s: F.lit(False))
+            clash = F.exists(F.transform(x, lambda s, i: (i > 0) & (s["start"] < F.get(x, i - 1)["end"])), lambda hit: hit)
+            # the first span is taken before any is looked at: an empty array has no last element
+            return F.when(clash, F.aggregate(x, empty, lambda acc, s: F.when(F.size(acc) == 0, F.array(s)).otherwise(step(acc, s)))).otherwise(x)
+
         return F.transform(
-            F.aggregate(F.array_sort(own), empty, lambda acc, s: F.when(F.size(acc) == 0, F.array(s)).otherwise(step(acc, s))),
+            let(F.array_sort(own), folded),
             lambda s: F.struct(F.lit(entity).alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), (-s["worse"]).alias("score"), s["recognizer"].alias("recognizer"), s["ord"].alias("ord")),
         )
 
@@ -103,15 +126,18 @@ def replaced(old: DataFrame, new: DataFrame, scanned: DataFrame) -> DataFrame:
 
 def wrapped(sources: DataFrame, width: int) -> DataFrame:
     """Lines of at most ``width`` code points: key, line_no, start, line. Control characters become blanks, one for one."""
-    rows = sources.select(*KEY, F.posexplode(F.split("text", "\n", -1)).alias("para", "whole"))
-    so_far = Window.partitionBy(*KEY).orderBy("para").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.select(*KEY, "whole", F.coalesce(F.sum(F.length("whole") + 1).over(so_far), F.lit(0)).cast("int").alias("base"))
-    cut = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("whole") - 1), F.lit(width)))
-    rows = rows.select(*KEY, "base", "whole", cut.alias("at"))
-    line = F.regexp_replace(F.substring(F.col("whole"), F.col("at") + 1, F.lit(width)), r"[\x00-\x09\x0B-\x1F\x7F]", " ")
-    rows = rows.select(*KEY, (F.col("base") + F.col("at")).alias("start"), line.alias("line"))
-    order = Window.partitionBy(*KEY).orderBy("start")
-    return rows.select(*KEY, (F.row_number().over(order) - 1).alias("line_no"), "start", "line")
+    clean = F.regexp_replace("text", r"[\x00-\x09\x0B-\x1F\x7F]", " ")
+    rows = sources.where("text IS NOT NULL").select(*KEY, F.explode(F.array(F.split(clean, "\n", -1))).alias("paras"))
+    cut = F.transform("paras", lambda p: F.when(p == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(p, F.lit(f"(?s).{{1,{width}}}"), F.lit(0))))
+    rows = rows.select(*KEY, running(F.transform("paras", lambda p: F.length(p) + 1)).alias("base"), F.explode(F.array(cut)).alias("cut"))
+    rows = rows.select(*KEY, F.inline(F.arrays_zip("base", "cut", running(F.transform("cut", F.size)).alias("first"))))
+    rows = rows.select(*KEY, "base", "first", F.posexplode("cut").alias("at", "line"))
+    return rows.select(*KEY, (F.col("first") + F.col("at")).alias("line_no"), (F.col("base") + F.col("at") * width).alias("start"), "line")
+
+
+def line_count(text: Column, width: int) -> Column:
+    """How many lines ``wrapped`` makes of a text."""
+    return F.aggregate(F.split(text, "\n", -1), F.lit(0), lambda n, p: n + F.greatest(F.lit(1), F.ceil(F.length(p) / width)).cast("int"))
 
 
 def clipped(lines: DataFrame, spans: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from sparkveil.config import BUILTIN, SAMPLE, Pattern
 from sparkveil.operators.resolve import EMAIL, SIGN_OFFS
-from sparkveil.sources.fixtures import ATTACHMENTS, EMAILS
+from sparkveil.sources.fixtures import ATTACHMENTS, EMAILS, HTML_MAILS
 
 ORACLES: dict[str, str] = {}
 
@@ -319,3 +319,44 @@ CTES["formats"] = """SELECT 'rendered' AS source_type, c_custkey AS source_id, p
 _add("pii_builtin_spans", "formats", "SELECT source_id, recognizer, start_offset, end_offset, matched_text FROM (" + " UNION ALL ".join(_hits(p, 0, "formats") for p in BUILTIN.values()) + ")")
 _add("ai_json_extract", "", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 _add("event_tail_stream", "", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+
+# HTML bodies: paragraphs are lines, so texts and places in the markup follow from the lines
+_AT = "CASE WHEN source_id % 2 = 0 THEN '&#64;' ELSE '@' END"
+
+
+def _escaped(x: str) -> str:
+    return f"replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '@', {_AT})"
+
+
+_MAIL = _quoted(BUILTIN["EMAIL_ADDRESS"].regex)
+CTES["htmllines"] = f"""SELECT source_id, i, line, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS node, length(line) - length(regexp_replace(line, '^\\s+', '')) AS lead,
+  18 + coalesce(sum(length({_escaped("line")}) + 7) OVER (PARTITION BY source_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS mark,
+  regexp_extract_all(line, {_MAIL}) AS m, string_split_regex(line, {_MAIL}) AS g
+FROM (SELECT doc_id AS source_id, ls[i] AS line, i FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))"""
+CTES["htmlnodes"] = """SELECT *, coalesce(sum(length(node) + 1) OVER (PARTITION BY source_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM htmllines WHERE node <> ''"""
+CTES["htmltexts"] = """SELECT 'email_body_html' AS source_type, d.doc_id AS source_id, coalesce(t, '') AS text FROM documents d LEFT JOIN (SELECT source_id, string_agg(node, ' ' ORDER BY i) AS t FROM htmlnodes GROUP BY 1) ON source_id = doc_id"""
+_USES |= {"htmlnodes": ["htmllines"], "htmltexts": ["htmlnodes"], "htmlfound": ["htmltexts"]}
+CTES["htmlfound"] = _detections("htmltexts")
+_add("html_body_spans", "htmlnodes", f"""SELECT source_id, CAST(base + s - lead AS INTEGER) AS start_offset, CAST(base + s - lead + length(hit) AS INTEGER) AS end_offset, hit AS matched_text,
+  CAST(mark + length({_escaped("substr(line, 1, s)")}) AS INTEGER) AS mark_start, CAST(mark + length({_escaped("substr(line, 1, s + length(hit))")}) AS INTEGER) AS mark_end
+FROM (SELECT *, m[k] AS hit, CAST(list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+      FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM htmlnodes))""")
+_add("html_bodies_burned", "htmllines", f"""SELECT source_id, sha256('<div class="m"><p>' || string_agg(burned, '</p><p>' ORDER BY i) || '</p><!-- end --></div>') AS burned_sha256
+FROM (SELECT source_id, i, array_to_string(list_transform(range(1, len(m) + 1), lambda k: {_escaped("g[k]")} || repeat('█', length(m[k]))), '') || {_escaped("g[len(m) + 1]")} AS burned FROM htmllines) GROUP BY 1""")
+_add("html_proposals", "htmlfound", f"""SELECT source_type, source_id, start_offset, end_offset, exemption_code, 'proposed' AS status FROM ({PROPOSED.replace("FROM detections", "FROM htmlfound")}) WHERE nth = 1""")
+CTES["htmlsearched"] = "SELECT 'html' AS scope, source_id AS id, text FROM htmltexts"
+_USES["htmlsearched"] = ["htmltexts"]
+CTES["htmltokens"] = f"SELECT scope, id, CAST([] AS VARCHAR[]) AS a, {WORDS.replace('TEXT', 'text')} AS b FROM htmlsearched"
+_USES["htmltokens"] = ["htmlsearched"]
+_add("html_search", "htmltokens", "SELECT id, score FROM (" + _bm25([_one("and"), _one("the")]).replace("FROM tokens", "FROM htmltokens") + ")")
+
+CTES["burned"] = "SELECT source_type, source_id, start_offset, end_offset, exemption_code FROM redactions WHERE status = 'accepted'"
+CTES["boxed"] = """SELECT DISTINCT l.source_type, l.source_id, l.line_no, greatest(l.start_offset, s.start_offset) - l.start_offset AS a, least(l.start_offset + length(l.line), s.end_offset) - l.start_offset AS b, exemption_code AS c
+FROM all_lines l JOIN burned s ON s.source_type = l.source_type AND s.source_id = l.source_id AND s.start_offset < l.start_offset + length(l.line) AND l.start_offset < s.end_offset"""
+CTES["hidden"] = """SELECT l.source_type, l.source_id, l.line_no, string_agg(CASE WHEN EXISTS (SELECT 1 FROM boxed x WHERE x.source_type = l.source_type AND x.source_id = l.source_id AND x.line_no = l.line_no AND a <= j AND j < b) THEN ' ' ELSE substr(l.line, CAST(j + 1 AS BIGINT), 1) END, '' ORDER BY j) AS line
+FROM (SELECT *, unnest(range(0, length(line))) AS j FROM all_lines SEMI JOIN boxed USING (source_type, source_id, line_no)) l GROUP BY 1, 2, 3"""
+_USES |= {"burned": ["redactions"], "boxed": ["all_lines", "burned"], "hidden": ["boxed"]}
+_add("production_print", "places hidden", """SELECT CAST(page + CASE WHEN line_no < (275 - used) // 5 THEN 0 ELSE 1 + (line_no - (275 - used) // 5) // 55 END AS BIGINT) AS page, CAST(CASE WHEN line_no < (275 - used) // 5 THEN used + 5 * line_no ELSE (line_no - (275 - used) // 5) % 55 * 5 END AS BIGINT) AS used,
+  coalesce(h.line, l.line) AS text, coalesce(boxes, '') AS boxes
+FROM all_lines l JOIN places USING (source_type, source_id) LEFT JOIN hidden h USING (source_type, source_id, line_no)
+LEFT JOIN (SELECT source_type, source_id, line_no, string_agg(a || ' ' || b || ' ' || c, ',' ORDER BY a, b, c) AS boxes FROM boxed GROUP BY 1, 2, 3) USING (source_type, source_id, line_no)""")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkveil.config import SAMPLE
 from sparkveil.functions.text import is_internal, json_block, plain_text, truncated
-from sparkveil.operators import ai, cases, produce, query, redact, resolve, search, spans
+from sparkveil.operators import ai, cases, markup, produce, query, redact, resolve, search, spans
 from sparkveil.sources.fixtures import Corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -485,26 +485,24 @@ def bates_pages(c: Corpus) -> DataFrame:
     return produce.laid_out(_documents(c), SAMPLE.bates).select("id", "pages", "first_page", "last_page")
 
 
-def _lines_everywhere(c: Corpus) -> DataFrame:
-    return spans.wrapped(c.sources, produce.WIDTH)
+def _mails(c: Corpus) -> DataFrame:
+    return c.emails.withColumns({"cc_addrs": F.when(F.col("cc_addr").isNull(), F.array().cast("array<string>")).otherwise(F.array("cc_addr")), "to_addrs": F.array("to_addr")})
 
 
-def _places(c: Corpus, lines: DataFrame) -> DataFrame:
-    mails = c.emails.withColumn("cc_addrs", F.when(F.col("cc_addr").isNull(), F.array().cast("array<string>")).otherwise(F.array("cc_addr")))
-    return produce.produced(mails, c.attachments.where("extraction_status = 'ok'"), lines)
+def _places(c: Corpus) -> DataFrame:
+    return produce.produced(_mails(c), c.files.where("extraction_status = 'ok'"))
 
 
 @registered
 def production_places(c: Corpus) -> DataFrame:
     """The page on which every subject, body and attachment begins."""
-    return _places(c, _lines_everywhere(c)).select("source_type", "source_id", "source_label", "page", "used", "pages")
+    return _places(c).select("source_type", "source_id", "source_label", "page", "used", "pages")
 
 
 def _full_log(c: Corpus) -> tuple[DataFrame, DataFrame]:
-    lines = _lines_everywhere(c)
-    places = _places(c, lines)
+    places = _places(c)
     accepted = _redactions(c).where("status = 'accepted'").select("source_type", "source_id", "start", "end", (F.col("source_id") * 100000 + F.col("start")).alias("id"), "exemption_code", "reviewer_id", F.lit("2025-05-05").alias("accepted_at"))
-    return places, produce.full_log(spans.clipped(lines, accepted), accepted, places, SAMPLE.bates)
+    return places, produce.full_log(spans.clipped(spans.wrapped(c.sources, produce.WIDTH), accepted), accepted, places, SAMPLE.bates)
 
 
 @registered
@@ -522,6 +520,14 @@ def production_lines(c: Corpus) -> DataFrame:
     return produce.production_lines(c.bodies, _accepted(c)).select("source_id", F.col("line_no").cast("long").alias("line_no"), "line")
 
 
+@registered
+def production_print(c: Corpus) -> DataFrame:
+    """Every line of every text on its page of the production, without what is redacted."""
+    rows = produce.printed_text(c.sources, _redactions(c).where("status = 'accepted'"), _places(c))
+    boxes = F.coalesce(F.array_join(F.transform("boxes", lambda b: F.concat_ws(" ", b["from_col"].cast("string"), b["to_col"].cast("string"), b["code"])), ","), F.lit(""))
+    return rows.select("page", "used", "text", boxes.alias("boxes"))
+
+
 @registered
 def redaction_log(c: Corpus) -> DataFrame:
     return produce.redaction_log(_clips(c), produce.laid_out(_documents(c), SAMPLE.bates), SAMPLE.bates)
@@ -643,6 +649,39 @@ def html_sanitized(c: Corpus) -> DataFrame:
     return c.table("pages").select("page_id", html.sanitize_html("html").alias("safe"), html.html_to_text("html").alias("text"))
 
 
+def _html_addresses(c: Corpus, bodies: DataFrame) -> DataFrame:
+    return spans.scan(bodies, [p for p in SAMPLE.patterns if p.entity == "EMAIL_ADDRESS"])
+
+
+@registered
+def html_body_spans(c: Corpus) -> DataFrame:
+    """Addresses in the text of HTML bodies, and where they stand in the markup."""
+    bodies = c.html_mails
+    rows = markup.placed(_html_addresses(c, bodies), bodies)
+    return rows.select("source_id", "start", "end", "matched_text", "mark_start", "mark_end").withColumnsRenamed(SPAN)
+
+
+@registered
+def html_bodies_burned(c: Corpus) -> DataFrame:
+    """The markup of every HTML body with its addresses burned out."""
+    bodies = c.html_mails
+    return markup.burned(bodies, _html_addresses(c, bodies)).select("source_id", F.sha2("html", 256).alias("burned_sha256"))
+
+
+@registered
+def html_proposals(c: Corpus) -> DataFrame:
+    """Everything that is found in HTML bodies, proposed and validated against their texts."""
+    bodies = c.html_mails.select("source_type", "source_id", "text")
+    rows = redact.proposals(spans.detect(bodies, SAMPLE), bodies, None, SAMPLE).where("outcome = 'proposed'")
+    return rows.select("source_type", "source_id", "start", "end", "exemption_code", "status").withColumnsRenamed(SPAN)
+
+
+@registered
+def html_search(c: Corpus) -> DataFrame:
+    docs = c.html_mails.select(F.lit("html").alias("scope"), F.col("source_id").alias("id"), "text")
+    return search.search(docs, ["text"], "and Thé").select("id", F.round("score", 6).alias("score"))
+
+
 @registered
 def ai_reanchor(c: Corpus) -> DataFrame:
     flags = c.table("documents").select(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkveil.config import SAMPLE
 from sparkveil.functions.text import plain_text
-from sparkveil.operators import jobs, spans
+from sparkveil.operators import jobs, markup, spans
 
 EMAILS = """
 SELECT doc_id AS id, source AS mbox_source, doc_id AS mbox_index, substr(text, 1, 60) AS subject,
@@ -26,6 +26,11 @@ SELECT page_id AS id, page_id % (SELECT count(*) FROM documents) AS email_id, co
        CASE page_id % 6 WHEN 0 THEN 'empty' WHEN 1 THEN 'failed' ELSE 'ok' END AS extraction_status
 FROM pages
 """
+#: Documents as HTML bodies: a paragraph for each line, references for what markup needs, and for the @ of every other one.
+HTML_MAILS = """
+SELECT doc_id AS id, concat('<div class="m"><p>', replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '@', CASE WHEN doc_id % 2 = 0 THEN '&#64;' ELSE '@' END), chr(10), '</p><p>'), '</p><!-- end --></div>') AS html
+FROM documents
+"""
 TABLES = "documents pages events conversations labels benchmark customer orders lineitem nation".split()
 
 
@@ -54,6 +59,11 @@ class Corpus:
     def attachments(self) -> DataFrame:
         return self.sql(ATTACHMENTS)
 
+    @property
+    def html_mails(self) -> DataFrame:
+        """HTML bodies with their text and its runs."""
+        return markup.html_sources(self.sql(HTML_MAILS))
+
     @property
     def bodies(self) -> DataFrame:
         return self.table("documents").selectExpr("'email_body_text' AS source_type", "doc_id AS source_id", "text")
@@ -71,11 +81,5 @@ class Corpus:
 
     @property
     def detections(self) -> DataFrame:
-        """What is found in the bodies: a table of its own, made once for a session and folder, as a detection run would."""
-        key = (id(self.spark), self.folder)
-        if key not in _detected:
-            _detected[key] = spans.detect(self.bodies, SAMPLE).persist()
-        return _detected[key]
-
-
-_detected: dict = {}
+        """What is found in the bodies, searched anew by every query that uses it."""
+        return spans.detect(self.bodies, SAMPLE)

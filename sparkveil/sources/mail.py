@@ -13,19 +13,26 @@ from email.message import Message
 from email.utils import getaddresses, parsedate_to_datetime
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sparkveil.functions.html import sanitized, text_of
+from sparkveil.sources import office, pdf
 
 MESSAGE = (
     "mbox_source string, mbox_index int, message_id string, subject string, from_addr string, to_addrs array<string>, cc_addrs array<string>, bcc_addrs array<string>, "
     "date_sent string, date_raw string, body_text string, body_html_sanitized string, headers map<string,array<string>>, raw_sha256 string, "
     "attachments array<struct<filename:string,content_type:string,content_disposition:string,size_bytes:long,sha256:string,is_inline:boolean,is_nested_eml:boolean,content:binary>>"
 )
-#: Extension for a nameless attachment of a type (fixed values).
-EXTENSIONS = {"application/pdf": ".pdf", "image/png": ".png", "image/jpeg": ".jpg", "text/plain": ".txt", "text/html": ".html", "message/rfc822": ".eml"}
+#: Extension for a nameless attachment of a type (fixed values); one of an image is its subtype.
+EXTENSIONS = {"application/pdf": ".pdf", "text/plain": ".txt", "text/html": ".html", "message/rfc822": ".eml"}
+
+
+def extension_of(kind: str) -> str:
+    main, _, sub = kind.partition("/")
+    return EXTENSIONS.get(kind) or ("." + safe_filename(sub) if main == "image" and sub else ".bin")
 
 
 def split_mbox(data: bytes) -> Iterator[bytes]:
@@ -150,7 +157,7 @@ def _attachments(message: Message) -> list[dict]:
         if not data:
             continue
         kind = part.get_content_type()
-        name = (f"{_header(inner, 'Subject') or 'message'}.eml" if inner is not None else part.get_filename()) or f"attachment_{i}{EXTENSIONS.get(kind, '.bin')}"
+        name = (f"{_header(inner, 'Subject') or 'message'}.eml" if inner is not None else part.get_filename()) or f"attachment_{i}{extension_of(kind)}"
         out.append({
             "filename": safe_filename(name) or f"attachment_{i}", "content_type": kind, "content_disposition": part.get_content_disposition(), "size_bytes": len(data),
             "sha256": hashlib.sha256(data).hexdigest(), "is_inline": part.get_content_disposition() == "inline", "is_nested_eml": nested, "content": data,
@@ -212,25 +219,30 @@ def eml_text(data: bytes) -> str:
     return "\n".join([f"{k}: {v}" for k, v in head if v] + ["", (m["body_text"] or text_of(m["body_html_sanitized"])).strip()]).strip()
 
 
-def _pdf_text(data: bytes) -> str:
-    import io
-
-    import pypdf  # optional
+EXTRACTED = "extracted_text string, extraction_method string, extraction_status string, error_message string, page_count int, needs_ocr boolean, character_count int"
 
-    return "\n".join(p.extract_text() or "" for p in pypdf.PdfReader(io.BytesIO(data)).pages).strip()
 
+def extracted_text(kind: str | None, data: bytes | None) -> dict:
+    """The columns of ``EXTRACTED`` by MIME type. Images and the older office formats need tools that are absent, and are unsupported.
 
-def extracted_text(kind: str | None, data: bytes) -> tuple[str | None, str, str, str | None]:
-    """(text, method, status, error) by MIME type; images and office files need tools that may be absent and are unsupported here."""
+    ``needs_ocr``: the text layer of a PDF holds too little to be all of it, or could not be read.
+    """
     kind = (kind or "").split(";")[0].strip().lower()
-    method = {"text/plain": "text", "text/html": "html", "message/rfc822": "eml", "application/pdf": "pdf"}.get(kind)
+    method = {"text/plain": "text", "text/html": "html", "message/rfc822": "eml", "application/pdf": "pdf"}.get(kind, "office" if kind in office.READERS else None)
+    row = {"extracted_text": None, "extraction_method": method or "skipped", "extraction_status": "unsupported", "error_message": None, "page_count": None, "needs_ocr": False, "character_count": 0}
     if method is None:
-        return None, "skipped", "unsupported", None
+        return row
     try:
-        text = {"text": decoded_text, "html": lambda d: text_of(d.decode("utf-8", "replace")).strip(), "eml": eml_text, "pdf": _pdf_text}[method](data)
+        if data is None:
+            raise ValueError("the content is missing")
+        if method == "pdf":
+            text, row["page_count"] = pdf.text_layer(data)
+            row["needs_ocr"] = needs_ocr(row["page_count"], len(text))
+        else:
+            text = {"text": decoded_text, "html": lambda d: text_of(d.decode("utf-8", "replace")).strip(), "eml": eml_text, "office": lambda d: office.read(kind, d)}[method](data)
     except Exception as e:
-        return None, method, "failed", str(e)[:400]
-    return text, method, "ok" if text else "empty", None
+        return row | {"extraction_status": "failed", "error_message": str(e)[:400], "needs_ocr": method == "pdf"}
+    return row | {"extracted_text": text, "extraction_status": "ok" if text else "empty", "character_count": len(text)}
 
 
 def needs_ocr(pages: int, characters: int) -> bool:
@@ -238,17 +250,17 @@ def needs_ocr(pages: int, characters: int) -> bool:
     return characters < max(1, pages) * 20
 
 
-def extract(attachments: DataFrame, done: DataFrame | None = None) -> DataFrame:
-    """id, extracted_text, extraction_method, extraction_status, error_message, character_count of attachments(id, content_type, content) not in ``done``."""
+def extract(attachments: DataFrame, done: DataFrame | None = None, force: bool = False) -> DataFrame:
+    """id and the columns of ``EXTRACTED`` of attachments(id, content_type, content) not in ``done``, or, by ``force``, of all."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = [extracted_text(k, d) for k, d in zip(f["content_type"], f["content"], strict=True)]
-            text, method, status, error = zip(*out, strict=True) if out else ([],) * 4
-            yield pd.DataFrame({"id": f["id"], "extracted_text": text, "extraction_method": method, "extraction_status": status, "error_message": error, "character_count": [len(t or "") for t in text]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [extracted_text(k, d) for k, d in zip(batch.column("content_type").to_pylist(), batch.column("content").to_pylist(), strict=True)]
+            columns = [pa.array([r[n] for r in rows], {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[t]) for n, t in (x.split() for x in EXTRACTED.split(", "))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", *(x.split()[0] for x in EXTRACTED.split(", "))])
 
-    rows = attachments if done is None else attachments.join(done.select("id"), "id", "left_anti")
-    return rows.select("id", "content_type", "content").mapInPandas(run, "id long, extracted_text string, extraction_method string, extraction_status string, error_message string, character_count int")
+    rows = attachments if done is None or force else attachments.join(done.select("id"), "id", "left_anti")
+    return rows.select("id", "content_type", "content").mapInArrow(run, f"id long, {EXTRACTED}")
 
 
 def explode_attachments(messages: DataFrame) -> DataFrame:
