@@ -360,3 +360,28 @@ _add("production_print", "places hidden", """SELECT CAST(page + CASE WHEN line_n
   coalesce(h.line, l.line) AS text, coalesce(boxes, '') AS boxes
 FROM all_lines l JOIN places USING (source_type, source_id) LEFT JOIN hidden h USING (source_type, source_id, line_no)
 LEFT JOIN (SELECT source_type, source_id, line_no, string_agg(a || ' ' || b || ' ' || c, ',' ORDER BY a, b, c) AS boxes FROM boxed GROUP BY 1, 2, 3) USING (source_type, source_id, line_no)""")
+
+# a kept index: what is alive after the additions and deletions
+CTES["keptsearched"] = "SELECT * FROM searched WHERE (id % 5 <> 0 OR id % 10 = 0 OR id % 7 = 1) AND id % 9 <> 2"
+CTES["kepttokens"] = TOKENS.replace("FROM searched", "FROM keptsearched")
+_USES |= {"keptsearched": ["searched"], "kepttokens": ["keptsearched"]}
+_add("search_stored", "kepttokens", _bm25([_one("and"), _one("the")]).replace("FROM tokens", "FROM kepttokens"))
+
+# snippets: hits of two words, windows at them and at their sentences
+_RAW = "'[\\p{L}\\p{N}]+'"
+CTES["found"] = f"SELECT scope, id, total FROM (SELECT *, count(*) OVER () AS total FROM ({_bm25([_one('and'), _one('the')])})) ORDER BY score, id, scope LIMIT 100"
+CTES["shown"] = f"""SELECT scope, id, total, col, w, m, g, list_filter(range(0, len(w)), lambda i: w[i + 1] = 'and') AS h1, list_filter(range(0, len(w)), lambda i: w[i + 1] = 'the') AS h2,
+  list_filter(range(0, len(w)), lambda i: i = 0 OR regexp_matches(g[i + 1], '[.:][ \\t\\n\\r]+$')) AS stops
+FROM (SELECT scope, id, total, col, {WORDS.replace('TEXT', 'x')} AS w, regexp_extract_all(x, {_RAW}) AS m, string_split_regex(x, {_RAW}) AS g
+      FROM (SELECT scope, id, total, 0 AS col, title AS x FROM found JOIN searched USING (scope, id) UNION ALL SELECT scope, id, total, 1, text FROM found JOIN searched USING (scope, id)))"""
+_IN = "list_filter({0}, lambda x: x >= {1} AND x < {1} + 12)"
+_POINTS = " + ".join(f"CASE WHEN len({_IN.format(h, '{0}')}) > 0 THEN 999 + len({_IN.format(h, '{0}')}) ELSE 0 END" for h in ("h1", "h2"))
+CTES["windows"] = f"""SELECT scope, id, col, io, 0 AS kind, {_POINTS.format('io')} AS points,
+  CAST(greatest(0, least(io - (12 - (list_max(list_concat({_IN.format('h1', 'io')}, {_IN.format('h2', 'io')})) + 1 - io)) // 2, len(w) - 12)) AS BIGINT) AS first FROM (SELECT *, unnest(list_sort(list_concat(h1, h2))) AS io FROM shown)
+UNION ALL SELECT scope, id, col, io, 1, {_POINTS.format('s')} + CASE WHEN s = 0 THEN 120 ELSE 100 END, CAST(s AS BIGINT)
+FROM (SELECT *, list_max(list_filter(stops, lambda x: x <= io)) AS s FROM (SELECT *, unnest(list_sort(list_concat(h1, h2))) AS io FROM shown)) WHERE s < io AND len(w) > 12"""
+_USES |= {"found": ["tokens", "searched"], "shown": ["found"], "windows": ["shown"]}
+_add("search_snippets", "windows", """SELECT s.scope, s.id, s.total, coalesce(title, CASE WHEN s.scope = 'email' THEN '(no subject)' ELSE '(unnamed)' END) AS title,
+  CASE WHEN first > 0 THEN '…' ELSE '' END || array_to_string(list_transform(range(first, least(first + 12, len(m))), lambda k: CASE WHEN k = first AND first > 0 THEN '' ELSE g[k + 1] END || CASE WHEN w[k + 1] IN ('and', 'the') THEN '<mark>' || m[k + 1] || '</mark>' ELSE m[k + 1] END), '')
+  || CASE WHEN first + 11 >= len(m) - 1 THEN g[len(m) + 1] ELSE '…' END AS snippet
+FROM (SELECT *, row_number() OVER (PARTITION BY scope, id ORDER BY points DESC, col, io, kind) AS nth FROM windows) b JOIN shown s USING (scope, id, col) JOIN searched d ON d.scope = s.scope AND d.id = s.id WHERE nth = 1""")

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from sparkveil.config import SAMPLE
 from sparkveil.functions.text import is_internal, json_block, plain_text, truncated
 from sparkveil.operators import ai, cases, markup, produce, query, redact, resolve, search, spans
+from sparkveil.operators.index import StoredIndex
+from sparkveil.operators.snippets import snippet
 from sparkveil.sources.fixtures import Corpus
+from sparkveil.sources.store import Store, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SPAN = {"start": "start_offset", "end": "end_offset"}
@@ -625,9 +628,25 @@ def search_scope(c: Corpus) -> DataFrame:
 
 @registered
 def search_snippets(c: Corpus) -> DataFrame:
-    docs = _searched(c).where("scope = 'email'")
-    hits = search.search(docs, ["title", "text"], "licensed", "email")
-    return hits.join(docs, ["scope", "id"]).select("id", F.coalesce("title", F.lit("(no subject)")).alias("title"), search.snippet(F.col("text"), "licensed").alias("snippet"))
+    """Hits of two words with their titles, how many there are, and the windows that show most of them, whichever column they are in."""
+    docs, words = _searched(c), "and Thé"
+    found = search.search(docs, ["title", "text"], words).withColumn("score", F.round("score", 6))
+    shown = query.with_total(found, ["score", "id", "scope"], 100).join(docs, ["scope", "id"])
+    return shown.select("scope", "id", "total", search.titled(F.col("title"), F.col("scope")).alias("title"), snippet(words)(F.col("title"), F.col("text")).alias("snippet"))
+
+
+@registered
+def search_stored(c: Corpus) -> DataFrame:
+    """A kept index after additions, a replacement, deletions and a merge, asked for what search_bm25 asks."""
+    store = Store(c.spark, f"{scratch(c.spark)}/index-{uuid.uuid4().hex}")
+    docs, kept = _searched(c), StoredIndex(store, "fts", ["title", "text"], buckets=16)
+    kept.add(docs.where("id % 3 = 0"))
+    kept.add(docs.where("id % 3 <> 0"))
+    kept.delete(docs.where("id % 5 = 0"))
+    kept.add(docs.where("id % 10 = 0 OR id % 7 = 1"))  # what was deleted comes back, what is there is replaced
+    kept.merge()
+    kept.delete(docs.where("id % 9 = 2"))
+    return kept.search("and Thé").select("scope", "id", F.round("score", 6).alias("score"))
 
 
 @registered
@@ -735,8 +754,7 @@ def event_tail_stream(c: Corpus) -> DataFrame:
     schema = c.table("events").schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ").replace(",", ", ")
     name = "event_tail"
     flow = tail(c.spark, f"{c.folder}/events.parquet*", schema).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    shared = c.spark.conf.get("spark.checkpoint.dir", None) or c.spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     writer = flow.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
-    run = (writer.option("checkpointLocation", f"{shared.rstrip('/')}/tail-{uuid.uuid4().hex}") if shared else writer).start()
+    run = writer.option("checkpointLocation", f"{scratch(c.spark)}/tail-{uuid.uuid4().hex}").start()
     run.awaitTermination()
     return c.spark.table(name)
