@@ -1,6 +1,7 @@
 """The import of a mailbox as a job: five stages over the store's tables, each with events, and the state of job and case.
 
-A stage only adds what is not there yet, so a job that failed is run again as a whole.
+Every job has a partition (``job_id``) of its own in each table of rows that come with messages, and writes no other: an import costs
+what its own messages cost, however much is there. A job that failed is run again as a whole, and its partitions are written anew.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ import json
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkveil.config import Config
@@ -85,56 +86,78 @@ class Import:
         self.emit("done", "finished", "all stages are done", {"case_id": self.case_id})
         return True
 
+    def _put(self, table: str, rows: DataFrame) -> None:
+        self.store.write_part(table, rows.drop("job_id").withColumn("job_id", F.lit(self.job_id).cast("long")), "job_id")
+
+    def _own(self, table: str) -> DataFrame:
+        return self.store.read(table).where(F.col("job_id") == self.job_id)
+
     def ingest(self) -> dict:
-        """New messages become e-mails of the case, their attachments rows of their own; an unreadable one is counted and left out."""
+        """New messages become e-mails of the case, their attachments rows of their own; an unreadable one is counted and left out.
+
+        A message is there already if one of its mailbox, place and content is. Numbers go on from the largest, mailbox by mailbox.
+        """
         old = self.store.read("emails")
-        base = (old.agg(F.max("id").alias("m")).first()["m"] or 0) if old is not None else 0
+        old = None if old is None else old.where(F.col("job_id") != self.job_id)
         messages = mail.parsed(mail.read_mbox(self.spark, self.path, self.label))
         if old is not None:
-            messages = messages.join(old.select("mbox_source", "mbox_index"), ["mbox_source", "mbox_index"], "left_anti")
-        messages = messages.withColumns({"id": (F.col("mbox_index") + base + 1).cast("long"), "case_id": F.lit(self.case_id).cast("long"), "excluded_at": F.lit(None).cast("string"), "ingested_at": F.lit(self.clock())})
-        self.store.replace(f"messages_{self.job_id}", messages)
-        messages = self.store.read(f"messages_{self.job_id}")
+            key = ["mbox_source", "mbox_index", "raw_sha256"]
+            messages = messages.join(old.select(*key), key, "left_anti")
+        messages = messages.withColumns({"case_id": F.lit(self.case_id).cast("long"), "excluded_at": F.lit(None).cast("string"), "ingested_at": F.lit(self.clock())})
+        self._put("messages", messages)
+        messages = self._own("messages")
+        base = (old.agg(F.max("id").alias("m")).first()["m"] or 0) if old is not None else 0
+        ends = messages.groupBy("mbox_source").agg((F.max("mbox_index") + 1).alias("n"))  # a row per mailbox
+        before = ends.select("mbox_source", F.coalesce(F.sum("n").over(Window.orderBy("mbox_source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+        messages = messages.join(before, "mbox_source").withColumn("id", (F.col("mbox_index") + F.col("before") + base + 1).cast("long")).drop("before")
         good = messages.where("error IS NULL")
-        emails = good.drop("attachments", "error")
-        self.store.replace("emails", emails if old is None else old.unionByName(emails))
+        self._put("emails", good.drop("attachments", "error"))
         files = good.select(F.col("id").alias("email_id"), F.posexplode("attachments").alias("pos", "a")).select((F.shiftleft("email_id", 20) + F.col("pos")).alias("id"), "email_id", "a.*")
-        had = self.store.read("attachments")
-        self.store.replace("attachments", files if had is None else had.unionByName(files))
-        return {"emails_ingested": good.count(), "attachments_saved": files.count(), "errors": messages.where("error IS NOT NULL").count()}
+        self._put("attachments", files)
+        return {"emails_ingested": self._own("emails").count(), "attachments_saved": self._own("attachments").count(), "errors": messages.where("error IS NOT NULL").count()}
 
     def extract(self) -> dict:
-        done = self.store.read("attachments_text")
-        new = mail.extract(self.store.read("attachments"), done)
-        self.store.replace("attachments_text", new if done is None else done.unionByName(new))
-        return {r["extraction_status"]: r["n"] for r in self.store.read("attachments_text").groupBy("extraction_status").agg(F.count(F.lit(1)).alias("n")).orderBy("extraction_status").collect()}
+        self._put("attachments_text", mail.extract(self._own("attachments")))
+        return {r["extraction_status"]: r["n"] for r in self._own("attachments_text").groupBy("extraction_status").agg(F.count(F.lit(1)).alias("n")).orderBy("extraction_status").collect()}
 
     def _sources(self) -> DataFrame:
-        return text_sources(self.store.read("emails"), self.store.read("attachments_text"))
+        return text_sources(self._own("emails"), self._own("attachments_text"))
 
     def detect(self) -> dict:
-        sources, old = self._sources(), self.store.read("detections")
-        new = spans.detect(sources, self.config)
-        self.store.replace("detections", new if old is None else spans.replaced(old, new, sources))
-        counts = spans.run_counts(sources, self.store.read("detections")).first()
+        """Texts that came with this job. Those of earlier ones are searched again by ``rescan``."""
+        self._put("detections", spans.detect(self._sources(), self.config))
+        counts = spans.run_counts(self._sources(), self._own("detections")).first()
         return {"sources_scanned": counts["sources_scanned"], "detections_written": counts["detections_written"], "by_entity": dict(counts["by_entity"])}
 
     def resolve(self) -> dict:
-        seen = resolve.sightings(self.store.read("emails"))
-        self.store.replace("occurrences", resolve.occurrences(seen))
-        self.store.replace("affiliations", resolve.affiliations(seen))
-        self.store.replace("persons", resolve.persons(seen, self.config.email_domains))
-        return {"persons": self.store.read("persons").count(), "occurrences": self.store.read("occurrences").count()}
+        seen = resolve.sightings(self._own("emails"))
+        self._put("occurrences", resolve.occurrences(seen))
+        self._put("affiliations", resolve.affiliations(seen))
+        self.store.replace("persons", resolve.persons(resolve.sightings(self.store.read("emails")), self.config.email_domains))  # as long as the people
+        return {"persons": self.store.read("persons").count(), "occurrences": self._own("occurrences").count()}
 
     def propose(self) -> dict:
         old = self.store.read("redactions")
-        rows = redact.proposals(self.store.read("detections"), self._sources(), old, self.config)
+        old = None if old is None else old.where(F.col("job_id") != self.job_id)
+        rows = redact.proposals(self._own("detections"), self._sources(), old, self.config)
         tally = {r["outcome"]: r["n"] for r in rows.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).orderBy("outcome").collect()}
-        new = rows.where("outcome = 'proposed'").select(*redact.KEY, "status", "origin", "reviewer_id")
-        self.store.replace("redactions", new if old is None else old.unionByName(new))
+        self._put("redactions", rows.where("outcome = 'proposed'").select(*redact.KEY, "status", "origin", "reviewer_id"))
         return tally
 
 
+def rescan(store: Store, config: Config, actor: str = "system", clock: Callable[[], str] = utc_now) -> dict:
+    """All texts searched anew, as after a change of recognisers: every job's partition is written anew."""
+    emails, files = store.read("emails"), store.read("attachments_text")
+    sources = text_sources(emails, files)
+    of_mail = emails.select(F.col("id").alias("source_id"), F.lit(False).alias("file"), "job_id")
+    owners = of_mail if files is None else of_mail.unionByName(files.select(F.col("id").alias("source_id"), F.lit(True).alias("file"), "job_id"))
+    found = spans.detect(sources, config).withColumn("file", F.col("source_type") == "attachment_text").join(owners, ["source_id", "file"]).drop("file")
+    store.replace("detections", found.select(*(c for c in found.columns if c != "job_id"), "job_id"), by=("job_id",))
+    n = store.read("detections").count()
+    store.log("detection.run", actor, {"detections": n}, clock())
+    return {"detections_written": n}
+
+
 def queued(store: Store, case_id: int, path: str, label: str | None = None, propose: bool = True) -> int:
     """A new job for a mailbox; the case is being processed from now on."""
     old = store.read("jobs")

@@ -385,3 +385,6 @@ _add("search_snippets", "windows", """SELECT s.scope, s.id, s.total, coalesce(ti
   CASE WHEN first > 0 THEN '…' ELSE '' END || array_to_string(list_transform(range(first, least(first + 12, len(m))), lambda k: CASE WHEN k = first AND first > 0 THEN '' ELSE g[k + 1] END || CASE WHEN w[k + 1] IN ('and', 'the') THEN '<mark>' || m[k + 1] || '</mark>' ELSE m[k + 1] END), '')
   || CASE WHEN first + 11 >= len(m) - 1 THEN g[len(m) + 1] ELSE '…' END AS snippet
 FROM (SELECT *, row_number() OVER (PARTITION BY scope, id ORDER BY points DESC, col, io, kind) AS nth FROM windows) b JOIN shown s USING (scope, id, col) JOIN searched d ON d.scope = s.scope AND d.id = s.id WHERE nth = 1""")
+
+_add("lockout_stream", "", """SELECT user_id, epoch_us(ts) AS micros, CAST(n AS BIGINT) AS n FROM (
+  SELECT user_id, ts, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW) AS n FROM events WHERE event_type = 'error') WHERE n >= 3""")

@@ -758,3 +758,15 @@ def event_tail_stream(c: Corpus) -> DataFrame:
     run = writer.option("checkpointLocation", f"{scratch(c.spark)}/tail-{uuid.uuid4().hex}").start()
     run.awaitTermination()
     return c.spark.table(name)
+
+
+@registered
+def lockout_stream(c: Corpus) -> DataFrame:
+    """lockout_window by a stream with state: failures that are the third or a later one of their user within a day."""
+    from sparkveil.streaming.events import lockouts
+
+    name = f"lockouts_{uuid.uuid4().hex}"
+    flow = c.spark.readStream.schema(c.table("events").schema).parquet(f"{c.folder}/events.parquet*").where("event_type = 'error'")
+    run = lockouts(flow, 3, 24 * 60).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True)
+    run.option("checkpointLocation", f"{scratch(c.spark)}/{name}").start().awaitTermination()
+    return c.spark.table(name)

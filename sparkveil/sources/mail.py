@@ -14,9 +14,10 @@ from email.utils import getaddresses, parsedate_to_datetime
 
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from sparkveil.functions.html import sanitized, text_of
 from sparkveil.sources import office, pdf
@@ -48,34 +49,147 @@ def split_mbox(data: bytes) -> Iterator[bytes]:
 
 
 class MboxSource(DataSource):
-    """spark.read.format("mbox").load(path): mbox_source, mbox_index, raw. Option ``label`` replaces the path as the source's name."""
+    """spark.read.format("mbox").load(path) or spark.readStream...: mbox_source, mbox_offset (where the message begins in the file), raw.
+
+    Option ``label`` replaces the path as the source's name. Source and offset name a message for good, in batches as in streams.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "mbox"
 
     def schema(self) -> str:
-        return "mbox_source string, mbox_index int, raw binary"
+        return "mbox_source string, mbox_offset long, raw binary"
 
     def reader(self, schema) -> DataSourceReader:
         return _MboxReader(self.options)
 
 
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:  # noqa: N802
+        return _MboxTail(self.options)
+
+
+def _files(path: str) -> tuple[fs.FileSystem, list[tuple[str, int]]]:
+    """Mailboxes at or below a path, with their sizes, in order of name. Any file system that pyarrow knows."""
+    files, at = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    info = files.get_file_info(at)
+    if info.type == fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    if info.type == fs.FileType.File:
+        return files, [(at, info.size)]
+    below = files.get_file_info(fs.FileSelector(at, recursive=True))
+    return files, sorted((x.path, x.size) for x in below if x.type == fs.FileType.File and not x.base_name.startswith((".", "_")))
+
+
+def _named(path: str, label: str | None, alone: bool) -> str:
+    """A mailbox's name: its path, or the label, which in a folder is followed by the file's name."""
+    return path if label is None else label if alone else f"{label}/{path.rsplit('/', 1)[-1]}"
+
+
+def messages_between(stream, start: int, end: int | None, step: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
+    """Place and bytes of the messages of a mailbox that begin at a "From " line in [start, end), read in pieces of ``step``.
+
+    A message may go on beyond ``end``. Lines are looked for from the byte before ``start``, so every line belongs to one range.
+    """
+    at = max(0, start - 1)
+    stream.seek(at)
+    held, base, begun, done = b"" if at else b"\n", at - (not at), None, False
+    while not done:
+        piece = stream.read(step)
+        held += piece
+        done = not piece
+        search = 0
+        while True:
+            found = held.find(b"\nFrom ", search)
+            if found < 0:
+                break
+            place = base + found + 1
+            if begun is not None:
+                yield begun, _body(held[: found + 1][begun - base :], last=False)
+                begun = None
+            if end is not None and place >= end:
+                return
+            if place >= start:
+                begun = place
+            search = found + 1
+        cut = (begun - base) if begun is not None else max(0, len(held) - 6)
+        held, base = held[cut:], base + cut
+        if begun is None and end is not None and base >= end:
+            return
+    if begun is not None:
+        yield begun, _body(held[begun - base :], last=True)
+
+
+def _body(message: bytes, last: bool) -> bytes:
+    """A message without its "From " line; an empty line before the next one, or at the end, is not its own."""
+    line, _, body = message.partition(b"\n")
+    return body[:-1] if body.endswith(b"\n\n") or body == b"\n" else body
+
+
 class _MboxReader(DataSourceReader):
+    """Ranges of ``partitionbytes`` bytes (64 MB unless told otherwise)."""
+
     def __init__(self, options: dict):
-        self.path, self.label = options["path"], options.get("label")
+        self.path, self.label, self.step = options["path"], options.get("label"), int(options.get("partitionbytes", 64 << 20))
 
     def partitions(self):
-        return [InputPartition(self.path)]
+        _, found = _files(self.path)
+        return [_Range(p, _named(p, self.label, len(found) == 1), a, min(a + self.step, size)) for p, size in found for a in range(0, size, self.step)]
 
     def read(self, partition):
-        with open(self.path, "rb") as f:
-            for i, raw in enumerate(split_mbox(f.read())):
-                yield self.label or self.path, i, raw
+        files, _ = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), None)
+        with files.open_input_file(partition.path) as stream:
+            for place, raw in messages_between(stream, partition.start, partition.end):
+                yield partition.source, place, raw
+
+
+class _Range(InputPartition):
+    def __init__(self, path: str, source: str, start: int, end: int):
+        self.path, self.source, self.start, self.end = path, source, start, end
+
+
+class _MboxTail(SimpleDataSourceStreamReader):
+    """A mailbox, or a folder of them, that grows. The offset is how far each file is read; a message is handed on once the next one
+    begins, or, with the option ``settled``, as it stands. A batch is at most ``batchbytes`` of each file, ended by a whole message."""
+
+    def __init__(self, options: dict):
+        self.path, self.label, self.settled = options["path"], options.get("label"), options.get("settled", "false") == "true"
+        self.folder = options.get("folder", "false") == "true"
+        self.most = int(options.get("batchbytes", 64 << 20))
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {}
+
+    def _rows(self, start: dict, stop: dict | None) -> tuple[list[tuple], dict]:
+        files, found = _files(self.path)
+        rows, reached = [], dict(start)
+        for path, size in found:
+            first = start.get(path, 0)
+            end = size if stop is None else stop.get(path, 0)
+            if first >= end:
+                continue
+            with files.open_input_file(path) as stream:
+                own = list(messages_between(stream, first, min(end, first + self.most) if stop is None else end))
+                if stop is None and own:
+                    # what begins after the last one, or the file's end, closes it
+                    stream.seek(own[-1][0])
+                    rest = next((p for p, _ in messages_between(stream, own[-1][0] + 1, None)), None)
+                    if rest is None and not self.settled:
+                        own, rest = own[:-1], own[-1][0]
+                    reached[path] = size if rest is None else rest
+            rows += [(_named(path, self.label, not self.folder), place, raw) for place, raw in own]
+        return rows, reached
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        rows, reached = self._rows(start, None)
+        return iter(rows), reached
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
+        return iter(self._rows(start, end)[0])
 
 
 def read_mbox(spark: SparkSession, path: str, label: str | None = None) -> DataFrame:
-    """Mailboxes below ``path`` in any store that Spark reads: mbox_source, mbox_index (from 0), raw.
+    """Mailboxes below ``path`` in any store that Spark reads: mbox_source (a path, or the label, and of several the file's name), mbox_index (from 0), raw.
 
     A mailbox is split like any text file, at its "From " lines, so a large one is read by many tasks. A message's number is
     the number of messages in the file's earlier blocks (a few rows) plus its place in its own.
@@ -86,6 +200,7 @@ def read_mbox(spark: SparkSession, path: str, label: str | None = None) -> DataF
     earlier = Window.partitionBy("file").orderBy("block")
     per_block = per_block.select("file", "block", "first", F.coalesce(F.sum("n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("file")).alias("all"))
     rows = parts.join(per_block, ["file", "block"]).select("file", "part", (F.col("before") + F.col("row") - F.col("first")).alias("nth"), "all")
+    one = label is None or per_block.select("file").distinct().limit(2).count() < 2
     begins = rows.where("nth = 0").select("file", (F.substring("part", 1, 5) == F.lit(b"From ")).alias("whole"))  # else what comes first is no message
     rows = rows.join(begins, "file").where("whole OR nth > 0")
 
@@ -99,7 +214,7 @@ def read_mbox(spark: SparkSession, path: str, label: str | None = None) -> DataF
                     body = body[:-1] if body.endswith(b"\n\n") or body == b"\n" else body
                 elif body and not body.endswith(b"\n"):
                     body += b"\n"
-                out.append((label or name, int(nth) - (not whole), body))
+                out.append((_named(name, label, one), int(nth) - (not whole), body))
             yield pd.DataFrame(out, columns=["mbox_source", "mbox_index", "raw"])
 
     return rows.select("file", "part", "nth", "all", "whole").mapInPandas(run, "mbox_source string, mbox_index int, raw binary")

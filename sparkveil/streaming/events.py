@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import threading
 import time
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 EVENT = "id long, job_id long, stage string, kind string, message string, payload_json string, event_at timestamp"
 
@@ -48,35 +50,66 @@ def failures_by_window(attempts: DataFrame, minutes: int = 15, slide: int = 1) -
     return attempts.withWatermark("ts", f"{minutes} minutes").groupBy(F.window("ts", f"{minutes} minutes", f"{slide} minutes"), "user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+class _Failures(StatefulProcessor):
+    """Per user: a map from slices of time to the failures in them, and a timer for each slice, at which it goes."""
+
+    SLICES = 16  # of a window; a count reads whole slices by their size and looks into two
+
+    def __init__(self, limit: int, width: int):
+        self.limit, self.width, self.step = limit, width, max(1, width // self.SLICES)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.slices = handle.getMapState("slices", "slice long", "micros array<long>")
+
+    def _gone_at(self, number: int) -> int:
+        """The watermark, in milliseconds, from which no row that is in time can ask for a slice."""
+        return ((number + 1) * self.step + self.width) // 1000 + 1
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        new = sorted(int(t) for f in rows for t in f["micros"])
+        new = [t for t in new if t >= watermark]  # others are late
+        held: dict[int, list[int]] = {}
+
+        def at(number: int) -> list[int]:
+            if number not in held:
+                held[number] = sorted(self.slices.getValue((number,))[0]) if self.slices.containsKey((number,)) else []
+            return held[number]
+
+        for t in new:
+            insort(at(t // self.step), t)
+        for number in {t // self.step for t in new}:
+            self.slices.updateValue((number,), (held[number],))
+            self.handle.registerTimer(self._gone_at(number))
+        out = []
+        for t in new:
+            first, last = (t - self.width) // self.step, t // self.step
+            n = sum(len(at(i)) for i in range(first + 1, last))
+            n += bisect_right(at(last), t) - (bisect_left(at(last), t - self.width) if first == last else 0)
+            n += len(at(first)) - bisect_left(at(first), t - self.width) if first < last else 0
+            if n >= self.limit:
+                out.append((key[0], t, n))
+        yield pd.DataFrame(out, columns=["user_id", "micros", "n"]).astype("int64")
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        number = ((expiredTimerInfo.getExpiryTimeInMs() - 1) * 1000 - self.width) // self.step - 1
+        for i in (number, number + 1):  # milliseconds are cut
+            if self._gone_at(i) <= expiredTimerInfo.getExpiryTimeInMs() and self.slices.containsKey((i,)):
+                self.slices.removeKey((i,))
+        yield pd.DataFrame([], columns=["user_id", "micros", "n"]).astype("int64")
+
+    def close(self) -> None:
+        pass
+
+
 def lockouts(attempts: DataFrame, limit: int = 5, minutes: int = 15, late: str = "15 minutes") -> DataFrame:
     """(user_id, micros, n): failures that reach ``limit`` within the trailing window.
 
     A late row is judged by the times that its window holds, and one beyond the watermark is dropped. State: the user's failures of the
-    window before the newest and of the lateness; it goes when the watermark has passed it.
+    window before the newest and of the lateness, a slice of time at a time; a slice goes when the watermark has passed it. State is
+    kept in RocksDB, which the session is told here.
     """
-    width = minutes * 60_000_000
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([], columns=["user_id", "micros", "n"])
-            return
-        recent = list(state.get[0]) if state.exists else []
-        new = sorted(int(t) for f in frames for t in f["micros"])
-        recent = sorted(recent + new)
-        out = []
-        for t in new:
-            n = sum(1 for x in recent if t - width <= x <= t)
-            if n >= limit:
-                out.append((key[0], t, n))
-        floor = max(0, state.getCurrentWatermarkMs()) * 1000 - width
-        recent = [x for x in recent if x >= floor]
-        if recent:
-            state.update((recent,))
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (recent[-1] + width) // 1000 + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["user_id", "micros", "n"])
-
-    rows = attempts.withWatermark("ts", late).select("user_id", "ts", F.unix_micros(F.col("ts")).alias("micros"))
-    return rows.groupBy("user_id").applyInPandasWithState(run, "user_id long, micros long, n long", "recent array<long>", "append", "EventTimeTimeout")
+    attempts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = attempts.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).select("user_id", "ts", F.unix_micros(F.col("ts")).alias("micros"))
+    return rows.groupBy("user_id").transformWithStateInPandas(_Failures(limit, minutes * 60_000_000), "user_id long, micros long, n long", "Append", "EventTime")

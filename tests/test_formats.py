@@ -73,6 +73,53 @@ def test_mbox_in_spark(spark, tmp_path):
     assert spark.read.format("mbox").option("path", str(tmp_path / "m.mbox")).load().count() == 2
 
 
+def random_mailbox(seed, n):
+    import random
+
+    r = random.Random(seed)
+    return b"".join(b"From x%d\n" % i + b"".join(r.choice([b"a line\n", b"\n", b">From q\n", b"From\n", b"xFrom y\n", b"x" * r.randrange(50) + b"\n"]) for _ in range(r.randrange(6))) for i in range(n))
+
+
+@pytest.mark.parametrize("step", [1, 7, 64, 1 << 20])
+def test_ranges_of_a_mailbox_hold_every_message_once(step):
+    import io
+
+    data = random_mailbox(step, 60)
+    want = list(mail.split_mbox(data))
+    for size in (5, 33, 1000, len(data)):
+        got = [x for a in range(0, len(data), size) for x in mail.messages_between(io.BytesIO(data), a, min(a + size, len(data)), step)]
+        assert [raw for _, raw in got] == want and all(data[p:].startswith(b"From ") for p, _ in got)
+    assert list(mail.messages_between(io.BytesIO(b"no message\nFrom b\n\nx\n"), 0, None)) == [(11, b"\nx\n")]
+
+
+def test_mailboxes_as_a_source_and_as_a_stream(spark, tmp_path):
+    """A folder of mailboxes: many ranges, names by file, and the same rows from a stream that saw them grow."""
+    folder = tmp_path / "box"
+    folder.mkdir()
+    data = {n: random_mailbox(i, 25) for i, n in enumerate(("a", "b"))}
+    spark.dataSource.register(mail.MboxSource)
+    for n, x in data.items():
+        (folder / n).write_bytes(x)
+    rows = spark.read.format("mbox").option("path", f"file://{folder}").option("label", "L").option("partitionbytes", "100").load()
+    batch = {(r.mbox_source, r.mbox_offset): bytes(r.raw) for r in rows.collect()}
+    assert rows.rdd.getNumPartitions() > 10 and len(batch) == 50 and {s for s, _ in batch} == {"L/a", "L/b"}
+    grown = tmp_path / "grown"
+    grown.mkdir()
+
+    def follow(settled):
+        flow = spark.readStream.format("mbox").option("path", str(grown)).option("label", "L").option("folder", "true").option("settled", settled).load()
+        flow.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).start().processAllAvailable()
+        for q in spark.streams.active:
+            q.stop()
+
+    for share, settled in ((0.3, "false"), (0.31, "false"), (0.8, "false"), (1.0, "true")):
+        for n, x in data.items():
+            (grown / n).write_bytes(x[: int(len(x) * share)])
+        follow(settled)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == 50 and {(r.mbox_source, r.mbox_offset): bytes(r.raw) for r in got.collect()} == batch
+
+
 def test_mailbox_boundaries_are_those_of_the_standard_library(spark, tmp_path):
     import mailbox
 
@@ -92,7 +139,7 @@ def test_mailbox_boundaries_are_those_of_the_standard_library(spark, tmp_path):
 
 def test_text_ladder():
     assert mail.decoded_text("é".encode("utf-16")) == "é" and mail.decoded_text(b"\xe9") == "é" and mail.needs_ocr(2, 39) and not mail.needs_ocr(2, 40)
-    assert mail.extracted_text("TEXT/plain; charset=x", b" a ")[0] == "a" and mail.extracted_text("video/mp4", b"")[2] == "unsupported"
+    assert mail.extracted_text("TEXT/plain; charset=x", b" a ")["extracted_text"] == "a" and mail.extracted_text("video/mp4", b"")["extraction_status"] == "unsupported"
 
 
 def test_config(tmp_path):
@@ -127,6 +174,19 @@ def test_a_late_failure_is_judged_by_its_time_and_state_goes(spark, tmp_path):
     assert got == [(30, 2), (60, 2), (7201, 2)]
 
 
+def test_slices_go_and_rows_beyond_the_watermark_are_dropped(spark, tmp_path):
+    """Five files, a batch each: late within the lateness counts, late beyond it does not, and the last batch finds only its own slice."""
+    batches = [[0, 100, 200], [1000], [150, 5000], [10, 5001, 4200], [90000]]
+    for i, times in enumerate(batches):
+        spark.createDataFrame([(7, t) for t in times], "user_id long, s long").selectExpr("user_id", "timestamp_seconds(1704067200 + s) AS ts").coalesce(1).write.mode("append").parquet(str(tmp_path / f"e/{i}"))
+    flow = spark.readStream.schema("user_id long, ts timestamp").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "e"))
+    writer = lockouts(flow, 1, 15).writeStream.format("memory").queryName("slices").outputMode("append")
+    run = writer.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = sorted((r.micros // 10**6 - 1704067200, r.n) for r in spark.table("slices").collect())
+    assert got == [(0, 1), (100, 2), (150, 3), (200, 3), (1000, 3), (4200, 1), (5000, 1), (5001, 3), (90000, 1)]
+
+
 def test_follow_goes_on_until_the_last_event(spark, tmp_path):
     import threading
 

@@ -47,6 +47,26 @@ def test_import_and_again(spark, tmp_path):
     assert [r.event_type for r in store.read("audit_log").collect()] == ["import.run", "import.run"]
 
 
+def test_a_folder_of_mailboxes_and_writes_in_proportion(spark, tmp_path):
+    store = started(spark, tmp_path)
+    (tmp_path / "box").mkdir()
+    for n in "ab":
+        (tmp_path / "box" / n).write_bytes(RAW.replace(b"nothing", n.encode()))
+    assert jobs.Import(store, CONFIG, jobs.queued(store, 1, f"file://{tmp_path}/box", "box")).run()
+    rows = store.read("emails").orderBy("id").collect()
+    assert [(r.id, r.mbox_source, r.mbox_index) for r in rows] == [(1, "box/a", 0), (2, "box/a", 1), (3, "box/b", 0), (4, "box/b", 1)]
+    found = {r.source_id for r in store.read("detections").collect()}
+    assert found == {1, 3}
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "store").rglob("*.parquet") if "persons" not in str(p)}
+    (tmp_path / "a").write_bytes(RAW.replace(b"572-68-1439", b"572-68-1440"))  # a later mailbox of the same name and size
+    assert jobs.Import(store, CONFIG, jobs.queued(store, 1, f"file://{tmp_path}/a", "box/a")).run()
+    assert sorted(r.id for r in store.read("emails").collect()) == [1, 2, 3, 4, 5, 6]
+    assert {p: p.stat().st_mtime_ns for p in before if p.exists() and not {"jobs", "cases"} & set(p.parts)} == {p: t for p, t in before.items() if not {"jobs", "cases"} & set(p.parts)}
+    old = sorted(tuple(r) for r in store.read("detections").select("source_id", "matched_text", "job_id").collect())
+    assert jobs.rescan(store, CONFIG)["detections_written"] == len(old)
+    assert sorted(tuple(r) for r in store.read("detections").select("source_id", "matched_text", "job_id").collect()) == old
+
+
 def test_failure_and_retry(spark, tmp_path):
     store = started(spark, tmp_path)
     job = jobs.queued(store, 1, f"file://{tmp_path}/later.mbox", "box")
