@@ -55,6 +55,18 @@ class Bates:
     width: int = 6
 
 
+@dataclass(frozen=True)
+class AiConfig:
+    """Where advisory flags come from; "null" raises none."""
+
+    enabled: bool = False
+    provider: str = "null"
+    model: str | None = None
+    base_url: str | None = None
+    api_key_env: str = "SPARKVEIL_AI_KEY"
+    max_input_chars: int = 8000
+
+
 @dataclass(frozen=True)
 class Config:
     name: str = "default"
@@ -65,6 +77,8 @@ class Config:
     entity_exemptions: dict[str, str] = field(default_factory=dict)
     default_exemption: str | None = None
     bates: Bates = Bates()
+    ai: AiConfig = AiConfig()
+    departments: dict[str, str] = field(default_factory=dict)
 
     def exemption_for(self, entity: str) -> str | None:
         return self.entity_exemptions.get(entity, self.default_exemption)
@@ -96,7 +110,15 @@ def parse(raw: dict | None) -> Config:
         raise ConfigError("min_score must be in [0, 1]")
     if int(bates.get("width", 6)) < 1 or int(bates.get("start", 1)) < 0:
         raise ConfigError("bates needs a positive width and a start of at least 0")
+    ai = raw.get("ai", {}) or {}
+    if int(ai.get("max_input_chars", 8000)) < 1:
+        raise ConfigError("max_input_chars must be positive")
+    departments = raw.get("departments", {}) or {}
+    if not isinstance(departments, dict) or not all(isinstance(k, str) and isinstance(v, str) for k, v in departments.items()):
+        raise ConfigError("departments map names to descriptions")
     return Config(
+        ai=AiConfig(bool(ai.get("enabled", False)), str(ai.get("provider") or "null").lower(), ai.get("model"), ai.get("base_url"), ai.get("api_key_env", AiConfig.api_key_env), int(ai.get("max_input_chars", 8000))),
+        departments=dict(departments),
         name=raw.get("name", "default"),
         email_domains=tuple(d.lower().lstrip(".") for d in raw.get("email_domains", [])),
         patterns=_patterns(pii),

@@ -5,9 +5,10 @@ Two sets of m and l shingles are similar enough if they share ``need(m, l)`` of
 * Light: sets of at most ``boundary`` shingles give all their subsets of exactly need(m, l) shingles, for each size l that a partner can have.
   Sets that share such a subset are similar, so each member of a subset is linked to one set of the other size, not to all.
 * Heavy: of a larger set (and of those that can be its partners) the inverted lists of its first shingles are scanned. Shingles are
-  ordered by hash, frequent ones last; two similar sets share one of their first m - ceil(percent * m / 100) + 1.
-  Lists are taken in rounds: all of a list are compared with one pivot, links are joined to components, and only lists that still hold
-  several components go on; what is left after ``PIVOTS`` rounds is compared pair by pair. Sizes, places in the order and bitmaps rule
+  ordered by hash, frequent ones last; of its first m - ceil(percent * m / 100) + spare(m), a set shares spare(m) at least with any similar
+  one that is not smaller in this, so pairs that meet in fewer lists are out. Lists are taken in rounds: each set is compared with one
+  other, the most central of its lists (whose shingles are in the longest lists), links are joined to components, and only lists that
+  still hold several components go on; what is left after ``PIVOTS`` rounds is counted list by list. Sizes, counts and bitmaps rule
   pairs out before their sets are fetched; each pair that remains is verified by its sets.
 * The boundary is chosen by cost: rows of subsets against postings, and scans of the lists measured over the small sets themselves.
 
@@ -37,7 +38,7 @@ from .textops import mixed, text_column
 from .wordsets import set_names, shingle_sets, signed
 
 _U = np.uint64
-PIVOTS, BITS, HEAVY, SMALL = 2, 1024, 1 << 16, 64
+PIVOTS, BITS, HEAVY, SMALL, SPARE = 2, 1024, 1 << 16, 64, 50
 _OFTEN = 3  # texts of a chunk that must hold a shingle for it to count as frequent there
 
 
@@ -46,9 +47,13 @@ def need(m: int, l: int, percent: int) -> int:  # noqa: E741
     return -(-percent * (m + l) // (100 + percent))
 
 
+def _spare(m):
+    return 1 + m // SPARE
+
+
 def _first(m, percent: int):
-    """How many shingles from the beginning of the order hold one that any similar set shares."""
-    return m - -(-percent * m // 100) + 1
+    """How many shingles from the beginning of the order are looked at: any similar set shares ``_spare`` of them, by the smaller of both."""
+    return m - -(-percent * m // 100) + _spare(m)
 
 
 def _classes(m: int, percent: int, boundary: int) -> list[tuple[int, int, int]]:
@@ -72,7 +77,7 @@ def _slices(values: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _surveyed(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Each text's set (name, size, bits), the frequent shingles of a chunk with their counts, and the first shingles of small sets."""
+    """Each text's set (name, size, bits), the frequent shingles of a chunk with their counts (in ``more``), and the first shingles of small sets (``more``: which set)."""
     bits_type = pa.list_(pa.int64())
     for batch in batches:
         ids = batch.column(batch.schema.get_field_index("doc_id"))
@@ -92,10 +97,10 @@ def _surveyed(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) ->
                 [
                     pa.concat_arrays([ids.slice(c.first, n), pa.nulls(k, ids.type)]), pa.concat_arrays([names, pa.nulls(k, pa.binary())]),
                     pa.array(np.concatenate([one.view(np.int64), extra.view(np.int64)])), pa.array(np.concatenate([sizes, np.zeros(often.sum(), np.int64), sizes[owner][small]])),
-                    pa.concat_arrays([bits, pa.nulls(k, bits_type)]), pa.array(np.concatenate([np.zeros(n, np.int64), counts[often], np.zeros(small.sum(), np.int64)])),
+                    pa.concat_arrays([bits, pa.nulls(k, bits_type)]), pa.array(np.concatenate([np.zeros(n, np.int64), counts[often], one[owner[small]].view(np.int64)])),
                     pa.array(np.repeat([0, 1, 2], [n, int(often.sum()), int(small.sum())]).astype(np.int32)),
                 ],
-                ["doc_id", "name", "token", "size", "bits", "count", "kind"],
+                ["doc_id", "name", "token", "size", "bits", "more", "kind"],
             )
 
 
@@ -111,7 +116,7 @@ def _light_rows(tokens: np.ndarray, percent: int, boundary: int) -> tuple[np.nda
 
 
 def _indexed(batches: Iterator[pa.RecordBatch], shingle: int, percent: int, boundary: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Postings of first shingles (key, set, size, place) and subsets of small sets (key, set, size, side)."""
+    """Postings of first shingles (key, set, size) and subsets of small sets (key, set, size, side)."""
     reaches = -(-percent * (boundary + 1) // 100)  # sets of this size can have a partner beyond the boundary
     for batch in batches:
         for _, values, sizes in shingle_sets(text_column(batch), shingle):
@@ -121,18 +126,17 @@ def _indexed(batches: Iterator[pa.RecordBatch], shingle: int, percent: int, boun
             order = np.lexsort((late, owner)) if late.any() else slice(None)  # by hash within both, as the sort is stable
             place = np.arange(len(values)) - (np.cumsum(sizes) - sizes)[owner]
             take = (place < _first(sizes, percent)[owner]) & (sizes[owner] >= max(reaches, 1))
-            keys, of, places, sides = [values[order][take]], [owner[take]], [place[take]], [np.full(int(take.sum()), -1)]
+            keys, of, sides = [values[order][take]], [owner[take]], [np.full(int(take.sum()), -1)]
             for i in np.flatnonzero((sizes > 0) & (sizes <= boundary)).tolist():
                 end = int(sizes[: i + 1].sum())
                 key, side = _light_rows(values[end - sizes[i] : end], percent, boundary)
                 keys.append(key)
                 of.append(np.full(len(key), i))
-                places.append(np.zeros(len(key), np.int64))
                 sides.append(side)
             of = np.concatenate(of)
             yield pa.RecordBatch.from_arrays(
-                [signed(np.concatenate(keys)), signed(sets[of]), pa.array(sizes[of].astype(np.int32)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(sides).astype(np.int32))],
-                ["key", "token", "size", "place", "side"],
+                [signed(np.concatenate(keys)), signed(sets[of]), pa.array(sizes[of].astype(np.int32)), pa.array(np.concatenate(sides).astype(np.int32))],
+                ["key", "token", "size", "side"],
             )
 
 
@@ -147,10 +151,10 @@ def _sets_of(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Rec
 def choose_boundary(sizes: dict[int, int], scans: dict[int, int], percent: int) -> int:
     """The size up to which subsets cost less than lists. ``sizes``: sets of each small size; ``scans``: rows that their lists hold together.
 
-    A set costs its rows; each row of a scanned list costs a verification, which reads the set.
+    A set costs its rows; each row of a list that is scanned is compared with ``PIVOTS`` others, and a comparison reads the set.
     """
     best, least, light = 0, None, 0
-    heavy = {m: n * _first(m, percent) + scans.get(m, 0) * (1 + m) for m, n in sizes.items()}
+    heavy = {m: n * _first(m, percent) + PIVOTS * scans.get(m, 0) * (1 + m) for m, n in sizes.items()}
     rest = sum(heavy.values())
     for x in range(SMALL + 1):
         light = sum(n * subset_rows(m, percent, x) for m, n in sizes.items() if m <= x)
@@ -161,10 +165,10 @@ def choose_boundary(sizes: dict[int, int], scans: dict[int, int], percent: int)
 
 
 def _boundary(survey: DataFrame, percent: int) -> int:
-    small = survey.where((F.col("kind") == 2) & (F.col("size") > 0))
+    small = survey.where("kind = 2").select("token", "more", "size").distinct()  # copies are one set
     sizes = survey.where(f"kind = 0 AND size BETWEEN 1 AND {SMALL}").groupBy("name").agg(F.first("size").alias("size")).groupBy("size").count()
     lists = small.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    scans = small.join(lists, "token").groupBy("size").agg(F.sum("n").alias("n"))
+    scans = small.join(lists, "token", "left_semi").groupBy("size").agg(F.count(F.lit(1)).alias("n"))
     return choose_boundary({r["size"]: r["count"] for r in sizes.collect()}, {r["size"]: r["n"] for r in scans.collect()}, percent)  # at most SMALL rows each
 
 
@@ -190,15 +194,17 @@ class _Verifier:
         other = maps.select(F.col("name").alias("b"), F.col("size").alias("size2"), F.col("bits").alias("bits2"))
         able = stored(pairs.join(maps.withColumnRenamed("name", "a"), "a").join(other, "b").where(_may_share(self.percent)).select("a", "b"), "pairs")
         self.tried = able if self.tried is None else self.tried.union(able)
-        members = able.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-        shown = self.nodes.join(members, "name").select("doc_id", "name")
-        texts = self.docs.join(shown.select("doc_id").distinct(), self.docs["doc_id"].eqNullSafe(shown["doc_id"]), "left_semi").select("text")
+        members = able.select(F.col("a").alias("name")).union(able.select("b")).distinct()
+        # a table of its own, so that its size is known: where it is small, no text is shuffled
+        shown = stored(self.nodes.join(members, "name").select("doc_id").distinct(), "shown")
+        texts = self.docs.join(shown, self.docs["doc_id"].eqNullSafe(shown["doc_id"]), "left_semi").select("text")
         sets = texts.mapInArrow(lambda b, k=self.shingle: _sets_of(b, k), "name binary, shingles array<long>").join(members, "name", "left_semi").dropDuplicates(["name"])
         sets = stored(sets, "sets")
         both = able.join(sets.select(F.col("name").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("name").alias("b"), F.col("shingles").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y"))
         out = stored(both.where(100 * shared >= self.percent * (F.size("x") + F.size("y") - shared)).select("a", "b"), "links")
         discard(sets)
+        discard(shown)
         return out
 
 
@@ -206,6 +212,20 @@ def _pair(x: str, y: str) -> tuple[Column, Column]:
     return F.greatest(x, y).alias("a"), F.least(x, y).alias("b")
 
 
+def _often(met: DataFrame) -> DataFrame:
+    """Those pairs (a, b, n, size, size2) that meet in as many lists as similar sets must."""
+    spare = lambda c: 1 + F.floor(F.col(c) / SPARE)
+    return met.where(F.col("n") >= F.least(spare("size"), spare("size2"))).select("a", "b")
+
+
+def _meeting(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """The same for pairs (a, b): their lists are counted."""
+    of = lists.select("key", F.col("name").alias("a"), "size")
+    other = lists.select("key", F.col("name").alias("b"), F.col("size").alias("size2"))
+    met = pairs.join(of, "a").join(other, ["key", "b"])
+    return _often(met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("size2").alias("size2")))
+
+
 def _light_pairs(index: DataFrame, nodes: DataFrame) -> DataFrame:
     subsets = index.where("side >= 0").select("key", "token", "side").distinct()
     both = subsets.groupBy("key").agg(F.min(F.when(F.col("side") != 1, F.col("token"))).alias("p"), F.min(F.when(F.col("side") != 0, F.col("token"))).alias("q"), F.count(F.lit(1)).alias("n"))
@@ -219,19 +239,23 @@ def linked_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFra
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text): components of sets whose similarity is ``percent`` or more."""
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    survey = stored(docs.mapInArrow(lambda b: _surveyed(b, shingle, percent), f"doc_id {kind}, name binary, token long, size long, bits array<long>, count long, kind int"), "survey")
+    survey = stored(docs.mapInArrow(lambda b: _surveyed(b, shingle, percent), f"doc_id {kind}, name binary, token long, size long, bits array<long>, more long, kind int"), "survey")
     nodes = survey.where("kind = 0 AND size > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("token").alias("token"), F.first("size").alias("size"), F.first("bits").alias("bits"))
     nodes = stored(nodes, "nodes")
-    top = survey.where("kind = 1").groupBy("token").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "token").limit(HEAVY).select("token").collect()
+    top = survey.where("kind = 1").groupBy("token").agg(F.sum("more").alias("n")).orderBy(F.desc("n"), "token").limit(HEAVY).select("token").collect()
     frequent = np.sort(np.array([r[0] for r in top], np.int64).view(_U))
     boundary = _boundary(survey, percent)
-    index = stored(docs.select("text").mapInArrow(lambda b: _indexed(b, shingle, percent, boundary, frequent), "key long, token long, size int, place int, side int"), "index")
+    index = stored(docs.select("text").mapInArrow(lambda b: _indexed(b, shingle, percent, boundary, frequent), "key long, token long, size int, side int"), "index")
     verifier = _Verifier(docs, nodes, shingle, percent)
     links = verifier.links(_light_pairs(index, nodes)) if boundary else None
-    postings = index.where("side < 0").select("key", "token", "size", "place")
+    postings = index.where("side < 0").select("key", "token", "size")
     open_keys = postings.groupBy("key").agg(F.min("token").alias("x"), F.max("token").alias("y")).where("x <> y").select("key")
-    lists = stored(postings.join(open_keys, "key").distinct().join(nodes.select("token", "name"), "token").select("key", "name", "size", "place"), "lists")
+    lists = stored(postings.join(open_keys, "key").distinct().join(nodes.select("token", "name"), "token").select("key", "name", "size"), "lists")
+    discard(index)
+    weights = lists.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    lists = stored(lists.join(lists.join(weights, "key").groupBy("name").agg(F.sum("n").alias("central")), "name"), "lists")
     classes = components(links) if links is not None else None
+    alike = 100 * F.least("size", "size2") >= percent * F.greatest("size", "size2")
     for turn in range(PIVOTS + 1):
         now = lists.withColumn("component", F.col("name"))
         if classes is not None:
@@ -240,15 +264,16 @@ def linked_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFra
         now = stored(now.join(still, "key", "left_semi"), "open")
         if not now.take(1):
             break
-        own = F.struct("name", "size", "place", "component")
-        other = now.groupBy("key").agg(F.min_by(own, F.xxhash64("name", F.lit(turn))).alias("p")).select("key", "p.*") if turn < PIVOTS else now
-        other = other.select("key", F.col("name").alias("name2"), F.col("size").alias("size2"), F.col("place").alias("place2"), F.col("component").alias("component2"))
-        most = 1 + F.least(F.col("size") - F.col("place"), F.col("size2") - F.col("place2")) - 1  # from the first shared shingle on
-        apart = (F.col("component") != F.col("component2")) & (100 * F.least("size", "size2") >= percent * F.greatest("size", "size2"))
-        apart &= (100 + percent) * most >= percent * (F.col("size") + F.col("size2"))
-        if turn == PIVOTS:
-            apart &= F.col("name") > F.col("name2")
-        pairs = now.join(other, "key").where(apart).select(*_pair("name", "name2")).distinct()
+        as_other = lambda rows: rows.select("key", *(F.col(c).alias(f"{c}2") for c in ("name", "size", "component", "central")))
+        if turn < PIVOTS:
+            rank = F.struct(F.xxhash64("component", F.lit(turn)) if turn else F.lit(0), "central", "name")
+            lead = now.groupBy("key").agg(F.max_by(F.struct("name", "size", "component", "central"), rank).alias("p")).select("key", "p.*")
+            met = now.join(as_other(lead), "key").where((F.col("component") != F.col("component2")) & alike)
+            chosen = met.groupBy("name").agg(F.max_by("name2", F.struct("central2", "name2")).alias("name2"))
+            pairs = _meeting(chosen.select(*_pair("name", "name2")).distinct(), lists)
+        else:
+            met = now.join(as_other(now), "key").where((F.col("component") != F.col("component2")) & (F.col("name") > F.col("name2")) & alike)
+            pairs = _often(met.groupBy(F.col("name").alias("a"), F.col("name2").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("size2").alias("size2")))
         found = verifier.links(pairs)
         links = found if links is None else links.union(found)
         classes = stored(components(links), "classes")
