@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from sparkveil.config import BUILTIN, SAMPLE, Pattern
 from sparkveil.operators.resolve import EMAIL, SIGN_OFFS
+from sparkveil.sources import generator
 from sparkveil.sources.fixtures import ATTACHMENTS, EMAILS, HTML_MAILS
 
 ORACLES: dict[str, str] = {}
@@ -388,3 +389,36 @@ FROM (SELECT *, row_number() OVER (PARTITION BY scope, id ORDER BY points DESC,
 
 _add("lockout_stream", "", """SELECT user_id, epoch_us(ts) AS micros, CAST(n AS BIGINT) AS n FROM (
   SELECT user_id, ts, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW) AS n FROM events WHERE event_type = 'error') WHERE n >= 3""")
+
+# letters: the generator once more, a value of every field for every row
+_DRAW = "CAST(CAST('0x' || substr(md5('7:' || o_orderkey || ':{0}'), 1, 8) AS BIGINT) % ({2} - {1} + 1) + {1} AS INTEGER)".format
+
+
+def _pick(field: str, values: tuple[str, ...]) -> str:
+    return "[" + ", ".join(_quoted(v) for v in values) + f"][{_DRAW(field, 0, len(values) - 1)} + 1]"
+
+
+_FIRST, _LAST = _pick("first", generator.FIRST), _pick("last", generator.LAST)
+_FIELDS = {
+    "PERSON": f"{_FIRST} || ' ' || {_LAST}", "EMAIL_ADDRESS": f"lower({_FIRST}) || '.' || lower({_LAST}) || '@' || {_pick('domain', generator.DOMAINS)}",
+    "PHONE_NUMBER": f"printf('(%03d) %03d-%04d', {_DRAW('code', 201, 989)}, {_DRAW('exchange', 200, 999)}, {_DRAW('line', 1000, 9999)})",
+    "US_SSN": f"printf('%03d-%02d-%04d', {_DRAW('area', 100, 664)}, {_DRAW('group', 10, 99)}, {_DRAW('serial', 1000, 9999)})",
+    "DATE_TIME:birth": f"printf('%02d/%02d/%04d', {_DRAW('month', 1, 12)}, {_DRAW('day', 1, 28)}, {_DRAW('year', 2004, 2018)})",
+    "DATE_TIME:day": f"{_pick('name of month', generator.MONTHS)} || ' ' || {_DRAW('day of month', 1, 28)} || ', 2024'",
+    "STUDENT_ID": f"CAST({_DRAW('student', 10000000, 99999999)} AS VARCHAR)", "LUNCH_ACCT": f"'LA' || {_DRAW('lunch', 100000, 999999)}",
+}
+_LETTER = []
+for _i, _t in enumerate(generator.TEMPLATES):
+    _parts = [(p, k % 2) for k, p in enumerate(_t.replace("}", "{").split("{"))]
+    _LETTER.append(f"SELECT o_orderkey AS source_id, [" + ", ".join(f"{{'e': '{p.split(':')[0] if field else ''}', 't': {_FIELDS[p] if field else _quoted(p)}}}" for p, field in _parts) + f"] AS parts FROM orders WHERE {_DRAW('template', 0, len(generator.TEMPLATES) - 1)} = {_i}")
+CTES["letterparts"] = " UNION ALL ".join(_LETTER)
+CTES["letters"] = "SELECT 'letter' AS source_type, source_id, array_to_string(list_transform(parts, lambda p: p.t), '') AS text FROM letterparts"
+CTES["lettergold"] = "SELECT source_id, parts[k].e AS e, CAST(coalesce(list_sum(list_transform(parts[1:k - 1], lambda p: length(p.t))), 0) AS BIGINT) AS s, length(parts[k].t) AS n FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS k FROM letterparts) WHERE parts[k].e <> ''"
+CTES["letterfound"] = " UNION ALL ".join(f"({_hits(p, i, 'letters')})" for i, p in enumerate(generator.SCORED))
+_USES |= {"letters": ["letterparts"], "lettergold": ["letterparts"], "letterfound": ["letters"]}
+# spans of one entity do not touch here, so every hit meets one written value at most
+_add("eval_generated", "lettergold letterfound", f"""SELECT entity_type, tp, fp, fn, {RATES} FROM (SELECT *, CASE WHEN tp + fp = 0 THEN 1 ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 1 ELSE tp / (tp + fn) END AS r FROM (
+  SELECT entity_type, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM (
+    SELECT e AS entity_type, CASE WHEN f.source_id IS NULL THEN 0 ELSE 1 END AS tp, 0 AS fp, CASE WHEN f.source_id IS NULL THEN 1 ELSE 0 END AS fn
+    FROM lettergold g LEFT JOIN letterfound f ON f.source_id = g.source_id AND f.entity_type = g.e AND f.start_offset < g.s + g.n AND g.s < f.end_offset
+    UNION ALL SELECT entity_type, 0, 1, 0 FROM letterfound f WHERE NOT EXISTS (SELECT 1 FROM lettergold g WHERE g.source_id = f.source_id AND g.e = f.entity_type AND f.start_offset < g.s + g.n AND g.s < f.end_offset)) GROUP BY 1))""")

@@ -13,6 +13,7 @@ from sparkveil.functions.text import is_internal, json_block, plain_text, trunca
 from sparkveil.operators import ai, cases, markup, produce, query, redact, resolve, search, spans
 from sparkveil.operators.index import StoredIndex
 from sparkveil.operators.snippets import snippet
+from sparkveil.sources import generator
 from sparkveil.sources.fixtures import Corpus
 from sparkveil.sources.store import Store, scratch
 
@@ -592,6 +593,16 @@ def eval_micro(c: Corpus) -> DataFrame:
     return rows.select("tp", "fp", "fn", *(F.round(x, 4).alias(x) for x in ("precision", "recall", "f1")))
 
 
+@registered
+def eval_generated(c: Corpus) -> DataFrame:
+    """Seven entities over a generated letter for every order: what the recognisers find of what was written. No recogniser looks for names."""
+    letters = generator.labelled(c.table("orders"), "o_orderkey", 7)
+    sources = letters.select(F.lit("letter").alias("source_type"), F.col("doc_id").alias("source_id"), "text")
+    found = spans.scan(sources, generator.SCORED).withColumnRenamed("source_id", "doc_id")
+    rows = spans.with_rates(spans.matched_greedily(found, generator.gold(letters)))
+    return rows.select("entity_type", "tp", "fp", "fn", *(F.round(x, 4).alias(x) for x in ("precision", "recall", "f1")))
+
+
 # --- search, HTML, flags, streams
 
 
