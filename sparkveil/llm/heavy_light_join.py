@@ -220,8 +220,8 @@ def _often(met: DataFrame) -> DataFrame:
 
 def _meeting(pairs: DataFrame, lists: DataFrame) -> DataFrame:
     """The same for pairs (a, b): their lists are counted."""
-    of = lists.select("key", F.col("name").alias("a"), "size")
-    other = lists.select("key", F.col("name").alias("b"), F.col("size").alias("size2"))
+    of = lists.select("key", F.col("token").alias("a"), "size")
+    other = lists.select("key", F.col("token").alias("b"), F.col("size").alias("size2"))
     met = pairs.join(of, "a").join(other, ["key", "b"])
     return _often(met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("size2").alias("size2")))
 
@@ -230,9 +230,21 @@ def _light_pairs(index: DataFrame, nodes: DataFrame) -> DataFrame:
     subsets = index.where("side >= 0").select("key", "token", "side").distinct()
     both = subsets.groupBy("key").agg(F.min(F.when(F.col("side") != 1, F.col("token"))).alias("p"), F.min(F.when(F.col("side") != 0, F.col("token"))).alias("q"), F.count(F.lit(1)).alias("n"))
     linked = subsets.join(both.where("n > 1 AND p IS NOT NULL AND q IS NOT NULL"), "key").select("token", F.when(F.col("side") == 0, F.col("q")).otherwise(F.col("p")).alias("other"))
+    return _with_names(linked.where("token <> other").select(*_pair("token", "other")).distinct(), nodes)
+
+
+def _with_names(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of tokens as pairs of names: a token is half of a name, so in the rare case of equal halves all that it can mean are taken."""
     named = nodes.select("token", "name")
-    pairs = linked.where("token <> other").distinct().join(named, "token").join(named.select(F.col("token").alias("other"), F.col("name").alias("name2")), "other")
-    return pairs.select(*_pair("name", "name2")).distinct()
+    both = pairs.join(named.select(F.col("token").alias("a"), "name"), "a").join(named.select(F.col("token").alias("b"), F.col("name").alias("name2")), "b")
+    return both.select(*_pair("name", "name2")).distinct()
+
+
+def _on_tokens(classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """token, component of classes (node, component) of names; equal halves of names are in the classes of both."""
+    of = nodes.select("name", "token")
+    rows = classes.join(of, F.col("node") == F.col("name")).select("token", "component")
+    return stored(rows.join(of.select(F.col("name").alias("component"), F.col("token").alias("_c")), "component").select("token", F.col("_c").alias("component")), "classes")
 
 
 def linked_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame:
@@ -249,38 +261,40 @@ def linked_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFra
     verifier = _Verifier(docs, nodes, shingle, percent)
     links = verifier.links(_light_pairs(index, nodes)) if boundary else None
     postings = index.where("side < 0").select("key", "token", "size")
-    open_keys = postings.groupBy("key").agg(F.min("token").alias("x"), F.max("token").alias("y")).where("x <> y").select("key")
-    lists = stored(postings.join(open_keys, "key").distinct().join(nodes.select("token", "name"), "token").select("key", "name", "size"), "lists")
+    open_keys = postings.groupBy("key").agg(F.min("token").alias("x"), F.max("token").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("key", "n")
+    lists = stored(postings.join(open_keys, "key").distinct(), "lists")
     discard(index)
-    weights = lists.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    lists = stored(lists.join(lists.join(weights, "key").groupBy("name").agg(F.sum("n").alias("central")), "name"), "lists")
-    classes = components(links) if links is not None else None
+    central = stored(lists.groupBy("token").agg(F.sum("n").alias("central")), "central")
+    lists = lists.drop("n").join(central, "token")
+    named = None if links is None else stored(components(links), "classes")
+    classes = None if links is None else _on_tokens(named, nodes)
     alike = 100 * F.least("size", "size2") >= percent * F.greatest("size", "size2")
     for turn in range(PIVOTS + 1):
-        now = lists.withColumn("component", F.col("name"))
+        now = lists.withColumn("component", F.col("token"))
         if classes is not None:
-            now = lists.join(classes.select(F.col("node").alias("name"), "component"), "name", "left").withColumn("component", F.coalesce("component", "name"))
+            now = lists.join(classes.select("token", "component"), "token", "left").withColumn("component", F.coalesce("component", "token"))
         still = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
         now = stored(now.join(still, "key", "left_semi"), "open")
         if not now.take(1):
             break
-        as_other = lambda rows: rows.select("key", *(F.col(c).alias(f"{c}2") for c in ("name", "size", "component", "central")))
+        as_other = lambda rows: rows.select("key", *(F.col(c).alias(f"{c}2") for c in ("token", "size", "component", "central")))
         if turn < PIVOTS:
-            rank = F.struct(F.xxhash64("component", F.lit(turn)) if turn else F.lit(0), "central", "name")
-            lead = now.groupBy("key").agg(F.max_by(F.struct("name", "size", "component", "central"), rank).alias("p")).select("key", "p.*")
+            rank = F.struct(F.xxhash64("component", F.lit(turn)) if turn else F.lit(0), "central", "token")
+            lead = now.groupBy("key").agg(F.max_by(F.struct("token", "size", "component", "central"), rank).alias("p")).select("key", "p.*")
             met = now.join(as_other(lead), "key").where((F.col("component") != F.col("component2")) & alike)
-            chosen = met.groupBy("name").agg(F.max_by("name2", F.struct("central2", "name2")).alias("name2"))
-            pairs = _meeting(chosen.select(*_pair("name", "name2")).distinct(), lists)
+            chosen = met.groupBy("token").agg(F.max_by("token2", F.struct("central2", "token2")).alias("token2"))
+            pairs = _meeting(chosen.select(*_pair("token", "token2")).distinct(), lists)
         else:
-            met = now.join(as_other(now), "key").where((F.col("component") != F.col("component2")) & (F.col("name") > F.col("name2")) & alike)
-            pairs = _often(met.groupBy(F.col("name").alias("a"), F.col("name2").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("size2").alias("size2")))
-        found = verifier.links(pairs)
+            met = now.join(as_other(now), "key").where((F.col("component") != F.col("component2")) & (F.col("token") > F.col("token2")) & alike)
+            pairs = _often(met.groupBy(F.col("token").alias("a"), F.col("token2").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("size2").alias("size2")))
+        found = verifier.links(_with_names(pairs, nodes))
         links = found if links is None else links.union(found)
-        classes = stored(components(links), "classes")
+        named = stored(components(links), "classes")
+        classes = _on_tokens(named, nodes)
         discard(now)
     least = nodes.select("name", "doc_id")
-    if classes is not None:
-        grouped = nodes.join(classes.select(F.col("node").alias("name"), "component"), "name", "left").select("name", "doc_id", F.coalesce("component", "name").alias("component"))
+    if links is not None:
+        grouped = nodes.join(named.select(F.col("node").alias("name"), "component"), "name", "left").select("name", "doc_id", F.coalesce("component", "name").alias("component"))
         firsts = grouped.groupBy("component").agg(F.min("doc_id").alias("first"))
         least = grouped.join(firsts, "component").select("name", F.col("first").alias("doc_id"))
     rows = survey.where("kind = 0").select("doc_id", "name", F.col("size").alias("n_shingles"))
