@@ -6,10 +6,12 @@ Two sets of m and l shingles are similar enough if they share ``need(m, l)`` of
   Sets that share such a subset are similar, so each member of a subset is linked to one set of the other size, not to all.
 * Heavy: of a larger set (and of those that can be its partners) the inverted lists of its first shingles are scanned. Shingles are
   ordered by hash, frequent ones last; of its first m - ceil(percent * m / 100) + spare(m), a set shares spare(m) at least with any similar
-  one that is not smaller in this, so pairs that meet in fewer lists are out. Lists are taken in rounds: each set is compared with one
-  other, the most central of its lists (whose shingles are in the longest lists), links are joined to components, and only lists that
-  still hold several components go on; what is left after ``PIVOTS`` rounds is counted list by list. Sizes, counts and bitmaps rule
-  pairs out before their sets are fetched; each pair that remains is verified by its sets.
+  one that is not smaller in this, so pairs that meet in fewer lists are out. First each set is compared with one other, its hub: the most
+  central of its lists (whose shingles are in the longest lists). Links are joined to components, and only lists that still hold several
+  components go on. Sets that are near the same hub, though not both similar to it, are similar only if they share a deviation from it
+  (a shingle that both add, or that both lack), so they meet in lists of deviations, which are short where copies of one text changed in
+  different places, and the number that they share gives their similarity. All others are counted list by list. Sizes, counts and
+  bitmaps rule pairs out before their sets are fetched; each pair that remains is verified by its sets.
 * The boundary is chosen by cost: rows of subsets against postings, and scans of the lists measured over the small sets themselves.
 
 Nothing is capped or sampled: the frequent shingles (the ``HEAVY`` most frequent, as counted within chunks) only change the order, and
@@ -38,7 +40,8 @@ from .textops import mixed, text_column
 from .wordsets import set_names, shingle_sets, signed
 
 _U = np.uint64
-PIVOTS, BITS, HEAVY, SMALL, SPARE = 2, 1024, 1 << 16, 64, 50
+BITS, HEAVY, SMALL, SPARE = 1024, 1 << 16, 64, 50
+_NEAR = 20  # per cent by which a set that is near a hub may fall short of the similarity
 _OFTEN = 3  # texts of a chunk that must hold a shingle for it to count as frequent there
 
 
@@ -151,10 +154,10 @@ def _sets_of(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Rec
 def choose_boundary(sizes: dict[int, int], scans: dict[int, int], percent: int) -> int:
     """The size up to which subsets cost less than lists. ``sizes``: sets of each small size; ``scans``: rows that their lists hold together.
 
-    A set costs its rows; each row of a list that is scanned is compared with ``PIVOTS`` others, and a comparison reads the set.
+    A set costs its rows; each row of a list that is scanned is compared once at least, and a comparison reads the set.
     """
     best, least, light = 0, None, 0
-    heavy = {m: n * _first(m, percent) + PIVOTS * scans.get(m, 0) * (1 + m) for m, n in sizes.items()}
+    heavy = {m: n * _first(m, percent) + scans.get(m, 0) * (1 + m) for m, n in sizes.items()}
     rest = sum(heavy.values())
     for x in range(SMALL + 1):
         light = sum(n * subset_rows(m, percent, x) for m, n in sizes.items() if m <= x)
@@ -179,33 +182,55 @@ def _may_share(percent: int) -> Column:
     return (100 + percent) * most >= percent * (F.col("size") + F.col("size2"))
 
 
-class _Verifier:
-    """Verifies pairs of sets, no pair twice."""
-
-    def __init__(self, docs: DataFrame, nodes: DataFrame, shingle: int, percent: int):
-        self.docs, self.nodes, self.shingle, self.percent = docs, nodes, shingle, percent
-        self.tried: DataFrame | None = None
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` (a, b: names, a > b) that are similar."""
-        if self.tried is not None:
-            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
-        maps = self.nodes.select("name", "size", "bits")
-        other = maps.select(F.col("name").alias("b"), F.col("size").alias("size2"), F.col("bits").alias("bits2"))
-        able = stored(pairs.join(maps.withColumnRenamed("name", "a"), "a").join(other, "b").where(_may_share(self.percent)).select("a", "b"), "pairs")
-        self.tried = able if self.tried is None else self.tried.union(able)
-        members = able.select(F.col("a").alias("name")).union(able.select("b")).distinct()
-        # a table of its own, so that its size is known: where it is small, no text is shuffled
-        shown = stored(self.nodes.join(members, "name").select("doc_id").distinct(), "shown")
-        texts = self.docs.join(shown, self.docs["doc_id"].eqNullSafe(shown["doc_id"]), "left_semi").select("text")
-        sets = texts.mapInArrow(lambda b, k=self.shingle: _sets_of(b, k), "name binary, shingles array<long>").join(members, "name", "left_semi").dropDuplicates(["name"])
-        sets = stored(sets, "sets")
-        both = able.join(sets.select(F.col("name").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("name").alias("b"), F.col("shingles").alias("y")), "b")
-        shared = F.size(F.array_intersect("x", "y"))
-        out = stored(both.where(100 * shared >= self.percent * (F.size("x") + F.size("y") - shared)).select("a", "b"), "links")
-        discard(sets)
-        discard(shown)
-        return out
+def _judged(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame | None:
+    """Those of ``pairs`` (a, b: names, a > b) that their bitmaps do not rule out: a, b, whether they are ``linked`` (similar) or at least
+    ``near``, and then the shingles that only one of them has. None if there are none."""
+    maps = nodes.select("name", "size", "bits")
+    other = maps.select(F.col("name").alias("b"), F.col("size").alias("size2"), F.col("bits").alias("bits2"))
+    able = stored(pairs.join(maps.withColumnRenamed("name", "a"), "a").join(other, "b").where(_may_share(percent)).select("a", "b"), "pairs")
+    if not able.take(1):
+        return None
+    members = able.select(F.col("a").alias("name")).union(able.select("b")).distinct()
+    # a table of its own, so that its size is known: where it is small, no text is shuffled
+    shown = stored(nodes.join(members, "name").select("doc_id").distinct(), "shown")
+    texts = docs.join(shown, docs["doc_id"].eqNullSafe(shown["doc_id"]), "left_semi").select("text")
+    sets = texts.mapInArrow(lambda b: _sets_of(b, shingle), "name binary, shingles array<long>").join(members, "name", "left_semi").dropDuplicates(["name"])
+    sets = stored(sets, "sets")
+    both = able.join(sets.select(F.col("name").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("name").alias("b"), F.col("shingles").alias("y")), "b")
+    shared, joined = F.col("n"), F.size("x") + F.size("y") - F.col("n")
+    both = both.withColumn("n", F.size(F.array_intersect("x", "y")))
+    near = 100 * shared >= (percent - _NEAR) * joined
+    only = lambda p, q: F.when(near, F.array_except(p, q))
+    out = stored(both.select("a", "b", (100 * shared >= percent * joined).alias("linked"), near.alias("near"), only("x", "y").alias("only_a"), only("y", "x").alias("only_b")), "judged")
+    discard(sets)
+    discard(shown)
+    discard(able)
+    return out
+
+
+def _deviations(judged: DataFrame, hubs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """token, hub, size, added, missing of sets that are near their hub (hubs: token, token2)."""
+    of = nodes.select("name", "token", "size")
+    rows = judged.where("near").join(of.withColumnsRenamed({"name": "a", "token": "ta", "size": "na"}), "a").join(of.withColumnsRenamed({"name": "b", "token": "tb", "size": "nb"}), "b")
+    one = rows.select(F.col("ta").alias("token"), F.col("tb").alias("hub"), F.col("na").alias("size"), F.col("only_a").alias("added"), F.col("only_b").alias("missing"))
+    two = rows.select(F.col("tb").alias("token"), F.col("ta").alias("hub"), F.col("nb").alias("size"), F.col("only_b").alias("added"), F.col("only_a").alias("missing"))
+    return one.union(two).join(hubs.select("token", F.col("token2").alias("hub")), ["token", "hub"])
+
+
+def _alike_by_deviations(deviations: DataFrame, classes: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs (a, b: tokens) of sets near one hub, of different components, that are similar. Two sets differ in as many shingles as they deviate, less twice what they share of it."""
+    marks = F.concat(F.transform("added", lambda v: F.struct(F.lit(1).alias("kind"), v.alias("value"))), F.transform("missing", lambda v: F.struct(F.lit(0).alias("kind"), v.alias("value"))))
+    rows = deviations.withColumn("n_marks", F.size("added") + F.size("missing"))
+    rows = rows.withColumn("component", F.col("token")) if classes is None else rows.join(classes, "token", "left").withColumn("component", F.coalesce("component", "token"))
+    lists = stored(rows.select("hub", "token", "size", "n_marks", "component", F.inline(marks)), "deviations")
+    key = ["hub", "kind", "value"]
+    still = lists.groupBy(*key).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(*key)
+    lists = lists.join(still, key, "left_semi")
+    other = lists.select(*key, *(F.col(c).alias(f"{c}2") for c in ("token", "size", "n_marks", "component")))
+    met = lists.join(other, key).where((F.col("component") != F.col("component2")) & (F.col("token") > F.col("token2")))
+    met = met.groupBy(F.col("token").alias("a"), F.col("token2").alias("b")).agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("size", "size2", "n_marks", "n_marks2")))
+    total, apart = F.col("size") + F.col("size2"), F.col("n_marks") + F.col("n_marks2") - 2 * F.col("n")
+    return met.where(100 * (total - apart) >= percent * (total + apart)).select("a", "b")  # twice the intersection, twice the union
 
 
 def _pair(x: str, y: str) -> tuple[Column, Column]:
@@ -258,40 +283,55 @@ def linked_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFra
     frequent = np.sort(np.array([r[0] for r in top], np.int64).view(_U))
     boundary = _boundary(survey, percent)
     index = stored(docs.select("text").mapInArrow(lambda b: _indexed(b, shingle, percent, boundary, frequent), "key long, token long, size int, side int"), "index")
-    verifier = _Verifier(docs, nodes, shingle, percent)
-    links = verifier.links(_light_pairs(index, nodes)) if boundary else None
+    judge = lambda pairs: _judged(docs, nodes, pairs, shingle, percent)
+    links = named = classes = None
+
+    def add(found: DataFrame | None) -> None:
+        """More links: components follow."""
+        nonlocal links, named, classes
+        if found is not None and found.take(1):
+            links = found if links is None else links.union(found)
+            named = stored(components(links), "classes")
+            classes = _on_tokens(named, nodes)
+
+    def linked(judged: DataFrame | None) -> DataFrame | None:
+        return None if judged is None else judged.where("linked").select("a", "b")
+
+    if boundary:
+        add(linked(judge(_light_pairs(index, nodes))))
     postings = index.where("side < 0").select("key", "token", "size")
     open_keys = postings.groupBy("key").agg(F.min("token").alias("x"), F.max("token").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("key", "n")
     lists = stored(postings.join(open_keys, "key").distinct(), "lists")
     discard(index)
     central = stored(lists.groupBy("token").agg(F.sum("n").alias("central")), "central")
-    lists = lists.drop("n").join(central, "token")
-    named = None if links is None else stored(components(links), "classes")
-    classes = None if links is None else _on_tokens(named, nodes)
+    lists = stored(lists.drop("n").join(central, "token"), "weighed")
     alike = 100 * F.least("size", "size2") >= percent * F.greatest("size", "size2")
-    for turn in range(PIVOTS + 1):
-        now = lists.withColumn("component", F.col("token"))
-        if classes is not None:
-            now = lists.join(classes.select("token", "component"), "token", "left").withColumn("component", F.coalesce("component", "token"))
+    as_other = lambda rows: rows.select("key", *(F.col(c).alias(f"{c}2") for c in rows.columns if c != "key"))
+
+    def still_open() -> DataFrame:
+        """Rows of lists that hold several components."""
+        now = lists.withColumn("component", F.col("token")) if classes is None else lists.join(classes, "token", "left").withColumn("component", F.coalesce("component", "token"))
         still = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        now = stored(now.join(still, "key", "left_semi"), "open")
-        if not now.take(1):
-            break
-        as_other = lambda rows: rows.select("key", *(F.col(c).alias(f"{c}2") for c in ("token", "size", "component", "central")))
-        if turn < PIVOTS:
-            rank = F.struct(F.xxhash64("component", F.lit(turn)) if turn else F.lit(0), "central", "token")
-            lead = now.groupBy("key").agg(F.max_by(F.struct("token", "size", "component", "central"), rank).alias("p")).select("key", "p.*")
-            met = now.join(as_other(lead), "key").where((F.col("component") != F.col("component2")) & alike)
-            chosen = met.groupBy("token").agg(F.max_by("token2", F.struct("central2", "token2")).alias("token2"))
-            pairs = _meeting(chosen.select(*_pair("token", "token2")).distinct(), lists)
-        else:
-            met = now.join(as_other(now), "key").where((F.col("component") != F.col("component2")) & (F.col("token") > F.col("token2")) & alike)
-            pairs = _often(met.groupBy(F.col("token").alias("a"), F.col("token2").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("size2").alias("size2")))
-        found = verifier.links(_with_names(pairs, nodes))
-        links = found if links is None else links.union(found)
-        named = stored(components(links), "classes")
-        classes = _on_tokens(named, nodes)
-        discard(now)
+        return stored(now.join(still, "key", "left_semi"), "open")
+
+    now = still_open()
+    lead = now.groupBy("key").agg(F.max_by(F.struct("token", "size", "component", "central"), F.struct("central", "token")).alias("p")).select("key", "p.*")
+    met = now.join(as_other(lead), "key").where((F.col("component") != F.col("component2")) & alike)
+    hubs = stored(met.groupBy("token").agg(F.max_by("token2", F.struct("central2", "token2")).alias("token2")), "hubs")
+    judged = judge(_with_names(_meeting(hubs.select(*_pair("token", "token2")).distinct(), lists), nodes))
+    discard(now)
+    add(linked(judged))
+    hub = None
+    if judged is not None:
+        deviations = stored(_deviations(judged, hubs, nodes), "near")
+        add(_with_names(_alike_by_deviations(deviations, classes, percent), nodes))
+        hub = deviations.select("token", "hub")
+    now = still_open()
+    now = now.withColumn("hub", F.lit(None).cast("long")) if hub is None else now.join(hub, "token", "left")
+    apart = (F.col("component") != F.col("component2")) & (F.col("token") > F.col("token2")) & alike & F.coalesce(F.col("hub") != F.col("hub2"), F.lit(True))
+    met = now.join(as_other(now), "key").where(apart)
+    pairs = _often(met.groupBy(F.col("token").alias("a"), F.col("token2").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("size2").alias("size2")))
+    add(linked(judge(_with_names(pairs, nodes))))
     least = nodes.select("name", "doc_id")
     if links is not None:
         grouped = nodes.join(named.select(F.col("node").alias("name"), "component"), "name", "left").select("name", "doc_id", F.coalesce("component", "name").alias("component"))

@@ -271,6 +271,21 @@ def test_join_against_all_pairs(spark, as_query, seed):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == plain_sets(rows)
 
 
+def test_join_of_sets_near_one_hub(spark):
+    """Copies of one text that change in some of the same places: many are similar to each other, but not to the most central one."""
+    r, rows = random.Random(9), []
+    base = [f"w{i}" for i in range(90)]
+    for i in range(120):
+        words = list(base)
+        for at in r.sample(range(5, 85, 8), r.randrange(8)):
+            words[at] = r.choice(["new", "other"])
+        rows.append((i, " ".join(words)))
+    want = plain_sets(rows)
+    assert 3 < len({c for *_, c in want}) < 100
+    got = heavy_light_join.linked_sets(documents(spark, rows)).collect()
+    assert sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got), key=str) == want
+
+
 @pytest.mark.parametrize("boundary", [8])
 def test_join_is_whole_wherever_the_boundary_lies(spark, monkeypatch, boundary):
     monkeypatch.setattr(heavy_light_join, "choose_boundary", lambda *a: boundary)
