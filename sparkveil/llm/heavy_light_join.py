@@ -182,12 +182,12 @@ def _may_share(percent: int) -> Column:
     return (100 + percent) * most >= percent * (F.col("size") + F.col("size2"))
 
 
-def _judged(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame | None:
-    """Those of ``pairs`` (a, b: names, a > b) that their bitmaps do not rule out: a, b, whether they are ``linked`` (similar) or at least
+def _judged(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, percent: int, least: int) -> DataFrame | None:
+    """Those of ``pairs`` (a, b: names, a > b) whose bitmaps allow ``least`` per cent: a, b, whether they are ``linked`` (similar) or at least
     ``near``, and then the shingles that only one of them has. None if there are none."""
     maps = nodes.select("name", "size", "bits")
     other = maps.select(F.col("name").alias("b"), F.col("size").alias("size2"), F.col("bits").alias("bits2"))
-    able = stored(pairs.join(maps.withColumnRenamed("name", "a"), "a").join(other, "b").where(_may_share(percent)).select("a", "b"), "pairs")
+    able = stored(pairs.join(maps.withColumnRenamed("name", "a"), "a").join(other, "b").where(_may_share(least)).select("a", "b"), "pairs")
     if not able.take(1):
         return None
     members = able.select(F.col("a").alias("name")).union(able.select("b")).distinct()
@@ -283,7 +283,7 @@ def linked_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFra
     frequent = np.sort(np.array([r[0] for r in top], np.int64).view(_U))
     boundary = _boundary(survey, percent)
     index = stored(docs.select("text").mapInArrow(lambda b: _indexed(b, shingle, percent, boundary, frequent), "key long, token long, size int, side int"), "index")
-    judge = lambda pairs: _judged(docs, nodes, pairs, shingle, percent)
+    judge = lambda pairs, least=percent: _judged(docs, nodes, pairs, shingle, percent, least)
     links = named = classes = None
 
     def add(found: DataFrame | None) -> None:
@@ -318,7 +318,7 @@ def linked_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFra
     lead = now.groupBy("key").agg(F.max_by(F.struct("token", "size", "component", "central"), F.struct("central", "token")).alias("p")).select("key", "p.*")
     met = now.join(as_other(lead), "key").where((F.col("component") != F.col("component2")) & alike)
     hubs = stored(met.groupBy("token").agg(F.max_by("token2", F.struct("central2", "token2")).alias("token2")), "hubs")
-    judged = judge(_with_names(_meeting(hubs.select(*_pair("token", "token2")).distinct(), lists), nodes))
+    judged = judge(_with_names(_meeting(hubs.select(*_pair("token", "token2")).distinct(), lists), nodes), percent - _NEAR)
     discard(now)
     add(linked(judged))
     hub = None
