@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from sparkveil.config import Bates, Config
 from sparkveil.operators import ai, produce, query, redact, resolve, search
+from sparkveil.operators.snippets import snippet
 from sparkveil.sources.store import AppendOnly, Store
 
 BODY = [("email_body_text", 1, "hello 572-68-1439 world"), ("email_subject", 1, "ID")]
@@ -67,8 +68,9 @@ def test_search_and_snippet(spark):
     assert find("été report") == [1] and find("x-ray") == [1] and set(find("ete")) == {1, 2}
     with pytest.raises(ValueError):
         find('  "" ')
-    assert docs.where("id = 1").select(search.snippet(F.col("text"), "x")).first()[0].count("<mark>") == 0
-    assert docs.where("id = 2").select(search.snippet(F.col("text"), "work")).first()[0] == "ete <mark>work</mark>"
+    shown = lambda i, q: docs.where(F.col("id") == i).select(snippet(q)(F.col("title"), F.col("text"))).first()[0]
+    assert shown(1, "x") == "the annual report of <mark>x</mark>-ray work"  # a hit is a token, as in the search that finds it
+    assert shown(2, "work") == "ete <mark>work</mark>"
 
 
 def test_flags(spark):
