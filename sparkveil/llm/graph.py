@@ -1,7 +1,8 @@
 """Connected components of links, without collecting any of them: alternating large-star and small-star steps.
 
 Every step groups links by node with partial aggregation and joins them to the group's smallest neighbour, so that a hub is
-an ordinary skewed join, which Spark splits. Each round is written to the shared folder. Works on nodes of any ordered type.
+an ordinary skewed join, which Spark splits. Joins merge at any size: what grows with the input is never built as one table in the driver. Each
+round is written to the shared folder. Works on nodes of any ordered type.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from .storage import discard, stored
 def _to_least(links: DataFrame, own: str, other: str) -> DataFrame:
     """links with the least of ``own`` and all its ``other``."""
     least = links.groupBy(own).agg(F.min(other).alias("_m")).select(own, F.least(own, "_m").alias("least"))
-    return links.join(least, own)
+    return links.join(least.hint("merge"), own)
 
 
 def components(links: DataFrame) -> DataFrame:

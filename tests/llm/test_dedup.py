@@ -435,3 +435,15 @@ def test_stages_on_odd_tables(spark):
             out = stage(spark, df, "")
             assert name == "packing" or out.columns == odd.columns
             assert len(out.collect()) >= 0
+
+
+def test_line_dedup_and_components_send_no_table_to_all(spark):
+    """What grows with the input is never built as one table in the driver, however small the planner takes it to be."""
+    near = [(1, "the quick brown fox jumps over the lazy dog\nshort"), (2, "the quick brown fox jumped over the lazy dog\nother"), (3, "the quick brown fox jumps over the lazy dog")]
+    docs = spark.createDataFrame([*near, *((i, f"a line of its own number {i * 7919} {i}") for i in range(4, 60))], "doc_id long, text string")
+    executions = spark._jsparkSession.sharedState().statusStore()
+    before = executions.executionsCount()
+    got = {r.doc_id: r.text for r in line_edit_join.dedup_lines(docs).collect()}
+    assert got[1] == near[0][1] and got[2] == "other" and got[3] == "" and len(got) == len(near) + 56
+    plans = [executions.executionsList(i, 1).apply(0).physicalPlanDescription() for i in range(before, executions.executionsCount())]
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p or "BroadcastExchange" in p for p in plans)
