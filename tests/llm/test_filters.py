@@ -240,3 +240,24 @@ def test_scores_depend_on_word_order(spark):
     got = {r.doc_id: r for r in context_mixing.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for (i, _), (j, _) in zip(pairs, mixed, strict=True):
         assert got[i].base_score == pytest.approx(got[j].base_score) and got[i].score > got[j].score + 10
+
+
+def test_weights_are_learned_from_every_training_text(spark):
+    """Each lot's totals hold the bits of all its texts, however many: none is left out by a sample's bound."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice(["ab", "cd", "ef", "gh", "ij"], 300))) for i in range(600)]
+    docs, seen = spark.createDataFrame(rows, "doc_id long, text string"), []
+    joined = context_mixing._joined
+
+    def looked_at(learned, inputs):
+        kept = learned.collect()
+        seen.append((len(kept), sum(np.frombuffer(r.total, "<f8").reshape(-1, 2)[:, 1].sum() for r in kept)))
+        return joined(spark.createDataFrame(kept, learned.schema), inputs)
+
+    context_mixing._joined = looked_at
+    try:
+        got = context_mixing.score_texts(docs, lot=1 << 15).collect()
+    finally:
+        context_mixing._joined = joined
+    trained = [i for i, _ in rows if not context_mixing.held_out(i)]
+    assert len(got) == 600 and seen[0][0] == 301 * len(trained) // (1 << 15) > 1 and seen[0][1] >= 301 * len(trained)  # a bit a token at least
