@@ -288,3 +288,27 @@ def test_lines_break_where_the_uncovered_text_breaks(spark):
     accepted = spark.createDataFrame([("email_body_text", 1, 1, 4)], "source_type string, source_id long, start int, end int")
     got = [r.line for r in produce.production_lines(sources, accepted).orderBy("line_no").collect()]
     assert got == ["a█", "█d", "x" * 88, "x" * 12]
+
+
+def test_html_functions_hold_a_few_pages_at_a_time():
+    """Results leave before a batch is through, whatever its rows; nulls, empty and very long pages keep their places."""
+    import pyarrow as pa
+
+    from sparkveil.functions import html, projection
+
+    pages = ["<p>a&amp;b</p>" * 60_000, None, "", "<script>x</script>", *["<b>é</b> c" * 50_000] * 30]
+    taken = []
+
+    def batches():
+        for part in (pages[:3], [], pages[3:]):
+            taken.append(len(part))
+            yield pa.array(part, pa.string())
+
+    got = list(html.pieces(batches(), lambda t: t and len(t)))
+    assert sum(got, []) == [t and len(t) for t in pages] and len(got) > 3 and taken == [3, 0, 31]
+    assert max(sum(x or 0 for x in g[:-1]) for g in got) < html._HELD
+    few = pages[:4]
+    structs = [x.as_py() for part in projection._projection.func(iter([pa.array(few, pa.string())])) for x in part]
+    for page, x in zip(few, structs, strict=True):
+        text, runs = projection.projected(page)
+        assert x["text"] == text and list(zip(*(x[f] for f in projection.RUN_FIELDS), strict=True)) == runs
