@@ -218,19 +218,33 @@ def _deviations(judged: DataFrame, hubs: DataFrame, nodes: DataFrame) -> DataFra
 
 
 def _alike_by_deviations(deviations: DataFrame, classes: DataFrame | None, percent: int) -> DataFrame:
-    """Pairs (a, b: tokens) of sets near one hub, of different components, that are similar. Two sets differ in as many shingles as they deviate, less twice what they share of it."""
+    """Pairs (a, b: tokens) of sets near one hub, of different components, that are similar. Two sets differ in as many shingles as they deviate, less twice what they share of it.
+
+    So a pair must share at least a known number c of marks, and the first mark that both have, rare ones first, is among the first n - c + 1 of either.
+    Only those meet; what a pair shares is counted afterwards, once for each pair.
+    """
     marks = F.concat(F.transform("added", lambda v: F.struct(F.lit(1).alias("kind"), v.alias("value"))), F.transform("missing", lambda v: F.struct(F.lit(0).alias("kind"), v.alias("value"))))
     rows = deviations.withColumn("n_marks", F.size("added") + F.size("missing"))
     rows = rows.withColumn("component", F.col("token")) if classes is None else rows.join(classes, "token", "left").withColumn("component", F.coalesce("component", "token"))
     lists = stored(rows.select("hub", "token", "size", "n_marks", "component", F.inline(marks)), "deviations")
-    key = ["hub", "kind", "value"]
-    still = lists.groupBy(*key).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(*key)
-    lists = lists.join(still, key, "left_semi")
-    other = lists.select(*key, *(F.col(c).alias(f"{c}2") for c in ("token", "size", "n_marks", "component")))
-    met = lists.join(other, key).where((F.col("component") != F.col("component2")) & (F.col("token") > F.col("token2")))
-    met = met.groupBy(F.col("token").alias("a"), F.col("token2").alias("b")).agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("size", "size2", "n_marks", "n_marks2")))
-    total, apart = F.col("size") + F.col("size2"), F.col("n_marks") + F.col("n_marks2") - 2 * F.col("n")
-    return met.where(100 * (total - apart) >= percent * (total + apart)).select("a", "b")  # twice the intersection, twice the union
+    key, own = ["hub", "kind", "value"], ["hub", "token", "size", "n_marks", "component"]
+    sizes = lists.groupBy(*key).agg(F.count(F.lit(1)).alias("often"), F.min("component").alias("x"), F.max("component").alias("y"))
+    ranked = lists.join(sizes, key).groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("often", "kind", "value", (F.col("x") != F.col("y")).alias("open")))).alias("marks"))
+    most = F.floor((100 - percent) * F.col("size") / percent).cast("int")  # that a similar set can differ by
+    first = ranked.select(*own, F.posexplode(F.slice("marks", 1, most + 1)).alias("place", "mark")).where("mark.open")
+    first = stored(first.select(*own, "place", "mark.kind", "mark.value"), "first")
+    other = first.select(*key, *(F.col(c).alias(f"{c}2") for c in ("token", "size", "n_marks", "component", "place")))
+    total = F.col("size") + F.col("size2")
+    must = F.greatest(F.lit(1), F.ceil((F.col("n_marks") + F.col("n_marks2") - F.floor((100 - percent) * total / (100 + percent))) / 2))
+    able = (F.col("place") <= F.col("n_marks") - must) & (F.col("place2") <= F.col("n_marks2") - must)
+    met = first.join(other, key).where((F.col("component") != F.col("component2")) & (F.col("token") > F.col("token2")) & able)
+    pairs = stored(met.select("hub", F.col("token").alias("a"), F.col("token2").alias("b")).distinct(), "met")
+    side = lambda token, n: deviations.select("hub", F.col("token").alias(token), *(F.col(c).alias(f"{c}{n}") for c in ("size", "added", "missing")))
+    both = pairs.join(side("a", 1), ["hub", "a"]).join(side("b", 2), ["hub", "b"])
+    shared = F.size(F.array_intersect("added1", "added2")) + F.size(F.array_intersect("missing1", "missing2"))
+    apart = F.size("added1") + F.size("missing1") + F.size("added2") + F.size("missing2") - 2 * shared
+    total = F.col("size1") + F.col("size2")
+    return both.where(100 * (total - apart) >= percent * (total + apart)).select("a", "b").distinct()  # twice the intersection, twice the union
 
 
 def _pair(x: str, y: str) -> tuple[Column, Column]:

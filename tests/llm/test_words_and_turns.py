@@ -286,6 +286,22 @@ def test_join_of_sets_near_one_hub(spark):
     assert sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got), key=str) == want
 
 
+def test_sets_near_one_hub_meet_only_if_they_can_share_enough(spark, monkeypatch):
+    """Copies with two words of their own lack some of the same shingles, pair by pair, and are not similar for that."""
+    r, rows, met = random.Random(5), [], []
+    for i in range(150):
+        words = [f"w{j}" for j in range(64)]
+        for at in r.sample(range(5, 60), 2 if i else 0):
+            words[at] = f"own{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(200, rows[7][1] + " end"), (201, rows[9][1] + " end")]
+    keep = heavy_light_join.stored
+    monkeypatch.setattr(heavy_light_join, "stored", lambda df, name: (out := keep(df, name), met.append(out.count()) if name == "met" else None)[0])
+    got = heavy_light_join.linked_sets(documents(spark, rows)).collect()
+    assert sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got), key=str) == plain_sets(rows)
+    assert len(met) == 1 and met[0] <= 2 * len(rows)
+
+
 @pytest.mark.parametrize("boundary", [8])
 def test_join_is_whole_wherever_the_boundary_lies(spark, monkeypatch, boundary):
     monkeypatch.setattr(heavy_light_join, "choose_boundary", lambda *a: boundary)
