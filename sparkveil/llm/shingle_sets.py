@@ -113,10 +113,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(shared / (F.size("sa") + F.size("sb") - shared) >= similarity).select("a", "b")
 
 
-def near_copy_classes(docs: DataFrame, rows: DataFrame, key: list[str], shingle: int, similarity: float) -> DataFrame:
-    """_print and component for each node that is linked to another. ``rows``: what ``with_bands`` gives for ``docs``, whose rows ``key`` names."""
+def near_copy_classes(docs: DataFrame, rows: DataFrame, key: list[str], shingle: int, similarity: float, more: DataFrame | None = None) -> DataFrame:
+    """_print and component for each node that is linked to another. ``rows``: what ``with_bands`` gives for ``docs``, whose rows ``key`` names.
+
+    ``more``: further keys (_print, key) of nodes; those that share one are candidates, too.
+    """
     nodes = stored(rows.groupBy("_print").agg(F.min(F.struct(*key)).alias("first"), F.first("_size").alias("_size"), F.first("_keys").alias("_keys"), F.first("_bits").alias("_bits")), "nodes")
     keyed = nodes.select("_print", "_size", F.explode("_keys").alias("key"))
+    if more is not None:
+        keyed = keyed.union(nodes.select("_print", "_size").join(more, "_print").select("_print", "_size", "key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     buckets = stored(keyed.join(shared, "key"), "buckets")
     members = nodes.join(buckets.select("_print").distinct(), "_print", "left_semi").select("first.*")

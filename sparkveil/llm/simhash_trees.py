@@ -136,17 +136,32 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 3, radius: int = 2, s
     return rows.join(_classes(rows, radius), "_print").select("doc_id", "_print", "component_id")
 
 
-def keep_one_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+def tree_keys(nodes: DataFrame, radius: int = 2) -> DataFrame:
+    """_print and key: nodes (_print, _finger) share a key if their fingerprints are equal, or a link of the trees.
+
+    A link has a key of its own, so a node has as many as its fingerprint has links, and no pairs of nodes are made here.
+    """
+    links = near_links(nodes.select(F.col("_finger").alias("_print")).distinct(), radius)
+    named = links.select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("_finger"))
+    same = nodes.select("_finger").groupBy("_finger").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.xxhash64("_finger", F.lit(0)).alias("key"), "_finger")
+    return nodes.join(named.union(same).hint("merge"), "_finger").select("_print", "key")
+
+
+def keep_one_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed: int = 42, radius: int = 2) -> DataFrame:
     """One row of ``docs`` for each class of near-duplicates: the one with the smallest id, then the smallest hash of its text.
 
-    Classes are the components of pairs whose shingle sets have at least that Jaccard similarity (``shingle_sets``); fingerprints,
-    which tell such pairs from others only if they are nearly equal, have no part in it.
+    Classes are the components of pairs whose shingle sets have at least that Jaccard similarity. Candidates are what the trees over
+    fingerprints find within ``radius`` bits, and, as such pairs may lie further apart, what MinHash bands find (``shingle_sets``); each is
+    verified by its sets.
     A row with a null id stays only if its class has no row with an id. Rows that are equal in id and text count as one.
     """
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_k"), F.xxhash64("text").alias("_h")]
     named = docs.select("doc_id", "text", *key)
     rows = stored(shingle_sets.with_bands(named, ["doc_id", "_k", "_h"], shingle, seed), "prints")
-    classes = shingle_sets.near_copy_classes(named, rows, ["_k", "_h"], shingle, similarity)
+    firsts = rows.where("_size > 0").groupBy("_print").agg(F.min(F.struct("_k", "_h")).alias("first")).select("_print", "first.*")
+    fingers = with_fingerprint(named, ["_k", "_h"], shingle, seed).withColumnRenamed("_print", "_finger").dropDuplicates(["_k", "_h"])
+    nodes = stored(fingers.join(firsts.hint("merge"), ["_k", "_h"]).select("_print", "_finger"), "fingers")
+    classes = shingle_sets.near_copy_classes(named, rows, ["_k", "_h"], shingle, similarity, stored(tree_keys(nodes, radius), "trees"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "_k", "_h")
     firsts = rows.groupBy("_print").agg(F.min(order).alias("first")).join(classes, "_print", "left")
     firsts = firsts.groupBy(F.coalesce("component", "_print").alias("component")).agg(F.min("first").alias("first")).select("first._k", "first._h")

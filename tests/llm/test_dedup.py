@@ -11,7 +11,7 @@ import public_tokenizers
 import xxhash
 from pyspark.sql import functions as F
 
-from sparkveil.llm import collision_search, graph, line_edit_join, packing, simhash_trees, substring_levels, suffix_parsing
+from sparkveil.llm import collision_search, graph, line_edit_join, packing, shingle_sets, simhash_trees, substring_levels, suffix_parsing
 from sparkveil.llm.textops import sliding_argmin
 
 FOLDER = "/root/testdata/sf0.001"
@@ -116,6 +116,29 @@ def test_both_trees_find_all_pairs(spark):
         assert set(links) == want
 
 
+def test_near_dedup_finds_candidates_by_the_trees(spark, monkeypatch):
+    """What the trees find needs no band in common; what they find is verified all the same."""
+    bands = shingle_sets.with_bands
+    monkeypatch.setattr(shingle_sets, "with_bands", lambda *a: bands(*a).withColumn("_keys", F.array().cast("array<long>")))
+    words = [f"w{i}" for i in range(900)]
+    rows = [(3, " ".join(words)), (1, " ".join([*words, "end"])), (2, " ".join(words[:450])), (4, "some other text of a few words"), (5, None), (6, "")]
+    rows += [(7, " ".join([*words[:40], *words])), (8, " ".join(words).upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {r.doc_id: r._print for r in simhash_trees.with_fingerprint(df, ["doc_id"], 5).collect()}
+    assert bin((prints[1] ^ prints[3]) & (2**64 - 1)).count("1") <= 2 < bin((prints[2] ^ prints[3]) & (2**64 - 1)).count("1")
+    assert sorted(r.doc_id for r in simhash_trees.keep_one_each(df).collect() if r.doc_id != 7) == [1, 2, 4, 5]
+
+
+def test_nodes_share_a_key_if_their_fingerprints_are_near(spark):
+    prints = [0, 1, 3, 7, 7, -1, 2**40]
+    nodes = spark.createDataFrame(list(enumerate(prints)), "_print long, _finger long")
+    by_key = defaultdict(set)
+    for r in simhash_trees.tree_keys(nodes).collect():
+        by_key[r.key].add(r._print)
+    met = {(a, b) for g in by_key.values() for a in g for b in g if a < b}
+    assert met == {(a, b) for a in range(7) for b in range(a + 1, 7) if bin((prints[a] ^ prints[b]) & (2**64 - 1)).count("1") <= 2}
+
+
 def test_one_of_each_class_stays(spark):
     text = " ".join(f"w{i}" for i in range(200))
     df = spark.createDataFrame([(3, text, "a"), (1, text, "b"), (1, text, "b"), (None, text, ""), (4, "other words here", ""), (5, None, ""), (6, "", "")], TEXT)
