@@ -553,7 +553,7 @@ def _gold(c: Corpus) -> tuple[DataFrame, DataFrame]:
         start = F.length(F.concat(text, F.lit(lead)))
         marks.append(F.struct(F.lit(entity).alias("entity_type"), start.alias("start"), (start + F.length(value)).alias("end")))
         text = F.concat(text, F.lit(lead), value)
-    rows = c.table("customer").select(k.alias("source_id"), F.lit("rendered").alias("source_type"), F.concat(text, F.lit(" by 1-800.")).alias("text"), F.array(*marks).alias("marks"))
+    rows = c.keys("customer", "c_custkey").select(k.alias("source_id"), F.lit("rendered").alias("source_type"), F.concat(text, F.lit(" by 1-800.")).alias("text"), F.array(*marks).alias("marks"))
     gold = rows.select(F.col("source_id").alias("doc_id"), F.inline("marks")).where("NOT (entity_type = 'PHONE_NUMBER' AND doc_id % 10 = 0)")
     return rows.select("source_type", "source_id", "text"), gold
 
@@ -569,7 +569,7 @@ def pii_builtin_spans(c: Corpus) -> DataFrame:
         F.format_string("B%07d C%08d MD%07d acct %010d x%010d ", k, k, k, k, k), F.format_string("DE89%018d http://h%d.org/p?q=%d ", k, k, k), F.format_string("10.0.%d.%d and %d/%d/2024 May %d, 2024 ", k % 256, k % 300, k % 12 + 1, k % 28 + 1, k % 28 + 1),
         F.format_string("+1 (%03d) 555-%04d, %03d.555.%04d", k % 1000, k, k % 1000, k),
     )
-    rows = c.table("customer").select(F.lit("rendered").alias("source_type"), k.alias("source_id"), text.alias("text"))
+    rows = c.keys("customer", "c_custkey").select(F.lit("rendered").alias("source_type"), k.alias("source_id"), text.alias("text"))
     return spans.scan(rows, list(BUILTIN.values()), resolve=False).select("source_id", "recognizer", "start", "end", "matched_text").withColumnsRenamed(SPAN)
 
 
@@ -596,7 +596,7 @@ def eval_micro(c: Corpus) -> DataFrame:
 @registered
 def eval_generated(c: Corpus) -> DataFrame:
     """Seven entities over a generated letter for every order: what the recognisers find of what was written. No recogniser looks for names."""
-    letters = generator.labelled(c.table("orders"), "o_orderkey", 7)
+    letters = generator.labelled(c.keys("orders", "o_orderkey"), "o_orderkey", 7)
     sources = letters.select(F.lit("letter").alias("source_type"), F.col("doc_id").alias("source_id"), "text")
     found = spans.scan(sources, generator.SCORED).withColumnRenamed("source_id", "doc_id")
     rows = spans.with_rates(spans.matched_greedily(found, generator.gold(letters)))

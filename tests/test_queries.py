@@ -30,5 +30,12 @@ def test_against_sql(spark, duck, name):
     assert rows_of(QUERIES[name](spark, FOLDER).toPandas()) == rows_of(duck.sql(ORACLES[name]).df())
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
+def test_texts_made_of_a_few_keys_are_searched_on_all_cores(spark):
+    """A table of a few MB is one partition, and what is rendered from its keys is many times as much."""
+    made = QUERIES["pii_builtin_spans"](spark, FOLDER).rdd
+    assert made.getNumPartitions() >= spark.sparkContext.defaultParallelism and sum(n > 0 for n in made.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) >= 4
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
