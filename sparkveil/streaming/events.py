@@ -71,10 +71,11 @@ class _Failures(StatefulProcessor):
         new = sorted(int(t) for f in rows for t in f["micros"])
         new = [t for t in new if t >= watermark]  # others are late
         held: dict[int, list[int]] = {}
+        there = {k[0] for k in self.slices.keys()} if new else set()  # asked for once: each question to the state is a trip to the JVM
 
         def at(number: int) -> list[int]:
             if number not in held:
-                held[number] = sorted(self.slices.getValue((number,))[0]) if self.slices.containsKey((number,)) else []
+                held[number] = sorted(self.slices.getValue((number,))[0]) if number in there else []
             return held[number]
 
         for t in new:

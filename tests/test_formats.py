@@ -200,3 +200,19 @@ def test_follow_goes_on_until_the_last_event(spark, tmp_path):
     assert follow(tail(spark, folder), lambda b, _: seen.extend(r.id for r in b.collect()), str(tmp_path / "c"), deadline_s=60)
     assert seen == [1, 2, 3]
     assert not follow(tail(spark, folder).where("id < 3"), lambda b, _: None, str(tmp_path / "d"), deadline_s=3)
+
+
+def test_lockout_asks_for_its_slices_once():
+    from types import SimpleNamespace as Made
+
+    import pandas as pd
+
+    from sparkveil.streaming.events import _Failures
+
+    kept, asked = {(0,): ([5],)}, []
+    state = Made(keys=lambda: asked.append("keys") or iter(list(kept)), getValue=lambda k: asked.append(k) or kept[k], updateValue=lambda k, v: kept.__setitem__(k, v), containsKey=lambda k: asked.append("one") or k in kept)
+    work = _Failures(2, 160)
+    work.init(Made(getMapState=lambda *a: state, registerTimer=lambda at: None))
+    out = list(work.handleInputRows((7,), iter([pd.DataFrame({"micros": [165, 12, 400]})]), Made(getCurrentWatermarkInMs=lambda: 0)))[0]
+    assert out.values.tolist() == [[7, 12, 2], [7, 165, 3]] and asked == ["keys", (0,)]
+    assert kept == {(0,): ([5],), (1,): ([12],), (16,): ([165],), (40,): ([400],)}
