@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import release, stored
+from .storage import discard, release, stored
 from .textops import Chunk, Hasher, chunks, mixed, sliding_argmin, spans_to_mask, text_column
 
 _U = np.uint64
@@ -96,6 +96,75 @@ def _parse(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
             yield merged(parts)
 
 
+def _word_hashes(c: Chunk) -> Hasher:
+    c.words()
+    return Hasher(Hasher(c.data).ranges(c.starts, c.ends))
+
+
+def _word_parse(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Reaches in words: first window, further windows, and hashes of the phrase of half a window and of the reach."""
+    half = size // 2
+    for batch in batches:
+        k, h = (batch.column(i).to_numpy() for i in range(2))
+        for c in chunks(text_column(batch)):
+            words, n = _word_hashes(c), len(c.starts)
+            if n < size:
+                continue
+            i = np.arange(n - half + 1)
+            phrase = words.ranges(i, i + half)
+            at = sliding_argmin(phrase, size - half + 1)
+            text = np.repeat(np.arange(c.n), np.diff(c.word_offsets))[: n - size + 1]
+            start = np.flatnonzero(np.arange(n - size + 1) + size <= c.word_offsets[1:][text])
+            if not len(start):
+                continue
+            at, text = at[start], text[start]
+            new = np.ones(len(start), bool)
+            new[1:] = (at[1:] != at[:-1]) | (text[1:] != text[:-1])
+            lo, of = start[new], text[new]
+            hi = start[np.append(np.flatnonzero(new)[1:], len(start)) - 1]
+            row = c.first + of
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k[row], h[row], lo - c.word_offsets[of], hi - lo, phrase[at[new]].view(np.int64), words.ranges(lo, hi + size).view(np.int64))], ["k", "h", "lo", "more", "phrase", "reach"])
+
+
+def _word_windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The hash of each window of the reaches in ``open``, with what the reach carries."""
+    for batch in batches:
+        opened = batch.column(1)
+        for c in chunks(text_column(batch)):
+            words, own = _word_hashes(c), opened.slice(c.first, c.n)
+            lo, more, reach, x, y = (own.flatten().field(i).to_numpy() for i in range(5))
+            of, times = np.repeat(np.arange(c.n), own.value_lengths().to_numpy()), more + 1
+            at = np.repeat(lo + c.word_offsets[of], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            yield pa.RecordBatch.from_arrays([pa.array(words.ranges(at, at + size).view(np.int64)), *(pa.array(np.repeat(v, times)) for v in (reach, x, y))], ["window", "reach", "x", "y"])
+
+
+def shared_passages(base: DataFrame, size: int) -> DataFrame:
+    """k, h and n_shared_windows, for each text of ``base`` (k, h, text) with windows of ``size`` words that another document also has, however its words are spaced.
+
+    The same parse as of bytes, by words: a phrase that one document has ends there, a reach that several have is shared as a whole, and of
+    the other phrases with different reaches, one occurrence of each reach has its windows compared.
+    """
+    key, own = ["k", "h"], F.xxhash64("k", "h")
+    runs = stored(base.mapInArrow(lambda b: _word_parse(b, size), "k long, h long, lo long, more long, phrase long, reach long"), "word-runs")
+    tally = runs.groupBy("phrase").agg(F.min(own).alias("x"), F.max(own).alias("y"), F.min("reach").alias("lo"), F.max("reach").alias("hi"))
+    tally = tally.where("x <> y").select("phrase", (F.col("lo") != F.col("hi")).alias("varied"))
+    some = stored(runs.join(tally, "phrase").drop("phrase"), "word-repeats")
+    discard(runs)
+    reaches = some.groupBy("reach").agg(F.first("varied").alias("varied"), F.first("more").alias("more"), F.min(own).alias("x"), F.max(own).alias("y"), F.min(F.struct(*key, "lo")).alias("at"))
+    reaches = stored(reaches, "word-reaches")
+    opened = reaches.where("varied").groupBy("at.k", "at.h").agg(F.collect_list(F.struct("at.lo", "more", "reach", "x", "y")).alias("open"))
+    windows = base.join(opened, key).select("text", "open").mapInArrow(lambda b: _word_windows(b, size), "window long, reach long, x long, y long")
+    windows = stored(windows, "word-windows")
+    several = windows.groupBy("window").agg(F.min("x").alias("x"), F.max("y").alias("y")).where("x <> y").select("window")
+    met = windows.where("x = y").join(several, "window").groupBy("reach").agg(F.count(F.lit(1)).alias("n"))
+    whole = reaches.where("x <> y").select("reach", (F.col("more") + 1).alias("n"))
+    counted = some.join(whole.union(met), "reach").repartition(*key).groupBy(*key, "lo").agg(F.max("n").alias("n"))
+    out = stored(counted.groupBy(*key).agg(F.sum("n").alias("n_shared_windows")), "passages")
+    for done in (some, reaches, windows):
+        discard(done)
+    return out
+
+
 def _surroundings(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Of the reaches in ``open``: the bytes before (from the last one back) and after the phrase's start, or, of a crowded phrase, each window's hash."""
     for batch in batches:
@@ -211,17 +280,19 @@ def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBat
                 removed.append(0)
                 spans.append([])
                 kept.append(text)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()), batch.column(4)], ["doc_id", "n_bytes", "n_removed", "spans", "kept", "n_shared_phrases"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()), batch.column(4), batch.column(5)], ["doc_id", "n_bytes", "n_removed", "spans", "kept", "n_shared_phrases", "n_shared_windows"])
 
 
-def remove_repeated_bytes(docs: DataFrame, width: int = 400, crowded: int = 1024) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, width: int = 400, crowded: int = 1024, passage: int = 50) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (maximal removed runs of bytes) and kept (the other bytes), a row per row of ``docs``.
 
     n_shared_phrases: how many reaches' phrases, of half the width, also occur elsewhere; a passage that is shorter than ``width``, and so stays,
-    shows there. ``width`` is at least 32 and at most 510 bytes.
+    may show there. n_shared_windows: how many windows of ``passage`` words another document also has, which shows every passage of so many words,
+    however many bytes it has. ``width`` is at least 32 and at most 510 bytes.
     """
     key = ["k", "h"]
     base = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("k"), F.xxhash64("text", F.col("doc_id").isNull()).alias("h"), "text")
+    passages = shared_passages(base.select(*key, "text"), passage)
     runs = base.select(*key, "text").mapInArrow(lambda b: _parse(b, width), "k long, h long, run long, phrase long, reach long, n long")
     tally = runs.where("n > 0").groupBy("phrase").agg(F.sum("n").alias("times"), F.count(F.lit(1)).alias("rows"), F.min("reach").alias("lo"), F.max("reach").alias("hi"))
     phrases = stored(tally.where("times > 1").select("phrase", (F.col("lo") != F.col("hi")).alias("varied"), (F.col("rows") > crowded).alias("crowded")), "phrases")
@@ -246,11 +317,12 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 400, crowded: int = 1024
     late = late.groupBy(*key).agg(F.collect_set("run").alias("late"))
     shared = F.size("gone") + F.size(F.filter("open", lambda o: ~o["settled"]))
     cuts = found.select(*key, "gone", shared.cast("long").alias("shared")).join(late, key, "left")
-    out = base.join(cuts, key, "left").select("doc_id", "text", "gone", "late", F.coalesce("shared", F.lit(0)).alias("shared"))
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("shared", "n_shared_windows")]
+    out = base.join(cuts, key, "left").join(passages, key, "left").select("doc_id", "text", "gone", "late", *counts)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return out.mapInArrow(lambda b: _cut(b, width), f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, n_shared_phrases long")
+    return out.mapInArrow(lambda b: _cut(b, width), f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, n_shared_phrases long, n_shared_windows long")
 
 
 def op8_suffix_parsing(spark, sf_dir: str) -> DataFrame:
     out = remove_repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256"), "n_shared_phrases")
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256"), "n_shared_phrases", "n_shared_windows")

@@ -470,3 +470,16 @@ def test_line_dedup_and_components_send_no_table_to_all(spark):
     assert got[1] == near[0][1] and got[2] == "other" and got[3] == "" and len(got) == len(near) + 56
     plans = [executions.executionsList(i, 1).apply(0).physicalPlanDescription() for i in range(before, executions.executionsCount())]
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p or "BroadcastExchange" in p for p in plans)
+
+
+def test_passages_that_are_too_short_in_bytes_are_counted_by_words(spark):
+    """A passage of 51 short words, far under 400 bytes, shows in every document that has it, and in no other; so does a repeat in one document."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 4)))
+    text = lambda n: [word() for _ in range(n)]
+    passage, shorter = text(51), text(49)
+    rows = [(i, " ".join(text(60) + (passage if i % 3 == 0 else shorter) + text(60))) for i in range(30)]
+    rows += [(100, "\n".join(passage)), (101, " ".join(passage[:49])), (102, " ".join(text(60) * 2)), (None, "x " + "  ".join(passage)), (103, None), (104, "")]
+    got = {r.doc_id: r for r in suffix_parsing.remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.n_shared_windows for i, r in got.items()} == {i: 2 if i in (None, 100) or i < 30 and i % 3 == 0 else 0 for i, _ in rows}
+    assert all(r.n_removed == 0 for i, r in got.items() if i != 102)
