@@ -147,7 +147,8 @@ def shared_passages(base: DataFrame, size: int) -> DataFrame:
     key, own = ["k", "h"], F.xxhash64("k", "h")
     runs = stored(base.mapInArrow(lambda b: _word_parse(b, size), "k long, h long, lo long, more long, phrase long, reach long"), "word-runs")
     tally = runs.groupBy("phrase").agg(F.min(own).alias("x"), F.max(own).alias("y"), F.min("reach").alias("lo"), F.max("reach").alias("hi"))
-    tally = tally.where("x <> y").select("phrase", (F.col("lo") != F.col("hi")).alias("varied"))
+    # written, so that the join below reads two plain shuffles: of a very common phrase, Spark can then split the task
+    tally = stored(tally.where("x <> y").select("phrase", (F.col("lo") != F.col("hi")).alias("varied")), "word-phrases")
     some = stored(runs.join(tally, "phrase").drop("phrase"), "word-repeats")
     discard(runs)
     reaches = some.groupBy("reach").agg(F.first("varied").alias("varied"), F.first("more").alias("more"), F.min(own).alias("x"), F.max(own).alias("y"), F.min(F.struct(*key, "lo")).alias("at"))
@@ -160,7 +161,7 @@ def shared_passages(base: DataFrame, size: int) -> DataFrame:
     whole = reaches.where("x <> y").select("reach", (F.col("more") + 1).alias("n"))
     counted = some.join(whole.union(met), "reach").repartition(*key).groupBy(*key, "lo").agg(F.max("n").alias("n"))
     out = stored(counted.groupBy(*key).agg(F.sum("n").alias("n_shared_windows")), "passages")
-    for done in (some, reaches, windows):
+    for done in (tally, some, reaches, windows):
         discard(done)
     return out
 
