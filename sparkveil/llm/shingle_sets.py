@@ -9,7 +9,8 @@ compared with one pivot, links are joined to components, and only buckets that s
 ``PIVOTS`` rounds all pairs of different components in a bucket are compared. Before sets are fetched, a bound rules pairs out within
 the join: each set has a bitmap of ``BITS`` places that its shingles' hashes name; a place that only one of two sets names holds a shingle
 that the other lacks, so the bitmaps give the most that the sets can share. Nothing is capped or left out: what is not compared
-is in one component already, or not similar enough. Only members of shared buckets have their sets built.
+is in one component already, or not similar enough. Only members of shared buckets have their sets built. Joins merge, whatever size
+the planner expects: keys, pairs and sets are exploded or compressed, and many times what it takes them to be.
 
 Defined cases: null or wordless text is the empty set, and all empty sets are equal.
 """
@@ -107,8 +108,8 @@ def _with_sets(texts: DataFrame, shingle: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets are similar enough."""
-    left = pairs.join(sets.select(F.col("_print").alias("a"), F.col("_set").alias("sa")), "a")
-    both = left.join(sets.select(F.col("_print").alias("b"), F.col("_set").alias("sb")), "b")
+    left = pairs.join(sets.select(F.col("_print").alias("a"), F.col("_set").alias("sa")).hint("merge"), "a")
+    both = left.join(sets.select(F.col("_print").alias("b"), F.col("_set").alias("sb")).hint("merge"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared / (F.size("sa") + F.size("sb") - shared) >= similarity).select("a", "b")
 
@@ -121,24 +122,24 @@ def near_copy_classes(docs: DataFrame, rows: DataFrame, key: list[str], shingle:
     nodes = stored(rows.groupBy("_print").agg(F.min(F.struct(*key)).alias("first"), F.first("_size").alias("_size"), F.first("_keys").alias("_keys"), F.first("_bits").alias("_bits")), "nodes")
     keyed = nodes.select("_print", "_size", F.explode("_keys").alias("key"))
     if more is not None:
-        keyed = keyed.union(nodes.select("_print", "_size").join(more, "_print").select("_print", "_size", "key"))
+        keyed = keyed.union(nodes.select("_print", "_size").join(more.hint("merge"), "_print").select("_print", "_size", "key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    buckets = stored(keyed.join(shared, "key"), "buckets")
-    members = nodes.join(buckets.select("_print").distinct(), "_print", "left_semi").select("first.*")
-    sets = stored(_with_sets(docs.select("text", *key).join(members, key, "left_semi"), shingle).dropDuplicates(["_print"]), "sets")
+    buckets = stored(keyed.join(shared.hint("merge"), "key"), "buckets")
+    members = nodes.join(buckets.select("_print").distinct().hint("merge"), "_print", "left_semi").select("first.*")
+    sets = stored(_with_sets(docs.select("text", *key).join(members.hint("merge"), key, "left_semi"), shingle).dropDuplicates(["_print"]), "sets")
     maps = nodes.select(F.col("_print").alias("_p"), "_bits")
     links, classes = None, None
     for turn in range(PIVOTS + 1):
         if classes is not None:
-            buckets = buckets.drop("component").join(classes.withColumnRenamed("node", "_print"), "_print", "left")
+            buckets = buckets.drop("component").join(classes.withColumnRenamed("node", "_print").hint("merge"), "_print", "left")
             buckets = buckets.withColumn("component", F.coalesce("component", "_print"))
             open_ = buckets.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-            buckets = stored(buckets.join(open_, "key", "left_semi"), "buckets")
+            buckets = stored(buckets.join(open_.hint("merge"), "key", "left_semi"), "buckets")
             if not buckets.take(1):
                 break
         else:
             buckets = buckets.withColumn("component", F.col("_print"))
-        small = buckets.join(maps, F.col("_print") == F.col("_p")).select("key", "_print", "_size", "component", "_bits")
+        small = buckets.join(maps.hint("merge"), F.col("_print") == F.col("_p")).select("key", "_print", "_size", "component", "_bits")
         if turn < PIVOTS:
             other = small.groupBy("key").agg(F.min_by(F.struct("_print", "_size", "component", "_bits"), F.xxhash64("_print", F.lit(turn))).alias("p")).select("key", "p.*")
         else:
@@ -150,7 +151,7 @@ def near_copy_classes(docs: DataFrame, rows: DataFrame, key: list[str], shingle:
         apart = (F.col("component") != F.col("cb")) & (F.least("_size", "nb") >= similarity * F.greatest("_size", "nb")) & (most >= similarity * (F.col("_size") + F.col("nb") - most))
         if turn == PIVOTS:
             apart &= F.col("_print") < F.col("b")
-        pairs = small.join(other, (small["key"] == other["key"]) & apart).select(F.greatest("_print", "b").alias("a"), F.least("_print", "b").alias("b")).distinct()
+        pairs = small.join(other.hint("merge"), (small["key"] == other["key"]) & apart).select(F.greatest("_print", "b").alias("a"), F.least("_print", "b").alias("b")).distinct()
         found = stored(_verified(pairs, sets, similarity), "links")
         links = found if links is None else links.union(found)
         classes = stored(components(links), "classes")

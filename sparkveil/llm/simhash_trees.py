@@ -10,7 +10,8 @@ still reaches, one way round, so every pair meets exactly once and is verified b
 Fingerprints are made distinct first, so that copies cost one row. A shard with more than ``crowded`` fingerprints
 (a cluster of near copies) is not compared: all fingerprints that visit it go through a second, deeper tree (twice as many
 blocks). Distinct 64-bit patterns within two bits of one another number at most 2,080, so links stay in proportion to
-fingerprints whatever the groups' sizes.
+fingerprints whatever the groups' sizes. Joins merge at any size, as the planner takes what an explode makes to be about as large
+as what went into it; only the list of crowded shards, a row for 4,096 fingerprints at most, may be sent to all.
 
 Defined cases: null or wordless text has fingerprint zero and is linked like any other; rows with a null id are fingerprinted,
 and their group's component is the smallest id that is there (null if none); repeated rows share a fingerprint; a very long text is
@@ -112,7 +113,7 @@ def _compared(prints: DataFrame, blocks: int, radius: int, crowded: int | None)
         deep = visits.join(skip, "shard", "left_semi").select(F.col("a").alias("_print")).union(shards.join(skip, "shard", "left_semi").select(F.col("b").alias("_print"))).distinct()
         visits, shards = visits.join(skip, "shard", "left_anti"), shards.join(skip, "shard", "left_anti")
     near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius) & ((F.col("step") != 0) | (F.col("a") < F.col("b")))
-    return visits.join(shards, (visits["shard"] == shards["shard"]) & near).select("a", "b"), deep
+    return visits.join(shards.hint("merge"), (visits["shard"] == shards["shard"]) & near).select("a", "b"), deep
 
 
 def near_links(prints: DataFrame, radius: int = 2, crowded: int = 4096) -> DataFrame:
@@ -125,15 +126,15 @@ def _classes(rows: DataFrame, radius: int) -> DataFrame:
     """_print, component (its class's smallest fingerprint) and component_id for the distinct fingerprints of ``rows``."""
     least = stored(rows.groupBy("_print").agg(F.min("doc_id").alias("least")), "distinct")
     classes = components(near_links(least.select("_print"), radius))
-    linked = least.join(classes.withColumnRenamed("node", "_print"), "_print", "left").withColumn("component", F.coalesce("component", "_print"))
+    linked = least.join(classes.withColumnRenamed("node", "_print").hint("merge"), "_print", "left").withColumn("component", F.coalesce("component", "_print"))
     roots = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    return linked.join(roots, "component").select("_print", "component", "component_id")
+    return linked.join(roots.hint("merge"), "component").select("_print", "component", "component_id")
 
 
 def near_duplicate_classes(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
     """doc_id, _print, component_id (the smallest id that links reach) for each row of ``docs``."""
     rows = stored(with_fingerprint(docs, ["doc_id"], shingle, seed), "prints")
-    return rows.join(_classes(rows, radius), "_print").select("doc_id", "_print", "component_id")
+    return rows.join(_classes(rows, radius).hint("merge"), "_print").select("doc_id", "_print", "component_id")
 
 
 def tree_keys(nodes: DataFrame, radius: int = 2) -> DataFrame:
@@ -163,10 +164,10 @@ def keep_one_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, se
     nodes = stored(fingers.join(firsts.hint("merge"), ["_k", "_h"]).select("_print", "_finger"), "fingers")
     classes = shingle_sets.near_copy_classes(named, rows, ["_k", "_h"], shingle, similarity, stored(tree_keys(nodes, radius), "trees"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "_k", "_h")
-    firsts = rows.groupBy("_print").agg(F.min(order).alias("first")).join(classes, "_print", "left")
+    firsts = rows.groupBy("_print").agg(F.min(order).alias("first")).join(classes.hint("merge"), "_print", "left")
     firsts = firsts.groupBy(F.coalesce("component", "_print").alias("component")).agg(F.min("first").alias("first")).select("first._k", "first._h")
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # out of the way of the names below
-    return docs.select(whole, *key).join(firsts, ["_k", "_h"], "left_semi").dropDuplicates(["_k", "_h"]).select("row.*")
+    return docs.select(whole, *key).join(firsts.hint("merge"), ["_k", "_h"], "left_semi").dropDuplicates(["_k", "_h"]).select("row.*")
 
 
 def op3_simhash_trees(spark, sf_dir: str) -> DataFrame:

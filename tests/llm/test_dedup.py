@@ -472,6 +472,18 @@ def test_line_dedup_and_components_send_no_table_to_all(spark):
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p or "BroadcastExchange" in p for p in plans)
 
 
+def test_near_dedup_sends_no_table_to_all(spark):
+    """Exploded keys, visits and pairs are many times what the planner takes them to be."""
+    text = " ".join(f"w{i}" for i in range(200))
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), *((i, " ".join(f"x{i * 97 + j}" for j in range(30))) for i in range(3, 60))], "doc_id long, text string")
+    executions = spark._jsparkSession.sharedState().statusStore()
+    before = executions.executionsCount()
+    assert sorted(r.doc_id for r in simhash_trees.keep_one_each(docs).collect()) == [1, *range(3, 60)]
+    assert simhash_trees.near_duplicate_classes(docs).count() == 59
+    plans = [executions.executionsList(i, 1).apply(0).physicalPlanDescription() for i in range(before, executions.executionsCount())]
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_passages_that_are_too_short_in_bytes_are_counted_by_words(spark):
     """A passage of 51 short words, far under 400 bytes, shows in every document that has it, and in no other; so does a repeat in one document."""
     rng = random.Random(8)
