@@ -30,6 +30,28 @@ def test_against_sql(spark, duck, name):
     assert rows_of(QUERIES[name](spark, FOLDER).toPandas()) == rows_of(duck.sql(ORACLES[name]).df())
 
 
+@pytest.fixture(scope="session")
+def odd(tmp_path_factory):
+    """The tables with documents that are blank, wordless, or all one redaction."""
+    folder = tmp_path_factory.mktemp("odd")
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"CREATE TABLE {t} AS SELECT * FROM read_parquet('{FOLDER}/{t}.parquet')")
+    texts = ["", " ", "   " * 60, " " * 6000, "\n\n", "...", "!?\n--", "\t", "a@b.org " * 40, "4111111111111111" * 6]
+    first = con.sql("SELECT max(doc_id) + 1 FROM documents").fetchall()[0][0]
+    con.executemany("INSERT INTO documents(doc_id, text, lang, source, n_chars) VALUES (?, ?, 'en', 'src0', 0)", [(first + i, t) for i, t in enumerate(texts * 3)])
+    for t in TABLES:
+        con.sql(f"COPY {t} TO '{folder}/{t}.parquet' (FORMAT parquet)")
+    return str(folder), con
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
+@pytest.mark.parametrize("name", ["fts_backfill_missing"])
+def test_blank_and_wordless_texts_against_sql(spark, odd, name):
+    folder, con = odd
+    assert rows_of(QUERIES[name](spark, folder).toPandas()) == rows_of(con.sql(ORACLES[name]).df())
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
 def test_texts_made_of_a_few_keys_are_searched_on_all_cores(spark):
     """A table of a few MB is one partition, and what is rendered from its keys is many times as much."""
