@@ -132,9 +132,9 @@ def attachment_pages(docs: DataFrame) -> DataFrame:
 
 
 def lines_of(text: str) -> Column:
-    """How many printed lines a text has; a blank one has none of its own."""
-    blank = F.coalesce(F.trim(text), F.lit("")) == ""
-    return F.when(blank, 0).otherwise(spans.line_count(F.col(text), WIDTH))
+    """How many printed lines a text has; an empty one has none of its own, one of blanks alone has those that they fill."""
+    empty = F.coalesce(F.col(text), F.lit("")) == ""
+    return F.when(empty, 0).otherwise(spans.line_count(F.col(text), WIDTH))
 
 
 def produced(emails: DataFrame, attachments: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def overlaid(lines: DataFrame, accepted: DataFrame, sign: str = "█") -> DataFr
     code = F.col("exemption_code") if "exemption_code" in accepted.columns else F.lit(None).cast("string")
     marked = accepted.select("source_type", "source_id", "start", "end", code.alias("code")).distinct()
     cuts = spans.clipped(lines, marked).join(marked.withColumnsRenamed({"start": "span_start", "end": "span_end"}), ["source_type", "source_id", "span_start", "span_end"]).where("to_col > from_col")
-    boxes = cuts.groupBy("source_type", "source_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("from_col", "to_col", "code"))).alias("boxes"))
+    boxes = cuts.groupBy("source_type", "source_id", "line_no").agg(F.array_sort(F.collect_set(F.struct("from_col", "to_col", "code"))).alias("boxes"))
     hide = lambda line, b: F.concat(F.substring(line, 1, b["from_col"]), F.repeat(F.lit(sign), b["to_col"] - b["from_col"]), F.substring(line, b["to_col"] + 1, F.length(line)))
     rows = lines.join(boxes, ["source_type", "source_id", "line_no"], "left")
     return rows.withColumn("line", F.when(F.col("boxes").isNull(), F.col("line")).otherwise(F.aggregate("boxes", F.col("line"), hide)))

@@ -527,7 +527,7 @@ def production_lines(c: Corpus) -> DataFrame:
 @registered
 def production_print(c: Corpus) -> DataFrame:
     """Every line of every text on its page of the production, without what is redacted."""
-    rows = produce.printed_text(c.sources, _redactions(c).where("status = 'accepted'"), _places(c))
+    rows = produce.printed_text(c.printed, _redactions(c).where("status = 'accepted'"), _places(c))
     boxes = F.coalesce(F.array_join(F.transform("boxes", lambda b: F.concat_ws(" ", b["from_col"].cast("string"), b["to_col"].cast("string"), b["code"])), ","), F.lit(""))
     return rows.select("page", "used", "text", boxes.alias("boxes"))
 

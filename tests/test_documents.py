@@ -290,6 +290,15 @@ def test_lines_break_where_the_uncovered_text_breaks(spark):
     assert got == ["a█", "█d", "x" * 88, "x" * 12]
 
 
+def test_spans_that_cover_the_same_of_a_line_are_one_box(spark):
+    from sparkveil.operators import produce, spans
+
+    sources = spark.createDataFrame([("email_body_text", 1, "x" * 200)], "source_type string, source_id long, text string")
+    accepted = spark.createDataFrame([("email_body_text", 1, 0, 180, "PII"), ("email_body_text", 1, 10, 190, "PII")], "source_type string, source_id long, start int, end int, exemption_code string")
+    got = {r.line_no: [tuple(b) for b in r.boxes] for r in produce.overlaid(spans.wrapped(sources, produce.WIDTH), accepted).collect()}
+    assert got == {0: [(0, 88, "PII"), (10, 88, "PII")], 1: [(0, 88, "PII")], 2: [(0, 4, "PII"), (0, 14, "PII")]}
+
+
 def test_html_functions_hold_a_few_pages_at_a_time():
     """Results leave before a batch is through, whatever its rows; nulls, empty and very long pages keep their places."""
     import pyarrow as pa

@@ -46,7 +46,7 @@ def odd(tmp_path_factory):
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
-@pytest.mark.parametrize("name", ["fts_backfill_missing"])
+@pytest.mark.parametrize("name", ["fts_backfill_missing", "production_print", "production_places", "production_manifest"])
 def test_blank_and_wordless_texts_against_sql(spark, odd, name):
     folder, con = odd
     assert rows_of(QUERIES[name](spark, folder).toPandas()) == rows_of(con.sql(ORACLES[name]).df())
